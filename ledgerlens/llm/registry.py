@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.bpe import op9_bpe
+from ledgerlens.llm.chat_format import OP1_SQL, op1_chat_format
+from ledgerlens.llm.media_chunks import op10_media_chunks
 from ledgerlens.llm.quality_rules import op2_quality_rules
 from ledgerlens.llm.secret_scan import op7_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_quality_rules": op2_quality_rules,
         "op7_secret_scan": op7_secret_scan,
         "op9_bpe": op9_bpe,
+        "op10_media_chunks": op10_media_chunks,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL}
