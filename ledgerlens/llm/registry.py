@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.llm.bpe import op9_bpe
 from ledgerlens.llm.chat_format import OP1_SQL, op1_chat_format
 from ledgerlens.llm.media_chunks import op10_media_chunks
+from ledgerlens.llm.mixing import OP5_SQL, op5_source_mixing
+from ledgerlens.llm.pii import op4_pii
 from ledgerlens.llm.quality_rules import op2_quality_rules
 from ledgerlens.llm.secret_scan import op7_secret_scan
 
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_quality_rules": op2_quality_rules,
+        "op4_pii": op4_pii,
+        "op5_source_mixing": op5_source_mixing,
         "op7_secret_scan": op7_secret_scan,
         "op9_bpe": op9_bpe,
         "op10_media_chunks": op10_media_chunks,
@@ -24,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_source_mixing": OP5_SQL}
