@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.bpe import op9_bpe
 from ledgerlens.llm.chat_format import OP1_SQL, op1_chat_format
+from ledgerlens.llm.license_scan import op8_license_scan
 from ledgerlens.llm.media_chunks import op10_media_chunks
 from ledgerlens.llm.mixing import OP5_SQL, op5_source_mixing
 from ledgerlens.llm.pii import op4_pii
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_source_mixing": op5_source_mixing,
         "op7_secret_scan": op7_secret_scan,
+        "op8_license_scan": op8_license_scan,
         "op9_bpe": op9_bpe,
         "op10_media_chunks": op10_media_chunks,
     }
