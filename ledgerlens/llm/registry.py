@@ -11,6 +11,7 @@ from ledgerlens.llm.chat_format import OP1_SQL, op1_chat_format
 from ledgerlens.llm.license_scan import op8_license_scan
 from ledgerlens.llm.media_chunks import op10_media_chunks
 from ledgerlens.llm.mixing import OP5_SQL, op5_source_mixing
+from ledgerlens.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from ledgerlens.llm.pii import op4_pii
 from ledgerlens.llm.quality_rules import op2_quality_rules
 from ledgerlens.llm.secret_scan import op7_secret_scan
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_quality_rules": op2_quality_rules,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_pii": op4_pii,
         "op5_source_mixing": op5_source_mixing,
         "op7_secret_scan": op7_secret_scan,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op5_source_mixing": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_source_mixing": OP5_SQL}
