@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.llm.bpe import op9_bpe
 from ledgerlens.llm.chat_format import OP1_SQL, op1_chat_format
 from ledgerlens.llm.license_scan import op8_license_scan
+from ledgerlens.llm.lm_score import OP6_SQL, op6_lm_score
 from ledgerlens.llm.media_chunks import op10_media_chunks
 from ledgerlens.llm.mixing import OP5_SQL, op5_source_mixing
 from ledgerlens.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_pii": op4_pii,
         "op5_source_mixing": op5_source_mixing,
+        "op6_lm_score": op6_lm_score,
         "op7_secret_scan": op7_secret_scan,
         "op8_license_scan": op8_license_scan,
         "op9_bpe": op9_bpe,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_source_mixing": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_lm_score": OP6_SQL}
