@@ -1,15 +1,425 @@
-"""The registered queries of the rule engine and their SQL."""
+"""The registered queries: each operator of the rule engine over the given tables, with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import cost, text, tristate
+from ledgerlens.operators import graph, joins, predicates, ranking, rollups, sets, state, validation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+@query("""
+    with f as (select c_nationkey as k, bool_or(c_acctbal < -900) as overdrawn, bool_or(c_mktsegment = 'BUILDING') as building from customer group by 1),
+    s as (select s_nationkey as k, bool_or(s_acctbal > 9000) as rich, count(*) as n from supplier group by 1)
+    select n_nationkey, n_name, case when n_regionkey = 0 then 'region is off' when not coalesce(overdrawn, false) then 'no overdrawn customer' when not coalesce(building, false) then 'no building customer'
+        when coalesce(n, 0) < 2 then 'fewer than two suppliers' when not coalesce(rich, false) then 'no rich supplier' end as reason
+    from nation left join f on f.k = n_nationkey left join s on s.k = n_nationkey""")
+def eligibility_first_reason(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rule that each nation fails; existence is asked of customers and suppliers apart."""
+    customers = predicates.exists_per(read(spark, sf, "customer").withColumnRenamed("c_nationkey", "k"), ["k"], overdrawn=F.col("c_acctbal") < -900, building=F.col("c_mktsegment") == "BUILDING")
+    suppliers = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.bool_or(F.col("s_acctbal") > 9000).alias("rich"), F.count(F.lit(1)).alias("n"))
+    profile = read(spark, sf, "nation").join(customers, F.col("n_nationkey") == customers.k, "left").drop("k").join(suppliers, F.col("n_nationkey") == suppliers.k, "left")
+    no = F.lit(False)
+    return profile.select("n_nationkey", "n_name", predicates.first_reason([
+        (F.col("n_regionkey") == 0, "region is off"), (~F.coalesce("overdrawn", no), "no overdrawn customer"), (~F.coalesce("building", no), "no building customer"),
+        (F.coalesce("n", F.lit(0)) < 2, "fewer than two suppliers"), (~F.coalesce("rich", no), "no rich supplier"),
+    ]).alias("reason"))
+
+
+RANK_SQL = "case when o_orderpriority = '1-URGENT' then 0 when o_orderpriority = '2-HIGH' then 1 when o_orderpriority = '3-MEDIUM' then 2 else 3 end"
+
+
+@query(f"""
+    select o_orderkey, o_custkey, {RANK_SQL} as severity_rank, row_number() over (partition by o_custkey order by case when o_orderstatus = 'F' then 1 else 0 end, {RANK_SQL}, o_orderkey) as place from orders""")
+def severity_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders: open ones first, then by severity, then by key."""
+    severity = F.when(F.col("o_orderpriority") == "1-URGENT", "critical").when(F.col("o_orderpriority") == "2-HIGH", "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("info")
+    cases = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("repo"), severity.alias("severity"), F.when(F.col("o_orderstatus") == "F", "done").alias("blocked"), F.col("o_orderkey").alias("ord"))
+    return ranking.case_order(cases).select("o_orderkey", F.col("repo").alias("o_custkey"), predicates.severity_rank(F.col("severity")).alias("severity_rank"), "place")
+
+
+@query("""
+    select l_orderkey, case when bool_or(l_returnflag = 'R') then 'does not hold' when bool_or(l_returnflag = 'N') then 'unsettled' else 'holds' end as standing, count(*) as n_marks from lineitem group by 1""")
+def tri_state_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The standing of each order over its lines: R contradicts, N is unknown, A supports."""
+    verdict = F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False)
+    marks = read(spark, sf, "lineitem").select("l_orderkey", tristate.mark(verdict, F.lit(True)).alias("mark"))
+    return rollups.standings(marks, ["l_orderkey"])
+
+
+@query("""
+    with s as (select distinct user_id as machine, event_type as state from events), o as (select user_id, event_type, lead(event_type) over (partition by user_id order by event_id) as nxt from events)
+    select a.machine, a.state as src, b.state as dst from s a join s b on a.machine = b.machine
+    where not exists (select 1 from o where o.user_id = a.machine and o.event_type = a.state and o.nxt = b.state)""")
+def illegal_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a user's event types, equal ones included, that never followed each other."""
+    from pyspark.sql import Window
+
+    e = read(spark, sf, "events").select(F.col("user_id").alias("machine"), F.col("event_type").alias("src"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("dst"))
+    return joins.illegal(e.select("machine", F.col("src").alias("state")).distinct(), e.where("dst is not null").distinct())
+
+
+@query("""
+    with recursive o as (select o_custkey as c, o_orderkey as k, round(o_totalprice * 100)::bigint as w, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
+    g as (select c, k, i, case when w <= 40000000 then w else 0 end as spent, w <= 40000000 as kept from o where i = 1
+        union all select o.c, o.k, o.i, case when g.spent + o.w <= 40000000 then g.spent + o.w else g.spent end, g.spent + o.w <= 40000000 from g join o on o.c = g.c and o.i = g.i + 1)
+    select c as o_custkey, k as o_orderkey from g where kept""")
+def greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders, by key, that first-fit takes within 400,000: what overflows is passed over."""
+    orders = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("w"))
+    return ranking.fits(orders, ["o_custkey"], ["o_orderkey"], "o_orderkey", "w", F.lit(40000000))
+
+
+@query("""
+    with o as (select o_custkey, o_orderkey, round(o_totalprice * 100)::bigint as w from orders),
+    t as (select *, sum(w) over (partition by o_custkey) - coalesce(sum(w) over (partition by o_custkey order by w desc, o_orderkey rows between unbounded preceding and 1 preceding), 0) as rest from o)
+    select o_custkey, o_orderkey, rest > 40000000 as dropped from t""")
+def prefix_trim(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders, dropped from the dearest until the rest is within 400,000."""
+    orders = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("w"))
+    return ranking.trimmed(orders, ["o_custkey"], [F.desc("w"), F.col("o_orderkey")], "w", F.lit(40000000)).select("o_custkey", "o_orderkey", "dropped")
+
+
+@query("""
+    with recursive e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem where l_linenumber = 1 and l_quantity > 45),
+    b as (select src, dst from e union select dst, src from e),
+    r as (select s_nationkey as entry, 's' || s_suppkey as node, 0 as depth from supplier where s_suppkey <= 5
+        union select r.entry, b.dst, r.depth + 1 from r join b on b.src = r.node where r.depth < 3)
+    select entry, node, min(depth) as depth from r group by 1, 2""")
+def reachability(spark: SparkSession, sf: str) -> DataFrame:
+    """What suppliers 1 to 5 reach in three steps over the supplier and part pairs of large first lines; the least depth."""
+    e = read(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity > 45").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seeds = read(spark, sf, "supplier").where("s_suppkey <= 5").select(F.col("s_nationkey").alias("entry"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"))
+    return graph.reachable(both, seeds, ["entry"], depth=3)
+
+
+@query("""
+    with l as (select l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as rn from lineitem)
+    select l_partkey, l_orderkey, l_linenumber, l_suppkey from l where rn = 1""")
+def seam_scope_first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the lines of each part the first."""
+    return joins.first_wins(read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+    with o as (select o_custkey as k, count(*) as n, bool_or(o_orderpriority = '1-URGENT') as urgent from orders group by 1),
+    r as (select c_custkey, unnest([case when c_acctbal > 5000 then {'t': 'ledger', 'w': 3} end, case when c_mktsegment in ('BUILDING', 'MACHINERY') then {'t': 'ledger', 'w': 2} end,
+        case when c_acctbal < 0 then {'t': 'wallet', 'w': 3} end, case when coalesce(n, 0) > 10 then {'t': 'wallet', 'w': 2} end, case when coalesce(urgent, false) then {'t': 'wallet', 'w': 1} end]) as r from customer left join o on k = c_custkey),
+    g as (select c_custkey, coalesce(sum(r.w) filter (where r.t = 'ledger'), 0) as a, coalesce(sum(r.w) filter (where r.t = 'wallet'), 0) as b from r group by 1)
+    select c_custkey, a::bigint as ledger, b::bigint as wallet, case when a = 0 and b = 0 then 'stateless' when a > b then 'ledger' else 'wallet' end as kind, (a < b + 2 and b < a + 2) and (a > 0 or b > 0) as unsure from g""")
+def additive_classify(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers scored by weighted rules for two kinds, with a margin of two."""
+    orders = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    customers = read(spark, sf, "customer")
+    profile = customers.join(orders, F.col("c_custkey") == F.col("k"), "left")
+    rules = [
+        ("ledger", 3, "rich", F.col("c_acctbal") > 5000), ("ledger", 2, "segment", F.col("c_mktsegment").isin("BUILDING", "MACHINERY")),
+        ("wallet", 3, "overdrawn", F.col("c_acctbal") < 0), ("wallet", 2, "busy", F.coalesce("n", F.lit(0)) > 10), ("wallet", 1, "urgent", F.coalesce("urgent", F.lit(False))),
+    ]
+    scored = rollups.scores(profile, ["c_custkey"], rules).groupBy("c_custkey").pivot("type", ["ledger", "wallet"]).agg(F.first("score"))
+    every = customers.select("c_custkey").join(scored, "c_custkey", "left").na.fill(0, ["ledger", "wallet"])
+    kind, unsure = rollups.margin(F.col("ledger"), F.col("wallet"), ("ledger", "wallet", "stateless"))
+    return every.select("c_custkey", "ledger", "wallet", kind.alias("kind"), unsure.alias("unsure"))
+
+
+@query("""
+    with s as (select p_partkey as question, 'brand ' || p_brand as reason, 0 as src, p_partkey as pos from part where p_size > 20 union all select p_partkey, 'type ' || split_part(p_type, ' ', 1), 1, p_partkey from part where p_retailprice > 1000
+        union all select p_partkey, 'size ' || p_size, 2, p_partkey from part where p_size < 30)
+    select question, min(src * 1000000000 + pos) as ord, list_sort(list_distinct(list(reason))) as reasons from s where question not in (select l_partkey from lineitem where l_quantity > 48) group by 1""")
+def needed_union_anti(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts named by three sources and not yet sold in bulk, with their first place and reasons."""
+    part = read(spark, sf, "part")
+    source = lambda k, cond, reason: part.where(cond).select(F.col("p_partkey").alias("question"), reason.alias("reason"), (F.lit(k * 1000000000).cast("long") + F.col("p_partkey")).alias("ord"))
+    every = source(0, "p_size > 20", F.concat(F.lit("brand "), F.col("p_brand"))).unionByName(source(1, "p_retailprice > 1000", F.concat(F.lit("type "), F.substring_index("p_type", " ", 1)))).unionByName(source(2, "p_size < 30", F.concat(F.lit("size "), F.col("p_size"))))
+    return joins.needed(every, read(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("question")))
+
+
+@query("""
+    select l_suppkey as repo, count(*) filter (where l_returnflag <> 'R') as runnable, count(*) filter (where l_returnflag = 'R') as blocked,
+        coalesce(list_sort(list_distinct(list(l_shipmode) filter (where l_returnflag <> 'R'))), []) as scenarios from (select *, l_returnflag || l_linestatus || (l_linenumber % 4) as l_shipmode from lineitem) group by 1""")
+def demand(spark: SparkSession, sf: str) -> DataFrame:
+    """Per supplier: kept and returned lines, and the distinct kinds of those kept."""
+    kind = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).cast("string"))
+    cases = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("repo"), (F.col("l_returnflag") != "R").alias("runnable"), kind.alias("scenario"), kind.alias("technique"), F.lit(False).alias("needs_money"), F.lit(False).alias("needs_key"))
+    return rollups.demand(cases).select("repo", "runnable", "blocked", "scenarios")
+
+
+@query("""
+    select scenario, p_brand, list_sort(list_distinct(list(cast(p_size as varchar)))) as sizes from (select p_brand, split_part(p_type, ' ', 1) as scenario, p_size from part) group by 1, 2""")
+def demanded_by(spark: SparkSession, sf: str) -> DataFrame:
+    """For each first word of a type and brand, the sizes that want it."""
+    part = read(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.lit(True).alias("runnable"), F.col("p_size").cast("string").alias("scenario"), F.array(F.substring_index("p_type", " ", 1)).alias("wants"))
+    return rollups.demanded_by(part, "wants", "want").select(F.col("want").alias("scenario"), F.col("repo").alias("p_brand"), F.col("scenarios").alias("sizes"))
+
+
+@query("""
+    with sold as (select distinct p_brand, p_type as t from part join lineitem on l_partkey = p_partkey where l_quantity > 30), listed as (select distinct p_brand, p_type as t from part where p_size < 25)
+    select p_brand, coalesce(list_sort(list(t) filter (where s and not l)), []) as only_left, coalesce(list_sort(list(t) filter (where l and not s)), []) as only_right, count(*) filter (where s and l) as shared
+    from (select p_brand, t, max(s) as s, max(l) as l from (select p_brand, t, true as s, false as l from sold union all select p_brand, t, false, true from listed) group by 1, 2) group by 1 having count(*) filter (where s and l) > 0""")
+def set_diff_both_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Per brand: types sold in quantity but not listed small, and the other way round, where they share any."""
+    part = read(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_type").alias("t"), "p_size")
+    sold = part.join(read(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
+    return joins.set_differences(sold, part.where("p_size < 25"), ["p_brand"], "t")
+
+
+@query("""
+    with c as (select n_regionkey, n_name, count(*) as n, round(sum(c_acctbal) * 100)::bigint as w from customer join nation on n_nationkey = c_nationkey group by 1, 2 having count(*) filter (where c_acctbal > 0) > 0)
+    select * from (select n_regionkey, n_name, n, row_number() over (partition by n_regionkey order by n desc, n_name) as rank from c) where rank <= 4""")
+def top_k_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The four nations of each region with the most customers, ties by name."""
+    c = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("good")).where("good > 0")
+    return ranking.top_per_group(c.drop("good"), ["n_regionkey"], [F.desc("n"), F.col("n_name")], 4).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""
+    select o_custkey, o_orderkey from (select *, o_orderpriority = '1-URGENT' as d, row_number() over (partition by o_custkey, o_orderpriority = '1-URGENT' order by o_orderkey) as r from orders) where d or r <= 3""")
+def per_group_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """All urgent orders of each customer, and the first three of the others."""
+    ids = read(spark, sf, "orders").select(F.lit(0).alias("repo"), F.col("o_custkey").alias("owner"), (F.col("o_orderpriority") == "1-URGENT").alias("declarative"), F.col("o_orderkey").alias("ord"))
+    return ranking.trimmed_ids(ids).select(F.col("owner").alias("o_custkey"), F.col("ord").alias("o_orderkey"))
+
+
+@query("""
+    select s_nationkey, s_suppkey, score from (select *, cast(floor(s_acctbal / 2000) as bigint) as score, row_number() over (partition by s_nationkey order by floor(s_acctbal / 2000) desc, s_suppkey) as r from supplier) where r = 1""")
+def argmax_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The supplier of each nation with the greatest score; the first on ties."""
+    return ranking.best(read(spark, sf, "supplier"), ["s_nationkey"], F.floor(F.col("s_acctbal") / 2000), "s_suppkey", "s_suppkey")
+
+
+@query("""
+    select c, p, items, row_number() over (partition by c order by ord) as batch from (select o_custkey as c, o_orderpriority as p, min(o_orderkey) as ord, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as items from orders group by 1, 2)""")
+def batching(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders batched by priority, batches in the order in which they are first seen."""
+    orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"), "o_orderkey", F.col("o_orderkey").alias("ord"))
+    return rollups.batches(orders, ["c"], "p", "ord", "o_orderkey").select("c", "p", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.col("batch").cast("long").alias("batch"))
+
+
+@query("""
+    with d as (select doc_id, strlen(text) // 4 as input, 21 * greatest(doc_id % 4, 1) as output from documents)
+    select doc_id, input, output, input + 5 * output as weighted, case when input < 1000 then cast(input as varchar) else cast(cast(round_even(cast(input as decimal(20,3)) / 1000, 1) as decimal(20,1)) as varchar) || 'k' end as shown from d""")
+def cost_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Token costs of documents as prompts: bytes by four, output five times as dear."""
+    d = read(spark, sf, "documents").select("doc_id", cost.input_tokens(F.col("text")).alias("input"), cost.output_tokens(F.lit("externalEffect"), F.lit("open"), F.col("doc_id") % 4).alias("output"))
+    return d.select("doc_id", "input", "output", cost.weighted(F.col("input"), F.col("output")).alias("weighted"), cost.short(F.col("input")).alias("shown"))
+
+
+@query("""
+    select o_custkey as repo, coalesce(sum(w) filter (where c), 0)::bigint as total, coalesce(sum(w) filter (where not c), 0)::bigint as avoided,
+        cast(case when sum(w) = 0 then 0 else round_even(100 * coalesce(sum(w) filter (where not c), 0)::double / sum(w)::double, 0) end as bigint) as saved_percent
+    from (select o_custkey, o_orderstatus <> 'F' as c, o_orderkey % 97 + 5 * (o_orderkey % 31) as w from orders) group by 1""")
+def plan_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per customer: the cost of the open orders, of the others, and the share saved."""
+    choices = read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderstatus") != "F").alias("chosen"), (F.col("o_orderkey") % 97).alias("input"), (F.col("o_orderkey") % 31).alias("output"))
+    return rollups.plan_totals(choices, ["repo"])
+
+
+TOPICS = {"law": ["license", "copyright", "version"], "access": ["password", "token", "secret"], "small words": ["the", "with", "que", "und"]}
+
+
+@query("""
+    with v as (select unnest([{'t': 'law', 'w': ['license', 'copyright', 'version']}, {'t': 'access', 'w': ['password', 'token', 'secret']}, {'t': 'small words', 'w': ['the', 'with', 'que', 'und']}]) as v),
+    h as (select doc_id, v.t as topic, list_sum(list_transform(v.w, lambda w: (strlen(lower(text)) - strlen(replace(lower(text), w, ''))) // strlen(w))) as n from documents cross join v)
+    select doc_id, cast(sum(n + case when n >= 5 then 5 else 0 end) as bigint) as score, list(topic order by topic) as topics from h where n > 0 group by 1""")
+def doc_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents scored by the words of topics, five more for a topic that is hit five times or more."""
+    low = F.lower("text")
+    hits = F.array(*[F.struct(F.lit(t).alias("topic"), sum((text.occurrences(low, F.lit(w)) for w in words), F.lit(0)).alias("n")) for t, words in TOPICS.items()])
+    found = read(spark, sf, "documents").select("doc_id", F.filter(hits, lambda h: h["n"] > 0).alias("h")).where("size(h) > 0")
+    score = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a + h["n"] + F.when(h["n"] >= 5, 5).otherwise(0))
+    return found.select("doc_id", score.alias("score"), F.array_sort(F.transform("h", lambda h: h["topic"])).alias("topics"))
+
+
+@query(r"""
+    select p_partkey, rtrim(ltrim(right(rtrim(ltrim(regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9]+', '-', 'g'), '-'), '-'), 20), '-'), '-') as slug,
+        ltrim(lower(regexp_replace(p_brand || 'TraceID', '([A-Z])', '_\1', 'g')), '_') as snake,
+        'Test' || list_aggregate(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', '') as test_name,
+        regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') as diagram_id, replace(replace(replace('<' || p_name || '>', '"', '&quot;'), '<', '&lt;'), '>', '&gt;') as escaped,
+        list_filter([lower(split_part(p_type, ' ', -1)), lower(split_part(p_type, ' ', -1)) || 's', case when lower(split_part(p_type, ' ', -1)) like '%y' then left(lower(split_part(p_type, ' ', -1)), length(split_part(p_type, ' ', -1)) - 1) || 'ies' end,
+            case when regexp_matches(lower(split_part(p_type, ' ', -1)), '(s|x|ch)$') then lower(split_part(p_type, ' ', -1)) || 'es' end], lambda x: x is not null) as table_names,
+        case when instr(p_name, ' ') > 1 and strlen(p_name) > 12 then left(p_name, 9) || '...' when strlen(p_name) > 12 then left(p_name, 9) || '...' else p_name end as cut
+    from part""")
+def scalar_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The string functions over part names."""
+    part = read(spark, sf, "part")
+    return part.select(
+        "p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_type"), 20).alias("slug"), text.snake(F.concat("p_brand", F.lit("TraceID"))).alias("snake"),
+        text.test_name(F.replace(F.col("p_type"), F.lit(" "), F.lit("-"))).alias("test_name"), text.diagram_id(F.col("p_brand")).alias("diagram_id"), text.html_escape(F.concat(F.lit("<"), F.col("p_name"), F.lit(">"))).alias("escaped"),
+        text.table_names(F.lower(F.substring_index("p_type", " ", -1))).alias("table_names"), text.ellipsis(F.col("p_name"), 12).alias("cut"),
+    )
+
+
+@query(r"""
+    select page_id, trim(regexp_extract(replace(replace(html, '<h1>', chr(10) || '## '), '</h1>', chr(10)), '(?m)^#[# ]*(.*)$', 1)) as heading, string_split(trim(html, ' ' || chr(9) || chr(13) || chr(10)), chr(10))[1] as head,
+        regexp_replace(split_part(url, '/', -1), '[^A-Za-z0-9]', '_', 'g') as last from pages""")
+def page_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """The first heading and line of pages."""
+    pages = read(spark, sf, "pages")
+    marked = F.replace(F.replace(F.col("html"), F.lit("<h1>"), F.lit("\n## ")), F.lit("</h1>"), F.lit("\n"))
+    return pages.select("page_id", text.first_heading(marked).alias("heading"), text.first_line(F.col("html"), 1 << 30).alias("head"), text.diagram_id(text.short_type(F.col("url"))).alias("last"))
+
+
+JSON_OF = "case event_id % 6 when 0 then 'true' when 1 then 'false' when 2 then '\"true\"' when 3 then '1' when 4 then 'null' else '\"' || event_type || '\"' end"
+
+
+@query(f"""
+    with j as (select event_id, {JSON_OF} as a, {JSON_OF.replace('event_id', '(event_id // 6)')} as b from events)
+    select event_id, a = 'true' as is_true, a = 'false' as is_false, not (a = 'false') and not (b = 'true') as escapes from j""")
+def literal_true(spark: SparkSession, sf: str) -> DataFrame:
+    """Literal true and false among JSON values; what may escape a rollback."""
+    a, b = F.expr(JSON_OF), F.expr(JSON_OF.replace("event_id", "(event_id div 6)"))
+    return read(spark, sf, "events").select("event_id", tristate.is_true(a).alias("is_true"), tristate.is_false(a).alias("is_false"), tristate.escapes_rollback(a, b).alias("escapes"))
+
+
+@query("""
+    select conv_id, turn, list_filter([case when coalesce(role, '') not in ('user', 'assistant') then 'unknown representation' end, case when length(text) % 4 not in (0, 1, 2) then 'unknown uniqueness' end,
+        case when trim(role) <> '' and length(text) < 40 then 'a type without proof' end, case when lower(trim(role)) in ('todo', 'tbd', 'n/a', 'unknown', '...') then 'a placeholder for a type' end], lambda x: x is not null) as problems from conversations""")
+def validate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns checked as money models: the array of what is wrong."""
+    shown = F.element_at(F.array(*[F.lit(x) for x in ("none", "unknown", "db_constraint", "?")]), F.length("text") % 4 + 1)
+    role = F.when(F.coalesce("role", F.lit("")).isin("user", "assistant"), "decimal").otherwise("other")
+    return read(spark, sf, "conversations").select("conv_id", "turn", validation.money_model(role, shown, F.col("role"), F.when(F.length("text") >= 40, F.col("text"))).alias("problems"))
+
+
+@query("""
+    select d.doc_id, case when l.doc_id is null then 'missing' when l.quality = 1 then 'answered' else 'invalid' end as status from documents d left join labels l on l.doc_id = d.doc_id""")
+def answer_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their labels: missing, invalid or answered."""
+    return joins.answer_status(read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels"), "doc_id", F.col("quality") == 1).select("doc_id", "status")
+
+
+@query("""
+    with m as (select p_brand as repo, list_sort(list_distinct(list(p_name))) as a from part p where not exists (select 1 from part q join lineitem on l_partkey = q.p_partkey where q.p_brand = p.p_brand and q.p_name = p.p_name and l_quantity > 48) group by 1)
+    select repo, a[1:4] as missing, greatest(len(a) - 4, 0) as more from m""")
+def round_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Per brand the names never sold in bulk: the first four, and how many more."""
+    part = read(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("repo"), "p_name")
+    sold = part.join(read(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("repo", "p_name").distinct()
+    return joins.gate(part.select("repo", "p_name").distinct(), sold, ["repo"], "p_name")
+
+
+@query("""
+    with f as (select l_suppkey as repo, l_returnflag || l_linestatus as id, l_orderkey * 10 + l_linenumber as ord, l_shipdate, cast(l_partkey as varchar) as place from lineitem),
+    s as (select *, row_number() over (partition by repo, id order by ord) as r from f)
+    select repo, id, count(*) as n, arg_min(place, ord) as title, list(place order by ord) filter (where r <= 6) as places from s group by 1, 2""")
+def findings_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per supplier and kind of line: the count, the first part, and at most six parts."""
+    part = F.col("l_partkey").cast("string")
+    f = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("repo"), F.concat("l_returnflag", "l_linestatus").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), part.alias("title"), part.alias("place"), F.lit("high").alias("severity"))
+    return rollups.by_count(f).drop("severity")
+
+
+@query("""
+    select s_nationkey as repo, count(*) filter (where s_acctbal > 0) as injectable, count(*) filter (where not s_acctbal > 0) as concrete from supplier group by 1""")
+def seam_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of each nation above and not above zero."""
+    return rollups.seam_summary(read(spark, sf, "supplier").select(F.col("s_nationkey").alias("repo"), (F.col("s_acctbal") > 0).alias("injectable")))
+
+
+@query("""
+    with t as (select o_custkey as k from orders where o_orderpriority = '1-URGENT'), all_c as (select c_nationkey, min(c_custkey) as first from customer group by 1)
+    select c_nationkey, c_custkey from customer where c_custkey in (select k from t) union select c_nationkey, first from all_c where c_nationkey not in (select c_nationkey from customer where c_custkey in (select k from t))""")
+def entries_under_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with an urgent order; in a nation without any, its first customer."""
+    c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("ord"))
+    reached = c.select("repo", F.col("ord").alias("entry_ord"), F.col("ord").alias("node"))
+    seams = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("ord")).join(c, "ord").select("repo", F.col("ord").alias("in_id"))
+    return joins.under_test(c, reached, seams).select(F.col("repo").alias("c_nationkey"), F.col("ord").alias("c_custkey"))
+
+
+@query("""
+    with w as (select p_type as n from part where p_size = 1 union select split_part(p_type, ' ', 1) || 's' from part)
+    select p_partkey, p_type in (select n from w) as relevant from part""")
+def relevant_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts whose type is wanted by the smallest parts or is the plural of a first word."""
+    part = read(spark, sf, "part").select("p_partkey", F.lit(0).alias("repo"), F.col("p_type").alias("table"), "p_size")
+    owners = part.select("repo", F.array(F.concat(F.substring_index("table", " ", 1), F.lit("s"))).alias("names")).distinct()
+    none = part.where("false").select("repo", "table")
+    return joins.relevant_tables(part, part.where("p_size = 1").select("repo", "table"), owners, none).select("p_partkey", "relevant")
+
+
+@query("""
+    select n_name, count(*) as n from (select n_name, unnest(rs) as r from (select n_name, list_distinct(list(c_mktsegment)) as rs from nation join customer on c_nationkey = n_nationkey group by 1)) group by 1""")
+def reason_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many reasons (segments) each nation has."""
+    needs = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("repo")).agg(F.collect_set("c_mktsegment").alias("reasons"))
+    return rollups.reason_histogram(needs).groupBy(F.col("repo").alias("n_name")).agg(F.sum("n").alias("n"))
+
+
+@query("""
+    select c_nationkey as repo, list_sort(list_distinct(list(c_mktsegment))) as have, list_sort(list_filter(['AUTOMOBILE', 'BUILDING', 'CASH', 'FURNITURE'], lambda x: not list_contains(list(c_mktsegment), x))) as missing from customer group by 1""")
+def missing_overlays(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected segments that a nation's customers lack."""
+    have = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("repo")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("have"))
+    return have.withColumn("missing", sets.missing(F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "CASH", "FURNITURE")]), F.col("have")))
+
+
+@query("""
+    select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by case when o_orderdate >= timestamp '1995-01-01' then 1 else 0 end desc, o_orderkey desc) as r from orders) where r = 1""")
+def run_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The last order of each customer, newer ones replacing those from before 1995."""
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp")).alias("late"))
+    return state.upserted(o.where("not late").drop("late"), o.where("late").drop("late"), ["o_custkey"], "o_orderkey")
+
+
+@query("""
+    select c_custkey as case_id, c_nationkey as repo from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'O')""")
+def pending_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers without an urgent open order."""
+    c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("case_id"), F.col("c_custkey").alias("ord"))
+    runs = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'").select(F.col("o_custkey").alias("case_id")).join(c.select("repo", "case_id"), "case_id")
+    return joins.pending(c, runs).select("case_id", "repo")
+
+
+@query("""
+    select c_custkey, list_filter([case when c_acctbal < 0 then 'overdrawn' end, case when c_mktsegment = 'BUILDING' then 'building' end, case when c_nationkey < 5 then 'nation ' || c_nationkey end], lambda x: x is not null) as tags,
+        concat_ws(', ', case when c_custkey % 2 = 0 then 'primary key' end, case when c_custkey % 3 = 0 and c_custkey % 5 <> 0 then 'required' end, case when c_custkey % 5 = 0 then 'default ' || c_nationkey end) as note,
+        case when lower(c_mktsegment) like '%float%' then 'float' when lower(c_mktsegment) like '%decimal%' or lower(c_mktsegment) like '%big.rat%' then 'decimal' when lower(c_mktsegment) like '%in%' then 'other' else 'unknown' end as form
+    from (select * from customer)""")
+def fact_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and notes of customers."""
+    k = F.col("c_custkey")
+    form = predicates.representation(F.regexp_replace(F.lower("c_mktsegment"), "in", "int"))
+    return read(spark, sf, "customer").select(
+        k, predicates.labels([(F.col("c_acctbal") < 0, "overdrawn"), (F.col("c_mktsegment") == "BUILDING", "building"), (F.col("c_nationkey") < 5, F.concat(F.lit("nation "), F.col("c_nationkey")))]).alias("tags"),
+        predicates.column_note(k % 2 == 0, k % 3 == 0, F.when(k % 5 == 0, F.col("c_nationkey").cast("string"))).alias("note"), F.when(form == "minor_units_int", "other").otherwise(form).alias("form"),
+    )
+
+
+@query("""
+    select o_orderkey, case when o_orderkey % 4 = 0 then 'round 1' when o_orderstatus = 'F' then 'blocked' when o_orderkey % 3 = 0 then 'round 2' else 'done' end as status from orders""")
+def round_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The round of each order."""
+    k = F.col("o_orderkey")
+    return read(spark, sf, "orders").select(k, state.round_status((k % 4 == 0).cast("int"), F.when(F.col("o_orderstatus") == "F", "blocked"), (k % 3 == 0).cast("int")).alias("status"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
