@@ -52,8 +52,8 @@ def margin(one: Column, other: Column, names: tuple[str, str, str], by: int = 2)
 
 def by_count(findings: DataFrame, sites: int = 6) -> DataFrame:
     """Per repo and id, most frequent first (ties by id): the count, the first title and at most ``sites`` places."""
-    grouped = findings.groupBy("repo", "id").agg(F.count(F.lit(1)).alias("n"), F.min_by("title", "ord").alias("title"), F.min_by("severity", "ord").alias("severity"))
-    rank = F.row_number().over(Window.partitionBy("repo", "id").orderBy("ord"))
+    grouped = findings.groupBy("repo", "id").agg(F.count(F.lit(1)).alias("n"), F.min_by("title", F.struct("ord", "title")).alias("title"), F.min_by("severity", F.struct("ord", "severity")).alias("severity"))
+    rank = F.row_number().over(Window.partitionBy("repo", "id").orderBy("ord", "place"))
     shown = findings.withColumn("_rank", rank).where(F.col("_rank") <= sites).groupBy("repo", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "place"))), lambda x: x["place"]).alias("places"))
     return grouped.join(shown, ["repo", "id"]).orderBy("repo", F.desc("n"), "id")
 

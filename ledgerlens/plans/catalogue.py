@@ -117,11 +117,11 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    with l as (select l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as rn from lineitem)
+    with l as (select l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) as rn from lineitem)
     select l_partkey, l_orderkey, l_linenumber, l_suppkey from l where rn = 1""")
 def seam_scope_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     """Of the lines of each part the first."""
-    return joins.first_wins(read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+    return joins.first_wins(read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"])
 
 
 @query("""
@@ -323,8 +323,8 @@ def round_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     with f as (select l_suppkey as repo, l_returnflag || l_linestatus as id, l_orderkey * 10 + l_linenumber as ord, l_shipdate, cast(l_partkey as varchar) as place from lineitem),
-    s as (select *, row_number() over (partition by repo, id order by ord) as r from f)
-    select repo, id, count(*) as n, arg_min(place, ord) as title, list(place order by ord) filter (where r <= 6) as places from s group by 1, 2""")
+    s as (select *, row_number() over (partition by repo, id order by ord, place) as r from f)
+    select repo, id, count(*) as n, min(place) filter (where r = 1) as title, list(place order by ord, place) filter (where r <= 6) as places from s group by 1, 2""")
 def findings_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per supplier and kind of line: the count, the first part, and at most six parts."""
     part = F.col("l_partkey").cast("string")
