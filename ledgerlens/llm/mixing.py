@@ -61,19 +61,24 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, HEX), 16, 10).cast("double") / SCALE
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED, source: str = "source") -> DataFrame:
-    """The documents, each as often as drawn, in a random order, with copy, n_copies and mix_order."""
-    drawn = written(distributions(rates(docs, weights, epochs, source)), "mix-rates")
+def drawn(docs: DataFrame, weights: dict[str, float] | None, epochs: float, seed: str, source: str) -> DataFrame:
+    """own_row (a document's columns), n_copies, copy and mix_order of every copy, in a random order."""
+    shares = written(distributions(rates(docs, weights, epochs, source)), "mix-rates")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty()))
-    own = [c for c in docs.columns if c not in ("copy", "n_copies", "mix_order")]
-    dealt = docs.select(*own, F.coalesce(F.col(source), F.lit("")).alias("mix_source")).join(drawn, "mix_source")
+    packed = docs.select(F.struct("*").alias("own_row"), ident.alias("ident"), F.coalesce(F.col(source), F.lit("")).alias("mix_source"))
     count = F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))
-    counted = dealt.withColumn("u", uniform(F.lit(seed), ident)).select(*own, count.cast("long").alias("n_copies")).where("n_copies > 0")
-    copies = counted.select(*own, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
-    ordered = copies.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("copy"))))
+    counted = packed.join(shares, "mix_source").withColumn("u", uniform(F.lit(seed), F.col("ident"))).select("own_row", "ident", count.cast("long").alias("n_copies")).where("n_copies > 0")
+    copies = counted.select("own_row", "ident", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
+    ordered = copies.select("own_row", "n_copies", "copy", F.md5(F.concat_ws(":", F.lit(seed), "ident", "copy")).alias("mix_order"))
     return ordered.repartition("mix_order").sortWithinPartitions("mix_order")
 
 
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED, source: str = "source") -> DataFrame:
+    """The documents, each as often as drawn, in a random order, with copy, n_copies and mix_order."""
+    own = [f"own_row.{c}" for c in docs.columns if c not in ("copy", "n_copies", "mix_order")]
+    return drawn(docs, weights, epochs, seed, source).select(*own, "n_copies", "copy", "mix_order")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents mixed to equal shares of their sources."""
     return mixed(table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents it is given, mixed to equal shares of their sources."""
-    return mixed(docs).select(*docs.columns)
+    return drawn(docs, None, EPOCHS, SEED, "source").select("own_row.*")
 
 
 OP5_SQL = f"""

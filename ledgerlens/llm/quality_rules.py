@@ -157,8 +157,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    own = docs.columns
-    first = docs.select("doc_id", "text", stratum().alias("stratum"))
-    chosen = cutoffs(features(first, ["doc_id", "stratum"]), table(spark, sf_dir, "labels"))
-    again = features(docs.withColumn("stratum", stratum()), [*own, "stratum"])
-    return judged(again, written(chosen, "quality-cutoffs")).where("kept").select(*own)
+    packed = docs.select(F.struct("*").alias("own_row"), "doc_id", "text", stratum().alias("stratum"))
+    chosen = cutoffs(features(packed, ["doc_id", "stratum"]), table(spark, sf_dir, "labels"))
+    again = features(packed, ["own_row", "stratum"])
+    return judged(again, written(chosen, "quality-cutoffs")).where("kept").select("own_row.*")
