@@ -417,6 +417,147 @@ def round_status(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").select(k, state.round_status((k % 4 == 0).cast("int"), F.when(F.col("o_orderstatus") == "F", "blocked"), (k % 3 == 0).cast("int")).alias("status"))
 
 
+@query("""
+    with r as (select s_nationkey as k, bool_or(s_acctbal > 9500) as any_injectable from supplier group by 1)
+    select p_partkey, p_size % 25 as k, case when coalesce(any_injectable, false) or split_part(p_type, ' ', 1) <> 'STANDARD' then p_type else p_brand end as technique from part left join r on k = p_size % 25""")
+def first_allowed_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of a part's choices that its nation's suppliers do not bar."""
+    rich = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.bool_or(F.col("s_acctbal") > 9500).alias("any_injectable"))
+    part = read(spark, sf, "part").withColumn("k", F.col("p_size").cast("long") % 25).join(rich, "k", "left")
+    barred = F.when(F.coalesce("any_injectable", F.lit(False)) | (F.substring_index("p_type", " ", 1) != "STANDARD"), F.array().cast("array<string>")).otherwise(F.array("p_type"))
+    return part.select("p_partkey", "k", predicates.first_allowed(F.array("p_type", "p_brand"), barred).alias("technique"))
+
+
+@query("""
+    with a as (select c_custkey as repo, case when c_acctbal < 0 then null else c_mktsegment end as money_type from customer), r as (select o_custkey as repo, min(o_orderstatus) as money_type from orders where o_orderpriority = '1-URGENT' group by 1)
+    select coalesce(a.repo, r.repo) as repo, coalesce(nullif(r.money_type, ''), a.money_type) as money_type, coalesce(a.money_type, '') <> '' or coalesce(r.money_type, '') <> '' as known from a full join r on a.repo = r.repo""")
+def bound_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What orders say of a customer, else what is on file; known once either speaks."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("balance_func", "transfer_func", "idempotency_key", "uniqueness")]
+    answers = read(spark, sf, "customer").select(F.col("c_custkey").alias("repo"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("money_type"), *none)
+    rules = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("repo")).agg(F.min("o_orderstatus").alias("money_type")).select("repo", "money_type", *none)
+    return predicates.bound_facts(answers, rules).select("repo", "money_type", "known")
+
+
+@query("""
+    with o as (select o_custkey, list_sort(list_distinct(list(cast(o_orderkey as varchar)) filter (where o_orderstatus = 'O'))) as ids, count(*) filter (where o_orderstatus = 'O' and o_orderpriority = '1-URGENT') as d, sum(o_orderkey % 7) as w from orders group by 1),
+    e as (select c_nationkey, c_custkey, coalesce(ids, []) as ids, w, row_number() over (partition by c_nationkey order by w desc, len(coalesce(ids, [])) desc, cast(c_custkey as varchar)) as rank from customer join o on o_custkey = c_custkey where d > 0)
+    select c_nationkey, c_custkey, ids, cast(w as bigint) as weight, rank from e where rank <= 4""")
+def main_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The four weightiest customers of each nation that have an urgent open order, with their open orders."""
+    o = read(spark, sf, "orders")
+    c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").cast("string").alias("owner"))
+    cand = o.select(F.col("o_custkey").cast("string").alias("owner"), F.when(F.col("o_orderstatus") == "O", "idempotency").otherwise("money").alias("role"), F.col("o_orderkey").cast("string").alias("name"), (F.col("o_orderpriority") == "1-URGENT").alias("declarative"), (F.col("o_orderkey") % 7).alias("weight")).join(c, "owner")
+    return joins.entities(cand, c).select(F.col("repo").alias("c_nationkey"), F.col("owner").cast("long").alias("c_custkey"), "ids", "weight", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+    select o_orderkey from orders o where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 40 and l_returnflag = 'A')""")
+def chosen_asks(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of which a line was chosen."""
+    asks = read(spark, sf, "orders").select(F.lit(0).alias("repo"), F.lit("A").alias("kind"), F.col("o_orderkey").alias("subject"))
+    choices = read(spark, sf, "lineitem").select(F.lit(0).alias("repo"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("subject"), (F.col("l_quantity") > 40).alias("chosen"))
+    return joins.chosen_asks(asks, choices).select(F.col("subject").alias("o_orderkey"))
+
+
+@query("""
+    with every as (select p_partkey as id, p_name as text, 0 as o from part union all select p_partkey, p_brand, 1 from part where p_size > 25 union all select p_partkey, p_type, 2 from part where p_size > 40)
+    select id, text from (select *, row_number() over (partition by id order by o desc) as r from every) where r = 1""")
+def question_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of each part over three registries, the last that has it."""
+    part = read(spark, sf, "part")
+    of = lambda c, cond: part.where(cond).select(F.col("p_partkey").alias("id"), F.col(c).alias("text"))
+    return joins.lookup_questions([of("p_name", "true"), of("p_brand", "p_size > 25"), of("p_type", "p_size > 40")])
+
+
+@query("""
+    with s as (select l_suppkey as k, list(cast(l_partkey as varchar) order by l_orderkey, l_partkey) as parts from lineitem where l_quantity = 50 group by 1), w as (select s_nationkey as n, list(s_name order by s_suppkey, s_name) as names from supplier group by 1)
+    select s_suppkey, array_to_string(coalesce(parts, []), ',') as parts, array_to_string(names, ',') as names from supplier left join s on k = s_suppkey left join w on n = s_suppkey""")
+def step_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with their largest lines and with the suppliers of the nation of their number, in order."""
+    nodes = read(spark, sf, "supplier").select(F.lit(0).alias("repo"), F.col("s_suppkey").alias("id"))
+    seams = read(spark, sf, "lineitem").where("l_quantity = 50").select(F.lit(0).alias("repo"), F.col("l_suppkey").alias("in_id"), F.col("l_orderkey").alias("line"), F.col("l_partkey").cast("string").alias("target"))
+    writes = read(spark, sf, "supplier").select(F.lit(0).alias("repo"), F.col("s_nationkey").cast("long").alias("in_id"), F.col("s_suppkey").alias("line"), F.col("s_name").alias("to"))
+    out = joins.steps(nodes, seams.withColumn("target", F.col("target")), writes)
+    text_of = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda x: x[f]), ","), F.lit(""))
+    ordered = F.transform(F.array_sort(F.transform("seams", lambda x: F.struct(x["line"].alias("line"), x["target"].cast("long").alias("n")))), lambda x: x["n"].cast("string"))
+    return out.select(F.col("id").alias("s_suppkey"), F.coalesce(F.array_join(ordered, ","), F.lit("")).alias("parts"), F.when(F.col("writes").isNotNull(), text_of("writes", "to")).alias("names"))
+
+
+@query("""
+    select o_custkey as repo, cast((sum(strlen(o_orderpriority || o_orderstatus)) + 400) // 4 as bigint) as input, case when count(*) > 1 then 100 * (count(*) - 1) else 0 end as saved from orders group by 1""")
+def pack_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each customer's orders as prompts with one preamble of 400 bytes, and those saved."""
+    asks = read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.concat("o_orderpriority", "o_orderstatus").alias("prompt"), F.lit("x" * 400).alias("preamble"))
+    return rollups.pack_estimate(asks, F.col("preamble"))
+
+
+@query("""
+    select o_custkey as repo, o_orderpriority as kind, count(*) as n, cast(sum(o_orderkey % 97 + 5 * (o_orderkey % 31)) as bigint) as cost, arg_min(o_orderstatus, o_orderkey) as why from orders where o_orderstatus <> 'F' group by 1, 2""")
+def explained_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's chosen orders by priority: count, cost, and the first one's status."""
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("ord"), (F.col("o_orderstatus") != "F").alias("chosen"), F.col("o_orderstatus").alias("why"), F.lit("open").alias("method"), (F.col("o_orderkey") % 97).alias("input"), (F.col("o_orderkey") % 31).alias("output"), F.lit(0).alias("trimmable"))
+    return rollups.explained(o)["chosen"].select("repo", "kind", "n", "cost", "why")
+
+
+@query("""
+    with e as (select distinct user_id, event_type from events), f as (select unnest([{'f': 'buys', 'q': 'purchase', 'h': true}, {'f': 'buys', 'q': 'click', 'h': true}, {'f': 'quiet', 'q': 'error', 'h': false}, {'f': 'quiet', 'q': 'logout', 'h': true}]) as x),
+    a as (select user_id, event_type as q, case when n % 3 = 0 then null else n % 2 = 0 end as v from (select user_id, event_type, count(*) as n from events group by 1, 2)),
+    m as (select a.user_id as repo, x.f as feature, case when v is null then 'u' when v = x.h then 's' else 'c' end as m from a join f on x.q = a.q)
+    select repo, feature, case when bool_or(m = 'c') then 'does not hold' when bool_or(m = 'u') then 'unsettled' else 'holds' end as standing, count(*) as n_marks from m group by 1, 2""")
+def feature_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Two features over each user's event counts as verdicts: multiples of three unknown, else whether even."""
+    evidence = spark.createDataFrame([(0, 0, "buys", "purchase", True), (0, 0, "buys", "click", True), (0, 1, "quiet", "error", False), (0, 1, "quiet", "logout", True)], "area_ord int, ord int, feature string, question string, holds_when boolean")
+    n = F.count(F.lit(1))
+    answers = read(spark, sf, "events").groupBy(F.col("user_id").alias("repo"), F.col("event_type").alias("question")).agg(F.when(n % 3 != 0, n % 2 == 0).alias("verdict"))
+    return rollups.roll_up(F.broadcast(evidence), answers).select("repo", "feature", "standing", "n_marks")
+
+
+@query("""
+    with s as (select c_nationkey as repo, list_distinct(list(c_mktsegment)) as states, list_distinct(list(c_mktsegment) filter (where c_acctbal > 0)) as answered from customer group by 1)
+    select repo, list_filter([case when len(list_filter(states, lambda x: not list_contains(answered, x))) > 0 then 'a state is not covered' end, case when len(states) > 4 then 'a final state with exits' end], lambda x: x is not null) as problems from s""")
+def transition_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations whose segments are not all covered by solvent customers, or are more than four."""
+    s = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("repo")).agg(F.collect_set("c_mktsegment").alias("states"), F.collect_set(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))).alias("answered"))
+    return s.select("repo", validation.transitions(F.col("states"), F.col("answered"), F.size("states") > 4, F.lit(0)).alias("problems"))
+
+
+@query("""
+    with p as (select l_suppkey as repo, list_sort(list_distinct(list(cast(l_partkey as bigint)))) as parts from lineitem group by 1)
+    select repo, list_transform(parts[1:3], lambda x: cast(x as varchar)) as first, greatest(len(parts) - 3, 0) as more from p""")
+def write_site_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three parts of each supplier, and how many more."""
+    p = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("repo")).agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    first, more = ranking.first_few(F.col("parts"), 3)
+    return p.select("repo", F.transform(first, lambda x: x.cast("string")).alias("first"), more.cast("long").alias("more"))
+
+
+@query("""
+    select c_nationkey as repo, list_sort(list_distinct(list(c_mktsegment))) as kinds, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ' or ') as listed from customer group by 1""")
+def all_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The segments of each nation, and as a phrase."""
+    one = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("repo")).agg(F.min("c_mktsegment").alias("spine"), F.collect_set("c_mktsegment").alias("rest"))
+    every = F.array_sort(F.array_distinct(sets.all_kinds(F.col("spine"), F.col("rest"), F.array().cast("array<string>"))))
+    return one.select("repo", every.alias("kinds"), text.or_list(every).alias("listed"))
+
+
+@query("""
+    select doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?m)^([A-Z][a-z]+) ', 1))) as names from documents""")
+def line_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct capitalised words that open the lines of a document."""
+    return read(spark, sf, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(?m)^([A-Z][a-z]+) "), F.lit(1)))).alias("names"))
+
+
+@query("""
+    with last as (select conv_id, role, arg_max(text, turn) as text from conversations where length(trim(text)) > 0 group by 1, 2) select conv_id, role, md5(text) as digest from last""")
+def applied_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The last non-empty turn of each role of a conversation: later valid answers replace earlier ones."""
+    turns = read(spark, sf, "conversations").select(F.col("conv_id").alias("repo"), F.col("role").alias("kind"), F.lit("").alias("subject"), F.col("turn").alias("ord"), "text")
+    old, new = turns.where("ord < 2"), turns.where("ord >= 2")
+    fresh = state.applied(old.where("length(trim(text)) > 0"), new, validation.problems((validation.blank(F.col("text")), "empty")))
+    return fresh.select(F.col("repo").alias("conv_id"), F.col("kind").alias("role"), F.md5("text").alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
