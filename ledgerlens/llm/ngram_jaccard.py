@@ -171,8 +171,11 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     pairs = small.join(other, "key").where("set_id < b").select(F.col("set_id").alias("a"), "b").distinct()
     values = classes.select("set_id", "values")
     valued = pairs.join(values.select(F.col("set_id").alias("a"), F.col("values").alias("left")), "a").join(values.select(F.col("set_id").alias("b"), F.col("values").alias("right")), "b")
-    large = shared.where((F.col("size") > SMALL) & (F.col("set_id") != F.col("first"))).select(F.col("set_id").alias("a"), F.col("first").alias("b")).distinct()
-    return pruned(valued).unionByName(large)
+    # A class is tied to the least of the first members of its large buckets, and that one to the others.
+    heads = shared.where(F.col("size") > SMALL).groupBy("set_id").agg(F.collect_set("first").alias("firsts")).withColumn("b", F.array_min("firsts"))
+    own = heads.select(F.col("set_id").alias("a"), "b")
+    among = heads.select(F.explode("firsts").alias("a"), "b").distinct()
+    return pruned(valued).unionByName(own).unionByName(among.where("a <> b"))
 
 
 LINKED = StructType([StructField("set_id", BinaryType()), StructField("peer", BinaryType()), StructField("links", LongType())])
