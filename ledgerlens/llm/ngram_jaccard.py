@@ -141,7 +141,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """set_id and shingles (sorted 64-bit hashes) of the documents whose doc_key and text_key are wanted."""
     keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("doc_key", F.coalesce("doc_id", "text_key"))
-    held = keyed.join(wanted.select("doc_key", "text_key"), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"]).select("text")
+    # As many rows are wanted as there are near copies, so they are shuffled at any size, never broadcast.
+    held = keyed.join(wanted.select("doc_key", "text_key").hint("merge"), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"]).select("text")
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t) for t in texts(batch)]
