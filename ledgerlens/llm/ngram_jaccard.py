@@ -297,9 +297,9 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the least id."""
     kept = joined(docs).where("doc_key = class_key and text_key = class_text").select("doc_key", "text_key")
-    own = docs.columns
-    keyed = docs.withColumn("text_key", F.xxhash64(text_or_empty())).withColumn("doc_key", F.coalesce("doc_id", "text_key"))
-    return keyed.join(kept.distinct(), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"]).select(*own)
+    packed = docs.select(F.struct("*").alias("own_row"), F.xxhash64(text_or_empty()).alias("text_key"), "doc_id")
+    keyed = packed.select("own_row", "text_key", F.coalesce("doc_id", "text_key").alias("doc_key"))
+    return keyed.join(kept.distinct(), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"]).select("own_row.*")
 
 
 OP3_SQL = r"""
