@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from ledgerlens.llm.common import map_batches, table, texts
 
 KINDS = ["assign", "access", "hex", "novel"]
 NOVELTY, CONTEXT = 0.7, 160
+REACH, LONGEST = 40, 512
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ASSIGN_WORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -70,19 +72,35 @@ def find(data: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
     if b"x" * 24 in data.translate(HEXMAP):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(data)]
     if any(w in low for w in SENSITIVE_WORDS):
+        starts, ends = merged(spans)
         reach = 0
         for word in SENSITIVE.finditer(data):
-            for m in TOKEN.finditer(data, max(word.end(), reach), len(data)):
-                if m.start() > word.end() + 40:
+            # A candidate starts within REACH bytes of the word and has at most LONGEST.
+            for m in TOKEN.finditer(data, max(word.end(), reach), word.end() + REACH + LONGEST):
+                if m.start() > word.end() + REACH:
                     break
                 reach = m.end()
-                if not BOTH.match(m.group()) or any(s < m.end() and m.start() < e for s, _, e in spans):
+                k = bisect_left(starts, m.end()) - 1
+                if not BOTH.match(m.group()) or k >= 0 and ends[k] > m.start():
                     continue
                 if novelty(data[max(0, m.start() - CONTEXT) : m.start()], m.group(), data[m.end() : m.end() + CONTEXT]) >= threshold:
                     spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 
 
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The starts and ends of the stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def in_code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Offsets in bytes as offsets in code points; one pass over the bytes up to the last span."""
     if not spans or data.isascii():
