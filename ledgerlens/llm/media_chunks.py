@@ -142,18 +142,43 @@ class Reader:
         return self.doc, self.n, self.size, self.payload.hexdigest(), zlib.crc32(self.tail), self.media_bytes, self.media.hexdigest(), feature, self.seen
 
 
+PIECE = ["row", "n_chunks", "ord", "digest", "size", "packed"]
+#: A result, or a piece of one that needs more of them.
+PART = StructType([*RESULT, *[f for f in STORED if f.name in PIECE]])
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads of one chunk as results; the chunks of the others as they are."""
+    arrow, unpack = to_arrow_schema(PART), zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        rows = []
+        for doc, n, row, chunks, k, digest, size, packed in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", *PIECE)], strict=True):
+            if chunks == 1:
+                one = Reader(doc, n, 1)
+                one.add(k, digest, size, packed, unpack)
+                rows.append((*one.result(), row, 1, 0, None, None, None))
+            else:
+                rows.append((doc, n, *[None] * (len(RESULT) - 2), row, chunks, k, digest, size, packed))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+
 def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by row and ord, a result for each row."""
+    """From results and pieces sorted by row and ord, a result for each row."""
     arrow, unpack = to_arrow_schema(RESULT), zstandard.ZstdDecompressor().decompress
     now, row = None, None
     for batch in batches:
         done = []
-        columns = [batch.column(c).to_pylist() for c in ("row", "doc_id", "n_bytes", "n_chunks", "ord", "digest", "size", "packed")]
-        for r, doc, n, chunks, k, digest, size, packed in zip(*columns, strict=True):
+        columns = [batch.column(f.name).to_pylist() for f in PART]
+        for x in zip(*columns, strict=True):
+            r, chunks, k, digest, size, packed = x[len(RESULT) :]
+            if packed is None:
+                done.append(x[: len(RESULT)])
+                continue
             if now is None or r != row:
                 if now is not None:
                     done.append(now.result())
-                now, row = Reader(doc, n, chunks), r
+                now, row = Reader(x[0], x[1], chunks), r
             now.add(k, digest, size, packed, unpack)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
@@ -174,8 +199,8 @@ def chunk_lists(docs: DataFrame, replicas: int = REPLICAS) -> DataFrame:
 def rebuilt(lists: DataFrame, store: DataFrame) -> DataFrame:
     """The payloads of the lists, read from the store and verified, as digests and features."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = lists.join(store, ["digest", "replica"])
-    return joined.repartition(n, "row").sortWithinPartitions("row", "ord").mapInArrow(read_back, RESULT)
+    parts = lists.join(store, ["digest", "replica"]).mapInArrow(settled, PART)
+    return parts.repartition(n, "row").sortWithinPartitions("row", "ord").mapInArrow(read_back, RESULT)
 
 
 def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
