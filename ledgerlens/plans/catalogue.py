@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import cost, text, tristate
 from ledgerlens.operators import graph, joins, predicates, ranking, rollups, sets, state, validation
+from ledgerlens.plans import dims, payments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -558,6 +559,95 @@ def applied_answers(spark: SparkSession, sf: str) -> DataFrame:
     return fresh.select(F.col("repo").alias("conv_id"), F.col("kind").alias("role"), F.md5("text").alias("digest"))
 
 
+def flow_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Flow tables by analogy, a repo for each nation: suppliers are entries, customers nodes, orders boundaries."""
+    repo = F.concat(F.lit("n"), "n_nationkey")
+    nation = read(spark, sf, "nation")
+    customers = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("repo"), "c_custkey", "c_acctbal", "c_mktsegment")
+    suppliers = read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("repo"), "s_suppkey", "s_acctbal")
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("http", "db", "queue", "clock", "random")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    orders = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    pattern = F.element_at(F.array(*[F.lit(k) for k in ("insert_only", "update_in_place", "upsert")]), F.col("n_nationkey") % 3 + 1)
+    skipped = F.when(F.col("n_nationkey") % 4 == 0, F.create_map(F.lit("LOST-UPDATE"), F.lit("by rule")))
+    return {
+        "flows": nation.select(repo.alias("repo"), (F.col("n_regionkey") == 1).alias("tenant_scheme"), (F.col("n_nationkey") % 2).alias("hash_chains"), F.array(pattern).alias("patterns"), skipped.alias("skipped")),
+        "entries": suppliers.where("s_acctbal > 4000").select("repo", "s_suppkey"),
+        "nodes": customers.select("repo", (F.col("c_acctbal") > 9900).alias("handles_money"), (F.col("c_acctbal") < -950).alias("opens_tx"), ((F.col("c_acctbal") > 0) & (F.col("c_acctbal") < 100)).alias("spawns_goroutine")),
+        "seams": orders.where("o_orderkey % 11 = 0 and c_acctbal > 5000").select("repo", kinds.alias("kind"), ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 3 == 0)).alias("injectable")),
+        "machines": customers.where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select("repo"),
+        "facts": nation.select(repo.alias("repo"), F.when(F.col("n_nationkey") % 2 == 0, "Money").alias("money_type"), F.when(F.col("n_nationkey") % 3 == 0, "Balance").alias("balance_func"), F.lit(None).cast("string").alias("transfer_func"), F.when(F.col("n_nationkey") % 5 != 0, "key").alias("idempotency_key"), (F.col("n_regionkey") > 1).alias("known")),
+    }
+
+
+def flow_cases(spark: SparkSession, sf: str) -> DataFrame:
+    t = flow_tables(spark, sf)
+    return ranking.case_order(payments.cases(payments.profile(t["flows"], t["entries"], t["nodes"], t["seams"], t["machines"], t["facts"])))
+
+
+def _cases_sql() -> str:
+    quoted = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]::varchar[]"
+    lines = []
+    for k, (i, _, severity, _, techniques, needs) in enumerate(dims.rows(dims.SCENARIOS)):
+        plain = [x for x in needs.split() if ":" not in x]
+        lines.append(f"({k}, '{i}', '{severity}', {quoted(techniques.split())}, {quoted(plain)}, {quoted(sorted(x[5:] for x in needs.split() if x.startswith('seam:')))}, {quoted(x[6:] for x in needs.split() if x.startswith('write:'))})")
+    need = lambda x: f"list_contains(needs, '{x}')"
+    return f"""
+        with sc(ord, scenario, severity, techniques, needs, seams, writes) as (values {", ".join(lines)}),
+        c as (select c_nationkey as n, bool_or(c_acctbal > 9900) as money, bool_or(c_acctbal < -950) as tx, bool_or(c_acctbal > 0 and c_acctbal < 100) as go, bool_or(c_mktsegment = 'BUILDING' and c_acctbal > 9000) as machine from customer group by 1),
+        s as (select s_nationkey as n, count(*) filter (where s_acctbal > 4000) as entries from supplier group by 1),
+        o as (select c_nationkey as n, list_distinct(list(['http', 'db', 'queue', 'clock', 'random'][o_orderkey % 5 + 1])) as kinds, bool_or(o_orderpriority = '1-URGENT' and o_orderkey % 3 = 0) as inj from orders join customer on o_custkey = c_custkey where o_orderkey % 11 = 0 and c_acctbal > 5000 group by 1),
+        p as (select n_nationkey as n, n_regionkey = 1 as tenant, n_nationkey % 2 as chains, ['insert_only', 'update_in_place', 'upsert'][n_nationkey % 3 + 1] as pattern, n_nationkey % 4 = 0 as skip, n_regionkey > 1 as known, n_nationkey % 2 = 0 as mt, n_nationkey % 3 = 0 as bf, n_nationkey % 5 <> 0 as key,
+            coalesce(money, false) as money, coalesce(tx, false) as tx, coalesce(go, false) as go, coalesce(machine, false) as machine, coalesce(entries, 0) as entries, coalesce(kinds, []::varchar[]) as kinds, coalesce(inj, false) as inj
+            from nation left join c on c.n = n_nationkey left join s on s.n = n_nationkey left join o on o.n = n_nationkey),
+        b as (select p.*, sc.*, case when skip and scenario = 'LOST-UPDATE' then 'skipped by rule: by rule' when known and {need('balance')} and not bf then 'no balance function' when known and {need('transfer')} then 'no transfer function'
+            when known and {need('key')} and not key then 'no idempotency key' when known and {need('money')} and not mt then 'no money type and no transfer function' when {need('machine')} and not machine then 'no state machine'
+            when {need('entries')} and entries < 2 then 'fewer than two entries' when {need('money')} and not known and not money then 'no money in reach' when {need('tx')} and not tx then 'no transaction' when {need('goroutine')} and not go then 'no goroutine'
+            when len(seams) > 0 and not list_has_any(seams, kinds) then 'no boundary of kind ' || array_to_string(seams, ' or ') when len(writes) > 0 and not list_contains(writes, pattern) then 'no table written by ' || array_to_string(writes, ' or ')
+            when {need('injectable')} and not inj then 'no replaceable boundary' when {need('tenant')} and not tenant then 'no tenant column' when {need('hash_chain')} and chains = 0 then 'no hash chain' end as why from p cross join sc),
+        t as (select *, list_filter(techniques, lambda x: inj or x <> 'faultInjection') as left_over from b),
+        r as (select 'n' || n as repo, ord, scenario, severity, case when why is null then left_over[1] end as technique, case when why is null and len(left_over) = 0 then 'no technique is possible' else why end as blocked,
+            case when why is null and len(left_over) > 0 then case when {need('database')} or left_over[1] = 'narrowIntegration' then 'medium' else 'small' end end as size from t)
+        select repo, scenario, technique, size, blocked, row_number() over (partition by repo order by blocked is not null, case when severity = 'critical' then 0 else 1 end, ord) as place from r"""
+
+
+@query(_cases_sql())
+def payment_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole catalogue over each nation's flow tables: why a scenario is blocked or how it is tested, in order."""
+    return flow_cases(spark, sf).select("repo", "scenario", "technique", "size", "blocked", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""
+    with cases as ({_cases_sql()}), d as (select repo, count(*) filter (where blocked is null) as runnable, bool_or(blocked is null and scenario like 'IDEM%') as key, bool_or(blocked is null and scenario like '%MONEY%') as money from cases group by 1),
+    a as (select 'n' || c_nationkey as repo, o_orderkey as ord, ['moneyModel', 'mainEntity', 'questions', 'other'][o_orderkey % 4 + 1] as kind, repeat(o_orderpriority, cast(o_orderkey % 9 + 1 as int)) as prompt from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0),
+    w as (select a.*, runnable, case when kind = 'moneyModel' and not coalesce(money, false) or kind = 'mainEntity' and not coalesce(key, false) then false else true end as chosen,
+        strlen(prompt) // 4 as input, case kind when 'moneyModel' then 77 * 10 when 'mainEntity' then 128 * 8 when 'questions' then 40 * 2 else 40 end as out from a left join d using (repo))
+    select repo, ord, kind, chosen, case when chosen then input + 5 * out else 0 end as weighted, cast(case when kind in ('moneyModel', 'mainEntity') and chosen then runnable else 1 end as bigint) as value from w""")
+def ask_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Which asks the runnable cases of each nation call for, and what they cost and are worth."""
+    cases = flow_cases(spark, sf)
+    runnable = F.col("blocked").isNull()
+    seen = cases.select("repo", runnable.alias("runnable"), "scenario", "technique", F.col("scenario").contains("MONEY").alias("needs_money"), F.col("scenario").startswith("IDEM").alias("needs_key"))
+    customers = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("repo"), F.col("c_custkey").alias("o_custkey"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("moneyModel", "mainEntity", "questions", "other")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    asks = read(spark, sf, "orders").where("o_orderkey % 5 = 0").join(customers, "o_custkey").select("repo", F.col("o_orderkey").alias("ord"), kind.alias("kind"), F.lit("").alias("subject"), F.expr("repeat(o_orderpriority, cast(o_orderkey % 9 + 1 as int))").alias("prompt"), F.lit(0).alias("asks"), F.lit(0).alias("output"), F.lit(False).alias("settled"))
+    none = cases.where("false")
+    plan = payments.decided(asks, rollups.demand(seen), none.select("repo", F.col("scenario").alias("target"), F.array("scenario").alias("scenarios")), none.select("repo", F.col("scenario").alias("machine"), F.array("scenario").alias("scenarios")))
+    value = F.when(F.col("kind").isin("moneyModel", "mainEntity") & ~F.col("chosen"), 1).otherwise(F.col("value")).cast("long")
+    return plan.select("repo", "ord", "kind", "chosen", F.col("weighted").cast("long").alias("weighted"), value.alias("value"))
+
+
+@query()
+def call_preorder(spark: SparkSession, sf: str) -> DataFrame:
+    """Per nation: suppliers and the parts of their largest first lines, in the order in which a walk from each supplier meets them."""
+    lines = read(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity >= 48")
+    owner = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("n"), "s_nationkey").alias("repo"))
+    pairs = lines.join(owner, "l_suppkey").select("repo", F.concat(F.lit("s#"), "l_suppkey").alias("s"), F.concat(F.lit("p#"), "l_partkey").alias("p"), "l_orderkey", "l_suppkey").distinct()
+    edges = pairs.select("repo", F.col("s").alias("src"), F.col("p").alias("dst"), F.col("l_orderkey").alias("ord")).unionByName(pairs.select("repo", F.col("p").alias("src"), F.col("s").alias("dst"), F.col("l_suppkey").alias("ord")))
+    nodes = edges.select("repo", F.col("src").alias("id")).distinct()
+    entries = pairs.select("repo", F.col("l_suppkey").cast("int").alias("ord"), F.lit("s").alias("pkg"), F.col("l_suppkey").cast("string").alias("symbol")).distinct()
+    return graph.preorder(nodes, entries, edges)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -101,9 +101,9 @@ def scored_documents(documents: DataFrame, topics: DataFrame | None = None) -> D
     """repo, path, score, topics, title of documents (repo, path, text): at most eight a repo, best first, ties by path.
 
     A word counts as often as it occurs, and a topic hit five times or more counts five more. The
-    words are a small fixed table and are broadcast.
+    words built in are a fixed table of some forty rows and are broadcast; given ones are left to Spark.
     """
-    words = F.broadcast(topics if topics is not None else dims.doc_topics(documents.sparkSession))
+    words = topics if topics is not None else F.broadcast(dims.doc_topics(documents.sparkSession))
     low = documents.select("repo", "path", "text", F.lower("text").alias("low")).where(F.octet_length("text") <= MOST_BYTES)
     hit = low.join(words, F.contains("low", "word")).groupBy("repo", "path", "topic").agg(F.sum(occurrences(F.col("low"), F.col("word"))).alias("n"))
     total = hit.groupBy("repo", "path").agg(F.sum(F.col("n") + F.when(F.col("n") >= 5, 5).otherwise(0)).alias("score"), F.array_sort(F.collect_set("topic")).alias("topics"))

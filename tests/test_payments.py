@@ -224,3 +224,28 @@ def test_fed_forward_only_if_the_model_came_first(spark):
 def test_missing_overlays(spark):
     assert one(spark, sets.missing(F.col("e"), F.col("h")), e=["b", "a", "b"], h=["b"]) == ["a"]
     assert one(spark, sets.append_once(F.col("a"), F.lit("x")), a=["x", "y"]) == ["x", "y"]
+
+
+def test_diagrams(spark):
+    nodes = made(spark, [("r", "p#a", 'a"b'), ("r", "p#b", "b")], "repo string, id string, symbol string")
+    edges = made(spark, [("r", "p#a", "p#b", 0), ("r", "p#a", "ghost", 1)], EDGES)
+    seams = made(spark, [("r", 0, "p#a", "db", "pg.Pool", False), ("r", 1, "p#a", "db", "pg.Pool", False), ("r", 2, "p#a", "http", "psp", True)], SEAMS)
+    lines = graph.flowchart(nodes, edges, seams).first().diagram.split("\n")
+    assert lines[0] == "flowchart TD" and len(lines) == 5 and any("&quot;" in x for x in lines) and sum("-.->" in x for x in lines) == 1
+    writes = made(spark, [("r", "T", "paid", "p#a"), ("r", "T", "paid", "p#a"), ("r", "T", "<dynamic>", "p#a")], "repo string, type string, to string, in_id string")
+    assert graph.state_diagram(writes).first().diagram == "stateDiagram-v2\n  [*] --> paid: a"
+
+
+def test_lifecycle_scores(spark):
+    schema = "roles array<struct<initializing:boolean,final:boolean,foreign:boolean>>"
+    rows = spark.createDataFrame([([],), ([(True, False, True)],), ([(True, False, False), (False, True, False)],)], schema)
+    assert [r.s for r in rows.select(ranking.lifecycle_score(F.col("roles")).alias("s")).collect()] == [0, 1, 3]
+
+
+def test_scan_answers_and_failed_names(spark):
+    cand = made(spark, [("r", 1, "money", "Amount", True), ("r", 0, "idempotency", "Key", True), ("s", 0, "money", "Cents", True)], "repo string, ord int, role string, name string, decided boolean")
+    cons = made(spark, [("r", "unique", ["key", "x"])], "repo string, kind string, columns array<string>")
+    got = {r.repo: (r.money_type, r.idempotency_key, r.uniqueness) for r in predicates.scan_answers(cand, cons).collect()}
+    assert got == {"r": ("Amount", "Key", "db_constraint"), "s": ("Cents", None, "unknown")}
+    out = made(spark, [("r", "ok\n--- FAIL: TestA (0.1s)\n    --- FAIL: TestA/x (0s)\n--- FAIL: TestA (0s)")], "repo string, out string")
+    assert {r.name for r in rollups.failed_names(out, "out").collect()} == {"TestA", "TestA/x"}
