@@ -6,7 +6,7 @@ digest and replica; a payload's stored form is its ordered chunk list. Reading j
 list with the chunk store, checks each chunk against its digest, and puts the payload
 together chunk by chunk in order, never whole in memory.
 
-``replicas`` is the number of copies of a chunk that the store keeps at most, dealt by row:
+``replicas`` is the number of copies of a chunk that the store keeps at most, dealt by document:
 a chunk that a third of all rows share is read by that many tasks rather than one.
 
 Cases: null text counts as empty (a payload of 576 bytes of 255); texts of any length are
@@ -95,7 +95,7 @@ def chunked(docs: DataFrame, schema: StructType, replicas: int) -> DataFrame:
                 ends = cuts(payload)
                 for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
                     part = payload[a:b]
-                    rows.append((doc, row, n, len(ends), k, hashlib.sha256(part).digest(), row % replicas, b - a, *([pack(part)] if with_bytes else [])))
+                    rows.append((doc, row, n, len(ends), k, hashlib.sha256(part).digest(), (doc or 0) * 40503 % 65537 % replicas, b - a, *([pack(part)] if with_bytes else [])))
                 held += len(payload)
                 if held > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
@@ -153,6 +153,8 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, n, row, chunks, k, digest, size, packed in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", *PIECE)], strict=True):
+            if packed is None:
+                raise ValueError(f"chunk {k} of document {doc} is not in the store")
             if chunks == 1:
                 one = Reader(doc, n, 1)
                 one.add(k, digest, size, packed, unpack)
@@ -187,7 +189,7 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunk_store(docs: DataFrame, replicas: int = REPLICAS) -> DataFrame:
-    """digest, replica, packed: every chunk once for each replica that a row is dealt to."""
+    """digest, replica, packed: every chunk once for each replica that a document with it is dealt to."""
     return chunked(docs, STORED, replicas).select("digest", "replica", "packed").dropDuplicates(["digest", "replica"])
 
 
@@ -199,7 +201,7 @@ def chunk_lists(docs: DataFrame, replicas: int = REPLICAS) -> DataFrame:
 def rebuilt(lists: DataFrame, store: DataFrame) -> DataFrame:
     """The payloads of the lists, read from the store and verified, as digests and features."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = lists.join(store, ["digest", "replica"]).mapInArrow(settled, PART)
+    parts = lists.join(store, ["digest", "replica"], "left").mapInArrow(settled, PART)
     return parts.repartition(n, "row").sortWithinPartitions("row", "ord").mapInArrow(read_back, RESULT)
 
 

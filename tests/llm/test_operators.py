@@ -390,3 +390,5 @@ def test_a_damaged_chunk_is_refused(spark):
     lists = media_chunks.chunk_lists(docs).withColumn("size", F.lit(5))
     with pytest.raises(Exception, match="does not match|too small"):
         media_chunks.rebuilt(lists, store).collect()
+    with pytest.raises(Exception, match="is not in the store"):
+        media_chunks.rebuilt(lists, store.where("replica < 0")).collect()
