@@ -13,7 +13,8 @@ from ledgerlens.sources.shared import checkpointed
 def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
     """keys, node, depth: what the seeds (keys, node) reach over edges (src, dst), themselves included, at the least depth.
 
-    Only the frontier is joined in each round; what was reached before is taken off by an anti join.
+    Only the frontier is joined and written in each round; what was reached before is taken off by
+    an anti join. The frontiers of sixteen rounds are put together, so the plan stays short.
     The edges carry those of the keys that they share with the seeds.
     """
     on = [k for k in keys if k in edges.columns]
@@ -25,7 +26,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: int |
         frontier = checkpointed(step.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if level % 16 == 0:
+            seen = checkpointed(seen)
     return seen
 
 
