@@ -31,11 +31,25 @@ def fits(df: DataFrame, keys: list[str], order: list[str], item: str, weight: st
     return lists.select(*keys, F.explode(F.aggregate("rows", start, step, lambda acc: acc["kept"])).alias(item))
 
 
-def trimmed(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: Column) -> DataFrame:
-    """df with dropped: in order, items go until the rest of the group is within the budget, and none after that."""
+def trimmed(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: Column, droppable: Column | None = None) -> DataFrame:
+    """df with dropped: in order, items go until the rest of the group is within the budget, and none after that.
+
+    What is not droppable stays and counts.
+    """
+    loose = F.lit(True) if droppable is None else droppable
     whole = F.sum(size).over(Window.partitionBy(*keys))
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("dropped", whole - before > budget)
+    gone = F.sum(F.when(loose, F.col(size)).otherwise(F.lit(0)))
+    before = F.coalesce(gone.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("dropped", loose & (whole - before > budget))
+
+
+def trimmed_prompt(contexts: DataFrame, budget: int, fixed: str = "fixed") -> DataFrame:
+    """contexts (repo, prompt_id, label, content, priority, fixed) with dropped: the highest priority goes first, then the longest.
+
+    Sizes are bytes of label and content and eight more; priorities of 0 or less never go.
+    """
+    sized = contexts.withColumn("size", F.octet_length("label") + F.octet_length("content") + 8)
+    return trimmed(sized, ["repo", "prompt_id"], [F.desc("priority"), F.desc(F.octet_length("content")), F.col("label")], "size", F.lit(budget) - F.col(fixed), F.col("priority") > 0).drop("size")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

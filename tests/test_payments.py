@@ -249,3 +249,11 @@ def test_scan_answers_and_failed_names(spark):
     assert got == {"r": ("Amount", "Key", "db_constraint"), "s": ("Cents", None, "unknown")}
     out = made(spark, [("r", "ok\n--- FAIL: TestA (0.1s)\n    --- FAIL: TestA/x (0s)\n--- FAIL: TestA (0s)")], "repo string, out string")
     assert {r.name for r in rollups.failed_names(out, "out").collect()} == {"TestA", "TestA/x"}
+
+
+def test_prompts_keep_what_has_no_priority(spark):
+    rows = [("r", 1, "a", "x" * 100, 0, 10), ("r", 1, "b", "x" * 50, 2, 10), ("r", 1, "c", "x" * 60, 2, 10), ("r", 1, "d", "x", 1, 10)]
+    contexts = made(spark, rows, "repo string, prompt_id int, label string, content string, priority int, fixed int")
+    gone = {r.label: r.dropped for r in ranking.trimmed_prompt(contexts, 190).collect()}
+    assert gone == {"a": False, "b": False, "c": True, "d": False}
+    assert not any(r.dropped for r in ranking.trimmed_prompt(contexts, 1000).collect())
