@@ -257,3 +257,44 @@ def test_prompts_keep_what_has_no_priority(spark):
     gone = {r.label: r.dropped for r in ranking.trimmed_prompt(contexts, 190).collect()}
     assert gone == {"a": False, "b": False, "c": True, "d": False}
     assert not any(r.dropped for r in ranking.trimmed_prompt(contexts, 1000).collect())
+
+
+def test_askable_targets(spark):
+    seams = made(spark, [("r", 0, "a", "http", "x", True), ("r", 1, "b", "http", "x", True), ("r", 2, "c", "clock", "t", False), ("r", 3, "c", "random", "u", False)], SEAMS)
+    assert [r.target for r in predicates.askable_targets(seams).collect()] == ["x"]
+
+
+def test_conclusions_leave_out_own_answers(spark):
+    cases = made(spark, [("r", "c1", "IDEM-REPLAY", "unit"), ("r", "c2", "IDEM-CONCURRENT", "unit")], "repo string, case_id string, scenario string, technique string")
+    features = dims.evidence(spark).select("feature", "informs").distinct()
+    marks = made(spark, [("r", "entity.repeat_gets_first_result", "IDEM-REPLAY.stores_result", "supports")], "repo string, feature string, question string, mark string")
+    got = {(r.case_id, r.feature) for r in joins.case_conclusions(cases, features, marks).collect()}
+    assert got == {("c2", "entity.repeat_gets_first_result")}
+
+
+def test_case_facts_are_left_joined(spark):
+    cases = made(spark, [("r", "c1"), ("s", "c2")], "repo string, case_id string")
+    money = made(spark, [("r", "Amount")], "repo string, type string")
+    rows = {r.case_id: r.money for r in joins.with_facts(cases, {"money": (money, ["repo"])}).collect()}
+    assert rows["c1"].type == "Amount" and rows["c2"] is None
+
+
+def test_gathered_facts(spark):
+    two = lambda rows, name: made(spark, rows, f"repo string, {name} string")
+    row = rollups.gathered(two([("r", "Wallets")], "table"), two([("r", "Balance")], "column"), two([("r", "RRN")], "field"), two([("r", "GetStatus"), ("r", "Void")], "symbol"), two([("r", "paid")], "state"), two([("r", "USD"), ("r", "123"), ("r", "eur"), ("r", "EURO")], "value")).first()
+    assert (row.tables, row.columns, row.fields, row.symbols, row.states, row.currencies) == (["wallets"], ["balance"], ["rrn"], "getstatus\nvoid", ["PAID"], 2)
+
+
+def test_fields_and_density(spark):
+    kinds = {r.kind: r for r in rollups.fields_of(dims.answer_fields(spark)).collect()}
+    assert len(kinds["mainEntity"].fields) == 8 and len(kinds["mainEntity"].live) == 5
+    assert one(spark, F.array(cost.density(F.col("v"), F.col("w")), cost.density(F.col("v"), F.lit(0))), v=3, w=6) == [500.0, 0.0]
+
+
+def test_small_predicates(spark):
+    assert one(spark, F.array(*[predicates.entity_question(F.lit(n), F.lit(k)) for n, k in ((0, 0), (1, 1), (1, 2), (2, 0))]), x=1) == [False, False, True, True]
+    assert one(spark, F.array(predicates.sees_own_answer(F.col("q"), F.lit("IDEM"), F.lit("fuzz")), predicates.can_find_bugs(F.lit("currentBehavior"))), q="technique.fuzz.seed") == [True, False]
+    assert one(spark, F.array(tristate.green(F.lit(None).cast("boolean")), tristate.red(F.lit(False))), x=1) == [False, True]
+    assert one(spark, F.array(state.is_final(F.lit("a"), F.array(F.lit("a")), F.array(F.lit("b"))), state.is_final(F.lit("a"), F.array(F.lit("a")), F.array(F.lit("a")))), x=1) == [True, False]
+    case = validation.case_answer(F.col("s"), F.lit(""), F.lit("//go:build integration"), F.lit("x_test.go"), F.lit(1), F.lit("medium"))
+    assert one(spark, case, s="written") == [] and one(spark, case, s="blocked") == ["blocked without a reason"]
