@@ -31,6 +31,8 @@ from ledgerlens.llm.common import table, text_or_empty, texts, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
 LEAST_BATCH = 4000
+#: A partition's number has 16 bits.
+MOST_PARTITIONS = 60_000
 LOW = np.uint64((1 << 48) - 1)
 
 COUNTS = "batch int, part int, grams binary, counts binary"
@@ -64,7 +66,7 @@ class Batch:
         self.at = np.flatnonzero(~self.first)  # words that follow another
         every = np.concatenate([partitioned(words, parts), partitioned(pairs[self.at - 1], parts)])
         self.grams, self.inverse, self.counts = np.unique(every, return_inverse=True, return_counts=True)
-        self.bounds = np.searchsorted(self.grams, np.arange(parts + 1, dtype=np.uint64) << np.uint64(48)) if parts < 1 << 16 else np.append(np.searchsorted(self.grams, np.arange(parts, dtype=np.uint64) << np.uint64(48)), len(self.grams))
+        self.bounds = np.searchsorted(self.grams, np.arange(parts + 1, dtype=np.uint64) << np.uint64(48))
 
     def elsewhere(self, totals: np.ndarray, which: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """For each occurrence of an n-gram in a document, its count in other documents."""
@@ -132,10 +134,12 @@ def looked_up(docs: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score and mean_log of every document."""
     n = docs.count()
-    batches = max(1, min(n // max(LEAST_BATCH, math.isqrt(8 * n)), 60_000))
+    # Batches grow slowly with the corpus, so that neither they nor the pieces between them become too many.
+    batches = max(1, n // max(LEAST_BATCH, math.isqrt(n) // 3))
+    partitions = min(batches, MOST_PARTITIONS)
     text = text_or_empty()
     dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(batches)).cast("int").alias("batch"))
-    parts = written(looked_up(dealt, summed(counted(dealt, batches)), batches), "lm-parts")
+    parts = written(looked_up(dealt, summed(counted(dealt, partitions)), partitions), "lm-parts")
     words = parts.agg(F.sum("n_words")).first()[0] or 0
     elsewhere = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double")
     log = F.col("log_part") - F.col("n_single") * F.log(elsewhere)
