@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Endings that take "es" and separators that end a first clause, in order.
 SIBILANTS = ["s", "x", "ch"]
-CLAUSE_ENDS = [" — ", ". ", "; ", ", "]
+CLAUSE_ENDS = [" — ", ", so ", " with "]
 
 
 def slug(s: Column, keep: int = 72) -> Column:
@@ -44,9 +44,10 @@ def test_name(scenario: Column) -> Column:
     return F.concat(F.lit("Test"), F.replace(F.initcap(F.replace(F.lower(scenario), F.lit("-"), F.lit(" "))), F.lit(" "), F.lit("")))
 
 
-def target_file(directory: Column, family: Column, size: Column) -> Column:
-    """The file of a test in the directory of its entry."""
-    return F.concat_ws("/", directory, F.concat(F.lower(family), F.when(size == "small", "_test.go").otherwise("_integration_test.go")))
+def target_file(directory: Column, family: Column, size: Column, tag: str = "") -> Column:
+    """The file of a test in the directory of its entry; tag is the tool's own mark in the name."""
+    ending = F.when(size == "small", f"{tag}_test.go").otherwise(f"{tag}_integration_test.go")
+    return F.concat_ws("/", F.when(directory == "", ".").otherwise(directory), F.concat(F.lower(family), ending))
 
 
 def directory(path: Column) -> Column:
@@ -54,10 +55,11 @@ def directory(path: Column) -> Column:
 
 
 def diagram_id(s: Column) -> Column:
-    """What follows #, with the last part of the package, in letters, digits and underscores."""
-    package, symbol = F.substring_index(s, "#", 1), F.substring_index(s, "#", -1)
-    joined = F.when(F.instr(s, "#") > 0, F.concat(last_segment(package, "/"), F.lit("_"), symbol)).otherwise(last_segment(s, "/"))
-    return F.regexp_replace(joined, "[^A-Za-z0-9]", "_")
+    """The last part of the package and the symbol; runs of other than ASCII letters and digits become an underscore."""
+    package = F.substring_index(s, "#", 1)
+    symbol = F.substring(s, F.length(package) + 2, F.length(s))
+    joined = F.when(F.instr(s, "#") > 0, F.concat(last_segment(package, "/"), F.lit("_"), symbol)).otherwise(s)
+    return F.btrim(F.regexp_replace(joined, "[^A-Za-z0-9]+", "_"), F.lit("_"))
 
 
 def html_escape(s: Column) -> Column:
@@ -97,10 +99,11 @@ def first_heading(s: Column) -> Column:
 
 
 def ellipsis(s: Column, most: int) -> Column:
-    return F.when(F.octet_length(s) > most, F.concat(byte_prefix(s, most - 3), F.lit("..."))).otherwise(s)
+    cut = byte_prefix(s, most) if most <= 3 else F.concat(byte_prefix(s, most - 3), F.lit("..."))
+    return F.when(F.octet_length(s) > most, cut).otherwise(s)
 
 
-def capped(s: Column, most: int = 1200, mark: str = "\n… (cut)") -> Column:
+def capped(s: Column, most: int = 1200, mark: str = "\n… truncated") -> Column:
     text = F.btrim(s, F.lit(" \t\r\n"))
     return F.when(F.octet_length(text) > most, F.concat(byte_prefix(text, most), F.lit(mark))).otherwise(text)
 
@@ -110,8 +113,8 @@ def or_list(items: Column) -> Column:
 
 
 def strip_title(s: Column) -> Column:
-    """Without what comes up to the first line that starts with "# ", if it is among the first five."""
-    return F.regexp_replace(s, r"^(?:(?!# )[^\n]*\n){0,4}# [^\n]*\n+", "")
+    """Without what comes up to the first line that starts with "# ", if it is among the first five, and without that line."""
+    return F.regexp_replace(s, r"^(?:(?!# )[^\n]*\n){0,4}# [^\n]*(?:\n|$)", "")
 
 
 def indent(s: Column, pad: str) -> Column:
@@ -122,11 +125,10 @@ def same_field(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
 
 
-def any_of(have: Column, names: list[str], plural: bool = False) -> Column:
-    """Whether an array holds one of the names, or with plural one of them plus an s."""
-    wanted = F.array(*[F.lit(n) for n in names])
-    exact = F.arrays_overlap(have, wanted)
-    return exact | F.arrays_overlap(F.transform(have, lambda x: F.regexp_replace(x, "s$", "")), wanted) if plural else exact
+def any_of(have: Column, names: list[str], singular: bool = False) -> Column:
+    """Whether an array holds one of the names, or with singular one of them without a last s."""
+    every = [*names, *([n.removesuffix("s") for n in names] if singular else [])]
+    return F.arrays_overlap(have, F.array(*[F.lit(n) for n in dict.fromkeys(every)]))
 
 
 def any_within(blob: Column, parts: list[str]) -> Column:

@@ -27,9 +27,11 @@ def under_test(entries: DataFrame, reached: DataFrame, seams: DataFrame) -> Data
 
 
 def relevant_tables(tables: DataFrame, constrained: DataFrame, owners: DataFrame, keyed: DataFrame) -> DataFrame:
-    """tables with relevant: constrained, named like an owner in some plural, or with a key column."""
+    """tables with relevant: constrained, named like an owner in some plural (as it is or in lower case), or with a key column."""
     wanted = constrained.select("repo", "table").unionByName(owners.select("repo", F.explode("names").alias("table"))).unionByName(keyed.select("repo", "table")).distinct()
-    return tables.join(wanted.withColumn("_hit", F.lit(True)), ["repo", "table"], "left").withColumn("relevant", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    forms = tables.select("repo", "table", F.explode(F.array_distinct(F.array("table", F.lower("table")))).alias("_form")).distinct()
+    hits = forms.join(wanted.select("repo", F.col("table").alias("_form")), ["repo", "_form"], "left_semi").select("repo", "table").distinct().withColumn("_hit", F.lit(True))
+    return tables.join(hits, ["repo", "table"], "left").withColumn("relevant", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def set_differences(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -31,8 +31,12 @@ def labels(named: list[tuple[Column, Column | str]]) -> Column:
 
 
 def column_note(primary: Column, not_null: Column, default: Column) -> Column:
-    required = F.coalesce(not_null, F.lit(False)) & default.isNull()
-    return F.concat_ws(", ", F.when(primary, "primary key"), F.when(required, "required"), F.when(default.isNotNull(), F.concat(F.lit("default "), default)))
+    """Whether a column is a key, must be set by every insert, or has a default."""
+    bare = F.coalesce(default, F.lit("")) == ""
+    with_default = F.concat(F.lit("default "), default)
+    required = F.coalesce(not_null, F.lit(False))
+    value = F.when(required & bare, "not null, no default").when(required, F.concat(F.lit("not null, "), with_default)).when(~bare, with_default)
+    return F.concat_ws(", ", F.when(primary, "primary key"), value)
 
 
 def representation(type_name: Column) -> Column:
@@ -75,10 +79,17 @@ def bound_facts(answers: DataFrame, rules: DataFrame) -> DataFrame:
     return both.select("repo", *[F.coalesce(F.nullif(F.col(f"r.{n}"), F.lit("")), F.col(f"a.{n}")).alias(n) for n in names], spoke.alias("known"))
 
 
-def scan_answers(candidates: DataFrame, constraints: DataFrame) -> DataFrame:
-    """What a scan alone settles: the decided money and key candidates, and how the key is kept unique."""
-    decided = candidates.where("decided").groupBy("repo").pivot("role", ["money", "idempotency"]).agg(F.min_by("name", "ord"))
-    unique = constraints.where("kind in ('unique', 'primary_key')").select("repo", F.explode("columns").alias("column")).distinct()
-    joined = decided.join(unique, (decided.repo == unique.repo) & (F.lower("idempotency") == F.lower("column")), "left").select(decided["*"], unique.column.isNotNull().alias("constrained"))
-    how = F.when(F.col("idempotency").isNull(), "unknown").when(F.col("constrained"), "db_constraint").otherwise("app_check_then_write")
-    return joined.groupBy("repo").agg(F.first("money").alias("money_type"), F.first("idempotency").alias("idempotency_key"), F.max(how).alias("uniqueness"))
+def scan_answers(candidates: DataFrame, constraints: DataFrame, migrated: DataFrame) -> DataFrame:
+    """What a scan alone settles: the decided money and key candidates, and how the key is kept unique.
+
+    Without a constraint on the key it is checked before writing if the repo has migrations, else unknown;
+    without a decided key nothing is said.
+    """
+    first = candidates.where("decided").groupBy("repo", "role").agg(F.min_by(F.struct("name", "owner", "type"), "ord").alias("c"))
+    money = first.where("role = 'money'").select("repo", F.concat_ws(".", "c.owner", "c.name").alias("money_type"), F.col("c.name").alias("amount_field"), representation(F.col("c.type")).alias("representation"))
+    key = first.where("role = 'idempotency'").select("repo", F.col("c.name").alias("idempotency_key"))
+    unique = constraints.where("kind in ('unique', 'primary_key')").select("repo", F.explode(F.transform("columns", F.lower)).alias("column")).distinct()
+    covered = key.join(unique, (key.repo == unique.repo) & (F.lower("idempotency_key") == F.col("column")), "left").select(key["*"], F.col("column").isNotNull().alias("constrained"))
+    known = covered.join(migrated.select("repo").distinct().withColumn("migrated", F.lit(True)), "repo", "left")
+    how = F.when(F.col("constrained"), "db_constraint").when(F.col("migrated"), "app_check_then_write").otherwise("unknown")
+    return money.join(known.select("repo", "idempotency_key", how.alias("uniqueness")), "repo", "full_outer")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.cost import input_tokens, short, weighted
+from ledgerlens.functions.text import snake
 from ledgerlens.functions.tristate import mark, standing
 
 
@@ -125,9 +126,14 @@ def tokens(prompts: DataFrame, prompt: str) -> DataFrame:
 
 
 def gathered(tables: DataFrame, columns: DataFrame, fields: DataFrame, symbols: DataFrame, states: DataFrame, checks: DataFrame) -> DataFrame:
-    """Per repo: lower-case tables, columns and fields, a blob of symbols, upper-case states, currency-like values."""
+    """Per repo: lower-case tables, columns and fields (also in snake case), a blob of symbols, upper-case states, currency-like values.
+
+    tables and columns are those of the tables and of the constraints.
+    """
     low = lambda df, c, name: df.groupBy("repo").agg(F.array_sort(F.collect_set(F.lower(c))).alias(name))
-    blob = symbols.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set(F.lower("symbol"))), "\n").alias("symbols"))
+    fields = fields.where("field <> ''")
+    fields = fields.unionByName(fields.select("repo", snake(F.col("field")).alias("field")))
+    blob = symbols.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set(F.lower("symbol"))), " ").alias("symbols"))
     upper = states.groupBy("repo").agg(F.array_sort(F.collect_set(F.upper("state"))).alias("states"))
     # Any value of three bytes that equals its own upper case counts, 123 included.
     money = checks.where((F.octet_length("value") == 3) & (F.col("value") == F.upper("value"))).groupBy("repo").agg(F.count_distinct("value").alias("currencies"))

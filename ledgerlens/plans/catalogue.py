@@ -258,7 +258,7 @@ def doc_relevance(spark: SparkSession, sf: str) -> DataFrame:
     select p_partkey, rtrim(ltrim(right(rtrim(ltrim(regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9]+', '-', 'g'), '-'), '-'), 20), '-'), '-') as slug,
         ltrim(lower(regexp_replace(p_brand || 'TraceID', '([A-Z])', '_\1', 'g')), '_') as snake,
         'Test' || list_aggregate(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', '') as test_name,
-        regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') as diagram_id, replace(replace(replace('<' || p_name || '>', '"', '&quot;'), '<', '&lt;'), '>', '&gt;') as escaped,
+        trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_') as diagram_id, replace(replace(replace('<' || p_name || '>', '"', '&quot;'), '<', '&lt;'), '>', '&gt;') as escaped,
         list_filter([lower(split_part(p_type, ' ', -1)), lower(split_part(p_type, ' ', -1)) || 's', case when lower(split_part(p_type, ' ', -1)) like '%y' then left(lower(split_part(p_type, ' ', -1)), length(split_part(p_type, ' ', -1)) - 1) || 'ies' end,
             case when regexp_matches(lower(split_part(p_type, ' ', -1)), '(s|x|ch)$') then lower(split_part(p_type, ' ', -1)) || 'es' end], lambda x: x is not null) as table_names,
         case when instr(p_name, ' ') > 1 and strlen(p_name) > 12 then left(p_name, 9) || '...' when strlen(p_name) > 12 then left(p_name, 9) || '...' else p_name end as cut
@@ -275,7 +275,7 @@ def scalar_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""
     select page_id, trim(regexp_extract(replace(replace(html, '<h1>', chr(10) || '## '), '</h1>', chr(10)), '(?m)^#[# ]*(.*)$', 1)) as heading, string_split(trim(html, ' ' || chr(9) || chr(13) || chr(10)), chr(10))[1] as head,
-        regexp_replace(split_part(url, '/', -1), '[^A-Za-z0-9]', '_', 'g') as last from pages""")
+        trim(regexp_replace(split_part(url, '/', -1), '[^A-Za-z0-9]+', '_', 'g'), '_') as last from pages""")
 def page_headings(spark: SparkSession, sf: str) -> DataFrame:
     """The first heading and line of pages."""
     pages = read(spark, sf, "pages")
@@ -297,7 +297,7 @@ def literal_true(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     select conv_id, turn, list_filter([case when coalesce(role, '') not in ('user', 'assistant') then 'unknown representation' end, case when length(text) % 4 not in (0, 1, 2) then 'unknown uniqueness' end,
-        case when trim(role) <> '' and length(text) < 40 then 'a type without proof' end, case when lower(trim(role)) in ('todo', 'tbd', 'n/a', 'unknown', '...') then 'a placeholder for a type' end], lambda x: x is not null) as problems from conversations""")
+        case when trim(role) <> '' and length(text) < 40 then 'a type without proof' end, case when lower(trim(role)) in ('todo', 'tbd', 'n/a', 'unknown', '...') then 'a placeholder for a name' end], lambda x: x is not null) as problems from conversations""")
 def validate_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns checked as money models: the array of what is wrong."""
     shown = F.element_at(F.array(*[F.lit(x) for x in ("none", "unknown", "db_constraint", "?")]), F.length("text") % 4 + 1)
@@ -397,7 +397,7 @@ def pending_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     select c_custkey, list_filter([case when c_acctbal < 0 then 'overdrawn' end, case when c_mktsegment = 'BUILDING' then 'building' end, case when c_nationkey < 5 then 'nation ' || c_nationkey end], lambda x: x is not null) as tags,
-        concat_ws(', ', case when c_custkey % 2 = 0 then 'primary key' end, case when c_custkey % 3 = 0 and c_custkey % 5 <> 0 then 'required' end, case when c_custkey % 5 = 0 then 'default ' || c_nationkey end) as note,
+        concat_ws(', ', case when c_custkey % 2 = 0 then 'primary key' end, case when c_custkey % 3 = 0 and c_custkey % 5 <> 0 then 'not null, no default' when c_custkey % 3 = 0 then 'not null, default ' || c_nationkey when c_custkey % 5 = 0 then 'default ' || c_nationkey end) as note,
         case when lower(c_mktsegment) like '%float%' then 'float' when lower(c_mktsegment) like '%decimal%' or lower(c_mktsegment) like '%big.rat%' then 'decimal' when lower(c_mktsegment) like '%in%' then 'other' else 'unknown' end as form
     from (select * from customer)""")
 def fact_tags(spark: SparkSession, sf: str) -> DataFrame:
@@ -516,11 +516,12 @@ def feature_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     with s as (select c_nationkey as repo, list_distinct(list(c_mktsegment)) as states, list_distinct(list(c_mktsegment) filter (where c_acctbal > 0)) as answered from customer group by 1)
-    select repo, list_filter([case when len(list_filter(states, lambda x: not list_contains(answered, x))) > 0 then 'a state is not covered' end, case when len(states) > 4 then 'a final state with exits' end], lambda x: x is not null) as problems from s""")
+    select repo, list_filter([case when len(list_filter(states, lambda x: not list_contains(answered, x))) > 0 then 'a state is not covered' end, case when list_contains(answered, 'BUILDING') then 'an undeclared target' end, case when list_contains(answered, 'MACHINERY') then 'a final state with exits' end], lambda x: x is not null) as problems from s""")
 def transition_problems(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations whose segments are not all covered by solvent customers, or are more than four."""
+    """Nations whose segments are not all covered by solvent customers; BUILDING moves out of the nation, MACHINERY is final."""
     s = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("repo")).agg(F.collect_set("c_mktsegment").alias("states"), F.collect_set(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))).alias("answered"))
-    return s.select("repo", validation.transitions(F.col("states"), F.col("answered"), F.size("states") > 4, F.lit(0)).alias("problems"))
+    moves = F.map_from_arrays("answered", F.transform("answered", lambda a: F.array(F.when(a == "BUILDING", "ABROAD").otherwise(a))))
+    return s.select("repo", validation.transitions(F.col("states"), moves, F.lit(""), F.array_intersect("states", F.array(F.lit("MACHINERY"))), F.array().cast("array<struct<src:string,dst:string,why:string>>")).alias("problems"))
 
 
 @query("""

@@ -91,12 +91,12 @@ def signal(test: str) -> Column:
         kind, _, names = part.lstrip("!").partition(":")
         words = names.split()
         if kind == "table":
-            # A field named like a table counts, with or without a plural s.
-            found = any_of(F.col("tables"), words) | any_of(F.col("fields"), words, plural=True)
+            # A field named like a table counts, also without a last s.
+            found = any_of(F.col("tables"), words) | any_of(F.col("fields"), words, singular=True)
         elif kind == "column":
             found = any_of(F.col("columns"), words) | any_of(F.col("fields"), words)
         elif kind == "state":
-            found = any_of(F.col("states"), words)
+            found = F.exists("states", lambda s: any_within(s, words))
         else:
             found = any_within(F.col("symbols"), words)
         return ~found if part.startswith("!") else found

@@ -11,7 +11,7 @@ from ledgerlens.plans import dims
 
 FLOW_VERSION, STATE_VERSION = 1, 2
 #: Folders that are not searched for documents, the largest document, and how many are kept.
-SKIPPED_FOLDERS = [".git", "node_modules", "vendor", "testdata", "dist", "build", "third_party"]
+SKIPPED_FOLDERS = [".git", "vendor", "node_modules", "_to_delete", "testdata"]
 MOST_BYTES, KEPT = 512 * 1024, 8
 
 
@@ -111,10 +111,15 @@ def scored_documents(documents: DataFrame, topics: DataFrame | None = None) -> D
     return ranked.join(low.select("repo", "path", first_heading(F.col("text")).alias("title")), ["repo", "path"])
 
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """repo, path, text of the .md and .adoc files below root/<repo>, in either case, outside the skipped folders."""
+def read_documents(spark: SparkSession, root: str, own_folders: tuple[str, ...] = (), own_name: str | None = None) -> DataFrame:
+    """repo, path, text of the .md and .adoc files below root/<repo>, in either case, outside the skipped folders.
+
+    own_folders are skipped too, and documents in internal folders that mention own_name: a tool's own papers.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     inside = F.regexp_replace("path", rf"^.*?{root.rstrip('/')}/", "")
     rows = files.select(F.substring_index(inside, "/", 1).alias("repo"), inside.alias("path"), "length", "content")
-    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
+    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in (*SKIPPED_FOLDERS, *own_folders)]))
+    if own_name:
+        rows = rows.where(~(F.contains("path", F.lit("internal/")) & F.contains(F.lower(F.col("content").cast("string")), F.lit(own_name.lower()))))
     return rows.where(F.lower("path").rlike(r"\.(?:md|adoc)$") & ~skipped & (F.col("length") <= MOST_BYTES)).select("repo", "path", F.col("content").cast("string").alias("text"))

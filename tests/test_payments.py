@@ -131,6 +131,7 @@ FACTS_SCHEMA = "repo string, tables array<string>, columns array<string>, fields
         ((["entries", "accounts"], ["account_type", "debit"], [], [], "", 0), "spine.double_entry", ["motion.one_shot"], []),
         (([], ["phone", "rrn"], [], [], "requery", 0), "spine.stateless", ["motion.topup"], []),
         ((["refunds"], ["currency"], [], [], "", 2), "spine.stateless", ["motion.one_shot"], ["overlay.fx", "overlay.refund_reversal"]),
+        (([], [], ["wallet"], ["PART_REFUNDED"], "", 0), "spine.wallet", ["motion.one_shot"], ["overlay.refund_reversal"]),
         (([], ["auth_code"], [], [], "capture capturelog", 1), "spine.stateless", ["motion.auth_capture"], []),
     ],
 )
@@ -169,9 +170,9 @@ def test_literals(spark, json, true, false):
     ("f", "given", "want"),
     [
         (text.snake, "TraceID", "trace_i_d"), (text.slug, "--A b//C--", "A-b-C"), (text.slug, "x" * 80, "x" * 72), (text.test_name, "IDEM-REPLAY", "TestIdemReplay"),
-        (text.first_heading, "a\n## Hi \nb", "Hi"), (text.first_heading, "none", ""), (text.html_escape, 'a"<b>', "a&quot;&lt;b&gt;"), (text.diagram_id, "x/y/pkg#Fn.A", "pkg_Fn_A"),
-        (text.strip_comments, "{\n // a\n \"b\": 1 // c\n}", "{\n\n \"b\": 1 // c\n}"), (text.short_type, "a/b/C", "C"), (text.first_line, "  a\nb", "a"), (text.first_clause, "one. two", "one"),
-        (text.strip_title, "x\n# T\n\nbody", "body"), (lambda c: text.indent(c, "  "), "a\nb", "  a\n  b"), (lambda c: text.ellipsis(c, 5), "abcdef", "ab..."), (lambda c: text.ellipsis(c, 7), "äöüß", "äö..."),
+        (text.first_heading, "a\n## Hi \nb", "Hi"), (text.first_heading, "none", ""), (text.html_escape, 'a"<b>', "a&quot;&lt;b&gt;"), (text.diagram_id, "x/y/pkg#(*T).Fn", "pkg_T_Fn"), (text.diagram_id, "a/b", "a_b"),
+        (text.strip_comments, "{\n // a\n \"b\": 1 // c\n}", "{\n\n \"b\": 1 // c\n}"), (text.short_type, "a/b/C", "C"), (text.first_line, "  a\nb", "a"), (text.first_clause, "one, so two", "one"), (text.first_clause, "x" * 60, "x" * 58 + "…"),
+        (text.strip_title, "x\n# T\n\nbody", "\nbody"), (text.strip_title, "1\n2\n3\n4\n5\n# T\nb", "1\n2\n3\n4\n5\n# T\nb"), (lambda c: text.indent(c, "  "), "a\nb", "  a\n  b"), (lambda c: text.ellipsis(c, 5), "abcdef", "ab..."), (lambda c: text.ellipsis(c, 7), "äöüß", "äö..."),
         (predicates.representation, "interface{}", "minor_units_int"), (predicates.representation, "big.Rat", "decimal"), (predicates.build_tag, "medium", "integration"),
     ],
 )
@@ -195,12 +196,18 @@ def test_validations(spark):
     good = validation.question_answer(F.col("t"), F.col("v"), F.col("i"), F.lit(True))
     assert one(spark, good, t=True, v=False, i="") == ["a rejected finding without a reason"]
     assert one(spark, good, t=True, v=True, i="") == []
-    roles = validation.state_roles(F.col("s"), F.col("a"), F.array(F.lit("z")), F.lit(0))
-    assert one(spark, roles, s=["a", "b"], a=["a", "a", "c"]) == ["a declared state is missing", "an undeclared state", "a state is answered twice", "a retry enters an undeclared state"]
+    none = F.array().cast("array<struct<src:string,dst:string,why:string>>")
+    roles = validation.state_roles(F.col("s"), F.col("a"), F.array(F.lit("z")), none)
+    assert one(spark, roles, s=["a", "b"], a=["a", "a", "c"]) == ["an undeclared state", "a state is answered twice", "a retry enters an undeclared state", "a declared state is missing"]
+    why = F.array(F.struct(F.lit("a").alias("src"), F.lit("b").alias("dst"), F.lit(" ").alias("why")))
+    moves = F.create_map(F.lit("a"), F.array(F.lit("b"), F.lit("x")), F.lit("b"), F.array(F.lit("a")))
+    assert one(spark, validation.transitions(F.col("s"), moves, F.lit("q"), F.array(F.lit("a"), F.lit("b")), why), s=["a", "b"]) == ["an undeclared target", "an undeclared initial state", "a final state with exits", "an exception without a reason"]
     assert one(spark, validation.shape_error(F.col("f"), F.col("w")), f=["b", "a"], w=["x"]) == "found a, b"
     assert one(spark, validation.shape_error(F.col("f"), F.col("w")), f=["b", "a"], w=["a"]) is None
-    entity = validation.main_entity(F.col("k"), F.lit(""), F.lit(True), F.col("o"), F.lit(0))
-    assert one(spark, entity, k="id", o=["ID"]) == ["a generated key cannot be retried with", "the key is also listed as another identifier"]
+    others = F.transform(F.col("o"), lambda o: F.struct(o.alias("field"), F.lit("lookup").alias("purpose"), F.lit(False).alias("could_be_key"), F.lit(True).alias("cited")))
+    entity = validation.main_entity(F.lit("Payment"), F.lit("a.go:1"), F.col("k"), F.lit("a.go:2"), F.lit(""), F.lit("generated"), others)
+    assert one(spark, entity, k="id", o=["ID"]) == ["a generated key cannot be retried with", "the key is also listed as no key"]
+    assert one(spark, validation.money_model(F.col("r"), F.lit(""), F.lit("example.com/pay/Money"), F.lit("p")), r="") == ["a placeholder for a name"]
 
 
 def test_upserts_and_gates(spark):
@@ -243,10 +250,10 @@ def test_lifecycle_scores(spark):
 
 
 def test_scan_answers_and_failed_names(spark):
-    cand = made(spark, [("r", 1, "money", "Amount", True), ("r", 0, "idempotency", "Key", True), ("s", 0, "money", "Cents", True)], "repo string, ord int, role string, name string, decided boolean")
+    cand = made(spark, [("r", 1, "money", "Amount", "Pay", "int64", True), ("r", 0, "idempotency", "Key", "Pay", "string", True), ("s", 0, "money", "Cents", "W", "float64", True), ("t", 0, "idempotency", "Id", "W", "string", True)], "repo string, ord int, role string, name string, owner string, type string, decided boolean")
     cons = made(spark, [("r", "unique", ["key", "x"])], "repo string, kind string, columns array<string>")
-    got = {r.repo: (r.money_type, r.idempotency_key, r.uniqueness) for r in predicates.scan_answers(cand, cons).collect()}
-    assert got == {"r": ("Amount", "Key", "db_constraint"), "s": ("Cents", None, "unknown")}
+    got = {r.repo: (r.money_type, r.representation, r.idempotency_key, r.uniqueness) for r in predicates.scan_answers(cand, cons, made(spark, [("t",)], "repo string")).collect()}
+    assert got == {"r": ("Pay.Amount", "minor_units_int", "Key", "db_constraint"), "s": ("W.Cents", "float", None, None), "t": (None, None, "Id", "app_check_then_write")}
     out = made(spark, [("r", "ok\n--- FAIL: TestA (0.1s)\n    --- FAIL: TestA/x (0s)\n--- FAIL: TestA (0s)")], "repo string, out string")
     assert {r.name for r in rollups.failed_names(out, "out").collect()} == {"TestA", "TestA/x"}
 
@@ -282,7 +289,7 @@ def test_case_facts_are_left_joined(spark):
 def test_gathered_facts(spark):
     two = lambda rows, name: made(spark, rows, f"repo string, {name} string")
     row = rollups.gathered(two([("r", "Wallets")], "table"), two([("r", "Balance")], "column"), two([("r", "RRN")], "field"), two([("r", "GetStatus"), ("r", "Void")], "symbol"), two([("r", "paid")], "state"), two([("r", "USD"), ("r", "123"), ("r", "eur"), ("r", "EURO")], "value")).first()
-    assert (row.tables, row.columns, row.fields, row.symbols, row.states, row.currencies) == (["wallets"], ["balance"], ["rrn"], "getstatus\nvoid", ["PAID"], 2)
+    assert (row.tables, row.columns, row.fields, row.symbols, row.states, row.currencies) == (["wallets"], ["balance"], ["r_r_n", "rrn"], "getstatus void", ["PAID"], 2)
 
 
 def test_fields_and_density(spark):
