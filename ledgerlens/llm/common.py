@@ -58,3 +58,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, draw: str, n: int, total: int) -> DataFrame:
+    """The n rows of df (total rows) with the least draw, a column of 64-bit hashes.
+
+    Only a share with about three times as many rows is ordered, so what reaches one task is
+    bounded at any size.
+    """
+    share = min(1.0, 3 * n / max(total, 1))
+    return df.where(F.col(draw).cast("double") / float(1 << 64) + 0.5 <= share).orderBy(draw).limit(n)
