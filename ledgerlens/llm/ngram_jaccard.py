@@ -285,6 +285,8 @@ def joined(docs: DataFrame) -> DataFrame:
     by_set = named.join(firsts, "component").select("set_id", "group_least")
     per_class = classes.select("set_id", "copies", "least").join(by_set, "set_id", "left").join(counts, "set_id", "left")
     per_class = per_class.select(F.col("set_id").alias("of"), "copies", F.coalesce("group_least", "least").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    # A class may hold a third of all rows. Read from a table, both sides are dealt anew, so Spark can split it.
+    per_class = written(per_class, "class-rows")
     every = marks.select("doc_id", "doc_key", "text_key", "set_id").join(per_class, F.col("set_id") == F.col("of"), "left")
     return every.select("doc_id", "doc_key", "text_key", F.coalesce("head.doc_key", "doc_key").alias("class_key"), F.coalesce("head.text_key", "text_key").alias("class_text"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
 
