@@ -56,9 +56,9 @@ class Batch:
     """The n-grams of the documents of one batch."""
 
     def __init__(self, docs: list[str], parts: int):
-        split = [t.encode("utf-8", "surrogatepass").split() for t in docs]
-        self.sizes = np.array([len(w) for w in split], np.int64)
-        words = hashed([w for x in split for w in x])
+        hashes = [hashed(t.encode("utf-8", "surrogatepass").split()) for t in docs]
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        words = np.concatenate(hashes)
         self.doc = np.repeat(np.arange(len(docs)), self.sizes)
         self.first = np.ones(len(words), bool)  # whether a word is the first of its document
         self.first[1:] = self.doc[1:] != self.doc[:-1]
