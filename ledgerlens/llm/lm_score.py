@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import table, text_or_empty, texts, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
-LEAST_BATCH = 4000
+LEAST_BATCH = 2500
 #: A partition's number has 16 bits.
 MOST_PARTITIONS = 60_000
 LOW = np.uint64((1 << 48) - 1)
