@@ -1,12 +1,19 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Base patterns find assignments, access keys and long hex strings. Beside them, any token of
-16 to 512 characters with both letters and digits that stands within 40 characters after a
-sensitive word is a candidate. Its novelty is the number of bytes that it adds to the
+16 characters or more with both letters and digits that starts within 40 characters after a
+sensitive word is a candidate, to its end. Its novelty is the number of bytes that it adds to the
 compressed size of the text around it, with a dictionary of code and identifier words
 already known to the compressor, for each byte of the candidate. Identifiers, paths and
 repeats of the surrounding code add few bytes; random strings add about as many as they
-have. Candidates at or above the threshold that touch no base span are reported as novel.
+have. Of a long candidate, pieces of about 512 bytes are measured; one at the threshold is
+enough. Candidates at or above the threshold that touch no base span are reported as novel.
+
+A novel candidate goes on over the runs that follow it, without bound: those joined to it by
+a point (the parts of a signed token) and those that fill the next line (the lines of a key,
+also where line ends are written as \\n or lines are quoted), while each is novel itself. A
+shorter run counts between two such parts, or as the last line of several. Where an
+assignment or another base span has the first part, what goes on after it is reported.
 
 Cases: null text counts as empty; a text of any length is scanned whole; repeated rows give
 repeated results; other columns of the input are not read. Offsets are in code points, end
@@ -29,15 +36,25 @@ from ledgerlens.llm.common import map_batches, table, texts
 
 KINDS = ["assign", "access", "hex", "novel"]
 NOVELTY, CONTEXT = 0.7, 160
-REACH, LONGEST = 40, 512
+REACH, LEAST, PIECE = 40, 16, 512
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ASSIGN_WORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 SENSITIVE = re.compile(rb"(?:secret|token|passw|api[ _-]?key|auth|bearer|credential|private|access[ _-]?key|signature)", re.I)
 SENSITIVE_WORDS = [b"secret", b"token", b"passw", b"api", b"auth", b"bearer", b"credential", b"private", b"access", b"signature"]
-TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{16,512}")
+TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(rb"[A-Za-z0-9+/_=-]+")
 BOTH = re.compile(rb"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+#: What a run that goes on looks like: letters and digits, or capitals after the first letter.
+MIXED = re.compile(rb"(?=.*[0-9])(?=.*[A-Za-z])|(?=.*[a-z])(?=.+[A-Z])", re.S)
+WORD = re.compile(rb"[A-Za-z]?[a-z]*|[A-Z]*")
+#: How parts of one secret are joined: points; a line end, written out or real, with its quotes.
+POINTS = re.compile(rb"\.{1,2}")
+LINE = re.compile(rb"""(?:\\r)?\\n(?!["'])|(?:(?:\\r)?\\n)?["']?[ \t]{0,8}[+,\\]?[ \t]{0,8}\r?\n[ \t>#*|]{0,32}["']?""")
+LINE_START = re.compile(rb"""(?:^|\n|\\n)[ \t>#*|]{0,32}["']?\Z""")
+KEY_END = re.compile(rb"""["' \t,+;\\]{0,8}(?:\r?\n|\\n)[ \t>#*|"']{0,32}-----END""")
+LINE_END = re.compile(rb"""["' \t,+;\\]{0,8}(?:\r?\n|\Z)|(?:\\r)?\\n""")
 #: Every byte that is a lower-case hex digit becomes x, any other a space.
 HEXMAP = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
@@ -61,6 +78,53 @@ def novelty(before: bytes, candidate: bytes, after: bytes) -> float:
     return (len(pack(before + after + candidate)) - len(pack(before + after))) / len(candidate)
 
 
+def novel(data: bytes, start: int, end: int, threshold: float, first: int | None = None) -> bool:
+    """Whether the run, or a piece of it where it is long, is novel in its surroundings.
+
+    The other parts of the same secret would lend it their statistics; so where more may follow
+    or the secret began before, at first, the text before the secret is a second measure.
+    """
+    n = -(-(end - start) // PIECE)
+    at = [start + (end - start) * k // n for k in range(n + 1)]
+    if any(novelty(data[max(0, a - CONTEXT) : a], data[a:b], data[b : b + CONTEXT]) >= threshold for a, b in zip(at, at[1:])):
+        return True
+    if first is None and not ((join := POINTS.match(data, end) or LINE.match(data, end)) and RUN.match(data, join.end())):
+        return False
+    first = start if first is None else first
+    before = data[max(0, first - CONTEXT) : first]
+    return any(novelty(before, data[a:b], b"") >= threshold for a, b in zip(at, at[1:]))
+
+
+def whole_line(data: bytes, start: int, end: int) -> bool:
+    return bool(LINE_START.search(data, max(0, start - 40), start) and LINE_END.match(data, end))
+
+
+def going_on(data: bytes, start: int, end: int, threshold: float, first: int) -> list[tuple[int, int]]:
+    """The runs that go on after a novel run of a secret from first on, in order: further parts and further lines."""
+    runs: list[tuple[int, int]] = []
+    short: list[tuple[int, int]] = []
+    while True:
+        join = POINTS.match(data, end)
+        lines = None if join else LINE.match(data, end)
+        run = RUN.match(data, (join or lines).end()) if join or lines else None
+        if not run:
+            return runs
+        if lines and not short and KEY_END.match(data, run.end()):
+            return [*runs, run.span()]
+        if run.end() - run.start() < LEAST:
+            if join and not short:  # counts if a full part follows
+                short = [run.span()]
+                end = run.end()
+                continue
+            last = lines and not short and run.end() - run.start() < end - start and whole_line(data, start, end) and LINE_END.match(data, run.end())
+            return runs + [run.span()] if last and not WORD.fullmatch(run.group()) else runs
+        if lines and (short or not LINE_END.match(data, run.end())) or not MIXED.match(run.group()) or not novel(data, *run.span(), threshold, first):
+            return runs
+        runs += [*short, run.span()]
+        short = []
+        start, end = run.span()
+
+
 def find(data: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes, in order."""
     low = data.lower()
@@ -75,16 +139,30 @@ def find(data: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
         starts, ends = merged(spans)
         reach = 0
         for word in SENSITIVE.finditer(data):
-            # A candidate starts within REACH bytes of the word and has at most LONGEST.
-            for m in TOKEN.finditer(data, max(word.end(), reach), word.end() + REACH + LONGEST):
-                if m.start() > word.end() + REACH:
-                    break
-                reach = m.end()
-                k = bisect_left(starts, m.end()) - 1
-                if not BOTH.match(m.group()) or k >= 0 and ends[k] > m.start():
+            at = max(word.end(), reach)
+            # A candidate starts within REACH bytes of the word; where it starts shows in its first LEAST bytes.
+            while m := TOKEN.search(data, at, word.end() + REACH + LEAST):
+                start, end = TOKEN.match(data, m.start()).span()
+                at = reach = end
+                if not BOTH.match(data, start, end) or not novel(data, start, end, threshold):
                     continue
-                if novelty(data[max(0, m.start() - CONTEXT) : m.start()], m.group(), data[m.end() : m.end() + CONTEXT]) >= threshold:
-                    spans.append((m.start(), 3, m.end()))
+                k = bisect_left(starts, end) - 1
+                parts = [(start, end)]
+                if k >= 0 and ends[k] > start:
+                    end = max(end, ends[k])
+                    parts = []
+                for run in going_on(data, start, end, threshold, start):
+                    at = reach = run[1]
+                    k = bisect_left(starts, run[1]) - 1
+                    if k >= 0 and ends[k] > run[0]:
+                        end = -1  # a base span has this part
+                    elif parts and parts[-1][1] == end:
+                        parts[-1] = (parts[-1][0], run[1])
+                        end = run[1]
+                    else:
+                        parts.append(run)
+                        end = run[1]
+                spans += [(a, 3, b) for a, b in parts]
     return sorted(spans)
 
 
