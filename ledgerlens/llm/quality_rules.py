@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule is a score with a fixed grid of cutoffs; a document is rejected where a score
-reaches its cutoff. Which cutoff holds is decided per stratum (language) on labelled
-holdouts: a cutoff is admissible if the exact binomial test refutes, at level
-delta / (strata * rules * cutoffs), that it rejects a share of ``alpha / rules`` or more of
-the good documents. Among the admissible cutoffs the strictest is taken; where none is,
-the rule is off in that stratum. So with probability 1 - delta no stratum loses more than
-``alpha`` of its good documents to the rules.
+reaches its cutoff. The rules stand on one ladder: each rung makes one rule stricter by one
+cutoff, so what a rung rejects, all later ones do. How far a stratum (language) goes up is
+decided on labelled holdouts by fixed-sequence tests: a rung is admissible if the exact
+binomial test refutes, at level delta / strata, that its rules together reject a share of
+``alpha`` or more of the good documents that the base keeps; the walk ends at the first that
+is not. As the order is fixed beforehand, neither the risk nor the level is divided by rules
+or cutoffs. The strictest admissible rung is taken; where none is, the rules are off in that
+stratum, as they are with fewer than ln(delta / strata) / ln(1 - alpha) good labels (217 for
+4 strata). So with probability 1 - delta no stratum loses more than ``alpha`` of its good
+documents to the rules.
 
 Cases: null text counts as none (0 words, so it fails the base); null language is a stratum
 of its own; labels that are null, not 0/1 or without a document count for nothing; repeated
@@ -17,6 +21,7 @@ results; other columns of the input are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,8 @@ RULES: dict[str, list[float]] = {
     "exclaim_ratio": [2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
     "repeat_ratio": [0.2, 0.18, 0.16, 0.14, 0.12, 0.1, 0.09, 0.08, 0.07, 0.06],
 }
+#: The rungs, (rule, index of its cutoff). Repeated words come last: the base has a limit on them.
+LADDER = [(r, k) for last in (False, True) for k in range(10) for r in RULES if (r == "repeat_ratio") == last]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField("base_failed", BooleanType())] + [StructField(r, DoubleType()) for r in RULES])
 
@@ -103,7 +110,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)))
 
 
-def strictest(cutoffs: list[float], rejected: list[int], n: int, risk: float, level: float) -> float | None:
+def strictest(cutoffs: Sequence[float], rejected: list[int], n: int, risk: float, level: float) -> float | None:
     """The strictest cutoff whose share of false rejections is below risk at this level."""
     best = None
     for cutoff, k in zip(cutoffs, rejected, strict=True):
@@ -120,14 +127,23 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1").select("doc_id")
     held = measured.join(good, "doc_id")
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.array(*[F.sum((F.col(f"quality.{r}") >= c).cast("long")) for c in cs]).alias(r) for r, cs in RULES.items()])
+    rung = {x: j for j, x in enumerate(LADDER)}
+    first = []
+    for r, cs in RULES.items():
+        met = F.when(F.col(f"quality.{r}") >= cs[0], rung[r, 0])
+        for k, c in enumerate(cs[1:], 1):
+            met = met.when(F.col(f"quality.{r}") >= c, rung[r, k])
+        first.append(met)
+    # The first rung that rejects a document; none where the base does already.
+    met = held.select("stratum", F.when(~F.col("quality.base_failed"), F.least(*first)).alias("first"))
+    counts = met.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("first") <= j) for j in range(len(LADDER))]).alias("rejected"))
     counts = written(counts, "quality-counts")
-    strata = max(counts.count(), 1)
-    level, risk = delta / (strata * sum(map(len, RULES.values()))), alpha / len(RULES)
+    level = delta / max(counts.count(), 1)
 
     def select(batch: pa.RecordBatch) -> dict:
-        n = batch.column("n").to_pylist()
-        return {"stratum": batch.column("stratum")} | {r: [strictest(cs, k, m, risk, level) for k, m in zip(batch.column(r).to_pylist(), n, strict=True)] for r, cs in RULES.items()}
+        tops = [strictest(range(len(LADDER)), k, n, alpha, level) for k, n in zip(batch.column("rejected").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        held_at = [{r: RULES[r][k] for r, k in LADDER[: top + 1]} if top is not None else {} for top in tops]
+        return {"stratum": batch.column("stratum")} | {r: [x.get(r) for x in held_at] for r in RULES}
 
     return map_batches(counts, select, StructType([StructField("stratum", StringType()), *[StructField(r, DoubleType()) for r in RULES]]))
 

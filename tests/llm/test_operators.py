@@ -14,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import bpe, chat_format, components, license_scan, lm_score, media_chunks, mixing, ngram_jaccard, pii, quality_rules, registry, secret_scan
@@ -114,6 +115,33 @@ def test_a_safe_rule_rejects_and_an_unsafe_one_does_not(spark):
     assert not any(kept[k] for k, _, _ in bad)
 
 
+def test_rules_hold_in_small_strata(spark):
+    langs, plain = ["de", "en", "es", "fr"], "plain words that are all different here now %d and so on %d"
+    good = [(k, plain % (k, k * 7), langs[k % 4]) for k in range(4 * 217)] + [(k, plain % (k, k * 7), "it") for k in range(5000, 5100)]
+    bad = [(10_000 + k, "w%d $$$ &&& %%%%%% ### x y z q r %d" % (k, k), langs[k % 4]) for k in range(20)]
+    bad += [(20_000, bad[0][1], "it")]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, stratum string")
+    measured = quality_rules.features(docs, ["doc_id", "stratum"])
+    verdicts = []
+    for labelled in (good[: 4 * 217], good[: 4 * 216]):
+        labels = spark.createDataFrame([(k, 1) for k, _, _ in labelled] + [(k, 0) for k, _, _ in bad[:-1]], "doc_id long, quality int")
+        verdicts.append({r.doc_id: r.kept for r in quality_rules.judged(measured, quality_rules.cutoffs(measured, labels)).collect()})
+    whole, fewer = verdicts
+    assert all(whole[k] for k, _, _ in good) and not any(whole[k] for k, _, _ in bad[:-1]) and whole[20_000]
+    assert all(fewer.values())  # 216 labels cannot refute a loss of 2 % in one of four strata
+
+
+def test_rungs_are_nested_and_refuted_together(spark):
+    assert sorted(quality_rules.LADDER) == sorted((r, k) for r, cs in quality_rules.RULES.items() for k in range(len(cs)))
+    quality = lambda symbols, upper, failed=False: (20, 90, 0, 0, 0, failed, symbols, 0.0, upper, 0.0, 0.0)
+    rows = [(k, "en", quality(0.0, 0.0)) for k in range(2000)]
+    # Each of two rules alone rejects 1 % of the good documents at its strictest, both together 2 %.
+    rows += [(2000 + k, "en", quality(0.15, 0.0)) for k in range(20)] + [(2020 + k, "en", quality(0.0, 0.19)) for k in range(20)] + [(2040 + k, "en", quality(9.0, 1.0, True)) for k in range(60)]
+    measured = spark.createDataFrame(rows, StructType().add("doc_id", "long").add("stratum", "string").add("quality", quality_rules.FEATURES))
+    chosen = quality_rules.cutoffs(measured, measured.selectExpr("doc_id", "1 as quality")).collect()
+    assert [(r.symbol_ratio, r.dup_line_ratio, r.upper_ratio, r.exclaim_ratio, r.repeat_ratio) for r in chosen] == [(0.1, 0.25, 0.2, 0.15, None)]
+
+
 # op3
 
 
