@@ -234,6 +234,35 @@ def test_the_trees_add_what_looks_alike(spark):
     assert spans[5001] == []
 
 
+def test_planted_forms_are_found_and_others_left(spark):
+    """Recall and false alarms on forms that no base pattern has: the README's figures."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 8)))
+    number = lambda *sizes: [str(draw.randint(10 ** (n - 1), 10**n - 1)) for n in sizes]
+    planted = {
+        0: lambda: f"{word()} {word()}.{word()}@{word()}.com {word()}", 1: lambda: f"{word()} {word()} (at) {word()} (dot) com {word()}", 2: lambda: f"{word()} order {number(9)[0]} shipped {word()}",
+        3: lambda: f"we met {word()} (at) {word()}. {word().title()} {word()} came", 4: lambda: "call +1 ({}) {}-{} now".format(*number(3, 3, 4)), 5: lambda: "call ({}) {}-{} now".format(*number(3, 3, 4)),
+        6: lambda: "from 10.{}.{}.7 here".format(*number(2, 2)), 7: lambda: "from 10[.]{}[.]{}[.]7 here".format(*number(2, 2)), 8: lambda: "from 10[.]{}[.]7[.]3{} here".format(*number(2, 2)),
+    }
+    docs = [(1000 * k + n, make()) for k, make in planted.items() for n in range(300)]
+    found = {r.doc_id: (r.base_spans, r.all_spans) for r in pii.detected(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    count = lambda k: sum(len(found[1000 * k + n][1]) for n in range(300))
+    assert all(b == a for k in (0, 4, 6) for n in range(300) for b, a in [found[1000 * k + n]])
+    assert all(set(b) <= set(a) for b, a in found.values())
+    hits = {k: sum(bool(found[1000 * k + n][1]) for n in range(300)) for k in (1, 5, 7)}
+    assert min(hits.values()) >= 0.95 * 300, hits
+    assert count(2) + count(3) + count(8) <= 0.01 * 900
+    span, text = found[1000][1][0], dict(docs)[1000]
+    assert span.kind == 0 and "(at)" in text[span.start : span.end] and text[span.start : span.end].endswith("com")
+
+
+def test_long_texts_with_many_matches(spark):
+    text = " ".join(str(10**7 + k) + ("\n" if k % 3 else " 10.0.0.%d" % (k % 300)) for k in range(60_000))
+    row = pii.written(pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")), "long").select(F.size("base").alias("n"), F.expr("base[size(base) - 1]").alias("last")).first()
+    assert row.n == sum(k % 300 <= 255 for k in range(0, 60_000, 3))
+    assert text[row["last"].start : row["last"].end] == row["last"].hit
+
+
 # op5
 
 
