@@ -140,8 +140,9 @@ def any_within(blob: Column, parts: list[str]) -> Column:
 
 
 def occurrences(s: Column, word: Column) -> Column:
-    """How often a word occurs in a text, without overlaps."""
-    return ((F.octet_length(s) - F.octet_length(F.replace(s, word, F.lit("")))) / F.octet_length(word)).cast("long")
+    """How often a word occurs in a text, without overlaps; texts without it are only searched."""
+    n = ((F.octet_length(s) - F.octet_length(F.replace(s, word, F.lit("")))) / F.octet_length(word)).cast("long")
+    return F.when(F.contains(s, word), n).when(s.isNotNull(), 0).cast("long")
 
 
 def strip_comments(s: Column) -> Column:

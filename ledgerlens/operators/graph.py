@@ -40,16 +40,38 @@ def reach_sets(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFr
     return reached.unionByName(alone)
 
 
+def components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, component of every node of edges (keys, src, dst), taken without direction: the least node that it is connected to.
+
+    In each round a node takes the least label among its neighbours', and then that label's own
+    label, so that the rounds grow with the logarithm of the longest path.
+    """
+    two = edges.select(*keys, "src", "dst").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = checkpointed(two.distinct())
+    labels = checkpointed(both.groupBy(*keys, F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        at = labels.join(near, [*keys, "node"]).select(*keys, "node", F.col("component").alias("old"), F.least("component", "near").alias("at"))
+        beyond = labels.select(*keys, F.col("node").alias("at"), F.col("component").alias("beyond"))
+        step = checkpointed(at.join(beyond, [*keys, "at"]).select(*keys, "node", "old", F.least("at", "beyond").alias("component")))
+        labels = step.drop("old")
+        if step.where("component <> old").isEmpty():
+            return labels
+
+
 def preorder(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
     """repo, entry_ord, step, depth, node: calls in the order in which they are first met, each node once over all entries of a repo.
 
-    The order depends on all that was visited before, so a repo's graph is walked in one task;
-    repos are walked apart. Entries without a node are passed over.
+    What a walk meets depends on all that was visited before, but only within a connected part of
+    the graph: such a part is walked in one task, apart from all others. Calls of what is no node
+    are passed over, and so are entries without a node.
     """
-    calls = edges.groupBy("repo", "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("calls"))
-    known = nodes.select("repo", F.col("id").alias("src")).join(calls, ["repo", "src"], "left")
+    own = nodes.select("repo", F.col("id").alias("src")).distinct()
+    inner = edges.join(own.withColumnRenamed("src", "dst"), ["repo", "dst"], "left_semi").join(own, ["repo", "src"], "left_semi")
+    part = components(inner, ["repo"]).withColumnRenamed("node", "src")
+    calls = inner.groupBy("repo", "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("calls"))
     starts = entries.select("repo", F.concat_ws("#", "pkg", "symbol").alias("src"), F.col("ord").alias("entry_ord"))
-    rows = known.join(starts, ["repo", "src"], "left")
+    rows = own.join(part, ["repo", "src"], "left").withColumn("component", F.coalesce("component", "src")).join(calls, ["repo", "src"], "left").join(starts, ["repo", "src"], "left")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         targets = {r.src: list(r.calls) if r.calls is not None else [] for r in group.itertuples()}
@@ -60,7 +82,7 @@ def preorder(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFram
             stack, step = [(start.src, 0)], 0
             while stack:
                 node, depth = stack.pop()
-                if node in seen or node not in targets:
+                if node in seen:
                     continue
                 seen.add(node)
                 out.append((start.repo, int(start.entry_ord), step, depth, node))
@@ -68,7 +90,7 @@ def preorder(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFram
                 stack += [(x, depth + 1) for x in reversed(targets[node])]
         return pd.DataFrame(out, columns=["repo", "entry_ord", "step", "depth", "node"])
 
-    return rows.groupBy("repo").applyInPandas(walk, "repo string, entry_ord int, step int, depth int, node string")
+    return rows.groupBy("repo", "component").applyInPandas(walk, "repo string, entry_ord int, step int, depth int, node string")
 
 
 def _lines(df: DataFrame, head: str, text: str) -> DataFrame:

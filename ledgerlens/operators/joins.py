@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import snake, table_names
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the first by order."""
@@ -26,11 +28,16 @@ def under_test(entries: DataFrame, reached: DataFrame, seams: DataFrame) -> Data
     return touching.unionByName(first_wins(alone, ["repo"], ["ord"]))
 
 
-def relevant_tables(tables: DataFrame, constrained: DataFrame, owners: DataFrame, keyed: DataFrame) -> DataFrame:
-    """tables with relevant: constrained, named like an owner in some plural (as it is or in lower case), or with a key column."""
-    wanted = constrained.select("repo", "table").unionByName(owners.select("repo", F.explode("names").alias("table"))).unionByName(keyed.select("repo", "table")).distinct()
+def relevant_tables(tables: DataFrame, constrained: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
+    """tables (repo, table, columns) with relevant: constrained, named like an owner (a type) in some plural, as it is or
+    in lower case, or with a column named like a key in snake case."""
+    named = owners.select("repo", F.explode(table_names(F.col("owner"))).alias("table"))
+    wanted = constrained.select("repo", F.col("table").alias("_form")).unionByName(named.withColumnRenamed("table", "_form")).distinct()
     forms = tables.select("repo", "table", F.explode(F.array_distinct(F.array("table", F.lower("table")))).alias("_form")).distinct()
-    hits = forms.join(wanted.select("repo", F.col("table").alias("_form")), ["repo", "_form"], "left_semi").select("repo", "table").distinct().withColumn("_hit", F.lit(True))
+    by_name = forms.join(wanted, ["repo", "_form"], "left_semi").select("repo", "table")
+    columns = tables.select("repo", "table", F.explode("columns").alias("_column")).select("repo", "table", F.lower("_column").alias("_column")).distinct()
+    by_key = columns.join(keys.select("repo", snake(F.col("name")).alias("_column")).distinct(), ["repo", "_column"], "left_semi").select("repo", "table")
+    hits = by_name.unionByName(by_key).distinct().withColumn("_hit", F.lit(True))
     return tables.join(hits, ["repo", "table"], "left").withColumn("relevant", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ledgerlens.operators.predicates import severity_rank
 
@@ -15,20 +20,41 @@ def case_order(cases: DataFrame) -> DataFrame:
     return cases.withColumn("place", place)
 
 
-def fits(df: DataFrame, keys: list[str], order: list[str], item: str, weight: str, budget: Column) -> DataFrame:
-    """The items that first-fit takes: in order, an item that overflows is passed over and later, smaller ones may still fit.
+def first_fit(df: DataFrame, keys: list[str], order: list[str], weight: str, budget: Column) -> DataFrame:
+    """df with place, taken and spent: in order, what overflows the budget is passed over and later, smaller ones may still fit.
 
-    The fold runs over the items of one key; the array holds only what it needs.
+    spent is what was taken before. A budget of 0 is no limit; place counts from 1. What is taken
+    depends on all that was taken before, so the rows of one key go through one task, in order and
+    one by one; nothing of them is held.
     """
-    row = F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], F.col(item).alias("item"), F.col(weight).alias("weight"))
-    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = dict(df.dtypes)
-    start = F.struct(F.lit(0).cast(kind[weight]).alias("spent"), F.array().cast(f"array<{kind[item]}>").alias("kept"))
+    ready = df.withColumn("_budget", budget.cast("long")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    own = df.columns
+    schema = StructType([*df.schema, StructField("place", LongType()), StructField("taken", BooleanType()), StructField("spent", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        now, spent, place = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more: tuple[list, list, list] = ([], [], [])
+            of = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            for key, w, limit in zip(of, batch.column(weight).to_pylist(), batch.column("_budget").to_pylist(), strict=True):
+                if key != now:
+                    now, spent, place = key, 0, 0
+                place += 1
+                fit = not limit or spent + (w or 0) <= limit
+                for column, x in zip(more, (place, fit, spent), strict=True):
+                    column.append(x)
+                spent += (w or 0) if fit else 0
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *[pa.array(x, f.type) for x, f in zip(more, list(arrow)[-3:], strict=True)]], schema=arrow)
+
+    return ready.mapInArrow(run, schema)
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(acc["spent"] + x["weight"] > budget, acc).otherwise(F.struct((acc["spent"] + x["weight"]).cast(kind[weight]).alias("spent"), F.concat(acc["kept"], F.array(x["item"])).alias("kept")))
 
-    return lists.select(*keys, F.explode(F.aggregate("rows", start, step, lambda acc: acc["kept"])).alias(item))
+def fits(df: DataFrame, keys: list[str], order: list[str], item: str, weight: str, budget: Column) -> DataFrame:
+    """The items that first-fit takes."""
+    return first_fit(df, keys, order, weight, budget).where("taken").select(*keys, item)
 
 
 def trimmed(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: Column, droppable: Column | None = None) -> DataFrame:

@@ -32,9 +32,9 @@ def standings(marks: DataFrame, keys: list[str], mark_column: str = "mark") -> D
 
 
 def roll_up(evidence: DataFrame, answers: DataFrame) -> DataFrame:
-    """The standing of each feature over its answered evidence; features without any are left out."""
+    """The standing of each feature over its answered evidence; features without any are left out. area_ord and ord give their order."""
     marked = evidence.join(answers, "question").withColumn("mark", mark(F.col("verdict"), F.col("holds_when")))
-    return standings(marked, ["repo", "area_ord", "ord", "feature"]).orderBy("repo", "area_ord", "ord")
+    return standings(marked, ["repo", "area_ord", "ord", "feature"])
 
 
 def scores(profile: DataFrame, keys: list[str], rules: list[tuple[str, int, str, Column]]) -> DataFrame:
@@ -52,17 +52,25 @@ def margin(one: Column, other: Column, names: tuple[str, str, str], by: int = 2)
 
 
 def by_count(findings: DataFrame, sites: int = 6) -> DataFrame:
-    """Per repo and id, most frequent first (ties by id): the count, the first title and at most ``sites`` places."""
+    """Per repo and id: the count, the first title, at most ``sites`` places, and its place, the most frequent first (ties by id)."""
     grouped = findings.groupBy("repo", "id").agg(F.count(F.lit(1)).alias("n"), F.min_by("title", F.struct("ord", "title")).alias("title"), F.min_by("severity", F.struct("ord", "severity")).alias("severity"))
     rank = F.row_number().over(Window.partitionBy("repo", "id").orderBy("ord", "place"))
     shown = findings.withColumn("_rank", rank).where(F.col("_rank") <= sites).groupBy("repo", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "place"))), lambda x: x["place"]).alias("places"))
-    return grouped.join(shown, ["repo", "id"]).orderBy("repo", F.desc("n"), "id")
+    return grouped.join(shown, ["repo", "id"]).withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "id")))
 
 
 def severities(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_findings(findings: DataFrame, most: int = 12) -> DataFrame:
+    """Per repo the first findings as they stand (place, severity, id, title), and how many more there are."""
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy("ord", "id", "place"))
+    ranked = findings.withColumn("_rank", rank)
+    shown = F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.struct("_rank", "severity", "id", "title", "place"))))
+    return ranked.groupBy("repo").agg(F.transform(shown, lambda x: x.dropFields("_rank")).alias("findings"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("more"))
+
+
 def seam_summary(seams: DataFrame) -> DataFrame:
     return seams.groupBy("repo").agg(F.count_if("injectable").alias("injectable"), F.count_if(~F.col("injectable")).alias("concrete"))
 
@@ -75,26 +83,26 @@ def proved(seams: DataFrame, findings: DataFrame, machines: DataFrame) -> DataFr
 
 
 def plan_totals(choices: DataFrame, keys: list[str]) -> DataFrame:
-    """What the chosen cost, what the others would have, and the share saved in per cent."""
-    w = weighted(F.col("input"), F.col("output"))
-    total, avoided = F.coalesce(F.sum(F.when(F.col("chosen"), w)), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("chosen"), w)), F.lit(0))
+    """What the chosen cost, what the others would have if asked, and the share saved in per cent."""
+    paid, asked = weighted(F.col("input"), F.col("output")), weighted(F.col("asked_input"), F.col("asked_output"))
+    total, avoided = F.coalesce(F.sum(F.when(F.col("chosen"), paid)), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("chosen"), asked)), F.lit(0))
     saved = F.when(total + avoided == 0, F.lit(0.0)).otherwise(100 * avoided / (total + avoided))
     return choices.groupBy(*keys).agg(total.alias("total"), avoided.alias("avoided"), F.bround(saved, 0).cast("long").alias("saved_percent"))
 
 
 def explained(choices: DataFrame) -> dict[str, DataFrame]:
-    """Three views of a plan: the chosen by kind, the skipped by kind and reason, the trimmable by kind."""
+    """Three views of a plan: the chosen by kind, the skipped by kind and reason, the trimmable by kind. Readers order them."""
     cost = weighted(F.col("input"), F.col("output"))
     by_kind = choices.where("chosen").groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(cost).alias("cost"), F.min_by("why", "ord").alias("why"), F.min_by("method", "ord").alias("method"))
     skipped = choices.where("not chosen").groupBy("repo", "kind", "why").agg(F.count(F.lit(1)).alias("n"))
     trimmable = choices.where("chosen and trimmable > 0").groupBy("repo", "kind").agg(F.sum("trimmable").alias("trimmable"))
-    return {"chosen": by_kind.withColumn("shown", short(F.col("cost"))).orderBy("repo", F.desc("cost"), "kind"), "skipped": skipped, "trimmable": trimmable}
+    return {"chosen": by_kind.withColumn("shown", short(F.col("cost"))), "skipped": skipped, "trimmable": trimmable}
 
 
 def batches(items: DataFrame, keys: list[str], kind: str, order: str, item: str) -> DataFrame:
-    """One row for each kind, in the order in which the kinds are first seen, with its items in order."""
+    """For each of the keys one row a kind, in the order in which the kinds are first seen, with its items in order."""
     grouped = items.groupBy(*keys, kind).agg(F.min(order).alias("ord"), F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda x: x[item]).alias("items"))
-    return grouped.withColumn("batch", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) if keys else F.row_number().over(Window.orderBy("ord")))
+    return grouped.withColumn("batch", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")))
 
 
 def pack_estimate(asks: DataFrame, preamble: Column) -> DataFrame:
@@ -105,7 +113,7 @@ def pack_estimate(asks: DataFrame, preamble: Column) -> DataFrame:
 
 
 def reason_histogram(needs: DataFrame) -> DataFrame:
-    return needs.select("repo", F.explode("reasons").alias("reason")).groupBy("repo", "reason").agg(F.count(F.lit(1)).alias("n")).orderBy("repo", "reason")
+    return needs.select("repo", F.explode("reasons").alias("reason")).groupBy("repo", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fields_of(registry: DataFrame) -> DataFrame:

@@ -8,27 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import cost, text, tristate
-from ledgerlens.operators import graph, joins, predicates, ranking, rollups, sets, state, validation
-from ledgerlens.plans import dims, payments
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from ledgerlens.operators import joins, predicates, ranking, rollups, sets, state, validation
+from ledgerlens.plans import flow_queries  # noqa: F401  registers its queries too
+from ledgerlens.plans.registry import QUERIES, SQL, query, read
+from ledgerlens.sources import files
 
 
 @query("""
@@ -104,25 +87,14 @@ def prefix_trim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    with recursive e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem where l_linenumber = 1 and l_quantity > 45),
-    b as (select src, dst from e union select dst, src from e),
-    r as (select s_nationkey as entry, 's' || s_suppkey as node, 0 as depth from supplier where s_suppkey <= 5
-        union select r.entry, b.dst, r.depth + 1 from r join b on b.src = r.node where r.depth < 3)
-    select entry, node, min(depth) as depth from r group by 1, 2""")
-def reachability(spark: SparkSession, sf: str) -> DataFrame:
-    """What suppliers 1 to 5 reach in three steps over the supplier and part pairs of large first lines; the least depth."""
-    e = read(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity > 45").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seeds = read(spark, sf, "supplier").where("s_suppkey <= 5").select(F.col("s_nationkey").alias("entry"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"))
-    return graph.reachable(both, seeds, ["entry"], depth=3)
-
-
-@query("""
-    with l as (select l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) as rn from lineitem)
+    with l as (select l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_partkey order by s_nationkey, l_orderkey, l_linenumber, l_suppkey) as rn from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal > 0)
     select l_partkey, l_orderkey, l_linenumber, l_suppkey from l where rn = 1""")
 def seam_scope_first_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the lines of each part the first."""
-    return joins.first_wins(read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"])
+    """Lines as call sites of their parts: of those whose supplier is reached (above zero) the first of each part, by nation, then by place."""
+    place = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
+    sites = read(spark, sf, "lineitem").select(F.lit(0).alias("repo"), F.col("l_suppkey").alias("in_id"), F.col("l_partkey").alias("target"), place.alias("ord"))
+    reached = read(spark, sf, "supplier").where("s_acctbal > 0").select(F.lit(0).alias("repo"), F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("entry_ord"))
+    return joins.scoped(sites, reached).select(F.col("target").alias("l_partkey"), "ord.l_orderkey", "ord.l_linenumber", "ord.l_suppkey")
 
 
 @query("""
@@ -235,7 +207,7 @@ def cost_model(spark: SparkSession, sf: str) -> DataFrame:
 def plan_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Per customer: the cost of the open orders, of the others, and the share saved."""
     choices = read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderstatus") != "F").alias("chosen"), (F.col("o_orderkey") % 97).alias("input"), (F.col("o_orderkey") % 31).alias("output"))
-    return rollups.plan_totals(choices, ["repo"])
+    return rollups.plan_totals(choices.select("*", F.col("input").alias("asked_input"), F.col("output").alias("asked_output")), ["repo"])
 
 
 TOPICS = {"law": ["license", "copyright", "version"], "access": ["password", "token", "secret"], "small words": ["the", "with", "que", "und"]}
@@ -325,12 +297,12 @@ def round_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     with f as (select l_suppkey as repo, l_returnflag || l_linestatus as id, l_orderkey * 10 + l_linenumber as ord, l_shipdate, cast(l_partkey as varchar) as place from lineitem),
     s as (select *, row_number() over (partition by repo, id order by ord, place) as r from f)
-    select repo, id, count(*) as n, min(place) filter (where r = 1) as title, list(place order by ord, place) filter (where r <= 6) as places from s group by 1, 2""")
+    select repo, id, count(*) as n, min(place) filter (where r = 1) as title, list(place order by ord, place) filter (where r <= 6) as places, row_number() over (partition by repo order by count(*) desc, id) as place from s group by 1, 2""")
 def findings_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per supplier and kind of line: the count, the first part, and at most six parts."""
     part = F.col("l_partkey").cast("string")
     f = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("repo"), F.concat("l_returnflag", "l_linestatus").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), part.alias("title"), part.alias("place"), F.lit("high").alias("severity"))
-    return rollups.by_count(f).drop("severity")
+    return rollups.by_count(f).drop("severity").withColumn("place", F.col("place").cast("long"))
 
 
 @query("""
@@ -352,14 +324,18 @@ def entries_under_test(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    with w as (select p_type as n from part where p_size = 1 union select split_part(p_type, ' ', 1) || 's' from part)
-    select p_partkey, p_type in (select n from w) as relevant from part""")
+    with p as (select case when p_size % 3 = 0 then split_part(p_name, ' ', 2) || 's' when p_size % 3 = 1 then lower(p_type) || p_size else p_name end as n, lower(p_brand) as col, p_size from part),
+    w as (select unnest(['widget', 'widgets', 'economy1', 'economy1s']) as n union select n from p where p_size > 48)
+    select n as table, n in (select n from w) or bool_or(col in (select 'brand#' || s_nationkey from supplier where s_acctbal > 9900)) as relevant from p group by n""")
 def relevant_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts whose type is wanted by the smallest parts or is the plural of a first word."""
-    part = read(spark, sf, "part").select("p_partkey", F.lit(0).alias("repo"), F.col("p_type").alias("table"), "p_size")
-    owners = part.select("repo", F.array(F.concat(F.substring_index("table", " ", 1), F.lit("s"))).alias("names")).distinct()
-    none = part.where("false").select("repo", "table")
-    return joins.relevant_tables(part, part.where("p_size = 1").select("repo", "table"), owners, none).select("p_partkey", "relevant")
+    """Part names as tables with their brands as columns: constrained (large parts), named like an owner (pkg.Widget, Economy1) or with a column named like a key."""
+    p = F.col("p_size") % 3
+    name = F.when(p == 0, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("s"))).when(p == 1, F.concat(F.lower("p_type"), "p_size")).otherwise(F.col("p_name"))
+    part = read(spark, sf, "part").select(F.lit(0).alias("repo"), name.alias("table"), "p_brand", "p_size")
+    tables = part.groupBy("repo", "table").agg(F.collect_set("p_brand").alias("columns"))
+    owners = spark.createDataFrame([(0, "pkg.Widget"), (0, "Economy1")], "repo int, owner string")
+    keys = read(spark, sf, "supplier").where("s_acctbal > 9900").select(F.lit(0).alias("repo"), F.concat(F.lit("Brand#"), "s_nationkey").alias("name"))
+    return joins.relevant_tables(tables, part.where("p_size > 48").select("repo", "table"), owners, keys).select("table", "relevant")
 
 
 @query("""
@@ -398,7 +374,7 @@ def pending_cases(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     select c_custkey, list_filter([case when c_acctbal < 0 then 'overdrawn' end, case when c_mktsegment = 'BUILDING' then 'building' end, case when c_nationkey < 5 then 'nation ' || c_nationkey end], lambda x: x is not null) as tags,
         concat_ws(', ', case when c_custkey % 2 = 0 then 'primary key' end, case when c_custkey % 3 = 0 and c_custkey % 5 <> 0 then 'not null, no default' when c_custkey % 3 = 0 then 'not null, default ' || c_nationkey when c_custkey % 5 = 0 then 'default ' || c_nationkey end) as note,
-        case when lower(c_mktsegment) like '%float%' then 'float' when lower(c_mktsegment) like '%decimal%' or lower(c_mktsegment) like '%big.rat%' then 'decimal' when lower(c_mktsegment) like '%in%' then 'other' else 'unknown' end as form
+        case when lower(c_mktsegment) like '%float%' then 'float' when lower(c_mktsegment) like '%decimal%' or lower(c_mktsegment) like '%big.rat%' then 'decimal' when lower(c_mktsegment) like '%in%' then 'minor_units_int' else 'unknown' end as form
     from (select * from customer)""")
 def fact_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Labels and notes of customers."""
@@ -406,7 +382,7 @@ def fact_tags(spark: SparkSession, sf: str) -> DataFrame:
     form = predicates.representation(F.regexp_replace(F.lower("c_mktsegment"), "in", "int"))
     return read(spark, sf, "customer").select(
         k, predicates.labels([(F.col("c_acctbal") < 0, "overdrawn"), (F.col("c_mktsegment") == "BUILDING", "building"), (F.col("c_nationkey") < 5, F.concat(F.lit("nation "), F.col("c_nationkey")))]).alias("tags"),
-        predicates.column_note(k % 2 == 0, k % 3 == 0, F.when(k % 5 == 0, F.col("c_nationkey").cast("string"))).alias("note"), F.when(form == "minor_units_int", "other").otherwise(form).alias("form"),
+        predicates.column_note(k % 2 == 0, k % 3 == 0, F.when(k % 5 == 0, F.col("c_nationkey").cast("string"))).alias("note"), form.alias("form"),
     )
 
 
@@ -472,12 +448,12 @@ def question_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    with s as (select l_suppkey as k, list(cast(l_partkey as varchar) order by l_orderkey, l_partkey) as parts from lineitem where l_quantity = 50 group by 1), w as (select s_nationkey as n, list(s_name order by s_suppkey, s_name) as names from supplier group by 1)
+    with s as (select l_suppkey as k, list(cast(l_partkey as varchar) order by l_orderkey, l_partkey) as parts from lineitem group by 1), w as (select s_nationkey as n, list(s_name order by s_suppkey, s_name) as names from supplier group by 1)
     select s_suppkey, array_to_string(coalesce(parts, []), ',') as parts, array_to_string(names, ',') as names from supplier left join s on k = s_suppkey left join w on n = s_suppkey""")
 def step_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers with their largest lines and with the suppliers of the nation of their number, in order."""
+    """Suppliers with their lines and with the suppliers of the nation of their number, in order."""
     nodes = read(spark, sf, "supplier").select(F.lit(0).alias("repo"), F.col("s_suppkey").alias("id"))
-    seams = read(spark, sf, "lineitem").where("l_quantity = 50").select(F.lit(0).alias("repo"), F.col("l_suppkey").alias("in_id"), F.col("l_orderkey").alias("line"), F.col("l_partkey").cast("string").alias("target"))
+    seams = read(spark, sf, "lineitem").select(F.lit(0).alias("repo"), F.col("l_suppkey").alias("in_id"), F.col("l_orderkey").alias("line"), F.col("l_partkey").cast("string").alias("target"))
     writes = read(spark, sf, "supplier").select(F.lit(0).alias("repo"), F.col("s_nationkey").cast("long").alias("in_id"), F.col("s_suppkey").alias("line"), F.col("s_name").alias("to"))
     out = joins.steps(nodes, seams.withColumn("target", F.col("target")), writes)
     text_of = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda x: x[f]), ","), F.lit(""))
@@ -550,6 +526,67 @@ def line_names(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(?m)^([A-Z][a-z]+) "), F.lit(1)))).alias("names"))
 
 
+@query("""
+    select distinct doc_id as repo, unnest(regexp_extract_all(text, '(?m)^([A-Z][a-z]+) ', 1)) as name from documents""")
+def failed_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as test output in which the lines that open with a capitalised word report a failure: the distinct names."""
+    output = read(spark, sf, "documents").select(F.col("doc_id").alias("repo"), F.regexp_replace("text", "(?m)^([A-Z][a-z]+) ", "--- FAIL: $1 ").alias("out"))
+    return rollups.failed_names(output, "out")
+
+
+FINDING_SQL = "select c_nationkey as repo, o_orderkey as ord, o_orderstatus as id, case when o_orderpriority = '1-URGENT' then 'critical' when o_orderpriority = '2-HIGH' then 'high' when o_orderpriority = '3-MEDIUM' then 'medium' else 'info' end as severity, cast(o_custkey as varchar) as place from orders join customer on c_custkey = o_custkey"
+
+
+def order_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as findings in the nation of their customer."""
+    severity = F.when(F.col("o_orderpriority") == "1-URGENT", "critical").when(F.col("o_orderpriority") == "2-HIGH", "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("info")
+    nations = read(spark, sf, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("o_custkey"))
+    place = F.col("o_custkey").cast("string")
+    return read(spark, sf, "orders").join(nations, "o_custkey").select("repo", F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("id"), severity.alias("severity"), place.alias("title"), place.alias("place"))
+
+
+@query(f"""
+    with f as ({FINDING_SQL}), s as (select *, row_number() over (partition by repo order by ord) as r from f)
+    select repo, array_to_string(list(severity || ' ' || id || ' ' || place order by r) filter (where r <= 12), '; ') as findings, greatest(count(*) - 12, 0) as more from s group by 1""")
+def first_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The first twelve findings of each nation, and how many more."""
+    shown = rollups.first_findings(order_findings(spark, sf))
+    return shown.select("repo", F.array_join(F.transform("findings", lambda x: F.concat_ws(" ", x["severity"], x["id"], x["place"])), "; ").alias("findings"), F.col("more").cast("long").alias("more"))
+
+
+@query(f"select repo, severity, count(*) as n from ({FINDING_SQL}) group by 1, 2")
+def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings of each nation by severity."""
+    return rollups.severities(order_findings(spark, sf))
+
+
+@query(f"""
+    with s as (select s_nationkey as repo, count(*) filter (where s_acctbal > 0) as injectable, count(*) filter (where not s_acctbal > 0) as concrete from supplier group by 1),
+    f as (select repo, nullif(count(*) filter (where severity = 'critical'), 0) as critical, nullif(count(*) filter (where severity = 'high'), 0) as high, nullif(count(*) filter (where severity = 'medium'), 0) as medium, nullif(count(*) filter (where severity = 'info'), 0) as info from ({FINDING_SQL}) group by 1),
+    n as (select c_nationkey as repo, list_sort(list_distinct(list(c_mktsegment))) as never_assigned from customer where c_acctbal < -900 group by 1)
+    select coalesce(s.repo, f.repo, n.repo) as repo, injectable, concrete, critical, high, medium, info, never_assigned from s full join f on s.repo = f.repo full join n on n.repo = coalesce(s.repo, f.repo)""")
+def proved_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Per nation: suppliers as boundaries, orders as findings, the segments of deep debtors as states never assigned."""
+    seams = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("repo"), (F.col("s_acctbal") > 0).alias("injectable"))
+    machines = read(spark, sf, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").alias("repo"), F.array("c_mktsegment").alias("never_assigned"))
+    return rollups.proved(seams, order_findings(spark, sf), machines)
+
+
+@query("""
+    with d as (select source as repo, cast(doc_id as varchar) as path, text, lower(text) as low from documents where strlen(text) <= 524288),
+    v as (select unnest([{'t': 'law', 'w': 'license'}, {'t': 'law', 'w': 'copyright'}, {'t': 'access', 'w': 'password'}, {'t': 'access', 'w': 'token'}, {'t': 'access', 'w': 'secret'}, {'t': 'small words', 'w': 'with'}, {'t': 'small words', 'w': 'und'}]) as v),
+    h as (select repo, path, v.t as topic, sum((strlen(low) - strlen(replace(low, v.w, ''))) // strlen(v.w)) as n from d cross join v where contains(low, v.w) group by 1, 2, 3),
+    s as (select repo, path, cast(sum(n + case when n >= 5 then 5 else 0 end) as bigint) as score, list_sort(list(topic)) as topics from h group by 1, 2),
+    r as (select *, row_number() over (partition by repo order by score desc, path) as rank from s)
+    select repo, path, score, topics, rank from r where rank <= 8""")
+def scored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight documents of each source that say most of three topics."""
+    words = {"law": ["license", "copyright"], "access": ["password", "token", "secret"], "small words": ["with", "und"]}
+    topics = spark.createDataFrame([(t, w) for t, ws in words.items() for w in ws], "topic string, word string")
+    docs = read(spark, sf, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), "text")
+    return files.scored_documents(docs, topics).select("repo", "path", "score", "topics", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""
     with last as (select conv_id, role, arg_max(text, turn) as text from conversations where length(trim(text)) > 0 group by 1, 2) select conv_id, role, md5(text) as digest from last""")
 def applied_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -560,95 +597,6 @@ def applied_answers(spark: SparkSession, sf: str) -> DataFrame:
     return fresh.select(F.col("repo").alias("conv_id"), F.col("kind").alias("role"), F.md5("text").alias("digest"))
 
 
-def flow_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Flow tables by analogy, a repo for each nation: suppliers are entries, customers nodes, orders boundaries."""
-    repo = F.concat(F.lit("n"), "n_nationkey")
-    nation = read(spark, sf, "nation")
-    customers = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("repo"), "c_custkey", "c_acctbal", "c_mktsegment")
-    suppliers = read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("repo"), "s_suppkey", "s_acctbal")
-    kinds = F.element_at(F.array(*[F.lit(k) for k in ("http", "db", "queue", "clock", "random")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    orders = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    pattern = F.element_at(F.array(*[F.lit(k) for k in ("insert_only", "update_in_place", "upsert")]), F.col("n_nationkey") % 3 + 1)
-    skipped = F.when(F.col("n_nationkey") % 4 == 0, F.create_map(F.lit("LOST-UPDATE"), F.lit("by rule")))
-    return {
-        "flows": nation.select(repo.alias("repo"), (F.col("n_regionkey") == 1).alias("tenant_scheme"), (F.col("n_nationkey") % 2).alias("hash_chains"), F.array(pattern).alias("patterns"), skipped.alias("skipped")),
-        "entries": suppliers.where("s_acctbal > 4000").select("repo", "s_suppkey"),
-        "nodes": customers.select("repo", (F.col("c_acctbal") > 9900).alias("handles_money"), (F.col("c_acctbal") < -950).alias("opens_tx"), ((F.col("c_acctbal") > 0) & (F.col("c_acctbal") < 100)).alias("spawns_goroutine")),
-        "seams": orders.where("o_orderkey % 11 = 0 and c_acctbal > 5000").select("repo", kinds.alias("kind"), ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 3 == 0)).alias("injectable")),
-        "machines": customers.where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select("repo"),
-        "facts": nation.select(repo.alias("repo"), F.when(F.col("n_nationkey") % 2 == 0, "Money").alias("money_type"), F.when(F.col("n_nationkey") % 3 == 0, "Balance").alias("balance_func"), F.lit(None).cast("string").alias("transfer_func"), F.when(F.col("n_nationkey") % 5 != 0, "key").alias("idempotency_key"), (F.col("n_regionkey") > 1).alias("known")),
-    }
-
-
-def flow_cases(spark: SparkSession, sf: str) -> DataFrame:
-    t = flow_tables(spark, sf)
-    return ranking.case_order(payments.cases(payments.profile(t["flows"], t["entries"], t["nodes"], t["seams"], t["machines"], t["facts"])))
-
-
-def _cases_sql() -> str:
-    quoted = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]::varchar[]"
-    lines = []
-    for k, (i, _, severity, _, techniques, needs) in enumerate(dims.rows(dims.SCENARIOS)):
-        plain = [x for x in needs.split() if ":" not in x]
-        lines.append(f"({k}, '{i}', '{severity}', {quoted(techniques.split())}, {quoted(plain)}, {quoted(sorted(x[5:] for x in needs.split() if x.startswith('seam:')))}, {quoted(x[6:] for x in needs.split() if x.startswith('write:'))})")
-    need = lambda x: f"list_contains(needs, '{x}')"
-    return f"""
-        with sc(ord, scenario, severity, techniques, needs, seams, writes) as (values {", ".join(lines)}),
-        c as (select c_nationkey as n, bool_or(c_acctbal > 9900) as money, bool_or(c_acctbal < -950) as tx, bool_or(c_acctbal > 0 and c_acctbal < 100) as go, bool_or(c_mktsegment = 'BUILDING' and c_acctbal > 9000) as machine from customer group by 1),
-        s as (select s_nationkey as n, count(*) filter (where s_acctbal > 4000) as entries from supplier group by 1),
-        o as (select c_nationkey as n, list_distinct(list(['http', 'db', 'queue', 'clock', 'random'][o_orderkey % 5 + 1])) as kinds, bool_or(o_orderpriority = '1-URGENT' and o_orderkey % 3 = 0) as inj from orders join customer on o_custkey = c_custkey where o_orderkey % 11 = 0 and c_acctbal > 5000 group by 1),
-        p as (select n_nationkey as n, n_regionkey = 1 as tenant, n_nationkey % 2 as chains, ['insert_only', 'update_in_place', 'upsert'][n_nationkey % 3 + 1] as pattern, n_nationkey % 4 = 0 as skip, n_regionkey > 1 as known, n_nationkey % 2 = 0 as mt, n_nationkey % 3 = 0 as bf, n_nationkey % 5 <> 0 as key,
-            coalesce(money, false) as money, coalesce(tx, false) as tx, coalesce(go, false) as go, coalesce(machine, false) as machine, coalesce(entries, 0) as entries, coalesce(kinds, []::varchar[]) as kinds, coalesce(inj, false) as inj
-            from nation left join c on c.n = n_nationkey left join s on s.n = n_nationkey left join o on o.n = n_nationkey),
-        b as (select p.*, sc.*, case when skip and scenario = 'LOST-UPDATE' then 'skipped by rule: by rule' when known and {need('balance')} and not bf then 'no balance function' when known and {need('transfer')} then 'no transfer function'
-            when known and {need('key')} and not key then 'no idempotency key' when known and {need('money')} and not mt then 'no money type and no transfer function' when {need('machine')} and not machine then 'no state machine'
-            when {need('entries')} and entries < 2 then 'fewer than two entries' when {need('money')} and not known and not money then 'no money in reach' when {need('tx')} and not tx then 'no transaction' when {need('goroutine')} and not go then 'no goroutine'
-            when len(seams) > 0 and not list_has_any(seams, kinds) then 'no boundary of kind ' || array_to_string(seams, ' or ') when len(writes) > 0 and not list_contains(writes, pattern) then 'no table written by ' || array_to_string(writes, ' or ')
-            when {need('injectable')} and not inj then 'no replaceable boundary' when {need('tenant')} and not tenant then 'no tenant column' when {need('hash_chain')} and chains = 0 then 'no hash chain' end as why from p cross join sc),
-        t as (select *, list_filter(techniques, lambda x: inj or x <> 'faultInjection') as left_over from b),
-        r as (select 'n' || n as repo, ord, scenario, severity, case when why is null then left_over[1] end as technique, case when why is null and len(left_over) = 0 then 'no technique is possible' else why end as blocked,
-            case when why is null and len(left_over) > 0 then case when {need('database')} or left_over[1] = 'narrowIntegration' then 'medium' else 'small' end end as size from t)
-        select repo, scenario, technique, size, blocked, row_number() over (partition by repo order by blocked is not null, case when severity = 'critical' then 0 else 1 end, ord) as place from r"""
-
-
-@query(_cases_sql())
-def payment_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole catalogue over each nation's flow tables: why a scenario is blocked or how it is tested, in order."""
-    return flow_cases(spark, sf).select("repo", "scenario", "technique", "size", "blocked", F.col("place").cast("long").alias("place"))
-
-
-@query(f"""
-    with cases as ({_cases_sql()}), d as (select repo, count(*) filter (where blocked is null) as runnable, bool_or(blocked is null and scenario like 'IDEM%') as key, bool_or(blocked is null and scenario like '%MONEY%') as money from cases group by 1),
-    a as (select 'n' || c_nationkey as repo, o_orderkey as ord, ['moneyModel', 'mainEntity', 'questions', 'other'][o_orderkey % 4 + 1] as kind, repeat(o_orderpriority, cast(o_orderkey % 9 + 1 as int)) as prompt from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0),
-    w as (select a.*, runnable, case when kind = 'moneyModel' and not coalesce(money, false) or kind = 'mainEntity' and not coalesce(key, false) then false else true end as chosen,
-        strlen(prompt) // 4 as input, case kind when 'moneyModel' then 77 * 10 when 'mainEntity' then 128 * 8 when 'questions' then 40 * 2 else 40 end as out from a left join d using (repo))
-    select repo, ord, kind, chosen, case when chosen then input + 5 * out else 0 end as weighted, cast(case when kind in ('moneyModel', 'mainEntity') and chosen then runnable else 1 end as bigint) as value from w""")
-def ask_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Which asks the runnable cases of each nation call for, and what they cost and are worth."""
-    cases = flow_cases(spark, sf)
-    runnable = F.col("blocked").isNull()
-    seen = cases.select("repo", runnable.alias("runnable"), "scenario", "technique", F.col("scenario").contains("MONEY").alias("needs_money"), F.col("scenario").startswith("IDEM").alias("needs_key"))
-    customers = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("repo"), F.col("c_custkey").alias("o_custkey"))
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("moneyModel", "mainEntity", "questions", "other")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    asks = read(spark, sf, "orders").where("o_orderkey % 5 = 0").join(customers, "o_custkey").select("repo", F.col("o_orderkey").alias("ord"), kind.alias("kind"), F.lit("").alias("subject"), F.expr("repeat(o_orderpriority, cast(o_orderkey % 9 + 1 as int))").alias("prompt"), F.lit(0).alias("asks"), F.lit(0).alias("output"), F.lit(False).alias("settled"))
-    none = cases.where("false")
-    plan = payments.decided(asks, rollups.demand(seen), none.select("repo", F.col("scenario").alias("target"), F.array("scenario").alias("scenarios")), none.select("repo", F.col("scenario").alias("machine"), F.array("scenario").alias("scenarios")))
-    value = F.when(F.col("kind").isin("moneyModel", "mainEntity") & ~F.col("chosen"), 1).otherwise(F.col("value")).cast("long")
-    return plan.select("repo", "ord", "kind", "chosen", F.col("weighted").cast("long").alias("weighted"), value.alias("value"))
-
-
-@query()
-def call_preorder(spark: SparkSession, sf: str) -> DataFrame:
-    """Per nation: suppliers and the parts of their largest first lines, in the order in which a walk from each supplier meets them."""
-    lines = read(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity >= 48")
-    owner = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("n"), "s_nationkey").alias("repo"))
-    pairs = lines.join(owner, "l_suppkey").select("repo", F.concat(F.lit("s#"), "l_suppkey").alias("s"), F.concat(F.lit("p#"), "l_partkey").alias("p"), "l_orderkey", "l_suppkey").distinct()
-    edges = pairs.select("repo", F.col("s").alias("src"), F.col("p").alias("dst"), F.col("l_orderkey").alias("ord")).unionByName(pairs.select("repo", F.col("p").alias("src"), F.col("s").alias("dst"), F.col("l_suppkey").alias("ord")))
-    nodes = edges.select("repo", F.col("src").alias("id")).distinct()
-    entries = pairs.select("repo", F.col("l_suppkey").cast("int").alias("ord"), F.lit("s").alias("pkg"), F.col("l_suppkey").cast("string").alias("symbol")).distinct()
-    return graph.preorder(nodes, entries, edges)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -73,62 +73,62 @@ entity.key_bound_to_request | entity | +IDEM-PAYLOAD-MISMATCH.rejects | IDEM-PAY
 entity.failure_is_replayed | entity | +IDEM-REPLAY.replays_failures | IDEM-REPLAY FAILURE-IS-NOT-TERMINAL
 """
 
-#: kind | scenarios
+#: axis | kind | scenarios
 KIND_SCENARIOS = """
-spine.double_entry | DOUBLE-ENTRY-SUMS-TO-ZERO CONSERVATION-UNDER-CONCURRENCY LEDGER-OUTSIDE-CALLER-TRANSACTION LOST-UPDATE
-spine.wallet | CONSERVATION-UNDER-CONCURRENCY LOST-UPDATE MONEY-ROUND-TRIP-EXACT BALANCE-NEVER-NEGATIVE TRANSFER-IS-ATOMIC SELF-TRANSFER-REFUSED BALANCE-LIMIT-ENFORCED WALLET-STATUS-GATES-MOVEMENT
-spine.stateless | TIMEOUT-UNKNOWN-OUTCOME ASYNC-RESPONSE-BEFORE-DURABILITY UNCLASSIFIED-ERROR-NOT-RETRIED
-motion.one_shot | IDEM-REPLAY IDEM-CONCURRENT IDEM-CRASH-AT-STEP
-motion.auth_capture | ORPHANED-AUTHORIZATION FINAL-STATE-IS-FINAL ILLEGAL-TRANSITION-REFUSED
-motion.subscription | IDEM-REPLAY IDEM-PAYLOAD-MISMATCH
-motion.usage_billing | MONEY-ROUND-TRIP-EXACT SPLIT-SUMS-TO-TOTAL
-motion.topup | TIMEOUT-UNKNOWN-OUTCOME IDEM-REPLAY FAILURE-IS-NOT-TERMINAL
-motion.voucher | IDEM-REPLAY FINAL-STATE-IS-FINAL
-motion.payout | TIMEOUT-UNKNOWN-OUTCOME FINAL-STATE-IS-FINAL IDEM-CRASH-AT-STEP
-motion.marketplace | SPLIT-SUMS-TO-TOTAL CONSERVATION-UNDER-CONCURRENCY
-motion.escrow | FINAL-STATE-IS-FINAL ILLEGAL-TRANSITION-REFUSED
-motion.installments | SPLIT-SUMS-TO-TOTAL IDEM-REPLAY
-overlay.refund_reversal | FINAL-STATE-IS-FINAL FAILURE-IS-NOT-TERMINAL MONEY-ROUND-TRIP-EXACT
-overlay.reconciliation | RECONCILER-IS-IDEMPOTENT AT-LEAST-ONCE-DELIVERY-IS-SAFE WEBHOOK-ORDER-INDEPENDENT
-overlay.fx | CURRENCY-MIXING-REFUSED MINOR-UNIT-CONVERSION MONEY-ROUND-TRIP-EXACT
+spine | double_entry | DOUBLE-ENTRY-SUMS-TO-ZERO CONSERVATION-UNDER-CONCURRENCY LEDGER-OUTSIDE-CALLER-TRANSACTION LOST-UPDATE
+spine | wallet | CONSERVATION-UNDER-CONCURRENCY LOST-UPDATE MONEY-ROUND-TRIP-EXACT BALANCE-NEVER-NEGATIVE TRANSFER-IS-ATOMIC SELF-TRANSFER-REFUSED BALANCE-LIMIT-ENFORCED WALLET-STATUS-GATES-MOVEMENT
+spine | stateless | TIMEOUT-UNKNOWN-OUTCOME ASYNC-RESPONSE-BEFORE-DURABILITY UNCLASSIFIED-ERROR-NOT-RETRIED
+motion | one_shot | IDEM-REPLAY IDEM-CONCURRENT IDEM-CRASH-AT-STEP
+motion | auth_capture | ORPHANED-AUTHORIZATION FINAL-STATE-IS-FINAL ILLEGAL-TRANSITION-REFUSED
+motion | subscription | IDEM-REPLAY IDEM-PAYLOAD-MISMATCH
+motion | usage_billing | MONEY-ROUND-TRIP-EXACT SPLIT-SUMS-TO-TOTAL
+motion | topup | TIMEOUT-UNKNOWN-OUTCOME IDEM-REPLAY FAILURE-IS-NOT-TERMINAL
+motion | voucher | IDEM-REPLAY FINAL-STATE-IS-FINAL
+motion | payout | TIMEOUT-UNKNOWN-OUTCOME FINAL-STATE-IS-FINAL IDEM-CRASH-AT-STEP
+motion | marketplace | SPLIT-SUMS-TO-TOTAL CONSERVATION-UNDER-CONCURRENCY
+motion | escrow | FINAL-STATE-IS-FINAL ILLEGAL-TRANSITION-REFUSED
+motion | installments | SPLIT-SUMS-TO-TOTAL IDEM-REPLAY
+overlay | refund_reversal | FINAL-STATE-IS-FINAL FAILURE-IS-NOT-TERMINAL MONEY-ROUND-TRIP-EXACT
+overlay | reconciliation | RECONCILER-IS-IDEMPOTENT AT-LEAST-ONCE-DELIVERY-IS-SAFE WEBHOOK-ORDER-INDEPENDENT
+overlay | fx_conversion | CURRENCY-MIXING-REFUSED MINOR-UNIT-CONVERSION MONEY-ROUND-TRIP-EXACT
 """
-#: kind | overlays that are expected with it
+#: axis | kind | overlays that are expected with it
 EXPECTED_OVERLAYS = """
-motion.topup | overlay.refund_reversal overlay.reconciliation
-motion.one_shot | overlay.refund_reversal
-motion.auth_capture | overlay.refund_reversal
-motion.payout | overlay.reconciliation
-motion.marketplace | overlay.refund_reversal
-spine.double_entry | overlay.reconciliation
+motion | topup | refund_reversal reconciliation
+motion | one_shot | refund_reversal
+motion | auth_capture | refund_reversal
+motion | payout | reconciliation
+motion | marketplace | refund_reversal
+spine | double_entry | reconciliation
 """
-#: kind | weight | a test: any of the tables, columns, symbols or states, with & for several and ! for none
+#: axis | kind | weight | a test: any of the tables, columns, symbols or states, with & for several and ! for none
 SIGNALS = """
-spine.double_entry | 3 | table: entries postings ledger_entries journal_entries book_entries
-spine.double_entry | 3 | table: accounts ledger_accounts books & column: normal_side account_type side direction
-spine.double_entry | 3 | symbol: assertbalanced postentries posttransaction balancedlegs
-spine.double_entry | 2 | column: debit credit debit_amount credit_amount
-spine.wallet | 3 | column: balance balance_cents credits points wallet_balance available_balance blocked_balance pending_balance
-spine.wallet | 2 | table: wallets wallet balances user_balances
-spine.wallet | 2 | symbol: deductbalance addbalance creditwallet debitwallet updatebalance chargewallet coretransfer singletransfer deposit withdraw topup reclaim ensurewallet
-motion.topup | 4 | column: phone phone_number msisdn mobile meter_number decoder_number smartcard subscriber beneficiary sim sim_type
-motion.topup | 2 | column: operator_id biller_code product_code item_code bundle denomination plan_id charge_type purchase_type service_code package product
-motion.topup | 2 | symbol: recharge topup airtime getstatus get_status requery inquiry
-motion.topup | 3 | column: provider_trace_id rrn stan tid provider_ref external_ref & symbol: status inquiry retry requery
-motion.topup | 2 | column: price amount & column: base_price discount commission markup face_value delivered_amount payment_price
-motion.auth_capture | 4 | column: captured_at authorized_amount captured_amount amount_captured authorization_id auth_code
-motion.auth_capture | 2 | symbol: capture void authorize & !symbol: capturelog
-motion.subscription | 4 | table: subscriptions plans invoices or column: billing_cycle_anchor current_period_end trial_end
-motion.usage_billing | 4 | table: usage_events meter_events usage_records or column: metered usage_quantity
-motion.voucher | 4 | table: vouchers gift_cards codes pins or column: voucher_code redeemed_at initial_value
-motion.payout | 4 | table: payouts disbursements withdrawals transfers_out or symbol: payout disburse withdraw
-motion.marketplace | 3 | table: splits seller_transfers sub_merchants
-motion.marketplace | 3 | column: platform_fee application_fee seller_amount
-motion.marketplace | 2 | column: seller_id merchant_id vendor_id
-motion.escrow | 4 | table: holds escrows reservations or column: held_amount pending_balance reserved_amount hold_expires_at
-motion.installments | 4 | table: installments instalments schedules repayments or column: installment_number due_date principal interest
-overlay.refund_reversal | 4 | symbol: refund reverse reversal chargeback dispute cancel or state: REFUND REFUNDED REVERSED CHARGEBACK or table: refunds reversals disputes
-overlay.reconciliation | 4 | symbol: reconcile reconciliation settlement settle or table: settlements reconciliations or column: retry_config retry_cron_input inquiry_cron_input or symbol: cron task job sweep & symbol: status retry inquiry
-overlay.fx | 3 | column: currency fx_rate exchange_rate base_currency target_currency & currencies
+spine | double_entry | 3 | table: entries postings ledger_entries journal_entries book_entries
+spine | double_entry | 3 | table: accounts ledger_accounts books & column: normal_side account_type side direction
+spine | double_entry | 3 | symbol: assertbalanced postentries posttransaction balancedlegs
+spine | double_entry | 2 | column: debit credit debit_amount credit_amount
+spine | wallet | 3 | column: balance balance_cents credits points wallet_balance available_balance blocked_balance pending_balance
+spine | wallet | 2 | table: wallets wallet balances user_balances
+spine | wallet | 2 | symbol: deductbalance addbalance creditwallet debitwallet updatebalance chargewallet coretransfer singletransfer deposit withdraw topup reclaim ensurewallet
+motion | topup | 4 | column: phone phone_number msisdn mobile meter_number decoder_number smartcard subscriber beneficiary sim sim_type
+motion | topup | 2 | column: operator_id biller_code product_code item_code bundle denomination plan_id charge_type purchase_type service_code package product
+motion | topup | 2 | symbol: recharge topup airtime getstatus get_status requery inquiry
+motion | topup | 3 | column: provider_trace_id rrn stan tid provider_ref external_ref & symbol: status inquiry retry requery
+motion | topup | 2 | column: price amount & column: base_price discount commission markup face_value delivered_amount payment_price
+motion | auth_capture | 4 | column: captured_at authorized_amount captured_amount amount_captured authorization_id auth_code
+motion | auth_capture | 2 | symbol: capture void authorize & !symbol: capturelog
+motion | subscription | 4 | table: subscriptions plans invoices or column: billing_cycle_anchor current_period_end trial_end
+motion | usage_billing | 4 | table: usage_events meter_events usage_records or column: metered usage_quantity
+motion | voucher | 4 | table: vouchers gift_cards codes pins or column: voucher_code redeemed_at initial_value
+motion | payout | 4 | table: payouts disbursements withdrawals transfers_out or symbol: payout disburse withdraw
+motion | marketplace | 3 | table: splits seller_transfers sub_merchants
+motion | marketplace | 3 | column: platform_fee application_fee seller_amount
+motion | marketplace | 2 | column: seller_id merchant_id vendor_id
+motion | escrow | 4 | table: holds escrows reservations or column: held_amount pending_balance reserved_amount hold_expires_at
+motion | installments | 4 | table: installments instalments schedules repayments or column: installment_number due_date principal interest
+overlay | refund_reversal | 4 | symbol: refund reverse reversal chargeback dispute cancel or state: REFUND REFUNDED REVERSED CHARGEBACK or table: refunds reversals disputes
+overlay | reconciliation | 4 | symbol: reconcile reconciliation settlement settle or table: settlements reconciliations or column: retry_config retry_cron_input inquiry_cron_input or symbol: cron task job sweep & symbol: status retry inquiry
+overlay | fx_conversion | 3 | column: currency fx_rate exchange_rate base_currency target_currency & currencies
 """
 #: topic | words
 DOC_TOPICS = """
@@ -188,11 +188,11 @@ def evidence(spark: SparkSession) -> DataFrame:
 
 
 def kind_scenarios(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, s) for k, ss in rows(KIND_SCENARIOS) for s in ss.split()], "kind string, scenario string")
+    return spark.createDataFrame([(k, s) for _, k, ss in rows(KIND_SCENARIOS) for s in ss.split()], "kind string, scenario string")
 
 
 def expected_overlays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, s) for k, ss in rows(EXPECTED_OVERLAYS) for s in ss.split()], "kind string, overlay string")
+    return spark.createDataFrame([(k, s) for _, k, ss in rows(EXPECTED_OVERLAYS) for s in ss.split()], "kind string, overlay string")
 
 
 def doc_topics(spark: SparkSession) -> DataFrame:

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.cost import density, input_tokens, output_tokens, weighted
+from ledgerlens.functions.cost import density, input_tokens, output_tokens, short, weighted
 from ledgerlens.functions.text import any_of, any_within
-from ledgerlens.operators.predicates import exists_per, first_allowed, first_reason
+from ledgerlens.operators.predicates import exists_per, first_allowed, first_reason, runnable
+from ledgerlens.operators.ranking import best, first_fit, lifecycle_score
 from ledgerlens.operators.rollups import margin, scores
 from ledgerlens.plans import dims
 
@@ -106,23 +107,25 @@ def signal(test: str) -> Column:
 
 def classified(facts: DataFrame, machines: DataFrame) -> DataFrame:
     """Per repo: its spine and whether that is unsure, its motions (score 4 or more; by score, then name) and its overlays."""
-    rules = [(kind, int(weight), test, signal(test)) for kind, weight, test in dims.rows(dims.SIGNALS)]
-    scored = scores(facts, ["repo"], rules)
-    of = lambda axis, least: F.transform(F.array_sort(F.collect_list(F.when(F.col("type").startswith(axis) & (F.col("score") >= least), F.struct(-F.col("score"), "type")))), lambda x: x["type"])
-    point = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("score"))), F.lit(0))
-    grouped = scored.groupBy("repo").agg(point("spine.double_entry").alias("double_entry"), point("spine.wallet").alias("wallet"), of("motion.", 4).alias("motions"), of("overlay.", 1).alias("overlays"))
+    rules = [(f"{axis} {kind}", int(weight), test, signal(test)) for axis, kind, weight, test in dims.rows(dims.SIGNALS)]
+    scored = scores(facts, ["repo"], rules).select("repo", F.substring_index("type", " ", 1).alias("axis"), F.substring_index("type", " ", -1).alias("kind"), "score")
+    of = lambda axis, least: F.transform(F.array_sort(F.collect_list(F.when((F.col("axis") == axis) & (F.col("score") >= least), F.struct(-F.col("score"), "kind")))), lambda x: x["kind"])
+    point = lambda kind: F.coalesce(F.sum(F.when((F.col("axis") == "spine") & (F.col("kind") == kind), F.col("score"))), F.lit(0))
+    grouped = scored.groupBy("repo").agg(point("double_entry").alias("double_entry"), point("wallet").alias("wallet"), of("motion", 4).alias("motions"), of("overlay", 1).alias("overlays"))
     every = facts.select("repo").join(grouped, "repo", "left").join(machines.select("repo").distinct().withColumn("stateful", F.lit(True)), "repo", "left")
     zero, empty = F.lit(0), F.array().cast("array<string>")
-    spine, unsure = margin(F.coalesce("double_entry", zero), F.coalesce("wallet", zero), ("spine.double_entry", "spine.wallet", "spine.stateless"))
+    spine, unsure = margin(F.coalesce("double_entry", zero), F.coalesce("wallet", zero), ("double_entry", "wallet", "stateless"))
     motions = F.coalesce("motions", empty)
-    motions = F.when((F.size(motions) == 0) & F.col("stateful"), F.array(F.lit("motion.one_shot"))).otherwise(motions)
+    motions = F.when((F.size(motions) == 0) & F.col("stateful"), F.array(F.lit("one_shot"))).otherwise(motions)
     return every.select("repo", spine.alias("spine"), unsure.alias("unsure"), motions.alias("motions"), F.coalesce("overlays", empty).alias("overlays"))
 
 
 def decided(asks: DataFrame, demands: DataFrame, by_seam: DataFrame, by_state: DataFrame) -> DataFrame:
     """Whether and how each ask is put, what it costs and what it is worth.
 
-    Kinds without registered fields are kept; those that no runnable scenario needs are skipped.
+    Kinds without registered fields are kept, at the price of one open field whatever they say of
+    their output; those that no runnable scenario needs are skipped. input and output are what is
+    paid, 0 for what is skipped; asked_input and asked_output are the price of asking for all fields openly.
     """
     fields = F.broadcast(dims.answer_fields(asks.sparkSession).groupBy(F.substring_index("path", ".", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n_fields"), F.count_if(F.col("use") == "live").alias("n_live")))
     joined = asks.join(fields, "kind", "left").join(demands.select("repo", "runnable", "money", "main_entity"), "repo", "left")
@@ -131,15 +134,48 @@ def decided(asks: DataFrame, demands: DataFrame, by_seam: DataFrame, by_state: D
     kind, no = F.col("kind"), F.lit(False)
     registered = F.col("n_fields").isNotNull()
     why = F.when(~registered, "not registered").when(F.col("n_live") == 0, "nothing reads it")
-    why = why.when((kind == "externalEffect") & F.col("seam_worth").isNull(), "no runnable scenario touches this seam").when((kind == "stateRoles") & F.col("state_worth").isNull(), "no runnable scenario uses this machine")
-    why = why.when((kind == "moneyModel") & ~F.coalesce("money", no), "no runnable scenario needs the money model").when((kind == "mainEntity") & ~F.coalesce("main_entity", no), "no runnable scenario needs a key")
+    why = why.when((kind == "externalEffect") & F.col("seam_worth").isNull(), "seam not in demand").when((kind == "stateRoles") & F.col("state_worth").isNull(), "machine not in demand")
+    why = why.when((kind == "moneyModel") & ~F.coalesce("money", no), "money model not in demand").when((kind == "mainEntity") & ~F.coalesce("main_entity", no), "key not in demand")
     skip = registered & why.isNotNull()
     method = F.when(skip, "skip").when(registered & ((kind == "externalEffect") | ((kind == "moneyModel") & F.col("settled"))), "verify").otherwise("open")
-    value = F.when(kind == "externalEffect", F.col("seam_worth")).when(kind == "stateRoles", F.col("state_worth")).when(kind.isin("moneyModel", "mainEntity"), F.col("runnable")).otherwise(1)
+    value = F.when(kind == "externalEffect", F.col("seam_worth")).when(kind == "stateRoles", F.col("state_worth")).when(kind.isin("moneyModel", "mainEntity"), F.col("runnable"))
+    value = F.when(skip, 1).otherwise(F.coalesce(value, F.lit(1))).cast("long")
     n = F.when(~registered, 1).when(F.col("asks") < 1, F.col("n_fields")).otherwise(F.col("asks"))
-    out = joined.withColumn("why", F.coalesce(why, F.concat(F.col("n_live"), F.lit(" fields read")))).withColumn("method", method).withColumn("chosen", ~skip).withColumn("value", F.coalesce(value, F.lit(0)).cast("long"))
-    own = F.when(F.col("output") > 0, F.col("output").cast("long")).otherwise(output_tokens(kind, F.col("method"), n))
-    priced = out.withColumn("input", F.when(F.col("chosen"), input_tokens(F.col("prompt"))).otherwise(0)).withColumn("out_tokens", F.when(F.col("chosen"), own).otherwise(0))
+    out = joined.withColumn("why", F.coalesce(why, F.concat(F.col("n_live"), F.lit(" fields read")))).withColumn("method", method).withColumn("chosen", ~skip).withColumn("value", value)
+    own = F.when(registered & (F.col("output") > 0), F.col("output").cast("long")).otherwise(output_tokens(kind, F.col("method"), n))
+    asked = input_tokens(F.col("prompt"))
+    priced = out.withColumn("input", F.when(F.col("chosen"), asked).otherwise(0)).withColumn("out_tokens", F.when(F.col("chosen"), own).otherwise(0))
     trim = F.when(F.col("chosen") & (F.col("output") == 0) & (n > F.col("n_live")), output_tokens(kind, F.col("method"), n - F.col("n_live"))).otherwise(0)
     cost = weighted(F.col("input"), F.col("out_tokens"))
-    return priced.select("repo", "ord", "kind", "subject", "method", "why", "chosen", "value", "input", F.col("out_tokens").alias("output"), trim.alias("trimmable"), cost.alias("weighted"), density(F.col("value"), cost).alias("rank"))
+    return priced.select(
+        "repo", "ord", "kind", "subject", "method", "why", "chosen", "value", "input", F.col("out_tokens").alias("output"), trim.alias("trimmable"), cost.alias("weighted"), density(F.col("value"), cost).alias("rank"),
+        asked.alias("asked_input"), output_tokens(kind, F.lit("open"), F.coalesce("n_fields", F.lit(0))).alias("asked_output"),
+    )
+
+
+def planned(choices: DataFrame, budgets: DataFrame) -> DataFrame:
+    """The choices of decided with place, within the budget (repo, budget) of their repo; 0 or none is no limit.
+
+    Chosen asks come first, by worth for their weight, then as they stand. First-fit takes them in
+    that order; one that overflows stays as skipped, keeping its price, and later ones may still fit.
+    """
+    ranked = choices.join(budgets.select("repo", F.coalesce("budget", F.lit(0)).cast("long").alias("budget")), "repo", "left")
+    keyed = ranked.withColumn("_after", (~F.col("chosen")).cast("int")).withColumn("_worth", -F.col("rank"))
+    counted = F.when(F.col("chosen"), F.col("weighted")).otherwise(0)
+    fit = first_fit(keyed.withColumn("_weight", counted), ["repo"], ["_after", "_worth", "ord"], "_weight", F.coalesce("budget", F.lit(0)))
+    over = F.col("chosen") & ~F.col("taken")
+    why = F.concat(F.lit("over the budget of "), short(F.col("budget")), F.lit(", of which "), short(F.col("spent")), F.lit(" is spent"))
+    out = fit.withColumn("why", F.when(over, why).otherwise(F.col("why"))).withColumn("method", F.when(over, "skip").otherwise(F.col("method"))).withColumn("chosen", F.col("chosen") & F.col("taken"))
+    return out.drop("_after", "_worth", "_weight", "taken", "spent", "budget")
+
+
+def best_machine(machines: DataFrame, roles: DataFrame) -> DataFrame:
+    """Per repo the machine (repo, ord, type, states) to test: of those with two states or more the one with the
+    greatest lifecycle score of its roles (repo, type, roles), the first on ties."""
+    scored = machines.where(F.size("states") >= 2).join(roles, ["repo", "type"], "left").withColumn("lifecycle", lifecycle_score(F.col("roles")))
+    return best(scored, ["repo"], F.col("lifecycle"), "ord", "type")
+
+
+def in_round_two(cases: DataFrame) -> DataFrame:
+    """The asks of the second round: one for each runnable case, in their order."""
+    return cases.where(runnable(F.col("blocked"))).select("repo", F.lit("testCase").alias("kind"), F.col("scenario").alias("subject"), "technique", "size", F.row_number().over(Window.partitionBy("repo").orderBy("place")).alias("ord"))

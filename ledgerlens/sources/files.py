@@ -16,8 +16,10 @@ MOST_BYTES, KEPT = 512 * 1024, 8
 
 
 def repo_of(path: Column, depth: int = 2) -> Column:
-    """The folder that many levels above a file, as its repo."""
-    return F.element_at(F.split(path, "/"), -depth)
+    """The folder that many levels above a file, as its repo: a plain folder, or one that a sink here has written (repo=...)."""
+    plain = lambda s: F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))
+    folder = plain(F.element_at(F.split(path, "/"), -depth))
+    return F.when(F.startswith(folder, F.lit("repo=")), plain(F.substring(folder, 6, 1 << 20))).otherwise(folder)
 
 
 def whole_texts(spark: SparkSession, path: str, depth: int = 2) -> DataFrame:
@@ -71,13 +73,40 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One folder for each repo, replaced as a whole when the job commits."""
-    df.write.mode("overwrite").partitionBy("repo").json(path)
+    """A file for each row's repo, in a folder of its own that is replaced when the job commits; other repos stay as they are.
+
+    The scans above read it back with the path <path>/*/*.json.
+    """
+    df.repartition("repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").json(path)
+
+
+PACK = "repo string, round int, ord int, kind string, batch string, title string, subject string, questions array<string>, prompt string"
 
 
 def write_pack(asks: DataFrame, path: str) -> None:
-    """The asks of each repo and kind in folders of their own, replacing those of before."""
-    asks.write.mode("overwrite").partitionBy("repo", "kind").json(path)
+    """The asks (the columns of PACK) of each repo as its pack, replacing that repo's last one; those of others stay as they are."""
+    columns = [c.split(" ")[0] for c in PACK.split(", ")]
+    write_json(asks.select(*columns), path)
+
+
+def read_pack(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PACK).json(path)
+
+
+def manifests(asks: DataFrame) -> DataFrame:
+    """The manifest of each repo's pack, as read_manifest reads it: its batches in order with their items, without prompts."""
+    item = F.struct("ord", F.struct("kind", "title", "subject", "questions").alias("item"))
+    batches = asks.groupBy("repo", "round", "batch", "kind").agg(F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("items"))
+    entry = F.struct("first", F.struct(F.col("batch").alias("id"), "kind", "items").alias("b"))
+    return batches.groupBy("repo", "round").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["b"]).alias("batches"))
+
+
+def pack_sizes(pack: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per repo: the batches of its pack and the answers to them, their bytes, and how many answers are missing."""
+    asks = pack.groupBy("repo").agg(F.count_distinct("batch").alias("n_asks"), F.sum(F.octet_length("prompt")).alias("asks_bytes"))
+    come = answers.groupBy("repo").agg(F.count(F.lit(1)).alias("n_answers"), F.sum(F.octet_length("raw")).alias("answers_bytes"))
+    both = asks.join(come, "repo", "full_outer").na.fill(0)
+    return both.withColumn("missing", F.greatest(F.col("n_asks") - F.col("n_answers"), F.lit(0)))
 
 
 def append_answer(answers: DataFrame, path: str) -> None:

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, checkpointed in the folder that the session names in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder is used.
+    Where that is unset a local session gets a temporary folder; on a cluster, whose executors
+    could not reach it, it is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()

@@ -42,7 +42,7 @@ def test_catalogue_has_its_size():
     assert len(dims.rows(dims.FEATURES)) == 24
     assert len(dims.rows(dims.FIELDS)) == 27
     known = {r[0] for r in dims.rows(dims.SCENARIOS)}
-    assert all(s in known for _, ss in dims.rows(dims.KIND_SCENARIOS) for s in ss.split())
+    assert all(s in known for *_, ss in dims.rows(dims.KIND_SCENARIOS) for s in ss.split())
 
 
 def test_existence_is_asked_apart(spark):
@@ -127,12 +127,12 @@ FACTS_SCHEMA = "repo string, tables array<string>, columns array<string>, fields
 @pytest.mark.parametrize(
     ("facts", "spine", "motions", "overlays"),
     [
-        ((["wallets"], ["balance"], [], [], "creditwallet", 0), "spine.wallet", ["motion.one_shot"], []),
-        ((["entries", "accounts"], ["account_type", "debit"], [], [], "", 0), "spine.double_entry", ["motion.one_shot"], []),
-        (([], ["phone", "rrn"], [], [], "requery", 0), "spine.stateless", ["motion.topup"], []),
-        ((["refunds"], ["currency"], [], [], "", 2), "spine.stateless", ["motion.one_shot"], ["overlay.fx", "overlay.refund_reversal"]),
-        (([], [], ["wallet"], ["PART_REFUNDED"], "", 0), "spine.wallet", ["motion.one_shot"], ["overlay.refund_reversal"]),
-        (([], ["auth_code"], [], [], "capture capturelog", 1), "spine.stateless", ["motion.auth_capture"], []),
+        ((["wallets"], ["balance"], [], [], "creditwallet", 0), "wallet", ["one_shot"], []),
+        ((["entries", "accounts"], ["account_type", "debit"], [], [], "", 0), "double_entry", ["one_shot"], []),
+        (([], ["phone", "rrn"], [], [], "requery", 0), "stateless", ["topup"], []),
+        ((["refunds"], ["currency"], [], [], "", 2), "stateless", ["one_shot"], ["fx_conversion", "refund_reversal"]),
+        (([], [], ["wallet"], ["PART_REFUNDED"], "", 0), "wallet", ["one_shot"], ["refund_reversal"]),
+        (([], ["auth_code"], [], [], "capture capturelog", 1), "stateless", ["auth_capture"], []),
     ],
 )
 def test_kinds(spark, facts, spine, motions, overlays):
@@ -150,6 +150,80 @@ def test_decisions_follow_demand(spark):
     assert rows[3].chosen and rows[3].output == 40
 
 
+def test_own_output_counts_for_registered_kinds_only(spark):
+    schema = "repo string, ord int, kind string, subject string, prompt string, asks int, output int, settled boolean"
+    asks = made(spark, [("r", 0, "odd", "", "pppp", 0, 999, False), ("r", 1, "questions", "", "pppp", 0, 999, False), ("r", 2, "mainEntity", "", "p" * 40, 0, 0, False)], schema)
+    none = lambda name: made(spark, [], f"repo string, {name} string, scenarios array<string>")
+    rows = {r.ord: r for r in payments.decided(asks, made(spark, [("r", 7, False, False)], "repo string, runnable int, money boolean, main_entity boolean"), none("target"), none("machine")).collect()}
+    assert (rows[0].output, rows[1].output) == (40, 999)
+    assert not rows[2].chosen and (rows[2].input, rows[2].output, rows[2].asked_input, rows[2].asked_output) == (0, 0, 10, 8 * 128)
+
+
+def test_a_plan_keeps_what_it_passes_over(spark):
+    schema = "repo string, ord int, kind string, method string, why string, chosen boolean, value long, input long, output long, weighted long, rank double, asked_input long, asked_output long"
+    row = lambda ord_, worth, w, chosen=True: ("r", ord_, "k", "open", "read", chosen, worth, w, 0, w, worth / w * 1000, w, 10)
+    choices = made(spark, [row(0, 1, 50), row(1, 9, 60), row(2, 1, 40), row(3, 1, 30, chosen=False)], schema)
+    plan = lambda budget: {r.ord: r for r in payments.planned(choices, made(spark, [("r", budget)], "repo string, budget int")).collect()}
+    got = plan(100)
+    assert {k: (r.chosen, r.method, r.place) for k, r in got.items()} == {0: (False, "skip", 3), 1: (True, "open", 1), 2: (True, "open", 2), 3: (False, "open", 4)}
+    assert got[0].why == "over the budget of 100, of which 100 is spent" and got[0].weighted == 50
+    assert all(r.chosen == (k != 3) for k, r in plan(0).items())
+    total = rollups.plan_totals(payments.planned(choices, made(spark, [("r", 100)], "repo string, budget int")), ["repo"]).first()
+    assert (total.total, total.avoided, total.saved_percent) == (100, 50 + 30 + 2 * 50, 64)
+
+
+def test_the_best_known_machine(spark):
+    roles = "repo string, type string, roles array<struct<initializing:boolean,final:boolean,foreign:boolean>>"
+    machines = made(spark, [("r", 0, "A", ["x"]), ("r", 1, "B", ["x", "y"]), ("r", 2, "C", ["x", "y"]), ("r", 3, "D", ["x", "y"]), ("s", 0, "A", ["x"])], "repo string, ord int, type string, states array<string>")
+    known = made(spark, [("r", "A", [(True, False, False), (False, True, False)]), ("r", "C", [(True, False, False)]), ("r", "D", [(False, True, False)])], roles)
+    assert [(r.repo, r.type, r.score) for r in payments.best_machine(machines, known).collect()] == [("r", "C", 2)]
+
+
+def test_tables_by_owner_and_key(spark):
+    tables = made(spark, [("r", "ledger_entries", ["id"]), ("r", "Boxes", ["x"]), ("r", "jobs", ["Request_Key"]), ("r", "other", ["x"]), ("r", "kept", [])], "repo string, table string, columns array<string>")
+    got = joins.relevant_tables(tables, made(spark, [("r", "kept")], "repo string, table string"), made(spark, [("r", "pkg.LedgerEntry"), ("r", "Box")], "repo string, owner string"), made(spark, [("r", "RequestKey")], "repo string, name string"))
+    assert {r.table for r in got.collect() if r.relevant} == {"ledger_entries", "Boxes", "jobs", "kept"}
+
+
+def test_first_findings(spark):
+    findings = made(spark, [("r", k, f"F{k}", "high", "t", "p") for k in range(14)] + [("s", 0, "F", "info", "t", "p")], "repo string, ord int, id string, severity string, title string, place string")
+    got = {r.repo: ([x.id for x in r.findings], r.more) for r in rollups.first_findings(findings).collect()}
+    assert got == {"r": ([f"F{k}" for k in range(12)], 2), "s": (["F"], 0)}
+    assert {(r.repo, r.severity): r.n for r in rollups.severities(findings).collect()} == {("r", "high"): 14, ("s", "info"): 1}
+
+
+def test_what_was_proved(spark):
+    seams = made(spark, [("r", 0, "a", "db", "x", True), ("r", 1, "a", "db", "y", False)], SEAMS)
+    findings = made(spark, [("r", "critical"), ("r", "critical"), ("s", "info")], "repo string, severity string")
+    machines = made(spark, [("r", ["b", "a"]), ("r", ["a"])], "repo string, never_assigned array<string>")
+    got = {r.repo: r for r in rollups.proved(seams, findings, machines).collect()}
+    assert (got["r"].injectable, got["r"].concrete, got["r"].critical, got["r"].never_assigned) == (1, 1, 2, ["a", "b"])
+    assert got["s"].info == 1 and got["s"].injectable is None
+
+
+def test_components_of_call_graphs(spark):
+    edges = made(spark, [("r", f"n{k:02}", f"n{k + 1:02}", 0) for k in range(30)] + [("r", "z1", "z0", 0), ("s", "n00", "n07", 0)], EDGES)
+    got = {(r.repo, r.node): r.component for r in graph.components(edges, ["repo"]).collect()}
+    assert got == {**{("r", f"n{k:02}"): "n00" for k in range(31)}, ("r", "z0"): "z0", ("r", "z1"): "z0", ("s", "n00"): "n00", ("s", "n07"): "n00"}
+
+
+def test_names_and_texts_of_asks(spark):
+    assert one(spark, F.array(text.ask_id(F.lit("kind"), F.col("s")), text.ask_id(F.lit("kind"), F.lit(""))), s="a/b c") == ["kind-a-b-c", "kind"]
+    assert one(spark, F.array(text.target_file(F.lit("pkg/x"), F.lit("MONEY"), F.col("s"), "_own"), text.target_file(F.lit(""), F.lit("State"), F.lit("medium"))), s="small") == ["pkg/x/money_own_test.go", "./state_integration_test.go"]
+    assert one(spark, F.array(text.same_field(F.col("a"), F.lit("AMOUNT")), text.same_field(F.col("a"), F.lit("b"))), a="amount") == [True, False]
+    assert one(spark, text.capped(F.col("s"), 4, "!"), s=" abcdef ") == "abcd!" and one(spark, text.capped(F.col("s"), 6), s=" abcdef\n") == "abcdef"
+    assert one(spark, text.question_text(F.lit("Pay"), F.col("s"), F.lit(True)), s="Is it?") == "Pay: Is it? Answer true or false."
+    assert one(spark, text.question_text(F.lit(None).cast("string"), F.col("s"), F.lit(False)), s="Why?") == "Why? Answer in words."
+
+
+def test_kinds_have_scenarios_and_exceptions_stay(spark):
+    kinds = made(spark, [("r", "topup"), ("r", "voucher"), ("s", "none")], "repo string, kind string")
+    got = {(r.repo, r.scenario) for r in sets.kind_scenarios(kinds, dims.kind_scenarios(spark)).collect()}
+    assert got == {("r", s) for s in ("TIMEOUT-UNKNOWN-OUTCOME", "IDEM-REPLAY", "FAILURE-IS-NOT-TERMINAL", "FINAL-STATE-IS-FINAL")}
+    edge = "machine string, src string, dst string"
+    assert {tuple(r) for r in state.with_exceptions(made(spark, [("m", "a", "b")], edge), made(spark, [("m", "b", "a"), ("m", "a", "b")], edge)).collect()} == {("m", "a", "b"), ("m", "b", "a")}
+
+
 def one(spark, column, **values):
     names = list(values)
     kinds = {str: "string", bool: "boolean", int: "long", type(None): "string", list: "array<string>"}

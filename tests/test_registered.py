@@ -40,7 +40,31 @@ def test_every_query_but_the_walk_has_sql():
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"call_preorder"}
 
 
-def test_the_walk_meets_every_reached_node_once(spark):
-    rows = catalogue.queries()["call_preorder"](spark, SF).collect()
-    assert rows and len({(r.repo, r.node) for r in rows}) == len(rows)
-    assert all(r.depth == 0 for r in rows if r.step == 0)
+def test_the_walk_is_depth_first(spark, duck):
+    calls: dict = {}
+    for n, s, p, first in duck.sql("select s_nationkey, l_suppkey, l_partkey, min(l_orderkey) from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2, 3").fetchall():
+        calls.setdefault((n, f"s#{s}"), []).append((first, f"p#{p}"))
+        calls.setdefault((n, f"p#{p}"), []).append((s, f"s#{s}"))
+    want, seen = [], set()
+
+    def walk(nation, entry, start):
+        stack, step = [(start, 0)], 0
+        while stack:
+            node, depth = stack.pop()
+            if (nation, node) in seen or (nation, node) not in calls:
+                continue
+            seen.add((nation, node))
+            want.append((f"n{nation}", entry, step, depth, node))
+            step += 1
+            stack += [(x, depth + 1) for _, x in sorted(calls[nation, node], reverse=True)]
+
+    for n, s in sorted(duck.sql("select s_nationkey, s_suppkey from supplier where s_nationkey % 5 <> 0").fetchall()):
+        walk(n, s, f"s#{s}")
+    got = [tuple(r) for r in catalogue.queries()["call_preorder"](spark, SF).select("repo", "entry_ord", "step", "depth", "node").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_the_plan_has_every_case(duck):
+    rows = duck.sql(f"select chosen, over, kind, why, weighted from ({catalogue.oracle_sql()['ask_plan']})").fetchall()
+    assert any(over and not chosen for chosen, over, *_ in rows) and any(why == "seam not in demand" for *_, why, _ in rows)
+    assert all(w < 1000 for _, _, kind, _, w in rows if kind == "other") and any(avoided > 0 for (avoided,) in duck.sql(f"select avoided from ({catalogue.oracle_sql()['plan_report']})").fetchall())

@@ -50,9 +50,15 @@ def test_state_is_fresh_where_missing_and_renames(spark, tmp_path):
 
 
 def test_pack_answers_and_sizes(spark, tmp_path):
-    asks = spark.createDataFrame([("a", "k1", 0, "p"), ("a", "k2", 1, "q")], "repo string, kind string, ord int, prompt string")
-    files.write_pack(asks, f"{tmp_path}/pack")
-    assert spark.read.json(f"{tmp_path}/pack").count() == 2
+    row = lambda repo, k, prompt: (repo, 1, k, f"k{k}", f"b{k}", "t", "s", ["q"], prompt)
+    pack = lambda *rows: files.write_pack(spark.createDataFrame(list(rows), files.PACK), f"{tmp_path}/pack")
+    pack(row("a", 0, "p"), row("a", 1, "qq"))
+    pack(row("b", 0, "p"))
+    pack(row("a", 2, "päp"))
+    kept = files.read_pack(spark, f"{tmp_path}/pack")
+    assert sorted((r.repo, r.batch, r.prompt) for r in kept.collect()) == [("a", "b2", "päp"), ("b", "b0", "p")]
+    answers = spark.createDataFrame([("a", "b2", "{}")], "repo string, batch string, raw string")
+    assert {r.repo: (r.n_asks, r.asks_bytes, r.answers_bytes, r.missing) for r in files.pack_sizes(kept, answers).collect()} == {"a": (1, 4, 2, 0), "b": (1, 1, 0, 1)}
     one = spark.createDataFrame([("a", "b1", 1, "x")], "repo string, batch string, ord int, raw string")
     files.append_answer(one, f"{tmp_path}/answers.parquet")
     files.append_answer(one.selectExpr("repo", "batch", "2 as ord", "'y' as raw"), f"{tmp_path}/answers.parquet")
@@ -71,6 +77,25 @@ def test_manifest_keeps_order(spark, tmp_path):
     assert [(r.batch, r.ord, r.title, r.questions) for r in rows] == [("b", 0, "t1", ["q"]), ("b", 1, "t2", [])]
 
 
+def test_repos_are_saved_one_by_one_and_read_back(spark, tmp_path):
+    save = lambda repo, model: files.write_json(spark.createDataFrame([(repo, 2, model, {"M": "r"})], "repo string, schema_version int, money_model string, state_roles map<string,string>"), f"{tmp_path}/state")
+    for repo, model in (("a", "one"), ("b c:1", "two"), ("007", "three"), ("a", "four")):
+        save(repo, model)
+    repos = spark.createDataFrame([("a",), ("b c:1",), ("007",)], "repo string")
+    got = {r.repo: (r.money_model, r.state_roles) for r in files.read_state(spark, f"{tmp_path}/state/*/*.json", repos).collect()}
+    assert got == {"a": ("four", {"M": "r"}), "b c:1": ("two", {"M": "r"}), "007": ("three", {"M": "r"})}
+    files.write_json(spark.createDataFrame([("a", 1, [("n",)]), ("b", 1, [])], "repo string, schema_version int, nodes array<struct<id:string>>"), f"{tmp_path}/flow")
+    flows = files.read_flow(spark, f"{tmp_path}/flow/*/*.json", "schema_version int, nodes array<struct<id:string>>, edges array<string>").collect()
+    assert {r.repo: ([n.id for n in r.nodes], r.edges) for r in flows} == {"a": (["n"], []), "b": ([], [])}
+
+
+def test_manifests_are_read_back(spark, tmp_path):
+    rows = [("a", 1, 1, "k", "b", "t2", "s", ["q"], "p"), ("a", 1, 0, "k", "b", "t1", "s", [], "p"), ("a", 1, 2, "m", "c", "t3", "", ["x"], "p")]
+    files.write_json(files.manifests(spark.createDataFrame(rows, files.PACK)), f"{tmp_path}/manifest")
+    got = files.read_manifest(spark, f"{tmp_path}/manifest/*/*.json").orderBy("batch_ord", "ord").collect()
+    assert [(r.repo, r.batch, r.ord, r.title, r.questions) for r in got] == [("a", "b", 0, "t1", []), ("a", "b", 1, "t2", ["q"]), ("a", "c", 0, "t3", ["x"])]
+
+
 def test_documents(spark, tmp_path):
     root = tmp_path / "docs"
     put(root, "a", "one.md", "# Refund flow\nrefund refund refund refund refund ledger")
