@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach.
 
-    It is what the session says in spark.checkpoint.dir; only where that is unset, as in
-    local tests, a temporary folder is made and set.
+    It is what the session says in spark.checkpoint.dir. Where that is unset a local session
+    gets a temporary folder; on a cluster, whose executors could not reach it, it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
