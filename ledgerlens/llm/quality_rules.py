@@ -174,6 +174,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     packed = docs.select(F.struct("*").alias("own_row"), "doc_id", "text", stratum().alias("stratum"))
-    chosen = cutoffs(features(packed, ["doc_id", "stratum"]), table(spark, sf_dir, "labels"))
-    again = features(packed, ["own_row", "stratum"])
-    return judged(again, written(chosen, "quality-cutoffs")).where("kept").select("own_row.*")
+    measured = written(features(packed, ["own_row", "doc_id", "stratum"]), "quality-measured")
+    chosen = cutoffs(measured, table(spark, sf_dir, "labels"))
+    return judged(measured, written(chosen, "quality-cutoffs")).where("kept").select("own_row.*")
+
+
+def _sql() -> str:
+    rung = {x: j for j, x in enumerate(LADDER)}
+    chain = lambda r: "case " + " ".join(f"when {r} >= {c} then {rung[r, k]}" for k, c in enumerate(RULES[r])) + f" else {len(LADDER)} end"
+    first = "least(" + ", ".join(chain(r) for r in RULES) + ")"
+    gone = lambda inside: f"length(text) - length(regexp_replace(text, '{inside}', '', 'g'))"
+    return rf"""
+    with d as (select row_number() over () as id, doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang_stratum from documents),
+    w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+    g as (select id, i, md5(array_to_string(ws[i : i + 4], ' ')) as g from (select id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) as i from w)),
+    r as (select id, count(distinct place) as n from (select id, unnest(range(i, i + {WINDOW})) as place from (select *, count(*) over (partition by id, g) as c from g) where c > 1) group by 1),
+    c as (select w.id, doc_id, lang_stratum, len(ws) as n_words, {gone('[^\x20\x09-\x0D]')} as word_chars, {gone('[#*$%&|<>]')} as n_symbols,
+        len(lines) - len(list_distinct(lines)) as n_dup_lines, len(lines) as n_lines, coalesce(r.n, 0) as n_repeat_words, {gone('[A-Z]')} as upper, {gone('!')} as exclaims from w left join r using (id)),
+    f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, n_symbols::double / greatest(n_words, 1) as symbol_ratio, n_dup_lines::double / greatest(n_lines, 1) as dup_line_ratio,
+        upper::double / greatest(word_chars, 1) as upper_ratio, exclaims::double / greatest(n_words, 1) as exclaim_ratio, n_repeat_words::double / greatest(n_words, 1) as repeat_ratio from c),
+    m as (select *, {first} as first from f),
+    good as (select doc_id from labels where quality in (0, 1) and doc_id is not null group by 1 having max(quality) = 1),
+    h as (select lang_stratum, case when base_failed then {len(LADDER)} else first end as first from m join good using (doc_id)),
+    k as (select lang_stratum, j, count(*) as n, count(*) filter (where first <= j) as k from h, range({len(LADDER)}) as t(j) group by 1, 2),
+    b as (select *, list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) as tail from k where k < {ALPHA} * n),
+    t as (select lang_stratum, max(j) as top from b where tail <= {DELTA} / (select count(distinct lang_stratum) from h) group by 1)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(first <= top, false) as kept, lang_stratum from m left join t using (lang_stratum)"""
+
+
+OP2_SQL = _sql()

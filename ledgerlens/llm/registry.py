@@ -14,7 +14,7 @@ from ledgerlens.llm.media_chunks import op10_media_chunks
 from ledgerlens.llm.mixing import OP5_SQL, op5_source_mixing
 from ledgerlens.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from ledgerlens.llm.pii import op4_pii
-from ledgerlens.llm.quality_rules import op2_quality_rules
+from ledgerlens.llm.quality_rules import OP2_SQL, op2_quality_rules
 from ledgerlens.llm.secret_scan import op7_secret_scan
 
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_lm_score": OP6_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_lm_score": OP6_SQL}

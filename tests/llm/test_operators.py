@@ -131,6 +131,18 @@ def test_rules_hold_in_small_strata(spark):
     assert all(fewer.values())  # 216 labels cannot refute a loss of 2 % in one of four strata
 
 
+def test_the_guarantee_holds():
+    """With a true loss of alpha a rung is admitted with a chance of at most the level, for any number of labels."""
+    alpha = quality_rules.ALPHA
+    for n in (217, 300, 1000, 5000):
+        for level in (0.05, 0.05 / 4, 0.05 / 30):
+            passing = [k for k in range(n + 1) if quality_rules.strictest([0], [k], n, alpha, level) is not None] if n < 400 else [k for k in range(200) if quality_rules.strictest([0], [k], n, alpha, level) is not None]
+            assert (quality_rules.binomial_tail(max(passing), n, alpha) if passing else 0) <= level
+    draw = random.Random(8)
+    admitted = sum(quality_rules.strictest([0], [sum(draw.random() < alpha for _ in range(400))], 400, alpha, 0.05) is not None for _ in range(2000))
+    assert admitted <= 0.05 * 2000 + 4 * math.sqrt(2000 * 0.05 * 0.95)
+
+
 def test_rungs_are_nested_and_refuted_together(spark):
     assert sorted(quality_rules.LADDER) == sorted((r, k) for r, cs in quality_rules.RULES.items() for k in range(len(cs)))
     quality = lambda symbols, upper, failed=False: (20, 90, 0, 0, 0, failed, symbols, 0.0, upper, 0.0, 0.0)
@@ -322,15 +334,13 @@ def test_scores(spark, tables, rows):
     assert [x[3] for x in sorted(got)] == pytest.approx([x[3] for x in sorted(want)], abs=1e-3)
 
 
-def test_scores_do_not_depend_on_the_batches(spark, tables):
+def test_scores_do_not_depend_on_the_batches(spark, tables, monkeypatch):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    old = lm_score.LEAST_BATCH
     one = Counter(map(tuple, lm_score.scored(docs).collect()))
-    lm_score.LEAST_BATCH = 5
-    try:
-        assert Counter(map(tuple, lm_score.scored(docs).collect())) == one
-    finally:
-        lm_score.LEAST_BATCH = old
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", 9000)
+    assert Counter(map(tuple, lm_score.scored(docs).collect())) == one
+    monkeypatch.setattr(lm_score, "MOST_PARTITIONS", 3)
+    assert Counter(map(tuple, lm_score.scored(docs).collect())) == one
 
 
 # op7
