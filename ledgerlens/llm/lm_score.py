@@ -1,11 +1,13 @@
 """Stupid-backoff scores of documents from n-gram counts of the whole corpus.
 
-Documents are dealt into batches. A batch counts its own one- and two-word n-grams and sends
-each with its count to the partition that its hash names; there the counts of all batches
-are summed into the count table of that partition and joined back to the n-grams of every
-batch. A batch then looks up each n-gram of its documents and sums per document. An n-gram
-travels once for each batch, however often it occurs, so a frequent one is no hot key, and
-it travels in packed arrays: 6 bytes of its hash, the others being its partition.
+Documents are dealt into batches of about BATCH_BYTES of text. A batch counts its own one- and
+two-word n-grams and sends each with its count to the partition that its hash names; there the
+counts of all batches are summed into the count table of that partition and joined back to the
+n-grams of every batch. A batch then looks up each n-gram of its documents and sums per
+document. An n-gram travels once for each batch, however often it occurs, so a frequent one is
+no hot key, and it travels in packed arrays: 6 bytes of its hash, the others being its
+partition. There are as many partitions as batches, up to MOST_PARTITIONS; with more batches than
+that the n-grams of a partition are summed in several parts first, so that none grows with the corpus.
 
 A document is scored against all others: its own occurrences are taken off each count. A
 word after another scores c(pair) / c(first word) if the pair occurs elsewhere, and
@@ -13,7 +15,7 @@ otherwise BACKOFF * c(word) / N; the first word scores c(word) / N. N is the num
 elsewhere (at least 1), and a word that occurs nowhere else counts UNSEEN.
 
 Cases: null text counts as empty; a text without words has n_words 0 and scores 0; texts of
-any length are scored whole; repeated rows count as documents of their own; a null id is
+any length are scored whole, and what a task holds is a batch and its longest text; repeated rows count as documents of their own; a null id is
 kept as such; empty tables give empty results; other columns are not read.
 """
 
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import table, text_or_empty, texts, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
-LEAST_BATCH = 2500
+#: Text in a batch. What a task holds of it is some twenty times as much.
+BATCH_BYTES = 8 << 20
 #: A partition's number has 16 bits.
 MOST_PARTITIONS = 60_000
 LOW = np.uint64((1 << 48) - 1)
 
 COUNTS = "batch int, part int, grams binary, counts binary"
 TOTALS = "batch int, part int, totals binary"
+TABLE = "part int, grams binary, counts binary"
 PARTS = "doc_id long, n_words long, n_backoff long, n_single long, log_part double"
 
 
@@ -100,23 +104,52 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
     return docs.groupBy("batch").applyInArrow(run, COUNTS)
 
 
-def summed(counts: DataFrame) -> DataFrame:
-    """The count table of each partition, joined to the n-grams of each batch."""
+def unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The hashes and counts of packed rows, and where each row ends."""
+    packed = group.column("grams").to_pylist()
+    low = np.zeros((sum(map(len, packed)) // 6, 8), np.uint8)
+    low[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
+    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u8" if group.schema.names == ["part", "grams", "counts"] else "<u4").astype(np.int64)
+    return low.view("<u8").ravel(), counts, np.cumsum([len(x) // 6 for x in packed])
 
-    def run(group: pa.Table) -> pa.Table:
-        packed = group.column("grams").to_pylist()
-        low = np.zeros((sum(map(len, packed)) // 6, 8), np.uint8)
-        low[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
-        own = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
-        _, inverse = np.unique(low.view("<u8").ravel(), return_inverse=True)
-        total = np.bincount(inverse, own).astype("<i8")[inverse]
-        ends = np.cumsum([len(x) // 6 for x in packed])
-        return pa.table({"batch": group.column("batch"), "part": group.column("part"), "totals": pa.array([total[z - len(x) // 6 : z].tobytes() for x, z in zip(packed, ends, strict=True)], pa.binary())})
 
-    return counts.groupBy("part").applyInArrow(run, TOTALS)
+def totals_of(group: pa.Table, total: np.ndarray, ends: np.ndarray) -> pa.Table:
+    starts = np.concatenate([[0], ends[:-1]])
+    return pa.table({"batch": group.column("batch"), "part": group.column("part"), "totals": pa.array([total[a:z].astype("<i8").tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary())})
+
 
+def count_table(group: pa.Table) -> pa.Table:
+    """One row with the distinct n-grams of a group and the sums of their counts."""
+    grams, counts, _ = unpacked(group)
+    distinct, inverse = np.unique(grams, return_inverse=True)
+    low = distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return pa.table({"part": group.column("part").slice(0, 1), "grams": pa.array([low.tobytes()], pa.binary()), "counts": pa.array([np.bincount(inverse, counts).astype("<u8").tobytes()], pa.binary())})
 
-def looked_up(docs: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
+
+def summed(counts: DataFrame, partitions: int, portions: int) -> DataFrame:
+    """The count table of each partition, joined to the n-grams of each batch."""
+
+    def run(group: pa.Table) -> pa.Table:
+        grams, own, ends = unpacked(group)
+        _, inverse = np.unique(grams, return_inverse=True)
+        return totals_of(group, np.bincount(inverse, own)[inverse], ends)
+
+    def found(group: pa.Table, tables: pa.Table) -> pa.Table:
+        grams, _, ends = unpacked(group)
+        known, sums, _ = unpacked(tables.select(["part", "grams", "counts"]))
+        return totals_of(group, sums[np.searchsorted(known, grams)], ends)
+
+    if portions == 1:
+        return counts.repartition(partitions, "part").groupBy("part").applyInArrow(run, TOTALS)
+    dealt = written(counts.withColumn("portion", F.pmod("batch", F.lit(portions))), "lm-counts")
+    n = partitions * portions
+    some = dealt.repartition(n, "part", "portion").groupBy("part", "portion").applyInArrow(count_table, TABLE)
+    whole = some.repartition(partitions, "part").groupBy("part").applyInArrow(count_table, TABLE)
+    spread = whole.withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
+    return dealt.repartition(n, "part", "portion").groupBy("part", "portion").cogroup(spread.repartition(n, "part", "portion").groupBy("part", "portion")).applyInArrow(found, TOTALS)
+
+
+def looked_up(docs: DataFrame, totals: DataFrame, parts: int, batches: int) -> DataFrame:
     """For each document its counts and the sum of logs, from the totals of its batch's n-grams."""
 
     def run(group: pa.Table, found: pa.Table) -> pa.Table:
@@ -128,18 +161,18 @@ def looked_up(docs: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
         n_backoff, n_single, log = b.scores(total)
         return pa.table({"doc_id": group.column("doc_id"), "n_words": b.sizes, "n_backoff": n_backoff.astype(np.int64), "n_single": n_single.astype(np.int64), "log_part": log.astype(np.float64)})
 
-    return docs.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(run, PARTS)
+    return docs.groupBy("batch").cogroup(totals.repartition(batches, "batch").groupBy("batch")).applyInArrow(run, PARTS)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score and mean_log of every document."""
-    n = docs.count()
-    # Batches grow slowly with the corpus, so that neither they nor the pieces between them become too many.
-    batches = max(1, n // max(LEAST_BATCH, math.isqrt(n) // 3))
-    partitions = min(batches, MOST_PARTITIONS)
     text = text_or_empty()
-    dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(batches)).cast("int").alias("batch"))
-    parts = written(looked_up(dealt, summed(counted(dealt, partitions)), partitions), "lm-parts")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    batches = max(1, -(-size // BATCH_BYTES))
+    partitions = min(batches, MOST_PARTITIONS)
+    dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(batches)).cast("int").alias("batch")).repartition(batches, "batch")
+    totals = summed(counted(dealt, partitions), partitions, -(-batches // MOST_PARTITIONS))
+    parts = written(looked_up(dealt, totals, partitions, batches), "lm-parts")
     words = parts.agg(F.sum("n_words")).first()[0] or 0
     elsewhere = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double")
     log = F.col("log_part") - F.col("n_single") * F.log(elsewhere)
