@@ -1,24 +1,29 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON of any layout. Its fingerprint is a hash of its nested field paths, taken
-from the schema of the parsed value with types and order left out. A registry says, for
-each fingerprint, which declarative mapping (a SQL expression over the parsed value) makes
-an array of canonical turns (role, text) of it. The template marks turns with control
+A record is JSON of any layout. Its fingerprint is a hash of its nested field paths, without
+types, order or values. A registry says which paths a layout needs and which declarative mapping
+(a SQL expression over the parsed value) makes an array of canonical turns (role, text) of it.
+A fingerprint selects the layout of which it has all paths, whatever other fields there are; of
+several the one that needs most, then the first. The template marks turns with control
 strings and escapes those that stand inside texts, reversibly; the loss mask holds the
 stretches of assistant texts.
 
 Cases: a null text is empty and a null role is empty; turns are taken in order of turn, then
 role, then text, so ties and repeated rows have one result; a null turn comes first; a
-record of an unknown layout has null turns and is returned as such by ``canonical``;
-conversations without turns do not occur, as rows are turns; other columns are not read.
+record that is null, no JSON or of an unknown layout has null turns and is returned as such by
+``canonical``, which keeps the input's columns apart in a struct (own), so that none can clash; an empty list of
+turns gives no turns; conversations without turns do not occur in the query, as rows are turns; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -28,43 +33,67 @@ TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What opens a control string of this template or of other common ones.
 CONTROLS = ["<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
-#: Layouts by an example of each, and the turns of a parsed record v of that layout.
-LAYOUTS: dict[str, str] = {
-    '{"messages":[{"role":"","content":""}]}': "transform(cast(variant_get(v, '$.messages', 'array<struct<role:string,content:string>>') as array<struct<role:string,text:string>>), x -> x)",
-    '{"conversations":[{"from":"","value":""}]}': "transform(variant_get(v, '$.conversations', 'array<struct<from:string,value:string>>'), x -> struct(case x.from when 'human' then 'user' when 'gpt' then 'assistant' else x.from end as role, x.value as text))",
-    '{"prompt":"","completion":""}': "array(struct('user' as role, variant_get(v, '$.prompt', 'string') as text), struct('assistant' as role, variant_get(v, '$.completion', 'string') as text))",
-    '{"prompt":"","response":""}': "array(struct('user' as role, variant_get(v, '$.prompt', 'string') as text), struct('assistant' as role, variant_get(v, '$.response', 'string') as text))",
-    '{"instruction":"","output":""}': "array(struct('user' as role, variant_get(v, '$.instruction', 'string') as text), struct('assistant' as role, variant_get(v, '$.output', 'string') as text))",
-    '{"instruction":"","input":"","output":""}': "array(struct('user' as role, concat_ws('\\n\\n', variant_get(v, '$.instruction', 'string'), nullif(variant_get(v, '$.input', 'string'), '')) as text), struct('assistant' as role, variant_get(v, '$.output', 'string') as text))",
-    '{"system":"","prompt":"","response":""}': "array(struct('system' as role, variant_get(v, '$.system', 'string') as text), struct('user' as role, variant_get(v, '$.prompt', 'string') as text), struct('assistant' as role, variant_get(v, '$.response', 'string') as text))",
+#: Layouts: the paths that each needs, and the turns of a parsed record v.
+PAIR = "array(struct('user' as role, variant_get(v, '$.{}', 'string') as text), struct('assistant' as role, variant_get(v, '$.{}', 'string') as text))"
+LAYOUTS: dict[str, tuple[list[str], str]] = {
+    "messages": (["messages[].content", "messages[].role"], "cast(variant_get(v, '$.messages', 'array<struct<role:string,content:string>>') as array<struct<role:string,text:string>>)"),
+    "conversations": (["conversations[].from", "conversations[].value"], "transform(variant_get(v, '$.conversations', 'array<struct<from:string,value:string>>'), x -> struct(case x.from when 'human' then 'user' when 'gpt' then 'assistant' else x.from end as role, x.value as text))"),
+    "prompt, completion": (["completion", "prompt"], PAIR.format("prompt", "completion")),
+    "prompt, response": (["prompt", "response"], PAIR.format("prompt", "response")),
+    "instruction": (["instruction", "output"], PAIR.format("instruction", "output")),
+    "instruction, input": (["input", "instruction", "output"], "array(struct('user' as role, concat_ws('\\n\\n', variant_get(v, '$.instruction', 'string'), nullif(variant_get(v, '$.input', 'string'), '')) as text), struct('assistant' as role, variant_get(v, '$.output', 'string') as text))"),
+    "system, prompt": (["prompt", "response", "system"], "array_insert(" + PAIR.format("prompt", "response") + ", 1, struct('system' as role, variant_get(v, '$.system', 'string') as text))"),
 }
 
 
-def field_paths(schema: Column) -> Column:
-    """The nested structure of a record: its schema without the types of its leaves."""
-    return F.regexp_replace(schema, r"\b(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\([0-9,]+\)|FLOAT|BINARY|DATE|TIMESTAMP|TIMESTAMP_NTZ)\b(?!`)", "*")
+def field_paths(value: object) -> set[str]:
+    """The nested field paths of a parsed value: names joined by points, [] for what is in a list; an empty list ends in []!."""
+    found: set[str] = set()
+    left = [("", value)]
+    while left:
+        path, x = left.pop()
+        if isinstance(x, dict):
+            left += [(f"{path}.{k}" if path else k, y) for k, y in x.items()]
+        elif isinstance(x, list) and x:
+            left += [(f"{path}[]", y) for y in x]
+        else:
+            found.add(f"{path}[]!" if isinstance(x, list) else path)
+    return found
 
 
-def fingerprint(value: Column) -> Column:
-    """The hash of the nested field paths of a parsed record."""
-    return F.sha2(field_paths(F.schema_of_variant(value)), 256)
+def layout_of(paths: set[str]) -> str | None:
+    """The layout all of whose paths are there. A path into an empty list counts as there."""
+    empty = tuple(p.removesuffix("!") for p in paths if p.endswith("[]!"))
+    fits = [name for name, (needed, _) in LAYOUTS.items() if all(n in paths or (empty and n.startswith(empty)) for n in needed)]
+    return max(fits, key=lambda name: len(LAYOUTS[name][0])) if fits else None
 
 
-def mappings(spark: SparkSession) -> list[tuple[str, str]]:
-    """(fingerprint, expression) of the registered layouts."""
-    rows = spark.createDataFrame([(k,) for k in LAYOUTS], "example string").select("example", fingerprint(F.parse_json("example")).alias("f")).collect()
-    return [(r.f, LAYOUTS[r.example]) for r in rows]
+@lru_cache(maxsize=100_000)
+def fingerprinted(paths: frozenset[str]) -> tuple[str, str | None]:
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest(), layout_of(set(paths))
+
+
+@F.pandas_udf(StructType([StructField("fingerprint", StringType()), StructField("layout", StringType())]))
+def fingerprints(records: pd.Series) -> pd.DataFrame:
+    """The fingerprint of each JSON record and the layout that it selects."""
+    out = []
+    for r in records:
+        try:
+            out.append(fingerprinted(frozenset(field_paths(json.loads(r)))))
+        except (TypeError, ValueError, RecursionError):
+            out.append((None, None))
+    return pd.DataFrame(out, columns=["fingerprint", "layout"])
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """records with fingerprint and turns, null turns where the layout is not registered."""
-    parsed = records.withColumn("v", F.try_parse_json(record)).withColumn("fingerprint", fingerprint(F.col("v")))
+    """own (the columns of records), fingerprint, layout and turns, null where no layout fits."""
+    parsed = records.select(F.struct("*").alias("own"), F.try_parse_json(record).alias("v"), fingerprints(record).alias("f"))
     # The expressions cast what they get, so each is only evaluated for records of its layout.
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for f, expression in mappings(records.sparkSession):
-        turns = F.when(F.col("fingerprint") == f, F.expr(expression)).otherwise(turns)
+    for name, (_, expression) in LAYOUTS.items():
+        turns = F.when(F.col("v").isNotNull() & (F.col("f.layout") == name), F.expr(expression.replace("variant_get", "try_variant_get"))).otherwise(turns)
     filled = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return parsed.withColumn("turns", filled).drop("v")
+    return parsed.select("own", "f.fingerprint", F.when(filled.isNotNull(), F.col("f.layout")).alias("layout"), filled.alias("turns"))
 
 
 def escaped(text: str) -> str:
@@ -136,10 +165,17 @@ def digests(output: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def records_of(turn_rows: DataFrame) -> DataFrame:
-    """conv_id, record: the turn rows of each conversation as one JSON record in the message layout."""
+    """conv_id, record: the turn rows of each conversation as one JSON record, in one of two layouts with further fields.
+
+    Only conversations of users and assistants can be put in the second one, which has names of its own for them.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), text_or_empty().alias("content"))
-    messages = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return turn_rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    grouped = turn_rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"), t["turn"].alias("turn")))
+    named = F.transform("turns", lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["content"].alias("value")))
+    plain = F.forall("turns", lambda t: t["role"].isin("user", "assistant")) & (F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 1)
+    first = F.to_json(F.struct(F.col("conv_id").alias("id"), messages.alias("messages")))
+    return grouped.select("conv_id", F.when(plain, F.to_json(F.struct(named.alias("conversations"), F.lit("chat").alias("source")))).otherwise(first).alias("record"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +183,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(control).alias("prompt"), F.lit(control).alias("response"))).alias("record"))
     records = records_of(table(spark, sf_dir, "conversations")).unionByName(extra)
-    return digests(formatted(canonical(records), ["conv_id"]), ["conv_id"])
+    return digests(formatted(canonical(records).select("own.conv_id", "turns"), ["conv_id"]), ["conv_id"])
 
 
 def _sql() -> str:
