@@ -46,12 +46,21 @@ def packed_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def checked(spec: dict, path: str) -> None:
+    """Refuse a file whose settings are not those that are built in here."""
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if spec.get("normalizer") or not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        raise ValueError(f"{path} is no plain byte-level vocabulary")
+
+
 class Codec:
     """Encoder and decoder of one byte-level vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        checked(spec, path)
         letter = byte_letters()
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
