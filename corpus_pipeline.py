@@ -1,8 +1,13 @@
 """From raw documents to tokens: five stages of the training-data operators, in order.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it lets through, with
-its decisions in effect; the last returns their tokens' digests. Empty tables pass through
-as empty, nulls as the stages' operators say.
+its decisions in effect; the last returns their tokens' digests.
+
+Cases: empty tables pass through as empty; a null text fails the quality rules, other nulls pass
+as the stages' operators say; repeated rows are copies, of which the near-copies stage leaves
+one; of a group of near copies the one with the least id stays, so ties have one result; texts
+of any length pass whole; further columns pass, whatever their names, up to the last stage, which returns
+doc_id, lang, source and the digests.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ STAGES = [
     ("bpe_encoding", bpe_stage),
 ]
 
-#: The last stage's token ids are beyond SQL; the tests hold run() against a plain version.
+#: The last stage's token ids are beyond SQL; test_pipeline.py holds run()'s rows against a plain version.
 ORACLE_SQL = None
 
 
