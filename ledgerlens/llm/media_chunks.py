@@ -2,16 +2,18 @@
 
 A payload is cut where a rolling gear hash of its last 32 bytes has its top bits clear, so
 equal stretches of different payloads give equal chunks. Chunks are stored once for each
-digest and replica; a payload's stored form is its ordered chunk list. Reading joins the
+digest; a payload's stored form is its ordered chunk list. Reading joins the
 list with the chunk store, checks each chunk against its digest, and puts the payload
 together chunk by chunk in order, never whole in memory.
 
-``replicas`` is the number of copies of a chunk that the store keeps at most, dealt by document:
-a chunk that a third of all rows share is read by that many tasks rather than one.
+A chunk in more than HOT_ROWS rows, and in more than one of HOT_MOST of all, is stored once more for each
+so many rows, its replicas, so that a chunk that a third of all rows share is read by many
+tasks. There are at most HOT_MOST such chunks at any size, which are broadcast by digest.
 
 Cases: null text counts as empty (a payload of 576 bytes of 255); texts of any length are
-stored whole; rows with the same id or the same text are kept apart by a row number; other
-columns of the input are not read.
+stored whole; rows with the same id or the same text are kept apart by a row number (row), which
+also names their replica and so must be the same each time docs is read; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from ledgerlens.llm.common import table, texts
+from ledgerlens.llm.common import table, texts, written
 
-FRAME, REPLICAS = 576, 16
+FRAME, HOT_ROWS, HOT_MOST = 576, 500, 20_000
 LEAST, MOST, BITS = 1024, 16384, 12
 MAGIC = b"CHNK\x01"
 
@@ -76,12 +78,12 @@ def padded(text: str) -> tuple[int, bytes]:
 
 LISTED = StructType(
     [StructField("doc_id", LongType()), StructField("row", LongType()), StructField("n_bytes", LongType()), StructField("n_chunks", IntegerType()), StructField("ord", IntegerType())]
-    + [StructField("digest", BinaryType()), StructField("replica", IntegerType()), StructField("size", IntegerType())]
+    + [StructField("digest", BinaryType()), StructField("size", IntegerType())]
 )
 STORED = StructType([*LISTED, StructField("packed", BinaryType())])
 
 
-def chunked(docs: DataFrame, schema: StructType, replicas: int) -> DataFrame:
+def chunked(docs: DataFrame, schema: StructType) -> DataFrame:
     """The chunks of every row's payload: with their bytes if the schema has packed, else only listed."""
     with_bytes = "packed" in schema.names
 
@@ -95,7 +97,7 @@ def chunked(docs: DataFrame, schema: StructType, replicas: int) -> DataFrame:
                 ends = cuts(payload)
                 for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
                     part = payload[a:b]
-                    rows.append((doc, row, n, len(ends), k, hashlib.sha256(part).digest(), (doc or 0) * 40503 % 65537 % replicas, b - a, *([pack(part)] if with_bytes else [])))
+                    rows.append((doc, row, n, len(ends), k, hashlib.sha256(part).digest(), b - a, *([pack(part)] if with_bytes else [])))
                 held += len(payload)
                 if held > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
@@ -188,14 +190,27 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(now.result(), arrow, strict=True)], schema=arrow)
 
 
-def chunk_store(docs: DataFrame, replicas: int = REPLICAS) -> DataFrame:
-    """digest, replica, packed: every chunk once for each replica that a document with it is dealt to."""
-    return chunked(docs, STORED, replicas).select("digest", "replica", "packed").dropDuplicates(["digest", "replica"])
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """The ordered chunk list of every row."""
+    return chunked(docs, LISTED)
 
 
-def chunk_lists(docs: DataFrame, replicas: int = REPLICAS) -> DataFrame:
-    """The ordered chunk list of every row."""
-    return chunked(docs, LISTED, replicas)
+def hot_chunks(lists: DataFrame) -> DataFrame:
+    """digest, replicas of the chunks that so many rows hold that one task should not read them all."""
+    limit = max(HOT_ROWS, lists.count() // HOT_MOST)
+    counted = lists.groupBy(F.col("digest").alias("hot_digest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    return counted.select("hot_digest", F.ceil(F.col("n") / limit).cast("int").alias("replicas"))
+
+
+def dealt(chunks: DataFrame, hot: DataFrame) -> DataFrame:
+    """chunks with the replica that their row reads."""
+    joined = chunks.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    return joined.withColumn("replica", F.pmod(F.xxhash64("row"), F.coalesce("replicas", F.lit(1))).cast("int")).drop("hot_digest", "replicas")
+
+
+def chunk_store(docs: DataFrame, hot: DataFrame) -> DataFrame:
+    """digest, replica, packed: every chunk once for each replica that a row with it is dealt to."""
+    return dealt(chunked(docs, STORED), hot).select("digest", "replica", "packed").dropDuplicates(["digest", "replica"])
 
 
 def rebuilt(lists: DataFrame, store: DataFrame) -> DataFrame:
@@ -208,4 +223,6 @@ def rebuilt(lists: DataFrame, store: DataFrame) -> DataFrame:
 def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as chunks and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return rebuilt(chunk_lists(docs), chunk_store(docs)).drop("verified")
+    lists = written(chunk_lists(docs), "chunk-lists")
+    hot = written(hot_chunks(lists), "chunk-hot")
+    return rebuilt(dealt(lists, hot), chunk_store(docs, hot)).drop("verified")
