@@ -14,6 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a node takes the least label of its neighbours, and then the label of its label,
     so the rounds grow with the logarithm of the longest path. Each round is written to the
     shared folder, which ends the lineage.
+
+    Cases: edges with a null end, loops and repeated edges change nothing; no edges give no rows.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
