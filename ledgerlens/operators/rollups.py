@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.cost import input_tokens, short, weighted
+from ledgerlens.functions.cost import short, weighted
 from ledgerlens.functions.text import snake
 from ledgerlens.functions.tristate import mark, standing
 
@@ -129,10 +129,6 @@ def failed_names(output: DataFrame, text: str) -> DataFrame:
     return names.where("name <> ''").distinct()
 
 
-def tokens(prompts: DataFrame, prompt: str) -> DataFrame:
-    return prompts.withColumn("tokens", input_tokens(F.col(prompt)))
-
-
 def gathered(tables: DataFrame, columns: DataFrame, fields: DataFrame, symbols: DataFrame, states: DataFrame, checks: DataFrame) -> DataFrame:
     """Per repo: lower-case tables, columns and fields (also in snake case), a blob of symbols, upper-case states, currency-like values.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import cost, text, tristate
 from ledgerlens.operators import joins, predicates, ranking, rollups, sets, state, validation
-from ledgerlens.plans import flow_queries  # noqa: F401  registers its queries too
+from ledgerlens.plans import flow_queries, rule_queries  # noqa: F401  register their queries too
 from ledgerlens.plans.registry import QUERIES, SQL, query, read
 from ledgerlens.sources import files
 
