@@ -4,14 +4,16 @@ Every text is a set of shingles of five words (fewer words: one shingle), hashed
 Texts with equal sets form a class; what follows works on one member of each.
 
 1. MinHash values, in BANDS bands of ROWS, put a class into BANDS buckets. A pair at the
-   threshold misses all of them with a chance of about 2e-6.
+   threshold misses all of them with a chance of (1 - 0.8 ** 4) ** 24, about 3.2e-6.
 2. Pairs from buckets of at most SMALL classes are compared by their MinHash values, STEP at
    a time: with m of k equal and a uniform prior, the posterior chance that the similarity
    reaches the threshold is that of a binomial tail; below TOLERANCE the pair is dropped. A
    larger bucket is not expanded into pairs: its members are tied to its first one.
-3. The connected groups of what is left are dealt out in pairs of blocks of at most about
-   BLOCK members, so no task holds a whole large group and no pair becomes a row. Each task
-   prunes its pairs as above and verifies the rest exactly on their shingle sets.
+3. The connected groups of what is left are dealt out in pairs of blocks of about a twelfth of
+   the group, and at most BLOCK members or BLOCK_SHINGLES shingles (but for a longer text), so no
+   task holds a whole large group and no pair becomes a row. The pairs of blocks of a group go to
+   partitions one after the other. Each task prunes its pairs as above and verifies the rest
+   exactly on their shingle sets.
 
 Cases: null text counts as empty; texts without words have no links and are classes of
 their own; repeated rows are copies of one another; the similarity of a pair is an exact
@@ -41,7 +43,10 @@ WORDS = 5
 #: The threshold as a fraction: shared / joint >= 4 / 5.
 UP, DOWN = 4, 5
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-6
-SMALL, BLOCK = 24, 384
+SMALL, BLOCK, LEAST_BLOCK = 24, 384, 96
+BLOCK_SHINGLES = 2_000_000
+#: Rows that a task compares, about, and the bits of the filter in front of the join that fetches texts.
+ROWS_A_TASK, MOST_BITS = 50_000, 1 << 28
 HASHES = BANDS * ROWS
 
 
@@ -118,13 +123,14 @@ def plausible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key, text_key and, null for texts without words, set_id, keys (one a band) and values (16 bits a hash)."""
+    """doc_id, doc_key, text_key and, null for texts without words, set_id, keys (one a band), values (16 bits a hash) and size (shingles)."""
     keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("doc_key", F.coalesce("doc_id", "text_key"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets, keys, values = [], [], []
+        sets, keys, values, sizes = [], [], [], []
         for t in texts(batch):
             s = shingle_set(t)
+            sizes.append(len(s))
             if not len(s):
                 sets.append(None), keys.append(None), values.append(None)
                 continue
@@ -132,17 +138,41 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets.append(set_name(s))
             keys.append(band_keys(low))
             values.append(low.astype("<u2").tobytes())
-        return {c: batch.column(c) for c in ("doc_id", "doc_key", "text_key")} | {"set_id": sets, "keys": keys, "values": values}
+        return {c: batch.column(c) for c in ("doc_id", "doc_key", "text_key")} | {"set_id": sets, "keys": keys, "values": values, "size": sizes}
 
-    fields = [StructField("set_id", BinaryType()), StructField("keys", ArrayType(LongType())), StructField("values", BinaryType())]
+    fields = [StructField("set_id", BinaryType()), StructField("keys", ArrayType(LongType())), StructField("values", BinaryType()), StructField("size", LongType())]
     return map_batches(keyed, run, StructType([keyed.schema["doc_id"], keyed.schema["doc_key"], keyed.schema["text_key"], *fields]))
 
 
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_key and text_key are not wanted: those whose bit is not set.
+
+    The bits, sixteen for each wanted row and at most MOST_BITS (32 MB), are broadcast in pieces of
+    4 KB, so that the join after this shuffles about as many texts as are wanted. With more rows
+    than bits nothing is dropped.
+    """
+    n = wanted.count()
+    bits = 1 << 15
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    if n > bits // 2:
+        return docs
+    place = F.pmod(F.xxhash64("doc_key", "text_key"), F.lit(bits))
+    set_bits = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    at = docs.withColumn("at", place)
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    on = F.expr("mod(bitmap_bit_position(at), 8)").cast("int")
+    joined = at.join(F.broadcast(set_bits), F.bitmap_bucket_number("at") == F.col("piece"))
+    kept = joined.where(F.call_function("shiftright", byte, on).bitwiseAND(1) == 1).select(*docs.columns)
+    # Always true: it only keeps the optimizer from moving the semi-join that follows in front of this filter.
+    return kept.where(F.monotonically_increasing_id() >= 0)
+
+
 def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """set_id and shingles (sorted 64-bit hashes) of the documents whose doc_key and text_key are wanted."""
     keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("doc_key", F.coalesce("doc_id", "text_key"))
     # As many rows are wanted as there are near copies, so they are shuffled at any size, never broadcast.
-    held = keyed.join(wanted.select("doc_key", "text_key").hint("merge"), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"]).select("text")
+    held = likely(keyed, wanted).join(wanted.select("doc_key", "text_key").hint("merge"), ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"]).select("text")
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t) for t in texts(batch)]
@@ -165,7 +195,8 @@ def pruned(pairs: DataFrame) -> DataFrame:
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b: pruned pairs of small buckets, and ties of the members of large ones to their first."""
     placed = classes.select("set_id", F.explode("keys").alias("key"))
-    crowded = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("first")).where("size > 1")
+    # Both sides of this join are dealt anew from tables, so Spark can split a bucket that holds a third of the classes.
+    crowded = written(placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("first")).where("size > 1"), "crowded")
     shared = written(placed.join(crowded, "key"), "buckets")
     small = shared.where(F.col("size") <= SMALL).select("key", "set_id")
     other = small.select("key", F.col("set_id").alias("b"))
@@ -258,14 +289,24 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """set_id, peer, links of the classes with links, a row for each pair of blocks."""
     groups = components(candidate_edges(classes)).select(F.col("node").alias("set_id"), "component")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = written(groups.join(sizes, "component").join(classes.drop("keys"), "set_id"), "members")
-    sets = shingled(docs, members)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = members.join(sets.dropDuplicates(["set_id"]), "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = dealt.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "set_id", "copies", "block", "values", "shingles")
-    return keyed.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", "set_id").mapInArrow(compare, LINKED)
+    own = classes.select("set_id", "copies", "values", "size", "doc_key", "text_key")
+    inside = written(groups.join(own, "set_id"), "members")
+    # The sizes are a table of their own: a group may hold a third of the classes, and Spark can only split what is dealt anew.
+    sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles"))
+    each = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("members") / 12)))
+    blocks = F.greatest(F.ceil(F.col("members") / each), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(sizes.select("component", "members", blocks.alias("blocks")), "group-sizes")
+    members = inside.join(sizes, "component")
+    sets = shingled(docs, inside)
+    placed = members.join(sets.dropDuplicates(["set_id"]), "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one, two = F.least("block", "other"), F.greatest("block", "other")
+    # Pairs of blocks are numbered along the rows of the upper triangle and dealt out in that order.
+    number = one.cast("long") * F.col("blocks") - F.floor(one.cast("long") * (one - 1) / 2) + (two - one)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sizes.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0) // ROWS_A_TASK)
+    slot = F.pmod(F.xxhash64("component") + number, F.lit(n)).cast("int")
+    keyed = dealt.select("component", one.alias("one"), two.alias("two"), "set_id", "copies", "block", "values", "shingles", slot.alias("slot"))
+    return keyed.repartitionById(n, "slot").drop("slot").sortWithinPartitions("component", "one", "two", "set_id").mapInArrow(compare, LINKED)
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -276,12 +317,13 @@ def joined(docs: DataFrame) -> DataFrame:
     marks = written(sketches(docs), "sketches")
     worded = marks.where("set_id is not null")
     least = F.min(F.struct("doc_key", "text_key")).alias("least")
-    classes = written(worded.groupBy("set_id").agg(least, F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("values").alias("values")).select("set_id", "copies", "keys", "values", "least", "least.doc_key", "least.text_key"), "classes")
+    classes = written(worded.groupBy("set_id").agg(least, F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("values").alias("values"), F.first("size").alias("size")).select("set_id", "copies", "keys", "values", "size", "least", "least.doc_key", "least.text_key"), "classes")
     links = written(linked(docs, classes.drop("least")), "links")
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("set_id").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("set_id"), "component")
     named = groups.join(classes.select("set_id", "least"), "set_id")
-    firsts = named.groupBy("component").agg(F.min("least").alias("group_least"))
+    named = written(named, "named")
+    firsts = written(named.groupBy("component").agg(F.min("least").alias("group_least")), "firsts")
     by_set = named.join(firsts, "component").select("set_id", "group_least")
     per_class = classes.select("set_id", "copies", "least").join(by_set, "set_id", "left").join(counts, "set_id", "left")
     per_class = per_class.select(F.col("set_id").alias("of"), "copies", F.coalesce("group_least", "least").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
