@@ -35,7 +35,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ledgerlens.llm.common import map_batches, table, texts
 
 KINDS = ["assign", "access", "hex", "novel"]
-NOVELTY, CONTEXT = 0.7, 160
+#: The level is one that looks for short matches: lower ones miss known words and so find them as novel as random strings.
+NOVELTY, CONTEXT, LEVEL = 0.75, 160, 19
 REACH, LEAST, PIECE = 40, 16, 512
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ASSIGN_WORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
@@ -58,23 +59,32 @@ LINE_END = re.compile(rb"""["' \t,+;\\]{0,8}(?:\r?\n|\Z)|(?:\\r)?\\n""")
 #: Every byte that is a lower-case hex digit becomes x, any other a space.
 HEXMAP = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
-#: What the compressor knows beforehand: words of code and of identifiers.
+#: What the compressor knows beforehand: words of code and of identifiers, alone and in the ways in which identifiers join them.
+VERBS = "get set is has new max min client user server request response session config default public private static create update delete insert select query sign verify encrypt decrypt".split()
+NOUNS = "name value type count index path file data list key token secret password access auth header body url host port time date status error message handler manager service factory".split()
+MORE = """signature credential build test class method object string number json http https html css js py src lib bin usr etc home dev prod local api app web admin login hash salt certificate master main release version table
+    column row schema model view controller router store cache queue worker job task event stream topic channel network socket address domain email account profile group role permission policy rule filter map array buffer byte char
+    int float double bool void async await return import export final const var let function lambda module package include define struct enum interface abstract extends override throw catch exception warning info debug trace log counter timer""".split()
 DICTIONARY = b" ".join(
-    f"{a}_{b} {a}{b.title()} {a}-{b} {a}.{b}".encode()
-    for a in "get set is has new max min user client server request response session config default public private static".split()
-    for b in "name value type count index path file data list key token secret password access auth header body url host port time date status error message handler manager service factory".split()
-) + b" function return const import export class interface string number boolean true false null undefined https://www.example.com/api/v1/ application/json Content-Type Authorization: Bearer 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    [*(f"{a}_{b} {a}{b.title()} {a}-{b} {a}.{b}".encode() for a in VERBS for b in NOUNS), *(f"{w} {w.title()}".encode() for w in MORE), *(f"_{w}_ /{w}/ -{w}-".encode() for w in MORE)]
+) + b" null undefined true false https://www.example.com/api/v1/ application/json Content-Type Authorization: Bearer 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @lru_cache(maxsize=1)
 def compressor() -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False)
+
+
+#: What stands before a text that is shorter than its context: very short inputs are not compressed at all.
+FILL = (b"Nothing is known of what came before this, so some plain words stand here, in place of any others, as they would in a letter or a note of 3 pages from 1987. " * 2)[:CONTEXT]
 
 
 def novelty(before: bytes, candidate: bytes, after: bytes) -> float:
     """Bytes that the candidate adds to its compressed surroundings, for each of its own."""
     pack = compressor().compress
+    before = FILL[len(before) :] + before
     return (len(pack(before + after + candidate)) - len(pack(before + after))) / len(candidate)
 
 
