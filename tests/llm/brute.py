@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -48,6 +49,32 @@ def secrets(text: str | None) -> tuple:
     return (*[sum(f[1] == k for f in found) for k in range(3)], sha(joined(found, ["assign", "access", "hex"])))
 
 
+def redacted(text: str | None) -> str:
+    """The text without its base secrets; what overlaps goes as one."""
+    text = text or ""
+    found = [m.span() for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    found += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20] + [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    out, at = [], 0
+    for a, b in sorted(found):
+        if a >= at:
+            out += [text[at:a], "<secret>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def copies(doc_id: int | None, text: str | None, rate: float, seed: str) -> int:
+    """The Poisson number of a document."""
+    ident = str(doc_id) if doc_id is not None else hashlib.md5((text or "").encode()).hexdigest()
+    u = int(hashlib.md5(f"{seed}:{ident}".encode()).hexdigest()[:13], 16) / 2**52
+    k, c = 0, math.exp(-rate)
+    p = c
+    while c <= u:
+        k += 1
+        p *= rate / k
+        c += p
+    return k
+
+
 def quality(text: str | None) -> tuple:
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from ledgerlens.llm import bpe, ngram_jaccard, quality_rules, secret_scan
-from ledgerlens.llm.mixing import mixing_stage
+from ledgerlens.llm.mixing import SEED, mixing_stage
 from tests.llm import brute
 
 
@@ -53,6 +56,29 @@ def test_mixing_and_bpe_stages(spark, tables):
     assert bpe.bpe_stage(spark, mixed, tables).count() == mixed.count()
 
 
-def test_run(spark, tables, empty):
-    assert corpus_pipeline.run(spark, tables).count() > 0
+def plain(rows):
+    """The five stages over rows in plain Python."""
+    rows = [r for r in rows if not brute.quality(r[1])[-1]]
+    sets = [brute.shingles(r[1]) for r in rows]
+    head = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            head[a] = min([head[b] for b in range(len(rows)) if sets[a] and brute.jaccard(sets[a], sets[b]) >= 0.8] + [head[a]])
+    first = {h: min((r for r, x in zip(rows, head, strict=True) if x == h), key=lambda r: (r[0] is None, r[0] or 0, r[1])) for h in set(head)}
+    rows = [(*r[:1], brute.redacted(r[1]), *r[2:]) for r in first.values()]
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3] or ""] += len(r[1] or "") + 1
+    encoder = Tokenizer.from_file(bpe.default_path())
+    out = Counter()
+    for r in rows:
+        ids = encoder.encode(r[1], add_special_tokens=False).ids
+        row = (r[0], len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), brute.sha(encoder.decode(ids, skip_special_tokens=False)))
+        out[row] += brute.copies(r[0], r[1], sum(sizes.values()) / len(sizes) / sizes[r[3] or ""], SEED)
+    return +out
+
+
+def test_run_equals_a_plain_version(spark, tables, rows, empty):
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, tables).collect())
+    assert got == plain(rows)
     assert corpus_pipeline.run(spark, empty).count() == 0
