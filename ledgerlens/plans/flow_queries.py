@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import graph, ranking, rollups
 from ledgerlens.plans import dims, payments
 from ledgerlens.plans.registry import query, read
+from ledgerlens.sources.shared import checkpointed
 
 
 def flow_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -116,6 +117,7 @@ def planned_asks(spark: SparkSession, sf: str) -> DataFrame:
     cases = flow_cases(spark, sf)
     runnable = F.col("blocked").isNull()
     seen = cases.select("repo", runnable.alias("runnable"), "scenario", "technique", F.col("scenario").contains("MONEY").alias("needs_money"), F.col("scenario").startswith("IDEM").alias("needs_key"), "seam_kinds", F.when(F.array_contains("requires", "machine"), F.array(F.lit("machine"))).alias("machines"))
+    seen = checkpointed(seen)  # a row for each repo and scenario, asked three times below
     customers = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("repo"), F.col("c_custkey").alias("o_custkey"))
     key = F.col("o_orderkey")
     of = lambda names, at: F.element_at(F.array(*[F.lit(k) for k in names]), (at + 1).cast("int"))
