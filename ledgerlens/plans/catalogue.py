@@ -219,9 +219,11 @@ TOPICS = {"law": ["license", "copyright", "version"], "access": ["password", "to
     select doc_id, cast(sum(n + case when n >= 5 then 5 else 0 end) as bigint) as score, list(topic order by topic) as topics from h where n > 0 group by 1""")
 def doc_relevance(spark: SparkSession, sf: str) -> DataFrame:
     """Documents scored by the words of topics, five more for a topic that is hit five times or more."""
-    low = F.lower("text")
-    hits = F.array(*[F.struct(F.lit(t).alias("topic"), sum((text.occurrences(low, F.lit(w)) for w in words), F.lit(0)).alias("n")) for t, words in TOPICS.items()])
-    found = read(spark, sf, "documents").select("doc_id", F.filter(hits, lambda h: h["n"] > 0).alias("h")).where("size(h) > 0")
+    low = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    hits = F.array(*[F.struct(F.lit(t).alias("topic"), sum((text.occurrences(F.col("low"), F.lit(w)) for w in words), F.lit(0)).alias("n")) for t, words in TOPICS.items()])
+    # The search for any word comes first: a filter on the hits would count them all twice.
+    some = low.where(text.any_within(F.col("low"), [w for words in TOPICS.values() for w in words]))
+    found = some.select("doc_id", F.filter(hits, lambda h: h["n"] > 0).alias("h"))
     score = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a + h["n"] + F.when(h["n"] >= 5, 5).otherwise(0))
     return found.select("doc_id", score.alias("score"), F.array_sort(F.transform("h", lambda h: h["topic"])).alias("topics"))
 
