@@ -31,7 +31,7 @@ from ledgerlens.llm.common import map_batches, table, texts
 #: Pre-tokens of the byte-level pattern; white space is Unicode's.
 SPACES = r"\t-\r\x85\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> dict[str, int]:
