@@ -2,42 +2,150 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.sources.shared import checkpointed
+from ledgerlens.sources.shared import Buckets, checkpointed, setting
+
+
+#: How often the labels of condensed are passed on both ways.
+PASSES = 6
+
+
+def spread(edges: Buckets, seeds: DataFrame, on: list[str], extra: list[str], merged: Callable[[str], Column], fresh: Callable[[Column, Column], Column], passed: Callable[[Column], Column] = lambda v: v, rounds: int | None = None) -> Buckets:
+    """What the seeds (on, node, extra, value) spread over edges (on, src, dst): a table (on, node, extra, value, round) to be merged by its readers.
+
+    In each round the values that a node newly got pass along its edges; those of one node and one
+    extra key are merged, and fresh(value, known) says what of a value is new there, null if nothing
+    is. The table only grows. The edges lie in buckets by (on, src) and the table in as many by
+    (on, node), so a round shuffles neither, but only what it passes on.
+    """
+    spark = seeds.sparkSession
+    keys = [*on, "node", *extra]
+    found = Buckets(seeds.groupBy(*keys).agg(merged("value").alias("value")).withColumn("round", F.lit(0)), [*on, "node"], "round")
+    done, new = 0, 1
+    # Rows of one (on, node) lie in one bucket whatever their extra keys, so joins by all keys need no other layout.
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        while new and (rounds is None or done < rounds):
+            new = found.append(step(edges.read(), found.read(), on, extra, merged, fresh, passed, done))
+            done += 1
+    return found
+
+
+def step(edges: DataFrame, found: DataFrame, on: list[str], extra: list[str], merged: Callable[[str], Column], fresh: Callable[[Column, Column], Column], passed: Callable[[Column], Column], done: int) -> DataFrame:
+    """The rows of the next round of spread."""
+    keys = [*on, "node", *extra]
+    frontier = found.where(F.col("round") == done).select(*on, F.col("node").alias("src"), *extra, "value")
+    sent = frontier.join(edges, [*on, "src"]).select(*on, F.col("dst").alias("node"), *extra, passed(F.col("value")).alias("value"))
+    got = sent.groupBy(*keys).agg(merged("value").alias("value"))
+    known = found.groupBy(*keys).agg(merged("value").alias("known"))
+    new = got.join(known, keys, "left").select(*keys, F.when(F.col("known").isNull(), F.col("value")).otherwise(fresh(F.col("value"), F.col("known"))).alias("value"))
+    return new.where("value is not null").withColumn("round", F.lit(done + 1))
+
+
+def _less(value: Column, known: Column) -> Column:
+    return F.when(value < known, value)
+
+
+def _more_bits(value: Column, known: Column) -> Column:
+    bits = value.bitwiseAND(F.bitwise_not(known))
+    return F.when(bits != 0, bits)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
     """keys, node, depth: what the seeds (keys, node) reach over edges (src, dst), themselves included, at the least depth.
 
-    Only the frontier is joined and written in each round; what was reached before is taken off by
-    an anti join. The frontiers of sixteen rounds are put together, so the plan stays short.
-    The edges carry those of the keys that they share with the seeds.
+    The edges carry those of the keys that they share with the seeds; they are laid out once.
     """
     on = [k for k in keys if k in edges.columns]
-    seen = checkpointed(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
-    frontier, level = seen, 0
-    while depth is None or level < depth:
-        level += 1
-        step = frontier.select(*keys, F.col("node").alias("src")).join(edges, [*on, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+    laid = Buckets(edges.select(*on, "src", "dst").distinct(), [*on, "src"])
+    start = seeds.select(*keys, "node", F.lit(0).alias("value"))
+    found = spread(laid, start, on, [k for k in keys if k not in on], F.min, lambda value, known: F.lit(None).cast("int"), lambda v: v + 1, depth)
+    return found.read().select(*keys, "node", F.col("value").alias("depth"))
+
+
+def least_entry(edges: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """repo, node, entry_ord: the first entry that reaches each node, one label a node; 0 for all nodes of a repo without entries."""
+    laid = Buckets(edges.select("repo", "src", "dst").distinct(), ["repo", "src"])
+    found = spread(laid, entry_nodes(entries).select("repo", "node", F.col("entry_ord").alias("value")), ["repo"], [], F.min, _less)
+    labels = found.read().groupBy("repo", "node").agg(F.min("value").alias("entry_ord"))
+    return labels.unionByName(unentered(nodes, entries))
+
+
+def entry_nodes(entries: DataFrame) -> DataFrame:
+    return entries.select("repo", F.col("ord").alias("entry_ord"), F.concat_ws("#", "pkg", "symbol").alias("node"))
+
+
+def unentered(nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """repo, node, entry_ord 0 of all nodes of repos without entries."""
+    return nodes.join(entries, "repo", "left_anti").select("repo", F.col("id").alias("node"), F.lit(0).alias("entry_ord"))
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo, node, part) of every node of edges (repo, src, dst), and (repo, src, dst) of the edges between parts.
+
+    A part is a set of nodes that reach each other. The least label that reaches a node and the
+    least that it reaches are the same just for the nodes of the part with that label; labels are hashes,
+    so none is least for long. What is found is taken off, and the rest is labelled anew, up to PASSES times. Nodes that
+    are left then are parts of their own, also where they do reach each other: sets that spread over the parts are the same.
+    """
+    own = edges.select("repo", "src", "dst").where("src <> dst").distinct()
+    rest = checkpointed(own)
+    parts: list[DataFrame] = []
+    for _ in range(PASSES):
+        # Only nodes with edges both in and out can lie on a cycle.
+        inner = rest.join(rest.select("repo", F.col("dst").alias("src")).distinct(), ["repo", "src"], "left_semi").join(rest.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi")
+        inner = checkpointed(inner)
+        if inner.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-        if level % 16 == 0:
-            seen = checkpointed(seen)
-    return seen
+        label = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+        both = inner.select("repo", F.col("src").alias("node")).unionByName(inner.select("repo", F.col("dst").alias("node"))).distinct()
+        seeds = both.select("repo", "node", label("node").alias("value"))
+        ways = []
+        for a, b in (("src", "dst"), ("dst", "src")):
+            laid = Buckets(inner.select("repo", F.col(a).alias("src"), F.col(b).alias("dst")), ["repo", "src"])
+            ways.append(spread(laid, seeds, ["repo"], [], F.min, _less).read().groupBy("repo", "node").agg(F.min("value").alias(f"from_{a}")))
+        same = checkpointed(ways[0].join(ways[1], ["repo", "node"]).where("from_src = from_dst").select("repo", "node", F.col("from_src.id").alias("part")))
+        parts.append(same)
+        off = same.select("repo", F.col("node").alias("src"))
+        rest = checkpointed(inner.join(off, ["repo", "src"], "left_anti").join(off.withColumnRenamed("src", "dst"), ["repo", "dst"], "left_anti"))
+    every = own.select("repo", F.col("src").alias("node")).unionByName(own.select("repo", F.col("dst").alias("node"))).distinct()
+    known = reduce(DataFrame.unionByName, parts) if parts else every.where("false").withColumn("part", F.col("node"))
+    members = checkpointed(every.join(known, ["repo", "node"], "left").select("repo", "node", F.coalesce("part", "node").alias("part")))
+    at = lambda c: members.select("repo", F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
+    between = own.join(at("src"), ["repo", "src"]).join(at("dst"), ["repo", "dst"]).where("part_src <> part_dst")
+    return members, checkpointed(between.select("repo", F.col("part_src").alias("src"), F.col("part_dst").alias("dst")).distinct())
+
+
+def marked(edges: DataFrame, seeds: DataFrame, members: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """repo, node, mark of every mark (an int from 0 on) that the seeds (repo, node, mark) spread along the edges (repo, src, dst).
+
+    Marks travel as bits, 64 in a word, a row for each node and word that it holds; where members (repo,
+    node, part) are given, the edges are those between parts. Only the last step makes a row of each
+    node and mark, for the nodes in only (repo, node) where it is given.
+    """
+    if members is not None:
+        seeds = seeds.join(members, ["repo", "node"], "left").select("repo", F.coalesce("part", "node").alias("node"), "mark")
+    bits = seeds.select("repo", "node", F.floor(F.col("mark") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(mark % 64 as int))").alias("value"))
+    laid = Buckets(edges.select("repo", "src", "dst").distinct(), ["repo", "src"])
+    found = spread(laid, bits, ["repo"], ["word"], F.bit_or, _more_bits).read()
+    held = found.groupBy("repo", "node", "word").agg(F.bit_or("value").alias("value"))
+    if members is not None:
+        held = held.withColumnRenamed("node", "part").join(members, ["repo", "part"], "left").select("repo", F.coalesce("node", "part").alias("node"), "word", "value")
+    if only is not None:
+        held = held.join(only.select("repo", "node").distinct(), ["repo", "node"], "left_semi")
+    return held.select("repo", "node", "word", F.explode(F.expr("filter(sequence(0, 63), i -> getbit(value, i) = 1)")).alias("bit")).select("repo", "node", (F.col("word") * 64 + F.col("bit")).cast("int").alias("mark"))
 
 
 def reach_sets(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
     """repo, entry_ord, node of every entry; a repo without entries has one set of all its nodes."""
-    seeds = entries.select("repo", F.col("ord").alias("entry_ord"), F.concat_ws("#", "pkg", "symbol").alias("node"))
-    reached = reachable(edges, seeds, ["repo", "entry_ord"]).select("repo", "entry_ord", "node")
-    alone = nodes.join(entries, "repo", "left_anti").select("repo", F.lit(0).alias("entry_ord"), F.col("id").alias("node"))
-    return reached.unionByName(alone)
+    members, between = condensed(edges)
+    reached = marked(between, entry_nodes(entries).withColumnRenamed("entry_ord", "mark"), members)
+    return reached.select("repo", F.col("mark").alias("entry_ord"), "node").unionByName(unentered(nodes, entries).select("repo", "entry_ord", "node"))
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import snake, table_names
+from ledgerlens.operators import graph
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the first by order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row for each key: the first by order. Each task passes on one row a key."""
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    # A null orders first here as it does in a sort.
+    return df.groupBy(*keys).agg(F.min_by(rest, F.struct(*order)).alias("_first")).select(*keys, "_first.*").select(*df.columns)
 
 
-def scoped(seams: DataFrame, reached: DataFrame) -> DataFrame:
-    """The seams of reached nodes; of those of one target the first by entry, then by seam."""
+def scoped(seams: DataFrame, reached: DataFrame, pools: tuple[str, ...] = (), order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """The seams of reached nodes; of those of one target the first by entry, then by order.
+
+    reached (repo, node, entry_ord) has all entries of a node or only its least. Seams that stand in
+    several pools are scoped in each.
+    """
     inside = seams.join(reached.select("repo", F.col("node").alias("in_id"), "entry_ord"), ["repo", "in_id"])
-    return first_wins(inside, ["repo", "target"], ["entry_ord", "ord"])
+    return first_wins(inside, ["repo", *pools, "target"], ["entry_ord", *order])
 
 
 def under_test(entries: DataFrame, reached: DataFrame, seams: DataFrame) -> DataFrame:
@@ -28,6 +34,17 @@ def under_test(entries: DataFrame, reached: DataFrame, seams: DataFrame) -> Data
     return touching.unionByName(first_wins(alone, ["repo"], ["ord"]))
 
 
+def touching(edges: DataFrame, entries: DataFrame, seams: DataFrame) -> DataFrame:
+    """repo, pool, entry_ord: the entries that reach a seam (repo, in_id, pool), found backward from the seams.
+
+    Pools are small numbers; a node has one row for 64 of them, whatever the number of entries.
+    """
+    back = edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    starts = graph.entry_nodes(entries)
+    met = graph.marked(back, seams.select("repo", F.col("in_id").alias("node"), F.col("pool").alias("mark")).distinct(), only=starts)
+    return starts.join(met, ["repo", "node"]).select("repo", F.col("mark").alias("pool"), "entry_ord").distinct()
+
+
 def relevant_tables(tables: DataFrame, constrained: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
     """tables (repo, table, columns) with relevant: constrained, named like an owner (a type) in some plural, as it is or
     in lower case, or with a column named like a key in snake case."""

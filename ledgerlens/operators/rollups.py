@@ -10,16 +10,27 @@ from ledgerlens.functions.text import snake
 from ledgerlens.functions.tristate import mark, standing
 
 
+#: What a scenario asks for that makes the money model be asked for; a key asks for the main entity as well.
+MONEY_NEEDS = ("money", "transfer", "balance", "key")
+
+
 def demand(cases: DataFrame) -> DataFrame:
-    """Per repo: runnable and blocked cases, and of the runnable their scenarios and techniques and what they need."""
-    on = F.col("runnable")
+    """Per repo: runnable and blocked cases, and of the runnable their scenarios, techniques and what their requirements ask for."""
+    on, needs = F.col("runnable"), F.coalesce(F.col("requires"), F.array().cast("array<string>"))
     distinct = lambda c: F.array_sort(F.collect_set(F.when(on, F.col(c))))
+    wanted = lambda words: F.coalesce(F.bool_or(on & F.arrays_overlap(needs, F.array(*[F.lit(w) for w in words]))), F.lit(False))
     return cases.groupBy("repo").agg(
         F.count_if(on).alias("runnable"), F.count_if(~on).alias("blocked"), distinct("scenario").alias("scenarios"), distinct("technique").alias("techniques"),
-        F.coalesce(F.bool_or(on & F.col("needs_money")), F.lit(False)).alias("money"), F.coalesce(F.bool_or(on & F.col("needs_key")), F.lit(False)).alias("main_entity"),
+        wanted(MONEY_NEEDS).alias("money"), wanted(("key",)).alias("main_entity"),
     )
 
 
+def states_demanded(cases: DataFrame, machines: DataFrame) -> DataFrame:
+    """repo, machine, scenarios: each machine of two states or more, with the runnable scenarios that need one."""
+    need = cases.where(F.col("runnable") & F.array_contains("requires", "machine")).groupBy("repo").agg(F.array_sort(F.collect_set("scenario")).alias("scenarios"))
+    return machines.where(F.size("states") >= 2).select("repo", F.col("type").alias("machine")).distinct().join(need, "repo")
+
+
 def demanded_by(cases: DataFrame, array: str, name: str) -> DataFrame:
     """For each item of an array column, the runnable scenarios that want it."""
     return cases.where("runnable").select("repo", "scenario", F.explode(array).alias(name)).groupBy("repo", name).agg(F.array_sort(F.collect_set("scenario")).alias("scenarios"))

@@ -131,13 +131,16 @@ def needed_union_anti(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    select l_suppkey as repo, count(*) filter (where l_returnflag <> 'R') as runnable, count(*) filter (where l_returnflag = 'R') as blocked,
-        coalesce(list_sort(list_distinct(list(l_shipmode) filter (where l_returnflag <> 'R'))), []) as scenarios from (select *, l_returnflag || l_linestatus || (l_linenumber % 4) as l_shipmode from lineitem) group by 1""")
+    with c as (select *, l_returnflag <> 'R' as on_, l_returnflag || l_linestatus || (l_linenumber % 4) as scenario, ['tx', 'balance', 'machine', 'key', 'injectable', 'money', 'transfer'][l_linenumber] as need from lineitem)
+    select l_suppkey % 10 * 100 + l_quantity::int as repo, count(*) filter (where on_) as runnable, count(*) filter (where not on_) as blocked, coalesce(list_sort(list_distinct(list(scenario) filter (where on_))), []) as scenarios,
+        bool_or(on_ and need in ('money', 'transfer', 'balance', 'key') and l_shipdate < '1992-06-01') as money, bool_or(on_ and need = 'key' and l_shipdate < '1992-06-01') as main_entity from c group by 1""")
 def demand(spark: SparkSession, sf: str) -> DataFrame:
-    """Per supplier: kept and returned lines, and the distinct kinds of those kept."""
+    """Per group of suppliers and quantity: kept and returned lines, the distinct kinds of those kept, and what their needs ask for."""
     kind = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).cast("string"))
-    cases = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("repo"), (F.col("l_returnflag") != "R").alias("runnable"), kind.alias("scenario"), kind.alias("technique"), F.lit(False).alias("needs_money"), F.lit(False).alias("needs_key"))
-    return rollups.demand(cases).select("repo", "runnable", "blocked", "scenarios")
+    need = F.when(F.col("l_shipdate") < "1992-06-01", F.array(F.element_at(F.array(*[F.lit(x) for x in ("tx", "balance", "machine", "key", "injectable", "money", "transfer")]), F.col("l_linenumber").cast("int"))))
+    repo = F.col("l_suppkey") % 10 * 100 + F.col("l_quantity").cast("int")
+    cases = read(spark, sf, "lineitem").select(repo.alias("repo"), (F.col("l_returnflag") != "R").alias("runnable"), kind.alias("scenario"), kind.alias("technique"), need.alias("requires"))
+    return rollups.demand(cases).select("repo", "runnable", "blocked", "scenarios", "money", "main_entity")
 
 
 @query("""

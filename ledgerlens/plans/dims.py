@@ -181,6 +181,12 @@ def scenarios(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(data, "ord int, scenario string, family string, severity string, oracle string, techniques array<string>, requires array<string>, seam_kinds array<string>, write_patterns array<string>")
 
 
+def seam_pools() -> list[str]:
+    """The sets of seam kinds that scenarios name, each as its kinds in order."""
+    named = [" ".join(x[5:] for x in r.split() if x.startswith("seam:")) for *_, r in rows(SCENARIOS)]
+    return list(dict.fromkeys(x for x in named if x))
+
+
 def evidence(spark: SparkSession) -> DataFrame:
     areas = list(dict.fromkeys(a for _, a, _, _ in rows(FEATURES)))
     data = [(k, areas.index(a), f, a, e[1:], e[0] == "+", i.split()) for k, (f, a, es, i) in enumerate(rows(FEATURES)) for e in es.split()]

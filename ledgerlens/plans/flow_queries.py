@@ -47,12 +47,12 @@ def _quoted(items) -> str:
 
 def _cases_sql() -> str:
     lines = []
-    for k, (i, _, severity, _, techniques, needs) in enumerate(dims.rows(dims.SCENARIOS)):
+    for k, (i, family, severity, _, techniques, needs) in enumerate(dims.rows(dims.SCENARIOS)):
         plain = [x for x in needs.split() if ":" not in x]
-        lines.append(f"({k}, '{i}', '{severity}', {_quoted(techniques.split())}, {_quoted(plain)}, {_quoted(sorted(x[5:] for x in needs.split() if x.startswith('seam:')))}, {_quoted(x[6:] for x in needs.split() if x.startswith('write:'))})")
+        lines.append(f"({k}, '{i}', '{family}', '{severity}', {_quoted(techniques.split())}, {_quoted(plain)}, {_quoted(sorted(x[5:] for x in needs.split() if x.startswith('seam:')))}, {_quoted(x[6:] for x in needs.split() if x.startswith('write:'))})")
     need = lambda x: f"list_contains(needs, '{x}')"
     return f"""
-        with sc(ord, scenario, severity, techniques, needs, seams, writes) as (values {", ".join(lines)}),
+        with sc(ord, scenario, family, severity, techniques, needs, seams, writes) as (values {", ".join(lines)}),
         c as (select c_nationkey as n, bool_or(c_acctbal > 9900) as money, bool_or(c_acctbal < -950) as tx, bool_or(c_acctbal > 0 and c_acctbal < 100) as go, bool_or(c_mktsegment = 'BUILDING' and c_acctbal > 9000) as machine from customer group by 1),
         s as (select s_nationkey as n, count(*) filter (where s_acctbal > 4000) as entries from supplier group by 1),
         ok as (select c_nationkey as n, ['http', 'db', 'queue', 'clock', 'random'][o_orderkey % 5 + 1] as kind, o_orderpriority = '1-URGENT' and c_nationkey % 5 <> 3 as inj from orders join customer on o_custkey = c_custkey),
@@ -66,7 +66,7 @@ def _cases_sql() -> str:
             when len(seams) > 0 and not list_has_any(seams, kinds) then 'no boundary of kind ' || array_to_string(seams, ' or ') when len(writes) > 0 and not list_contains(writes, pattern) then 'no table written by ' || array_to_string(writes, ' or ')
             when {need('injectable')} and not inj then 'no replaceable boundary' when {need('tenant')} and not tenant then 'no tenant column' when {need('hash_chain')} and chains = 0 then 'no hash chain' end as why from p cross join sc),
         t as (select *, list_filter(techniques, lambda x: inj or x <> 'faultInjection') as left_over from b),
-        r as (select 'n' || n as repo, ord, scenario, severity, seams, needs, case when why is null then left_over[1] end as technique, case when why is null and len(left_over) = 0 then 'no technique is possible' else why end as blocked,
+        r as (select 'n' || n as repo, n, ord, scenario, family, severity, seams, needs, case when why is null then left_over[1] end as technique, case when why is null and len(left_over) = 0 then 'no technique is possible' else why end as blocked,
             case when why is null and len(left_over) > 0 then case when {need('database')} or left_over[1] = 'narrowIntegration' then 'medium' else 'small' end end as size from t),
         placed as (select *, row_number() over (partition by repo order by blocked is not null, case when severity = 'critical' then 0 else 1 end, ord) as place from r)"""
 
@@ -83,20 +83,111 @@ def round_two(spark: SparkSession, sf: str) -> DataFrame:
     return payments.in_round_two(flow_cases(spark, sf)).withColumn("ord", F.col("ord").cast("long"))
 
 
-ASK_KINDS = ["moneyModel", "mainEntity", "questions", "other", "externalEffect", "stateRoles"]
+def walked_flow(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The flow tables with a call graph, places and states: suppliers call the customers of their lines, customers those that their orders name.
+
+    Every third supplier has no node of its own, so it calls nothing; a third of the calls among customers go both ways.
+    """
+    t = flow_tables(spark, sf)
+    customers = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("repo"), "c_custkey", "c_acctbal", "c_mktsegment")
+    suppliers = read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("repo"), "s_suppkey", "s_acctbal")
+    at, by = F.concat(F.lit("c#"), "c_custkey"), F.concat(F.lit("s#"), "s_suppkey")
+    orders = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    sold = read(spark, sf, "lineitem").join(orders.select("repo", "o_orderkey", "c_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("repo", F.col("l_suppkey").alias("s_suppkey"), "c_custkey")
+    calls = sold.join(suppliers.where("s_suppkey % 3 <> 0").select("repo", "s_suppkey"), ["repo", "s_suppkey"]).select("repo", by.alias("src"), at.alias("dst"))
+    named = orders.select("repo", at.alias("src"), (F.col("o_orderkey") % 1500 + 1).alias("other"), "o_orderkey").join(customers.select("repo", F.col("c_custkey").alias("other"), at.alias("dst")), ["repo", "other"])
+    among = named.select("repo", "src", "dst").unionByName(named.where("o_orderkey % 3 = 0").select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    known = customers.where("c_mktsegment = 'BUILDING' and c_acctbal > 9000")
+    states = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("O"))).otherwise(F.array(F.lit("O"), F.lit("F"), F.lit("P")))
+    role = F.struct((F.col("c_custkey") % 2 == 0).alias("initializing"), (F.col("c_custkey") % 5 == 0).alias("final"), F.lit(False).alias("foreign"))
+    seam = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    plain = F.element_at(F.array(*[F.lit(k) for k in SEAM_KINDS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    n = F.substring("repo", 2, 9).cast("int")
+    kind = F.when((plain == "http") & (n % 4 == 1), "clock").when((plain == "queue") & (n % 4 < 2), "random").when((plain == "db") & (n % 7 == 3), "clock").otherwise(plain)
+    traits = [(F.col("c_acctbal") > 9900).alias("handles_money"), (F.col("c_acctbal") < -950).alias("opens_tx"), ((F.col("c_acctbal") > 0) & (F.col("c_acctbal") < 100)).alias("spawns_goroutine")]
+    own = customers.select("repo", at.alias("id"), F.concat(F.lit("svc"), F.col("c_custkey") % 5, F.lit("/h.go")).alias("file"), *traits)
+    mains = suppliers.where("s_suppkey % 3 <> 0").select("repo", by.alias("id"), F.concat(F.lit("cmd/x"), F.col("s_suppkey") % 4, F.lit("/main.go")).alias("file"), *[F.lit(False).alias(c) for c in ("handles_money", "opens_tx", "spawns_goroutine")])
+    return t | {
+        "flows": t["flows"].withColumn("tenancy", F.concat("repo", F.lit("_id"))).withColumn("first_chain", F.concat("repo", F.lit("_chain"))),
+        "entries": suppliers.where("s_acctbal > 4000").select("repo", F.col("s_suppkey").cast("int").alias("ord"), F.lit("s").alias("pkg"), F.col("s_suppkey").cast("string").alias("symbol")),
+        "nodes": own.unionByName(mains),
+        "edges": calls.unionByName(among).distinct(),
+        "seams": seam.select("repo", F.col("o_orderkey").alias("ord"), kind.alias("kind"), F.concat(F.lit("t"), F.col("o_orderkey") % 97).alias("target"), at.alias("in_id"), ((F.col("o_orderpriority") == "1-URGENT") & (n % 5 != 3)).alias("injectable")),
+        "machines": known.select("repo", F.col("c_custkey").alias("ord"), at.alias("type"), states.alias("states")),
+        "roles": known.where("c_custkey % 7 <> 0").select("repo", at.alias("type"), F.array(role).alias("roles")),
+    }
+
+
 SEAM_KINDS = ["http", "db", "queue", "clock", "random"]
+#: The walk of walked_flow, the seams of each runnable case, and its entries.
+WALK_SQL = f"""{_cases_sql().replace("with sc(", "with recursive sc(", 1)},
+    ent as (select 'n' || s_nationkey as repo, cast(s_suppkey as int) as eo, 's#' || s_suppkey as node from supplier where s_acctbal > 4000),
+    nod as (select 'n' || c_nationkey as repo, 'c#' || c_custkey as id, 'svc' || (c_custkey % 5) as dir from customer union all select 'n' || s_nationkey, 's#' || s_suppkey, 'cmd/x' || (s_suppkey % 4) from supplier where s_suppkey % 3 <> 0),
+    oc as (select 'n' || c_nationkey as repo, c_nationkey as n, c_custkey, o_orderkey, o_orderpriority from orders join customer on o_custkey = c_custkey),
+    amo as (select oc.repo, 'c#' || oc.c_custkey as a, 'c#' || c.c_custkey as b, o_orderkey from oc join customer c on c.c_custkey = o_orderkey % 1500 + 1 and 'n' || c.c_nationkey = oc.repo),
+    edg as (select distinct repo, 's#' || l_suppkey as src, 'c#' || c_custkey as dst from lineitem join oc on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey and 'n' || s_nationkey = repo where s_suppkey % 3 <> 0
+        union select repo, a, b from amo union select repo, b, a from amo where o_orderkey % 3 = 0),
+    rea as (select repo, eo, node from ent union select rea.repo, rea.eo, dst from rea join edg on edg.repo = rea.repo and src = node),
+    met as (select * from rea union all select repo, 0, id from nod where repo not in (select repo from ent)),
+    sea as (select repo, o_orderkey as so, 't' || (o_orderkey % 97) as target, 'c#' || c_custkey as in_id, o_orderpriority = '1-URGENT' and n % 5 <> 3 as inj,
+        case when k = 'http' and n % 4 = 1 then 'clock' when k = 'queue' and n % 4 < 2 then 'random' when k = 'db' and n % 7 = 3 then 'clock' else k end as kind from (select *, ['http', 'db', 'queue', 'clock', 'random'][o_orderkey % 5 + 1] as k from oc)),
+    lab as (select repo, node, min(eo) as eo from met group by 1, 2),
+    run as (select repo, scenario, seams, needs from placed where blocked is null),
+    can as (select run.repo, scenario, so, target, in_id, kind, list_position(seams, kind) as kp from run join sea on sea.repo = run.repo and list_contains(seams, kind)
+        union all select run.repo, scenario, so, target, in_id, kind, 0 from run join sea on sea.repo = run.repo where len(seams) = 0 and list_contains(needs, 'injectable') and inj),
+    sco as (select * from (select can.*, row_number() over (partition by can.repo, scenario, target order by eo, kp, so) as r from can join lab on lab.repo = can.repo and node = in_id) where r = 1),
+    cen as (select distinct sco.repo, scenario, rea.eo from sco join rea on rea.repo = sco.repo and node = in_id),
+    fir as (select repo, min(eo) as eo from ent group by 1),
+    ces as (select * from cen union all select run.repo, scenario, eo from run join fir using (repo) where (run.repo, scenario) not in (select (repo, scenario) from sco)),
+    mac as (select 'n' || c_nationkey as repo, c_custkey as mo, 'c#' || c_custkey as machine, case when c_custkey % 7 = 0 then 0 else 1 + (c_custkey % 2 = 0)::int + (c_custkey % 5 = 0)::int end as score from customer where c_mktsegment = 'BUILDING' and c_acctbal > 9000 and c_custkey % 3 <> 0),
+    bes as (select repo, machine from (select *, row_number() over (partition by repo order by score desc, mo) as r from mac) where r = 1)"""
+
+
+@query(f"""{WALK_SQL},
+    ns as (select repo, scenario, count(*) as n_seams from sco group by 1, 2), ne as (select repo, scenario, count(*) as n_entries, min(eo) as eo from ces group by 1, 2),
+    hom as (select ne.*, dir from ne left join nod on nod.repo = ne.repo and id = 's#' || eo)
+    select p.repo, p.scenario, 'Test' || array_to_string(list_transform(string_split(lower(p.scenario), '-'), lambda x: upper(x[1]) || x[2:]), '') as func_name, p.severity, technique, size, blocked, coalesce(n_seams, 0) as n_seams, coalesce(n_entries, 0) as n_entries,
+        case when blocked is null and list_contains(needs, 'machine') then machine end as machine, case when blocked is null and list_contains(needs, 'tenant') then p.repo || '_id' end as tenancy, case when blocked is null and list_contains(needs, 'hash_chain') then p.repo || '_chain' end as hash_chain,
+        case when blocked is null then case when n_entries > 0 then 's' else '' end end as target_pkg, case when blocked is null then coalesce(dir, '.') || '/' || family || case when size = 'small' then '_test.go' else '_integration_test.go' end end as target_file, place
+    from placed p left join ns using (repo, scenario) left join hom using (repo, scenario) left join bes on bes.repo = p.repo""")
+def selected_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The complete cases of each nation: technique, size, how many seams and entries, machine, function and file, in order."""
+    cases = payments.selected(walked_flow(spark, sf))["cases"]
+    return cases.select("repo", "scenario", "func_name", "severity", "technique", "size", "blocked", "n_seams", "n_entries", "machine", "tenancy", "hash_chain", "target_pkg", "target_file", F.col("place").cast("long").alias("place"))
+
+
+@query(f"{WALK_SQL} select repo, scenario, target, in_id, kind, so as seam from sco")
+def case_seams(spark: SparkSession, sf: str) -> DataFrame:
+    """The seams of each runnable case: of each target that the entries reach the first."""
+    return payments.selected(walked_flow(spark, sf))["seams"].select("repo", "scenario", "target", "in_id", "kind", F.col("ord").alias("seam"))
+
+
+@query(f"{WALK_SQL} select repo, scenario, eo as entry_ord from ces")
+def case_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries from which the seams of each runnable case are reached; the first entry of a case without seams."""
+    return payments.selected(walked_flow(spark, sf))["entries"]
+
+
+@query(f"{WALK_SQL} select repo, node, eo as entry_ord from lab")
+def least_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The first entry that reaches each node of a nation's calls."""
+    t = walked_flow(spark, sf)
+    return graph.least_entry(t["edges"], t["nodes"], t["entries"])
+
+
+ASK_KINDS = ["moneyModel", "mainEntity", "questions", "other", "externalEffect", "stateRoles"]
 #: What the asks of a nation may cost; every fifth nation has no limit.
 BUDGET = 60_000
 
-ASKS_SQL = f"""{_cases_sql()},
-    d as (select repo, count(*) filter (where blocked is null) as runnable, bool_or(blocked is null and scenario like 'IDEM%') as key, bool_or(blocked is null and scenario like '%MONEY%') as money, count(*) filter (where blocked is null and list_contains(needs, 'machine')) as machines from placed group by 1),
-    seamed as (select repo, unnest(seams) as subject, count(*) as worth from (select distinct repo, scenario, seams from placed where blocked is null) group by 1, 2),
-    a as (select 'n' || c_nationkey as repo, o_orderkey as ord, {_quoted(ASK_KINDS)}[o_orderkey % 6 + 1] as kind, case o_orderkey % 6 when 4 then {_quoted(SEAM_KINDS)}[(o_orderkey // 6) % 5 + 1] when 5 then 'machine' else '' end as subject,
+ASKS_SQL = f"""{WALK_SQL},
+    d as (select repo, count(*) filter (where blocked is null) as runnable, bool_or(blocked is null and list_contains(needs, 'key')) as key, bool_or(blocked is null and list_has_any(needs, ['money', 'transfer', 'balance', 'key'])) as money, count(*) filter (where blocked is null and list_contains(needs, 'machine')) as need_machine from placed group by 1),
+    seamed as (select repo, target as subject, count(distinct scenario) as worth from sco group by 1, 2), stated as (select repo, machine as subject, true as is_machine from mac),
+    a as (select 'n' || c_nationkey as repo, o_orderkey as ord, {_quoted(ASK_KINDS)}[o_orderkey % 6 + 1] as kind, case o_orderkey % 6 when 4 then 't' || ((o_orderkey // 6) % 120) when 5 then 'c#' || o_custkey else '' end as subject,
         strlen(o_orderpriority) * (o_orderkey % 9 + 1) as bytes, case when (o_orderkey // 6) % 3 = 0 and o_orderkey % 6 in (2, 3) then 99 else 0 end as output, o_orderstatus = 'F' as settled, c_nationkey as n from orders join customer on o_custkey = c_custkey),
-    f as (select a.*, runnable, case kind when 'moneyModel' then 10 when 'mainEntity' then 8 when 'questions' then 2 when 'externalEffect' then 5 when 'stateRoles' then 2 end as fields, case kind when 'mainEntity' then 5 when 'moneyModel' then 10 when 'questions' then 2 when 'externalEffect' then 5 when 'stateRoles' then 2 end as live,
-        case when kind = 'externalEffect' and worth is null then 'seam not in demand' when kind = 'stateRoles' and coalesce(machines, 0) = 0 then 'machine not in demand' when kind = 'moneyModel' and not coalesce(money, false) then 'money model not in demand' when kind = 'mainEntity' and not coalesce(key, false) then 'key not in demand' end as skip,
+    f as (select a.*, runnable, case when is_machine then need_machine else 0 end as machines, case kind when 'moneyModel' then 10 when 'mainEntity' then 8 when 'questions' then 2 when 'externalEffect' then 5 when 'stateRoles' then 2 end as fields, case kind when 'mainEntity' then 5 when 'moneyModel' then 10 when 'questions' then 2 when 'externalEffect' then 5 when 'stateRoles' then 2 end as live,
+        case when kind = 'externalEffect' and worth is null then 'seam not in demand' when kind = 'stateRoles' and coalesce(case when is_machine then need_machine end, 0) = 0 then 'machine not in demand' when kind = 'moneyModel' and not coalesce(money, false) then 'money model not in demand' when kind = 'mainEntity' and not coalesce(key, false) then 'key not in demand' end as skip,
         case kind when 'moneyModel' then 77 when 'mainEntity' then 128 when 'externalEffect' then 21 when 'stateRoles' then 131 else 40 end as per,
-        case kind when 'externalEffect' then worth when 'stateRoles' then machines when 'moneyModel' then runnable when 'mainEntity' then runnable else 1 end as raw from a left join d using (repo) left join seamed using (repo, subject)),
+        case kind when 'externalEffect' then worth when 'stateRoles' then case when is_machine then need_machine end when 'moneyModel' then runnable when 'mainEntity' then runnable else 1 end as raw from a left join d using (repo) left join seamed using (repo, subject) left join stated using (repo, subject)),
     w as (select *, skip is null as on_, case when skip is not null then 'skip' when kind = 'externalEffect' or kind = 'moneyModel' and settled then 'verify' else 'open' end as m, case when skip is not null then 1 else coalesce(raw, 1) end as value from f),
     decided as (select repo, n, ord, kind, m as method, coalesce(skip, case when kind = 'other' then 'not registered' else live || ' fields read' end) as why, on_ as chosen, cast(value as bigint) as value, case when on_ then bytes // 4 else 0 end as input,
         case when not on_ then 0 when kind <> 'other' and output > 0 then output when m = 'verify' then 5 * fields else per * coalesce(fields, 1) end as output, bytes // 4 + 5 * per * coalesce(fields, 1) as asked, case when on_ and output = 0 and kind = 'mainEntity' then 3 * 128 else 0 end as trimmable from w),
@@ -104,7 +195,7 @@ ASKS_SQL = f"""{_cases_sql()},
     q as (select *, row_number() over (partition by repo order by not chosen, -(case when weighted = 0 then 0.0 else value::double / weighted * 1000 end), ord) as place from priced)"""
 #: First-fit as a walk over the places of each nation.
 PLAN_SQL = (
-    ASKS_SQL.replace("with sc(", "with recursive sc(", 1)
+    ASKS_SQL
     + """,
     g as (select repo, place, case when chosen and (budget = 0 or weighted <= budget) then weighted else 0 end as spent, budget = 0 or case when chosen then weighted else 0 end <= budget as taken from q where place = 1
         union all select q.repo, q.place, g.spent + case when q.chosen and (q.budget = 0 or g.spent + q.weighted <= q.budget) then q.weighted else 0 end, q.budget = 0 or g.spent + case when q.chosen then q.weighted else 0 end <= q.budget from g join q on q.repo = g.repo and q.place = g.place + 1),
@@ -114,18 +205,18 @@ PLAN_SQL = (
 
 def planned_asks(spark: SparkSession, sf: str) -> DataFrame:
     """Every order as an ask of its nation, decided by what its runnable cases call for, and planned within a budget."""
-    cases = flow_cases(spark, sf)
-    runnable = F.col("blocked").isNull()
-    seen = cases.select("repo", runnable.alias("runnable"), "scenario", "technique", F.col("scenario").contains("MONEY").alias("needs_money"), F.col("scenario").startswith("IDEM").alias("needs_key"), "seam_kinds", F.when(F.array_contains("requires", "machine"), F.array(F.lit("machine"))).alias("machines"))
-    seen = checkpointed(seen)  # a row for each repo and scenario, asked three times below
+    flow = walked_flow(spark, sf)
+    selected = payments.selected(flow)
+    cases = checkpointed(selected["cases"].select("repo", "scenario", "technique", "runnable", "requires"))  # a row for each repo and scenario
+    by_seam = selected["seams"].groupBy("repo", "target").agg(F.array_sort(F.collect_set("scenario")).alias("scenarios"))
     customers = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("repo"), F.col("c_custkey").alias("o_custkey"))
     key = F.col("o_orderkey")
     of = lambda names, at: F.element_at(F.array(*[F.lit(k) for k in names]), (at + 1).cast("int"))
     turn = F.floor(key / 6)
-    subject = F.when(key % 6 == 4, of(SEAM_KINDS, turn % 5)).when(key % 6 == 5, "machine").otherwise("")
+    subject = F.when(key % 6 == 4, F.concat(F.lit("t"), turn % 120)).when(key % 6 == 5, F.concat(F.lit("c#"), "o_custkey")).otherwise("")
     output = F.when((turn % 3 == 0) & (key % 6).isin(2, 3), 99).otherwise(0)
     asks = read(spark, sf, "orders").join(customers, "o_custkey").select("repo", key.alias("ord"), of(ASK_KINDS, key % 6).alias("kind"), subject.alias("subject"), F.expr("repeat(o_orderpriority, cast(o_orderkey % 9 + 1 as int))").alias("prompt"), F.lit(0).alias("asks"), output.alias("output"), (F.col("o_orderstatus") == "F").alias("settled"))
-    choices = payments.decided(asks, rollups.demand(seen), rollups.demanded_by(seen, "seam_kinds", "target"), rollups.demanded_by(seen, "machines", "machine"))
+    choices = payments.decided(asks, rollups.demand(cases), by_seam, rollups.states_demanded(cases, flow["machines"]))
     budgets = read(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("repo"), F.when(F.col("n_nationkey") % 5 == 0, 0).otherwise(BUDGET).alias("budget"))
     return payments.planned(choices, budgets)
 

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.cost import density, input_tokens, output_tokens, short, weighted
-from ledgerlens.functions.text import any_of, any_within
+from ledgerlens.functions.text import any_of, any_within, directory, target_file, test_name
+from ledgerlens.operators import graph, joins
 from ledgerlens.operators.predicates import exists_per, first_allowed, first_reason, runnable
-from ledgerlens.operators.ranking import best, first_fit, lifecycle_score
+from ledgerlens.operators.ranking import best, case_order, first_fit, lifecycle_score
 from ledgerlens.operators.rollups import margin, scores
 from ledgerlens.plans import dims
+from ledgerlens.sources.shared import checkpointed
 
 
 def profile(flows: DataFrame, entries: DataFrame, nodes: DataFrame, seams: DataFrame, machines: DataFrame, facts: DataFrame) -> DataFrame:
@@ -82,6 +84,68 @@ def cases(profiles: DataFrame) -> DataFrame:
     return chosen.select("repo", "ord", "scenario", "family", "severity", "oracle", "technique", F.when(F.col("technique").isNotNull(), F.when(medium, "medium").otherwise("small")).alias("size"), "blocked", "requires", "seam_kinds")
 
 
+def candidate_pools(runnable: DataFrame) -> DataFrame:
+    """runnable cases with pool, the number of the set of seams from which a case takes its own; null for none.
+
+    A case that names kinds takes the seams of these, kind by kind; another one that needs a
+    replaceable seam takes those. Cases with the same candidates share a pool.
+    """
+    named = F.array_join("seam_kinds", " ")
+    pool = F.lit(None).cast("int")
+    for k, kinds in enumerate(dims.seam_pools(), 1):
+        pool = F.when(named == kinds, k).otherwise(pool)
+    return runnable.withColumn("pool", F.when(F.size("seam_kinds") > 0, pool).when(F.array_contains("requires", "injectable"), 0))
+
+
+def selected(flow: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The complete cases of every repo, in order, and for each runnable one its seams and entries.
+
+    flow: flows, entries (repo, ord, pkg, symbol), nodes (repo, id, file and their traits), edges (repo, src, dst), seams (repo, ord,
+    kind, target, in_id, injectable), machines (repo, ord, type, states), roles (repo, type, roles), facts.
+
+    A seam belongs to the first entry that reaches its node (one label a node), and of the
+    seams of one target only the first counts. The entries of a case are those from which some of its seams is
+    reached, found backward; a case without seams has the first entry. Both walks go over pools of candidates,
+    not over cases. cases has counts and the first entry's place; seams and entries have a row each.
+    """
+    entries, seams = flow["entries"], flow["seams"]
+    every = checkpointed(case_order(cases(profile(*[flow[k] for k in ("flows", "entries", "nodes", "seams", "machines", "facts")]))))  # a row for each repo and scenario
+    runnable_cases = checkpointed(candidate_pools(every.where(runnable(F.col("blocked"))).select("repo", "scenario", "seam_kinds", "requires")).select("repo", "scenario", "pool", "seam_kinds"))
+    pools = runnable_cases.where("pool is not null").select("repo", "pool", "seam_kinds").distinct()
+    by_kind = pools.where("pool > 0").select("repo", "pool", F.posexplode("seam_kinds").alias("kind_place", "kind")).join(seams, ["repo", "kind"])
+    by_trait = pools.where("pool = 0").select("repo", "pool", F.lit(0).alias("kind_place")).join(seams.where("injectable"), "repo")
+    candidates = by_kind.unionByName(by_trait.select(*by_kind.columns))
+    labels = graph.least_entry(flow["edges"], flow["nodes"], entries)
+    own = checkpointed(joins.scoped(candidates, labels, ("pool",), ("kind_place", "ord")))
+    case_seams = runnable_cases.join(own.select("repo", "pool", "target", "in_id", "kind", "ord"), ["repo", "pool"]).select("repo", "scenario", "target", "in_id", "kind", "ord")
+
+    met = joins.touching(flow["edges"], entries, own)
+    with_seams = own.select("repo", "pool").distinct()
+    none = runnable_cases.join(with_seams, ["repo", "pool"], "left_anti").select("repo", "scenario")
+    first = entries.groupBy("repo").agg(F.min("ord").alias("entry_ord"))
+    case_entries = runnable_cases.join(met, ["repo", "pool"]).select("repo", "scenario", "entry_ord").unionByName(none.join(first, "repo").select("repo", "scenario", "entry_ord"))
+    case_entries = checkpointed(case_entries)
+
+    of_seams = case_seams.groupBy("repo", "scenario").agg(F.count(F.lit(1)).alias("n_seams"))
+    of_entries = case_entries.groupBy("repo", "scenario").agg(F.count(F.lit(1)).alias("n_entries"), F.min("entry_ord").alias("ord"))
+    places = entries.select("repo", "ord", F.col("pkg").alias("target_pkg"), F.concat_ws("#", "pkg", "symbol").alias("id")).join(flow["nodes"].select("repo", "id", directory(F.col("file")).alias("dir")), ["repo", "id"], "left")
+    at = of_entries.join(places.drop("id"), ["repo", "ord"]).drop("ord")
+    machine = best_machine(flow["machines"], flow["roles"]).select("repo", F.col("type").alias("machine"))
+    named = flow["flows"].select("repo", "tenancy", "first_chain")
+    whole = every.join(of_seams, ["repo", "scenario"], "left").join(at, ["repo", "scenario"], "left").join(machine, "repo", "left").join(named, "repo", "left")
+    on = runnable(F.col("blocked"))
+    need = lambda name, c: F.when(on & F.array_contains("requires", name), F.col(c))
+    return {
+        "cases": whole.select(
+            "repo", "ord", "scenario", test_name(F.col("scenario")).alias("func_name"), "family", "severity", "technique", "size", "blocked", "requires", on.alias("runnable"),
+            F.coalesce("n_seams", F.lit(0)).alias("n_seams"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), need("machine", "machine").alias("machine"), need("tenant", "tenancy").alias("tenancy"), need("hash_chain", "first_chain").alias("hash_chain"),
+            F.when(on, F.coalesce("target_pkg", F.lit(""))).alias("target_pkg"), F.when(on, target_file(F.coalesce("dir", F.lit("")), F.col("family"), F.col("size"))).alias("target_file"), "place",
+        ),
+        "seams": case_seams,
+        "entries": case_entries,
+    }
+
+
 def signal(test: str) -> Column:
     """A test of the signal table as a condition on gathered facts."""
 
