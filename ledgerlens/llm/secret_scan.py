@@ -1,7 +1,8 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Base patterns find assignments, access keys and long hex strings. Beside them, any token of
-16 characters or more with both letters and digits that starts within 40 characters after a
+16 characters or more with both letters and digits, or of 24 letters or more that change case at
+least every third time on average, that starts within 40 characters after a
 sensitive word is a candidate, to its end. Its novelty is the number of bytes that it adds to the
 compressed size of the text around it, with a dictionary of code and identifier words
 already known to the compressor, for each byte of the candidate. Identifiers, paths and
@@ -9,6 +10,11 @@ repeats of the surrounding code add few bytes; random strings add about as many
 have. Of a long candidate, pieces of about 512 bytes are measured; one at the threshold is
 enough. Candidates at or above the threshold that touch no base span are reported as novel.
 
+Copies of a candidate in its surroundings, also such as the context cuts off, are taken out before it is measured, so that a secret
+that stands twice is as novel as one that stands once; and every further occurrence of a string that was
+found, or of an assigned value that is novel, is reported wherever it stands. Between a BEGIN line that names a private or secret
+key and its END, or the next BEGIN, the whole lines of key characters are a key, header lines or not, if one of them is novel.
+
 A novel candidate goes on over the runs that follow it, without bound: those joined to it by
 a point (the parts of a signed token) and those that fill the next line (the lines of a key,
 also where line ends are written as \\n or lines are quoted), while each is novel itself. A
@@ -27,6 +33,7 @@ import re
 from bisect import bisect_left
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +57,11 @@ BOTH = re.compile(rb"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 #: What a run that goes on looks like: letters and digits, or capitals after the first letter.
 MIXED = re.compile(rb"(?=.*[0-9])(?=.*[A-Za-z])|(?=.*[a-z])(?=.+[A-Z])", re.S)
 WORD = re.compile(rb"[A-Za-z]?[a-z]*|[A-Z]*")
+SWITCH = re.compile(rb"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
+BEGIN = re.compile(rb"-----BEGIN [A-Z0-9 ]*(?:PRIVATE|SECRET)[A-Z0-9 ]*-----")
+#: Where a key's block ends and where its next line starts.
+BLOCK_END = re.compile(rb"-----(?:END|BEGIN) ")
+NEXT_LINE = re.compile(rb"\r?\n|(?:\\r)?\\n")
 #: How parts of one secret are joined: points; a line end, written out or real, with its quotes.
 POINTS = re.compile(rb"\.{1,2}")
 LINE = re.compile(rb"""(?:\\r)?\\n(?!["'])|(?:(?:\\r)?\\n)?["']?[ \t]{0,8}[+,\\]?[ \t]{0,8}\r?\n[ \t>#*|]{0,32}["']?""")
@@ -81,9 +93,23 @@ def compressor() -> zstandard.ZstdCompressor:
 FILL = (b"Nothing is known of what came before this, so some plain words stand here, in place of any others, as they would in a letter or a note of 3 pages from 1987. " * 2)[:CONTEXT]
 
 
+def without_copies(text: bytes, candidate: bytes) -> bytes:
+    """The text without the candidate, and without a copy of which its start or end cuts off a part."""
+    text = text.replace(candidate, b" ")
+    for k in range(min(len(candidate) - 1, len(text)), 3, -1):
+        if text.startswith(candidate[-k:]):
+            text = text[k:]
+            break
+    for k in range(min(len(candidate) - 1, len(text)), 3, -1):
+        if text.endswith(candidate[:k]):
+            return text[:-k]
+    return text
+
+
 def novelty(before: bytes, candidate: bytes, after: bytes) -> float:
     """Bytes that the candidate adds to its compressed surroundings, for each of its own."""
     pack = compressor().compress
+    before, after = without_copies(before, candidate)[-CONTEXT:], without_copies(after, candidate)[:CONTEXT]
     before = FILL[len(before) :] + before
     return (len(pack(before + after + candidate)) - len(pack(before + after))) / len(candidate)
 
@@ -96,7 +122,8 @@ def novel(data: bytes, start: int, end: int, threshold: float, first: int | None
     """
     n = -(-(end - start) // PIECE)
     at = [start + (end - start) * k // n for k in range(n + 1)]
-    if any(novelty(data[max(0, a - CONTEXT) : a], data[a:b], data[b : b + CONTEXT]) >= threshold for a, b in zip(at, at[1:])):
+    # Surroundings twice as wide are read, for copies to be taken out of.
+    if any(novelty(data[max(0, a - 2 * CONTEXT) : a], data[a:b], data[b : b + 2 * CONTEXT]) >= threshold for a, b in zip(at, at[1:])):
         return True
     if first is None and not ((join := POINTS.match(data, end) or LINE.match(data, end)) and RUN.match(data, join.end())):
         return False
@@ -135,6 +162,45 @@ def going_on(data: bytes, start: int, end: int, threshold: float, first: int) ->
         start, end = run.span()
 
 
+def key_blocks(data: bytes, threshold: float) -> list[tuple[int, int]]:
+    """The lines of keys between BEGIN and END, whatever stands before them in the block."""
+    runs: list[tuple[int, int]] = []
+    for begin in BEGIN.finditer(data):
+        stop = BLOCK_END.search(data, begin.end())
+        limit = stop.start() if stop else len(data)
+        lines: list[tuple[int, int]] = []
+        at = begin.end()
+        while (join := LINE.match(data, at, limit)) or (join := NEXT_LINE.search(data, at, limit)):
+            run = RUN.match(data, join.end(), limit)
+            if run and (run.end() == limit or LINE_END.match(data, run.end())):
+                lines.append(run.span())
+            at = max(run.end() if run else 0, join.end())
+        if any(b - a >= LEAST and novel(data, a, b, threshold, begin.start()) for a, b in lines):
+            runs += lines
+    return runs
+
+
+def again(data: bytes, spans: list[tuple[int, int, int]], found: set[bytes]) -> list[tuple[int, int, int]]:
+    """Further occurrences of found strings outside of all spans, in one pass over the text."""
+    automaton = ahocorasick.Automaton()
+    for x in found:
+        automaton.add_word(x.decode("latin-1"), len(x))
+    automaton.make_automaton()
+    starts, ends = merged(spans)
+    more = []
+    for last, size in automaton.iter(data.decode("latin-1")):
+        start, end = last + 1 - size, last + 1
+        k = bisect_left(starts, start + 1) - 1
+        if k < 0 or ends[k] < end:
+            more.append((start, 3, end))
+    return more
+
+
+def candidate(data: bytes, start: int, end: int) -> bool:
+    """Letters and digits, or many letters that change case as often as no identifier does."""
+    return bool(BOTH.match(data, start, end)) or end - start >= 24 and 3 * len(SWITCH.findall(data, start, end)) >= end - start
+
+
 def find(data: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes, in order."""
     low = data.lower()
@@ -146,6 +212,9 @@ def find(data: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
     if b"x" * 24 in data.translate(HEXMAP):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(data)]
     if any(w in low for w in SENSITIVE_WORDS):
+        if b"-----BEGIN " in data:
+            base = merged(spans)
+            spans += [(a, 3, b) for a, b in key_blocks(data, threshold) if (k := bisect_left(base[0], b) - 1) < 0 or base[1][k] <= a]
         starts, ends = merged(spans)
         reach = 0
         for word in SENSITIVE.finditer(data):
@@ -154,7 +223,7 @@ def find(data: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
             while m := TOKEN.search(data, at, word.end() + REACH + LEAST):
                 start, end = TOKEN.match(data, m.start()).span()
                 at = reach = end
-                if not BOTH.match(data, start, end) or not novel(data, start, end, threshold):
+                if not candidate(data, start, end) or not novel(data, start, end, threshold):
                     continue
                 k = bisect_left(starts, end) - 1
                 parts = [(start, end)]
@@ -173,7 +242,13 @@ def find(data: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
                         parts.append(run)
                         end = run[1]
                 spans += [(a, 3, b) for a, b in parts]
-    return sorted(spans)
+    found = {data[a:b] for a, k, b in spans if k == 3 and b - a >= LEAST}
+    for a, k, b in spans:
+        if not k and b - a >= LEAST:
+            value = ASSIGN.match(data, a, b).span(2)
+            if value[1] - value[0] >= LEAST and candidate(data, *value) and novel(data, *value, threshold):
+                found.add(data[slice(*value)])
+    return sorted([*spans, *again(data, spans, found)] if found else spans)
 
 
 def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
