@@ -10,7 +10,7 @@ is not. As the order is fixed beforehand, neither the risk nor the level is divi
 or cutoffs. The strictest admissible rung is taken; where none is, the rules are off in that
 stratum, as they are with fewer than ln(delta / strata) / ln(1 - alpha) good labels (217 for
 4 strata). So with probability 1 - delta no stratum loses more than ``alpha`` of its good
-documents to the rules.
+documents that the base keeps to the rules.
 
 Cases: null text counts as none (0 words, so it fails the base); null language is a stratum
 of its own; labels that are null, not 0/1 or without a document count for nothing; repeated
@@ -126,7 +126,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     is left to test has a row per stratum.
     """
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1").select("doc_id")
-    held = measured.join(good, "doc_id")
+    held = measured.where(~F.col("quality.base_failed")).join(good, "doc_id")
     rung = {x: j for j, x in enumerate(LADDER)}
     first = []
     for r, cs in RULES.items():
@@ -134,8 +134,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
         for k, c in enumerate(cs[1:], 1):
             met = met.when(F.col(f"quality.{r}") >= c, rung[r, k])
         first.append(met)
-    # The first rung that rejects a document; none where the base does already.
-    met = held.select("stratum", F.when(~F.col("quality.base_failed"), F.least(*first)).alias("first"))
+    # The first rung that rejects a document.
+    met = held.select("stratum", F.least(*first).alias("first"))
     counts = met.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("first") <= j) for j in range(len(LADDER))]).alias("rejected"))
     counts = written(counts, "quality-counts")
     level = delta / max(counts.count(), 1)
@@ -195,7 +195,7 @@ def _sql() -> str:
         upper::double / greatest(word_chars, 1) as upper_ratio, exclaims::double / greatest(n_words, 1) as exclaim_ratio, n_repeat_words::double / greatest(n_words, 1) as repeat_ratio from c),
     m as (select *, {first} as first from f),
     good as (select doc_id from labels where quality in (0, 1) and doc_id is not null group by 1 having max(quality) = 1),
-    h as (select lang_stratum, case when base_failed then {len(LADDER)} else first end as first from m join good using (doc_id)),
+    h as (select lang_stratum, first from m join good using (doc_id) where not base_failed),
     k as (select lang_stratum, j, count(*) as n, count(*) filter (where first <= j) as k from h, range({len(LADDER)}) as t(j) group by 1, 2),
     b as (select *, list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) as tail from k where k < {ALPHA} * n),
     t as (select lang_stratum, max(j) as top from b where tail <= {DELTA} / (select count(distinct lang_stratum) from h) group by 1)
