@@ -79,6 +79,28 @@ def bound_facts(answers: DataFrame, rules: DataFrame) -> DataFrame:
     return both.select("repo", *[F.coalesce(F.nullif(F.col(f"r.{n}"), F.lit("")), F.col(f"a.{n}")).alias(n) for n in names], spoke.alias("known"))
 
 
+def facts_from(models: DataFrame, rules: DataFrame) -> DataFrame:
+    """known, the five facts and skipped (scenario to reason) of every repo with a money model or rules.
+
+    models has a row for each repo whose model was answered, which makes it known even where it names
+    nothing. rules (repo, money_symbols, skip: an array of scenario and why): the first symbol is the transfer
+    function, before the model's, and makes the repo known too; a reason that is missing is named so.
+    """
+    none = F.array().cast("array<struct<scenario:string,why:string>>")
+    why = lambda x: F.coalesce(F.nullif(x["why"], F.lit("")), F.lit("no reason given"))
+    # The last word on a scenario holds.
+    skip = F.aggregate(F.coalesce("skip", none), F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["scenario"]), F.create_map(x["scenario"], why(x))))
+    ruled = rules.select("repo", F.coalesce(F.try_element_at("money_symbols", F.lit(1)), F.lit("")).alias("symbol"), (F.coalesce(F.size("money_symbols"), F.lit(0)) > 0).alias("named"), skip.alias("skip"))
+    both = models.withColumn("answered", F.lit(True)).join(ruled, "repo", "full_outer")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    no = F.lit(False)
+    return both.select(
+        "repo", (F.coalesce("answered", no) | F.coalesce("named", no)).alias("known"), text("money_type").alias("money_type"), text("balance_func").alias("balance_func"),
+        F.coalesce(F.nullif(text("symbol"), F.lit("")), text("transfer_func")).alias("transfer_func"), text("idempotency_key").alias("idempotency_key"), text("uniqueness").alias("uniqueness"),
+        F.coalesce("skip", F.create_map().cast("map<string,string>")).alias("skipped"),
+    )
+
+
 def scan_answers(candidates: DataFrame, constraints: DataFrame, migrated: DataFrame) -> DataFrame:
     """What a scan alone settles: the decided money and key candidates, and how the key is kept unique.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ledgerlens.operators.predicates import severity_rank
+from ledgerlens.sources.shared import checkpointed
 
 
 def case_order(cases: DataFrame) -> DataFrame:
@@ -52,21 +54,81 @@ def first_fit(df: DataFrame, keys: list[str], order: list[str], weight: str, bud
     return ready.mapInArrow(run, schema)
 
 
+def ordered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with _id, which ascends by keys and order, checkpointed: rows of one key may lie in many parts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Whole ids: the number of the part in the upper bits, the place in it in the lower 33.
+    return checkpointed(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()))
+
+
+def before(laid: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """laid, as ordered has left it, with the sums over the rows of the same key that come before a row.
+
+    Sums run within a part, and what the parts before have of a key is added: of that there is one row
+    for each key and part.
+    """
+    parted = laid.withColumn("_part", F.shiftrightunsigned("_id", 33))
+    within = Window.partitionBy(*keys, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    part = parted.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select(*keys, "_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    ran = parted.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_own_{n}") for n, c in sums.items()])
+    # Keys may be null, which an ordinary join would drop.
+    same = reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "_part"]])
+    joined = ran.alias("r").join(offsets.alias("o"), same)
+    return joined.select(*[f"r.{c}" for c in laid.columns], *[(F.col(f"r._own_{n}") + F.col(f"o._{n}")).alias(n) for n in sums])
+
+
+def first_fit_split(df: DataFrame, keys: list[str], order: list[str], weight: str, budget: Column, rounds: int = 8) -> DataFrame:
+    """What first_fit gives, for keys of any size: the rows of one key are spread over tasks.
+
+    In a round the longest prefix of the open rows that fits the rest of the budget is taken, and
+    the next row, which does not fit, is passed over, with all rows heavier than what is then left, as none
+    of them can ever fit. The sums that this needs are of two levels (see before). After the last round only rows
+    that may still fit are open; of these, one key's go through one task in order, as in first_fit.
+    Weights are not negative.
+    """
+    laid = ordered(df.withColumn("_w", F.coalesce(F.col(weight), F.lit(0)).cast("long")).withColumn("_budget", F.coalesce(budget, F.lit(0)).cast("long")), keys, order)
+    open_ = laid.where("_budget > 0").select(*keys, "_id", "_w", F.col("_budget").alias("_left"))
+    taken = laid.where("_budget <= 0").select("_id")
+    for _ in range(rounds):
+        summed = before(open_, keys, {"_before": F.col("_w")}).withColumn("_fits", F.col("_before") + F.col("_w") <= F.col("_left"))
+        summed = checkpointed(summed)
+        taken = taken.unionByName(summed.where("_fits").select("_id"))
+        spent = summed.where("_fits").groupBy(*keys).agg(F.sum("_w").alias("_spent"))
+        same = reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+        rest = summed.where("not _fits").alias("r").join(spent.alias("s"), same, "left").select(*[f"r.{c}" for c in (*keys, "_id", "_w")], (F.col("r._left") - F.coalesce(F.col("s._spent"), F.lit(0))).alias("_left"))
+        open_ = checkpointed(rest.where("_w <= _left"))
+        if open_.isEmpty():
+            break
+    else:
+        taken = taken.unionByName(first_fit(open_, keys, ["_id"], "_w", F.col("_left")).where("taken").select("_id"))
+    marked = checkpointed(laid.join(taken.withColumn("taken", F.lit(True)), "_id", "left").withColumn("taken", F.coalesce("taken", F.lit(False))))
+    out = before(marked, keys, {"_place": F.lit(1), "_spent": F.when(F.col("taken"), F.col("_w")).otherwise(0)})
+    return out.select(*df.columns, (F.col("_place") + 1).cast("long").alias("place"), "taken", F.col("_spent").cast("long").alias("spent"))
+
+
 def fits(df: DataFrame, keys: list[str], order: list[str], item: str, weight: str, budget: Column) -> DataFrame:
     """The items that first-fit takes."""
     return first_fit(df, keys, order, weight, budget).where("taken").select(*keys, item)
 
 
-def trimmed(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: Column, droppable: Column | None = None) -> DataFrame:
+def trimmed(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: Column, droppable: Column | None = None, split: bool = False) -> DataFrame:
     """df with dropped: in order, items go until the rest of the group is within the budget, and none after that.
 
-    What is not droppable stays and counts.
+    What is not droppable stays and counts. With split the rows of one group are spread over tasks.
     """
     loose = F.lit(True) if droppable is None else droppable
+    gone = F.when(loose, F.col(size)).otherwise(F.lit(0))
+    if split:
+        laid = ordered(df, keys, order)
+        whole = laid.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(F.sum(size).alias("_whole"))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)])
+        summed = before(laid, keys, {"_gone": gone}).join(whole, same)
+        return summed.withColumn("dropped", loose & (F.col("_whole") - F.col("_gone") > budget)).select(*df.columns, "dropped")
     whole = F.sum(size).over(Window.partitionBy(*keys))
-    gone = F.sum(F.when(loose, F.col(size)).otherwise(F.lit(0)))
-    before = F.coalesce(gone.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("dropped", loose & (whole - before > budget))
+    gone_before = F.coalesce(F.sum(gone).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("dropped", loose & (whole - gone_before > budget))
 
 
 def trimmed_prompt(contexts: DataFrame, budget: int, fixed: str = "fixed") -> DataFrame:

@@ -35,6 +35,14 @@ def round_status(asks: Column, blocked: Column, cases: Column) -> Column:
     return F.when(asks > 0, "round 1").when(F.coalesce(blocked, F.lit("")) != "", "blocked").when(cases > 0, "round 2").otherwise("done")
 
 
+def gate_report(cases: DataFrame, gate: DataFrame) -> DataFrame:
+    """repo, n_cases, refused, missing, more of every repo with cases: whether its second round is refused, and for what."""
+    counted = cases.groupBy("repo").agg(F.count(F.lit(1)).alias("n_cases"))
+    closed = gate.select("repo", "missing", "more", F.lit(True).alias("_closed"))
+    joined = counted.join(closed, "repo", "left")
+    return joined.select("repo", "n_cases", F.coalesce("_closed", F.lit(False)).alias("refused"), "missing", "more")
+
+
 def gated(cases: DataFrame, gate: DataFrame) -> DataFrame:
     """cases of a second round; fails if a repo among them has something missing."""
     checked = cases.join(gate.select("repo", F.lit(True).alias("_closed")), "repo", "left")

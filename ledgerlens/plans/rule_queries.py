@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text, tristate
-from ledgerlens.operators import graph, joins, predicates, rollups, sets, state, validation
+from ledgerlens.operators import graph, joins, predicates, ranking, rollups, sets, state, validation
 from ledgerlens.plans import dims
 from ledgerlens.plans.flow_queries import ASK_KINDS, PLAN_SQL, SEAM_KINDS, flow_cases, supplier_graph
 from ledgerlens.plans.registry import query, read
@@ -228,3 +228,74 @@ def gated_cases(spark: SparkSession, sf: str) -> DataFrame:
     near = c.where("c_acctbal < -990").select("repo").distinct()
     cases = read(spark, sf, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("case_id"), "repo").join(near, "repo", "left_anti")
     return state.gated(cases, near.withColumn("missing", F.array(F.lit("x")))).select("case_id", "repo")
+
+
+@query("""
+    with open as (select c_nationkey as repo, 'c' || c_custkey as name from customer where c_acctbal < -990 and c_custkey % 3 <> 0)
+    select repo, count(*) as n_cases, any_value(missing) is not null as refused, any_value(missing[1:4]) as missing, cast(any_value(case when missing is not null then greatest(len(missing) - 4, 0) end) as bigint) as more
+    from (select c_nationkey as repo from orders join customer on c_custkey = o_custkey) left join (select repo, list_sort(list(name)) as missing from open group by 1) using (repo) group by 1""")
+def gate_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Which nations' second rounds are refused: those with customers near the limit of debt who have not answered (every third has), the first four of them named."""
+    c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("o_custkey"), "c_acctbal", F.concat(F.lit("c"), "c_custkey").alias("name"))
+    near = c.where("c_acctbal < -990").select("repo", "name")
+    answered = c.where("o_custkey % 3 = 0").select("repo", "name")
+    cases = read(spark, sf, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("case_id"), "repo")
+    return state.gate_report(cases, joins.gate(near, answered, ["repo"], "name"))
+
+
+@query("""
+    with m as (select c_custkey as repo, c_mktsegment as money_type, case when c_custkey % 2 = 0 then 'Balance' end as bf, case when c_custkey % 3 = 0 then 'Move' end as tf, case when c_custkey % 5 > 0 then 'key' else '' end as ik, case when c_custkey % 4 = 0 then 'db_constraint' end as u from customer where c_acctbal > 0),
+    r as (select o_custkey as repo, min(o_orderpriority) filter (where o_orderstatus = 'F') as symbol, list_sort(list_distinct(list('S' || (o_orderkey % 3)))) as skips from orders where o_orderkey % 4 = 0 group by 1)
+    select coalesce(m.repo, r.repo) as repo, m.repo is not null or symbol is not null as known, coalesce(money_type, '') as money_type, coalesce(bf, '') as balance_func, coalesce(symbol, tf, '') as transfer_func, coalesce(ik, '') as idempotency_key, coalesce(u, '') as uniqueness,
+        coalesce(list_transform(skips, lambda x: x || case x when 'S0' then ' no reason given' else ' by rule' end), []) as skipped from m full join r on m.repo = r.repo""")
+def flow_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """All facts of each customer at once: accounts in credit as answered money models, orders as rules."""
+    key = F.col("c_custkey")
+    models = read(spark, sf, "customer").where("c_acctbal > 0").select(
+        key.alias("repo"), F.col("c_mktsegment").alias("money_type"), F.when(key % 2 == 0, "Balance").alias("balance_func"), F.when(key % 3 == 0, "Move").alias("transfer_func"), F.when(key % 5 > 0, "key").otherwise("").alias("idempotency_key"), F.when(key % 4 == 0, "db_constraint").alias("uniqueness")
+    )
+    scenario = F.concat(F.lit("S"), F.col("o_orderkey") % 3)
+    symbols = F.array_compact(F.array(F.min(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")))))
+    rules = read(spark, sf, "orders").where("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("repo")).agg(symbols.alias("money_symbols"), F.collect_set(F.struct(scenario.alias("scenario"), F.when(scenario != "S0", "by rule").alias("why"))).alias("skip"))
+    facts = predicates.facts_from(models, rules)
+    return facts.withColumn("skipped", F.array_sort(F.transform(F.map_entries("skipped"), lambda e: F.concat_ws(" ", e["key"], e["value"]))))
+
+
+@query("""
+    select repo, case_id from (select c_nationkey as repo, c_custkey as case_id, row_number() over (partition by c_nationkey order by c_custkey) as r from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'O')) where r = 1""")
+def next_case(spark: SparkSession, sf: str) -> DataFrame:
+    """The first customer of each nation without an urgent open order."""
+    c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("case_id"), F.col("c_custkey").alias("ord"))
+    runs = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'").select(F.col("o_custkey").alias("case_id")).join(c.select("repo", "case_id"), "case_id")
+    return joins.pending(c, runs, first_only=True).select("repo", "case_id")
+
+
+@query(r"""
+    with l as (select doc_id, string_split(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)), chr(10))[1] as line from documents),
+    c as (select *, list_aggregate(list_transform(range(1, least(len(line), 160) + 1), lambda i: case when strlen(line[:i]) <= 160 then i else 0 end), 'max') as fits from l)
+    select doc_id, case when strlen(line) > 160 then line[:fits] else line end as line from c""")
+def first_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The first line of each document, cut at 160 bytes between characters."""
+    return read(spark, sf, "documents").select("doc_id", text.first_line(F.coalesce("text", F.lit(""))).alias("line"))
+
+
+@query("""
+    with recursive o as (select o_orderpriority as repo, o_orderkey as k, round(o_totalprice * 100)::bigint as w, case o_orderpriority when '5-LOW' then 0 else 2000000000 end as budget, row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) as place from orders),
+    g as (select repo, k, place, case when budget = 0 or w <= budget then w else 0 end as spent, budget = 0 or w <= budget as taken from o where place = 1
+        union all select o.repo, o.k, o.place, g.spent + case when o.budget = 0 or g.spent + o.w <= o.budget then o.w else 0 end, o.budget = 0 or g.spent + o.w <= o.budget from g join o on o.repo = g.repo and o.place = g.place + 1)
+    select g.repo, g.k as o_orderkey, g.place, g.taken, g.spent - case when g.taken then w else 0 end as spent from g join o using (repo, place)""")
+def priority_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Which orders each priority takes within its budget by date: five large groups, each spread over tasks."""
+    orders = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("repo"), "o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("w"))
+    budget = F.when(F.col("repo") == "5-LOW", 0).otherwise(2_000_000_000)
+    return ranking.first_fit_split(orders, ["repo"], ["o_orderdate", "o_orderkey"], "w", budget).select("repo", "o_orderkey", "place", "taken", "spent")
+
+
+@query("""
+    with o as (select o_orderpriority as repo, o_orderkey, o_orderstatus, round(o_totalprice * 100)::bigint as w from orders),
+    t as (select *, sum(w) over (partition by repo) - coalesce(sum(case when o_orderstatus <> 'P' then w else 0 end) over (partition by repo order by w desc, o_orderkey rows between unbounded preceding and 1 preceding), 0) as rest from o)
+    select repo, o_orderkey, o_orderstatus <> 'P' and rest > 9000000000 as dropped from t""")
+def priority_trims(spark: SparkSession, sf: str) -> DataFrame:
+    """The dearest orders of each priority dropped until the rest is within 90 million, pending ones kept: five large groups, each spread over tasks."""
+    orders = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("repo"), "o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("w"))
+    return ranking.trimmed(orders, ["repo"], [F.desc("w"), F.col("o_orderkey")], "w", F.lit(9_000_000_000), F.col("o_orderstatus") != "P", split=True).select("repo", "o_orderkey", "dropped")
