@@ -295,7 +295,7 @@ def _signal_sql(test: str) -> str:
     return " or ".join("(" + " and ".join(one(p) for p in alternative.split("&")) + ")" for alternative in test.split(" or "))
 
 
-def _kinds_sql() -> str:
+def _kinds_sql(currencies: str = "count(distinct o_orderpriority) - 3") -> str:
     pick = lambda sort, by: f"{_quoted(VOCABULARY[sort])}[(o_orderkey // {by}) % {len(VOCABULARY[sort])} + 1]"
     score = lambda axis, kind: " + ".join([f"case when {_signal_sql(test)} then {w} else 0 end" for a, k, w, test in dims.rows(dims.SIGNALS) if (a, k) == (axis, kind)])
     names = list(dict.fromkeys((a, k) for a, k, _, _ in dims.rows(dims.SIGNALS)))
@@ -304,7 +304,7 @@ def _kinds_sql() -> str:
     cut = lambda x: f"list_filter({x}, lambda x: x is not null)"
     return f"""
         with f as (select o_custkey as repo, list_distinct(list({pick("table", 1)}) filter (where o_orderstatus = 'F')) as tables, list_distinct(list({pick("column", 3)}) filter (where o_orderpriority < '3')) as columns, list_distinct(list({pick("table", 5)}) filter (where o_totalprice > 350000)) as fields,
-            list_distinct(list({pick("state", 2)}) filter (where o_orderpriority = '5-LOW' and o_orderkey % 4 = 0)) as states, array_to_string(list({pick("symbol", 2)}) filter (where o_orderstatus = 'P'), ' ') as symbols, count(distinct o_orderpriority) - 3 as currencies, bool_or(o_totalprice < 20000) as stateful from orders group by 1),
+            list_distinct(list({pick("state", 2)}) filter (where o_orderpriority = '5-LOW' and o_orderkey % 4 = 0)) as states, array_to_string(list({pick("symbol", 2)}) filter (where o_orderstatus = 'P'), ' ') as symbols, {currencies} as currencies, bool_or(o_totalprice < 20000) as stateful from orders group by 1),
         g as (select repo, coalesce(tables, []) as tables, coalesce(columns, []) as columns, coalesce(fields, []) as fields, coalesce(states, []) as states, coalesce(symbols, '') as symbols, currencies, stateful from f),
         s as (select repo, stateful, {scores} from g), m as (select *, {cut(listed("motion", 4))} as ms, {cut(listed("overlay", 1))} as os from s)
         select repo, case when s_double_entry = 0 and s_wallet = 0 then 'stateless' when s_double_entry > s_wallet then 'double_entry' else 'wallet' end as spine,
@@ -325,6 +325,21 @@ def payment_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return payments.classified(facts, facts.where("stateful"))
 
 
+@query(_kinds_sql("count(distinct o_orderpriority) filter (where o_orderpriority < '3')"))
+def payment_kinds_by_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind of each customer, from the names in its orders a row each, without gathering them."""
+    key = F.col("o_orderkey")
+    orders = read(spark, sf, "orders").withColumn("repo", F.col("o_custkey"))
+    pick = lambda sort, by: F.element_at(F.array(*[F.lit(w) for w in VOCABULARY[sort]]), (F.floor(key / by) % len(VOCABULARY[sort]) + 1).cast("int"))
+    some = lambda cond, value, name: orders.where(cond).select("repo", value.alias(name))
+    money = F.when(F.col("o_orderpriority") == "1-URGENT", "USD").when(F.col("o_orderpriority") == "2-HIGH", "EUR").otherwise("coins")
+    rows = payments.facts_as_rows(
+        some("o_orderstatus = 'F'", pick("table", 1), "table"), some("o_orderpriority < '3'", pick("column", 3), "column"), some("o_totalprice > 350000", pick("table", 5), "field"),
+        some("o_orderstatus = 'P'", pick("symbol", 2), "symbol"), some("o_orderpriority = '5-LOW' and o_orderkey % 4 = 0", pick("state", 2), "state"), some("true", money, "value"),
+    )
+    return payments.classified_rows(rows, orders.where("o_totalprice < 20000"), orders)
+
+
 def supplier_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per nation a call graph: its suppliers and the parts of their lines call each other, in the order of the lines.
 

@@ -5,13 +5,14 @@ Every table has a ``repo`` column; all work is per repo, so many repos run side
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.cost import density, input_tokens, output_tokens, short, weighted
-from ledgerlens.functions.text import any_of, any_within, directory, target_file, test_name
+from ledgerlens.functions.text import any_of, any_within, directory, snake, target_file, test_name
 from ledgerlens.operators import graph, joins
 from ledgerlens.operators.predicates import exists_per, first_allowed, first_reason, runnable
 from ledgerlens.operators.ranking import best, case_order, first_fit, lifecycle_score
@@ -146,32 +147,73 @@ def selected(flow: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def signal(test: str) -> Column:
-    """A test of the signal table as a condition on gathered facts."""
+def signal(test: str, atom: Callable[[str, tuple[str, ...]], Column], currencies: Column) -> Column:
+    """A test of the signal table as a condition, of atoms: a sort of name and the words of which any is meant."""
 
     def one(part: str) -> Column:
         part = part.strip()
         if part == "currencies":
-            return F.col("currencies") > 1
+            return currencies > 1
         kind, _, names = part.lstrip("!").partition(":")
-        words = names.split()
-        if kind == "table":
-            # A field named like a table counts, also without a last s.
-            found = any_of(F.col("tables"), words) | any_of(F.col("fields"), words, singular=True)
-        elif kind == "column":
-            found = any_of(F.col("columns"), words) | any_of(F.col("fields"), words)
-        elif kind == "state":
-            found = F.exists("states", lambda s: any_within(s, words))
-        else:
-            found = any_within(F.col("symbols"), words)
+        found = atom(kind, tuple(names.split()))
         return ~found if part.startswith("!") else found
 
     return reduce(Column.__or__, [reduce(Column.__and__, [one(p) for p in alternative.split("&")]) for alternative in test.split(" or ")])
 
 
+def on_arrays(kind: str, words: tuple[str, ...]) -> Column:
+    """An atom on gathered facts: arrays of names, and a text of all symbols."""
+    if kind == "table":
+        # A field named like a table counts, also without a last s.
+        return any_of(F.col("tables"), list(words)) | any_of(F.col("fields"), list(words), singular=True)
+    if kind == "column":
+        return any_of(F.col("columns"), list(words)) | any_of(F.col("fields"), list(words))
+    if kind == "state":
+        return F.exists("states", lambda s: any_within(s, list(words)))
+    return any_within(F.col("symbols"), list(words))
+
+
+def on_rows(kind: str, words: tuple[str, ...]) -> Column:
+    """The same atom on one row (sort, value): whether that row alone meets it."""
+    sort, value = F.col("sort"), F.col("value")
+    if kind == "table":
+        return ((sort == "table") & value.isin(*words)) | ((sort == "field") & any_of(F.array(value), list(words), singular=True))
+    if kind == "column":
+        return sort.isin("column", "field") & value.isin(*words)
+    return (sort == ("state" if kind == "state" else "symbol")) & any_within(value, list(words))
+
+
+def facts_as_rows(tables: DataFrame, columns: DataFrame, fields: DataFrame, symbols: DataFrame, states: DataFrame, checks: DataFrame) -> DataFrame:
+    """repo, sort, value: the names of a flow, a row each, in the case in which signals look for them."""
+    named = fields.where("field <> ''")
+    parts = [
+        tables.select("repo", F.lit("table").alias("sort"), F.lower("table").alias("value")), columns.select("repo", F.lit("column").alias("sort"), F.lower("column").alias("value")),
+        named.select("repo", F.lit("field").alias("sort"), F.lower("field").alias("value")), named.select("repo", F.lit("field").alias("sort"), F.lower(snake(F.col("field"))).alias("value")),
+        symbols.select("repo", F.lit("symbol").alias("sort"), F.lower("symbol").alias("value")), states.select("repo", F.lit("state").alias("sort"), F.upper("state").alias("value")),
+        checks.where((F.octet_length("value") == 3) & (F.col("value") == F.upper("value"))).select("repo", F.lit("currency").alias("sort"), "value"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def classified(facts: DataFrame, machines: DataFrame) -> DataFrame:
+    """kinds_of over gathered facts (arrays of names, a text of symbols)."""
+    return kinds_of(facts, machines, lambda test: signal(test, on_arrays, F.col("currencies")))
+
+
+def classified_rows(rows: DataFrame, machines: DataFrame, every: DataFrame) -> DataFrame:
+    """kinds_of over facts_as_rows, for the repos in every: what a repo's names meet is told by flags, so nothing of them is gathered."""
+    atoms: dict[tuple[str, tuple[str, ...]], str] = {}
+    for *_, test in dims.rows(dims.SIGNALS):
+        signal(test, lambda kind, words: F.col(atoms.setdefault((kind, words), f"a{len(atoms)}")), F.lit(0))
+    met = [F.bool_or(on_rows(*atom)).alias(name) for atom, name in atoms.items()]
+    flags = rows.groupBy("repo").agg(*met, F.count_distinct(F.when(F.col("sort") == "currency", F.col("value"))).alias("currencies"))
+    whole = every.select("repo").distinct().join(flags, "repo", "left").select("repo", *[F.coalesce(n, F.lit(False)).alias(n) for n in atoms.values()], F.coalesce("currencies", F.lit(0)).alias("currencies"))
+    return kinds_of(whole, machines, lambda test: signal(test, lambda kind, words: F.col(atoms[kind, words]), F.col("currencies")))
+
+
+def kinds_of(facts: DataFrame, machines: DataFrame, met: Callable[[str], Column]) -> DataFrame:
     """Per repo: its spine and whether that is unsure, its motions (score 4 or more; by score, then name) and its overlays."""
-    rules = [(f"{axis} {kind}", int(weight), test, signal(test)) for axis, kind, weight, test in dims.rows(dims.SIGNALS)]
+    rules = [(f"{axis} {kind}", int(weight), test, met(test)) for axis, kind, weight, test in dims.rows(dims.SIGNALS)]
     scored = scores(facts, ["repo"], rules).select("repo", F.substring_index("type", " ", 1).alias("axis"), F.substring_index("type", " ", -1).alias("kind"), "score")
     of = lambda axis, least: F.transform(F.array_sort(F.collect_list(F.when((F.col("axis") == axis) & (F.col("score") >= least), F.struct(-F.col("score"), "kind")))), lambda x: x["kind"])
     point = lambda kind: F.coalesce(F.sum(F.when((F.col("axis") == "spine") & (F.col("kind") == kind), F.col("score"))), F.lit(0))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
-from ledgerlens.functions.text import first_heading, occurrences, strip_comments
+from ledgerlens.functions.text import first_heading, strip_comments
+from ledgerlens.operators.words import word_counts
 from ledgerlens.plans import dims
+from ledgerlens.sources.snapshots import Snapshots
 
 FLOW_VERSION, STATE_VERSION = 1, 2
 #: Folders that are not searched for documents, the largest document, and how many are kept.
@@ -22,7 +24,13 @@ def repo_of(path: Column, depth: int = 2) -> Column:
     return F.when(F.startswith(folder, F.lit("repo=")), plain(F.substring(folder, 6, 1 << 20))).otherwise(folder)
 
 
-def whole_texts(spark: SparkSession, path: str, depth: int = 2) -> DataFrame:
+def whole_texts(spark: SparkSession, path: str | Snapshots, depth: int = 2) -> DataFrame:
+    """repo and text of each file: below a path with wildcards, or of what holds in a table of snapshots."""
+    if isinstance(path, Snapshots):
+        folders = path.folders()
+        if not folders:
+            return spark.createDataFrame([], "repo string, value string")
+        return spark.read.text(folders, wholetext=True).select(repo_of(F.col("_metadata.file_path"), depth).alias("repo"), "value")
     return spark.read.text(path, wholetext=True).select(repo_of(F.col("_metadata.file_path"), depth).alias("repo"), "value")
 
 
@@ -32,7 +40,7 @@ def parsed(texts: DataFrame, schema: str) -> DataFrame:
     return out.select("repo", "json.*")
 
 
-def read_config(spark: SparkSession, path: str) -> DataFrame:
+def read_config(spark: SparkSession, path: str | Snapshots) -> DataFrame:
     """repo, module, ord, pkg, symbol, label of each entry; comment lines are dropped, an entry without pkg or symbol fails."""
     rows = parsed(whole_texts(spark, path).withColumn("value", strip_comments(F.col("value"))), schemas.CONFIG)
     entries = rows.select("repo", "module", F.posexplode_outer("entries").alias("ord", "e")).select("repo", "module", "ord", "e.*")
@@ -40,14 +48,14 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return entries.where(F.assert_true(named, F.lit("an entry needs pkg and symbol")).isNull())
 
 
-def read_rules(spark: SparkSession, path: str, repos: DataFrame) -> DataFrame:
+def read_rules(spark: SparkSession, path: str | Snapshots, repos: DataFrame) -> DataFrame:
     """repo, skipped (scenario to reason), money_symbols of every repo; null where it has no rules."""
     rows = parsed(whole_texts(spark, path), schemas.RULES)
     rules = rows.select("repo", F.map_from_entries(F.transform(F.coalesce("skip", F.array().cast("array<struct<scenario:string,why:string>>")), lambda s: F.struct(s["scenario"], s["why"]))).alias("skipped"), "money_symbols")
     return repos.select("repo").join(rules, "repo", "left")
 
 
-def read_flow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_flow(spark: SparkSession, path: str | Snapshots, schema: str) -> DataFrame:
     """The flow of each repo; another schema version fails, missing arrays are empty ones."""
     rows = parsed(whole_texts(spark, path), schema)
     checked = rows.where(F.assert_true(F.col("schema_version") == FLOW_VERSION, F.lit("unknown flow version")).isNull())
@@ -55,7 +63,7 @@ def read_flow(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return checked.select(*filled)
 
 
-def read_state(spark: SparkSession, path: str, repos: DataFrame) -> DataFrame:
+def read_state(spark: SparkSession, path: str | Snapshots, repos: DataFrame) -> DataFrame:
     """The answers so far of every repo; a missing file is a fresh state, and binding is read as money_model."""
     rows = parsed(whole_texts(spark, path), schemas.STATE)
     checked = rows.where(F.assert_true(F.col("schema_version") == STATE_VERSION, F.lit("unknown state version")).isNull())
@@ -65,7 +73,7 @@ def read_state(spark: SparkSession, path: str, repos: DataFrame) -> DataFrame:
     return every.select(*out, F.coalesce("money_model", "binding").alias("money_model"), F.lit(STATE_VERSION).alias("schema_version"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str | Snapshots) -> DataFrame:
     """repo, round, batch and its items in order; prompts are not stored."""
     rows = parsed(whole_texts(spark, path), schemas.MANIFEST)
     batches = rows.select("repo", "round", F.posexplode("batches").alias("batch_ord", "b"))
@@ -115,8 +123,21 @@ def append_answer(answers: DataFrame, path: str) -> None:
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("repo", "batch").orderBy(F.desc("ord")))
-    return spark.read.parquet(path).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The answers that hold: of a batch the one of the greatest ord. Each task passes on one a batch."""
+    log = spark.read.parquet(path)
+    rest = F.struct(*[c for c in log.columns if c not in ("repo", "batch")])
+    return log.groupBy("repo", "batch").agg(F.max_by(rest, "ord").alias("_last")).select("repo", "batch", "_last.*").select(*log.columns)
+
+
+def fold_answers(spark: SparkSession, path: str, kept: Snapshots) -> None:
+    """Saves what holds in an answer log as a snapshot of its repos, so that readers need not go through the log."""
+    kept.save(read_answers(spark, path))
+
+
+def folded_answers(spark: SparkSession, kept: Snapshots, schema: str) -> DataFrame:
+    folders = kept.folders()
+    rows = spark.read.schema(schema).json(folders) if folders else spark.createDataFrame([], schema)
+    return rows.drop("repo").withColumn("repo", repo_of(F.col("_metadata.file_path"))) if folders else rows
 
 
 def sizes(spark: SparkSession, asks: str, answers: str) -> DataFrame:
@@ -129,12 +150,12 @@ def sizes(spark: SparkSession, asks: str, answers: str) -> DataFrame:
 def scored_documents(documents: DataFrame, topics: DataFrame | None = None) -> DataFrame:
     """repo, path, score, topics, title of documents (repo, path, text): at most eight a repo, best first, ties by path.
 
-    A word counts as often as it occurs, and a topic hit five times or more counts five more. The
-    words built in are a fixed table of some forty rows and are broadcast; given ones are left to Spark.
+    A word counts as often as it occurs, and a topic hit five times or more counts five more. Topics
+    (topic, word) may be of any number: a text is read once for 100,000 words (see word_counts).
     """
-    words = topics if topics is not None else F.broadcast(dims.doc_topics(documents.sparkSession))
+    words = (topics if topics is not None else dims.doc_topics(documents.sparkSession)).select("topic", "word")
     low = documents.select("repo", "path", "text", F.lower("text").alias("low")).where(F.octet_length("text") <= MOST_BYTES)
-    hit = low.join(words, F.contains("low", "word")).groupBy("repo", "path", "topic").agg(F.sum(occurrences(F.col("low"), F.col("word"))).alias("n"))
+    hit = word_counts(low, ["repo", "path"], "low", words).join(words, "word").groupBy("repo", "path", "topic").agg(F.sum("n").alias("n"))
     total = hit.groupBy("repo", "path").agg(F.sum(F.col("n") + F.when(F.col("n") >= 5, 5).otherwise(0)).alias("score"), F.array_sort(F.collect_set("topic")).alias("topics"))
     ranked = total.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path"))).where(F.col("rank") <= KEPT)
     return ranked.join(low.select("repo", "path", first_heading(F.col("text")).alias("title")), ["repo", "path"])
