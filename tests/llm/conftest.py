@@ -39,6 +39,7 @@ def put(spark, folder, docs, conversations=(), labels=()):
     spark.createDataFrame(list(docs), DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(conversations), "conv_id long, turn long, role string, text string, record string, v string").write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int, stratum string").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(k, [k / 7.0] * 64, k) for k in range(50)] if docs else [], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 

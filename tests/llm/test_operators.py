@@ -38,7 +38,7 @@ def test_empty_tables(spark, empty, name):
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "conversations", "labels"):
+    for t in ("documents", "conversations", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = registry.queries()[name](spark, sf)
     columns = sorted(df.columns)
