@@ -471,6 +471,38 @@ def test_planted_licenses(spark):
     assert got[30_000].families == "mpl-2.0,public-domain" and got[30_000].n_paragraphs == 6
 
 
+#: Wordings that nothing was trained on: whole paragraphs as wrapped in files, headers, tables and notes of projects.
+HELD_OUT = [
+    ("mit", "MIT License\n\nCopyright (c) 2021 Jane Doe"), ("mit", "This code is free to use under the terms of the MIT license, see LICENSE."), ("mit", "| license | MIT |"), ("mit", "The MIT License (MIT)"), ("mit", "Everything here carries the MIT license unless a file says otherwise."), ("mit", "license = \"MIT\""), ("mit", "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"), ("mit", "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."),
+    ("apache-2.0", "Source files are made available under Apache License 2.0."), ("apache-2.0", "limitations under the License.\nYou may not use this file except in compliance with the License."), ("apache-2.0", "This component uses the Apache-2.0 license."), ("apache-2.0", "distributed under the License is distributed on an AS IS BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."), ("apache-2.0", "[Apache License, Version 2.0](LICENSE)"),
+    ("gpl", "You may copy it under the GNU GPL v2."), ("gpl", "This is free software under the GNU General Public License; see COPYING."), ("gpl", "license: 'GPL-2.0+'"), ("gpl", "but WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."), ("gpl", "The program is covered by the GNU General Public License (GPL), version 2, as found in the file COPYING."), ("gpl", "License: GPL-3"),
+    ("lgpl", "The library may be linked under the GNU Lesser General Public License v3."), ("lgpl", "\"license\": \"LGPL-2.1+\""), ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("lgpl", "It is licensed under LGPL 2.1."),
+    ("agpl", "\"license\": \"AGPL-3.0-only\","), ("agpl", "The server is free software under the GNU Affero General Public License."), ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("bsd", "This is released under a three-clause BSD license."), ("bsd", "2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation"), ("bsd", "The BSD 2-Clause License applies to all files."), ("bsd", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."), ("bsd", "License :: OSI Approved :: BSD License"),
+    ("isc", "\"license\": \"ISC\","), ("isc", "ISC License\n\nCopyright (c) 2019"), ("isc", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("mpl-2.0", "The contents of this file are subject to the Mozilla Public License 2.0."), ("mpl-2.0", "license-file: MPL-2.0.txt"), ("epl-2.0", "Eclipse Public License 2.0"), ("epl-2.0", "All plug-ins are provided under the Eclipse Public License (EPL)."), ("bsl-1.0", "license = \"BSL-1.0\""), ("bsl-1.0", "Use, modification and distribution are subject to the Boost Software License, Version 1.0."),
+    ("cc-by", "Photographs: Creative Commons Attribution 4.0 license."), ("cc-by", "The images may be used under CC BY 4.0, with credit."), ("cc-by-sa", "CC BY-SA 4.0"), ("cc-by-sa", "The article is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."), ("cc-by-nd", "CC BY-ND 4.0"), ("cc-by-nd", "Licensed under the Creative Commons Attribution-NoDerivs license: CC BY-ND."), ("cc-by-nc", "CC BY-NC-ND 4.0"), ("cc-by-nc", "These slides are licensed under Creative Commons Attribution-NonCommercial."),
+    ("public-domain", "The author has released this work into the public domain."), ("public-domain", "No copyright: CC0."), ("public-domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"), ("proprietary", "(c) 2020 Some Company Ltd. All Rights Reserved."), ("proprietary", "Unauthorised copying of this file, via any medium, is strictly prohibited."),
+]
+NO_LICENSE = ["This file is not licensed under the MIT License.", "The code was never released under the GNU General Public License.", "MIT researchers lost their driving license.", "He asked permission from the Apache tribe.", "The Eclipse was seen by all who had permission to climb.", "A warranty of the boost pump was denied.", "Our GNU emulator has no copyright notice yet.", "The license fee goes to the public broadcaster.", "She has a BSD box and a fishing license.", "The permission slip is signed and the notice shall be hung up.", "Copyright law protects books and films.", "The city redistributed the land to the poor.", "Public domain names are sold at auction.", "The isc tournament renewed its license.", "No warranty, no refund, no exchange."]
+
+
+def test_license_wordings_that_were_not_trained(spark):
+    """Recall, wrong families and false alarms on other wordings: the README's figures."""
+    docs = [(k, t) for k, (_, t) in enumerate(HELD_OUT)] + [(1000 + k, t) for k, t in enumerate(NO_LICENSE)]
+    got = {r.doc_id: r.license for r in license_scan.scanned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    missed = [(f, t) for k, (f, t) in enumerate(HELD_OUT) if got[k] == "none"]
+    wrong = [(f, got[k], t) for k, (f, t) in enumerate(HELD_OUT) if got[k] not in ("none", f)]
+    false = [(t, got[1000 + k]) for k, t in enumerate(NO_LICENSE) if got[1000 + k] != "none"]
+    assert len(missed) <= 0.1 * len(HELD_OUT) and len(wrong) <= 0.04 * len(HELD_OUT) and not false, (missed, wrong, false)
+
+
+def test_many_anchored_paragraphs_in_one_text(spark):
+    text = "\n".join(["Licensed under the Apache License, Version 2.0.", "The warranty is void."] * 4000)
+    row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_anchored, row.n_paragraphs, row.license) == (8000, 4000, "apache-2.0")
+
+
 # op9
 
 
