@@ -283,6 +283,27 @@ def test_planted_forms_are_found_and_others_left(spark):
     assert span.kind == 0 and "(at)" in text[span.start : span.end] and text[span.start : span.end].endswith("com")
 
 
+def test_forms_that_were_not_trained_are_found_whole(spark):
+    """Recall and false alarms on spellings, places and words that the labels are not made of: the README's figures."""
+    draw = random.Random(13)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 8)))
+    n = lambda size: str(draw.randint(10 ** (size - 1), 10**size - 1))
+    base = [lambda: f"{word()} {word()}.{word()}@{word()}.com {word()}", lambda: f"call +49 {n(3)} {n(4)} {n(3)} now", lambda: f"telephone +1 ({n(3)}) {n(3)}-{n(4)} {word()}", lambda: f"order {n(9)} shipped {word()}", lambda: f"from 10.{n(2)}.{n(2)}.7 here"]
+    other = [
+        lambda: ("reach me via ", f"{word()} AT {word()} DOT com"), lambda: ("it is ", f"{word()}{{at}}{word()}{{dot}}com"), lambda: ("the box ", f"{word()}.{word()} {{AT}} {word()} {{DOT}} org"), lambda: ("so ", f"{word()} at {word()} dot {word()} dot de"),
+        lambda: ("ruf mich an: ", f"0{n(3)} {n(7)}"), lambda: ("Tel. ", f"0{n(2)}/{n(2)} {n(2)} {n(2)} {n(1)}"), lambda: ("phone me on ", f"0{n(3)}/{n(6)}"),
+    ]
+    none = [lambda: f"we look at the dot {word()} of it", lambda: f"they met at {word()} dot {word()}", lambda: f"on {draw.randint(1, 28)}/{draw.randint(1, 12)}/20{n(2)} it rained", lambda: f"order no {n(8)} {word()}", lambda: f"{word()} {n(8)} {word()}"]
+    made = [(1000 * k + j, f()) for k, f in enumerate(base) for j in range(300)]
+    want = {100_000 + 1000 * k + j: f() for k, f in enumerate(other) for j in range(150)}
+    docs = made + [(i, f"{word()} {a}{b} {word()}") for i, (a, b) in want.items()] + [(200_000 + 1000 * k + j, f()) for k, f in enumerate(none) for j in range(150)]
+    texts = dict(docs)
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.all_spans] for r in pii.detected(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    whole = {k: sum(got[100_000 + 1000 * k + j] == [want[100_000 + 1000 * k + j][1]] for j in range(150)) for k in range(len(other))}
+    false = {k: sum(bool(got[200_000 + 1000 * k + j]) for j in range(150)) for k in range(len(none))}
+    assert min(whole.values()) >= 0.9 * 150 and sum(false.values()) <= 0.01 * 150 * len(none), (whole, false)
+
+
 def test_long_texts_with_many_matches(spark):
     text = " ".join(str(10**7 + k) + ("\n" if k % 3 else " 10.0.0.%d" % (k % 300)) for k in range(60_000))
     row = pii.written(pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")), "long").select(F.size("base").alias("n"), F.expr("base[size(base) - 1]").alias("last")).first()
