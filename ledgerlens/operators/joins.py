@@ -9,11 +9,11 @@ from ledgerlens.functions.text import snake, table_names
 from ledgerlens.operators import graph
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the first by order. Each task passes on one row a key."""
+def first_wins(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """One row for each key: the first by order, or the last. Each task passes on one row a key; a null orders first, as in a sort."""
     rest = F.struct(*[c for c in df.columns if c not in keys])
-    # A null orders first here as it does in a sort.
-    return df.groupBy(*keys).agg(F.min_by(rest, F.struct(*order)).alias("_first")).select(*keys, "_first.*").select(*df.columns)
+    pick = F.max_by if last else F.min_by
+    return df.groupBy(*keys).agg(pick(rest, F.struct(*order)).alias("_one")).select(*keys, "_one.*").select(*df.columns)
 
 
 def scoped(seams: DataFrame, reached: DataFrame, pools: tuple[str, ...] = (), order: tuple[str, ...] = ("ord",)) -> DataFrame:

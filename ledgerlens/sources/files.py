@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas
 from ledgerlens.functions.text import first_heading, strip_comments
+from ledgerlens.operators.joins import first_wins
 from ledgerlens.operators.words import word_counts
 from ledgerlens.plans import dims
 from ledgerlens.sources.snapshots import Snapshots
@@ -124,9 +125,7 @@ def append_answer(answers: DataFrame, path: str) -> None:
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """The answers that hold: of a batch the one of the greatest ord. Each task passes on one a batch."""
-    log = spark.read.parquet(path)
-    rest = F.struct(*[c for c in log.columns if c not in ("repo", "batch")])
-    return log.groupBy("repo", "batch").agg(F.max_by(rest, "ord").alias("_last")).select("repo", "batch", "_last.*").select(*log.columns)
+    return first_wins(spark.read.parquet(path), ["repo", "batch"], ["ord"], last=True)
 
 
 def fold_answers(spark: SparkSession, path: str, kept: Snapshots) -> None:

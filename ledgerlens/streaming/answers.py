@@ -35,7 +35,7 @@ def log_answers(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
 
 def current(spark: SparkSession, log: str) -> DataFrame:
     """The last valid answer of each question."""
-    return first_wins(spark.read.parquet(log).where(F.size("problems") == 0), ["repo", "question"], [F.desc("ord")])
+    return first_wins(spark.read.parquet(log).where(F.size("problems") == 0), ["repo", "question"], ["ord"], last=True)
 
 
 def standings(spark: SparkSession, log: str, evidence: DataFrame) -> DataFrame:
