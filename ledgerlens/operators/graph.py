@@ -62,7 +62,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: int |
     The edges carry those of the keys that they share with the seeds; they are laid out once.
     """
     on = [k for k in keys if k in edges.columns]
-    laid = Buckets(edges.select(*on, "src", "dst").distinct(), [*on, "src"])
+    laid = Buckets(edges.select(*on, "src", "dst"), [*on, "src"], distinct=True)
     start = seeds.select(*keys, "node", F.lit(0).alias("value"))
     found = spread(laid, start, on, [k for k in keys if k not in on], F.min, lambda value, known: F.lit(None).cast("int"), lambda v: v + 1, depth)
     return found.read().select(*keys, "node", F.col("value").alias("depth"))
@@ -70,7 +70,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: int |
 
 def least_entry(edges: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """repo, node, entry_ord: the first entry that reaches each node, one label a node; 0 for all nodes of a repo without entries."""
-    laid = Buckets(edges.select("repo", "src", "dst").distinct(), ["repo", "src"])
+    laid = Buckets(edges.select("repo", "src", "dst"), ["repo", "src"], distinct=True)
     found = spread(laid, entry_nodes(entries).select("repo", "node", F.col("entry_ord").alias("value")), ["repo"], [], F.min, _less)
     labels = found.read().groupBy("repo", "node").agg(F.min("value").alias("entry_ord"))
     return labels.unionByName(unentered(nodes, entries))
@@ -93,8 +93,7 @@ def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     so none is least for long. What is found is taken off, and the rest is labelled anew, up to PASSES times. Nodes that
     are left then are parts of their own, also where they do reach each other: sets that spread over the parts are the same.
     """
-    own = edges.select("repo", "src", "dst").where("src <> dst").distinct()
-    rest = checkpointed(own)
+    own = rest = checkpointed(edges.select("repo", "src", "dst").where("src <> dst").distinct())
     parts: list[DataFrame] = []
     for _ in range(PASSES):
         # Only nodes with edges both in and out can lie on a cycle.
@@ -131,7 +130,7 @@ def marked(edges: DataFrame, seeds: DataFrame, members: DataFrame | None = None,
     if members is not None:
         seeds = seeds.join(members, ["repo", "node"], "left").select("repo", F.coalesce("part", "node").alias("node"), "mark")
     bits = seeds.select("repo", "node", F.floor(F.col("mark") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(mark % 64 as int))").alias("value"))
-    laid = Buckets(edges.select("repo", "src", "dst").distinct(), ["repo", "src"])
+    laid = Buckets(edges.select("repo", "src", "dst"), ["repo", "src"], distinct=True)
     found = spread(laid, bits, ["repo"], ["word"], F.bit_or, _more_bits).read()
     held = found.groupBy("repo", "node", "word").agg(F.bit_or("value").alias("value"))
     if members is not None:

@@ -348,6 +348,7 @@ def supplier_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     owner = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("n"), "s_nationkey").alias("repo"), "s_nationkey")
     lines = read(spark, sf, "lineitem").join(owner, "l_suppkey")
     pairs = lines.groupBy("repo", F.concat(F.lit("s#"), "l_suppkey").alias("s"), F.concat(F.lit("p#"), "l_partkey").alias("p"), "l_suppkey").agg(F.min("l_orderkey").alias("first"))
+    pairs = checkpointed(pairs)  # nodes and edges are both made of them
     edges = pairs.select("repo", F.col("s").alias("src"), F.col("p").alias("dst"), F.col("first").alias("ord")).unionByName(pairs.select("repo", F.col("p").alias("src"), F.col("s").alias("dst"), F.col("l_suppkey").cast("long").alias("ord")))
     nodes = edges.select("repo", F.col("src").alias("id")).distinct()
     entries = owner.where("s_nationkey % 5 <> 0").select("repo", F.col("l_suppkey").cast("int").alias("ord"), F.lit("s").alias("pkg"), F.col("l_suppkey").cast("string").alias("symbol"))
@@ -361,6 +362,7 @@ def supplier_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
     """What the suppliers of each nation reach over all pairs of supplier and part, to the end; the least depth."""
     e = read(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    e = checkpointed(e)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seeds = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("entry"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"))
     return graph.reachable(both, seeds, ["entry"])

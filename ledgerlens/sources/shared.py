@@ -52,13 +52,14 @@ class Buckets:
     part of them is found by a column that names folders.
     """
 
-    def __init__(self, df: DataFrame, by: list[str], folders: str | None = None):
+    def __init__(self, df: DataFrame, by: list[str], folders: str | None = None, distinct: bool = False):
         self.spark, self.by, self.folders = df.sparkSession, by, folders
         self.name = f"laid_out_{uuid.uuid4().hex}"
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = f"{shared_dir(self.spark)}/{self.name}"
         # Dealt by bucket first, so that a bucket gets one file and not one from each task.
-        self.append(df.repartition(self.n, *by))
+        dealt = df.repartition(self.n, *by)
+        self.append(dealt.distinct() if distinct else dealt)
 
     def append(self, df: DataFrame) -> int:
         """Adds rows, which lie together by bucket as they are, and says how many."""
