@@ -8,7 +8,10 @@ Texts with equal sets form a class; what follows works on one member of each.
 2. Pairs from buckets of at most SMALL classes are compared by their MinHash values, STEP at
    a time: with m of k equal and a uniform prior, the posterior chance that the similarity
    reaches the threshold is that of a binomial tail; below TOLERANCE the pair is dropped. A
-   larger bucket is not expanded into pairs: its members are tied to its first one.
+   larger bucket is not expanded into pairs: its members are tied to its first one. Of the MinHash
+   values two members share at most all but the difference of what they share with the first, so a
+   gap in those numbers across which step 2 drops every pair parts the bucket; the part without
+   the first is tied to a first of its own and looked at again, PARTINGS times.
 3. The connected groups of what is left are dealt out in pairs of blocks of about a twelfth of
    the group, and at most BLOCK members or BLOCK_SHINGLES shingles (but for a longer text), so no
    task holds a whole large group and no pair becomes a row. The pairs of blocks of a group go to
@@ -26,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from ledgerlens.llm.common import map_batches, table, text_or_empty, texts, written
 from ledgerlens.llm.components import components
@@ -47,6 +50,8 @@ SMALL, BLOCK, LEAST_BLOCK = 24, 384, 96
 BLOCK_SHINGLES = 2_000_000
 #: Rows that a task compares, about, and the bits of the filter in front of the join that fetches texts.
 ROWS_A_TASK, MOST_BITS = 50_000, 1 << 28
+#: How often a large bucket is parted; what is left together after that is compared as one.
+PARTINGS = 4
 HASHES = BANDS * ROWS
 
 
@@ -192,6 +197,44 @@ def pruned(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs, run, StructType([StructField("a", BinaryType()), StructField("b", BinaryType())]))
 
 
+def equal_counts(pairs: DataFrame) -> DataFrame:
+    """set_id, first, equal: how many MinHash values are equal in pairs (with left and right values)."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, HASHES) for c in ("left", "right"))
+        return {"set_id": batch.column("set_id"), "first": batch.column("first"), "equal": (left == right).sum(axis=1).astype(np.int32)}
+
+    return map_batches(pairs, run, StructType([StructField("set_id", BinaryType()), StructField("first", BinaryType()), StructField("equal", IntegerType())]))
+
+
+def parted(tied: DataFrame, classes: DataFrame) -> DataFrame:
+    """set_id, first: the members of large buckets, with those that pruning keeps apart tied to different firsts.
+
+    Two members that share m and n values with their first share at most HASHES - |m - n| with each
+    other. Pruning drops a pair with too few, so no pair across a wide enough gap in these numbers,
+    of which a first has HASHES + 1 at most, is a candidate.
+    """
+    widest = HASHES - least_equal()[-1][1]
+    values = classes.select("set_id", "values")
+    done, left = [], written(tied.distinct(), "tied")
+    for _ in range(PARTINGS):
+        met = left.join(values.withColumnRenamed("values", "right"), "set_id").join(values.select(F.col("set_id").alias("first"), F.col("values").alias("left")), "first")
+        # The gaps are a table of their own: a bucket may hold a third of the classes, and Spark can only split what is dealt anew.
+        counted = written(equal_counts(met), "shared-values")
+        seen = counted.groupBy("first").agg(F.sort_array(F.collect_set("equal")).alias("seen"))
+        cuts = written(seen.select("first", F.expr(f"filter(seen, (x, i) -> i > 0 and x - seen[i - 1] > {widest})").alias("cuts")).where("size(cuts) > 0"), "cuts")
+        if cuts.isEmpty():
+            break
+        # Without a gap both are 0. The first itself is always in the top level.
+        level, top = (F.size(F.coalesce(F.expr(c), F.expr("cast(array() as array<int>)"))) for c in ("filter(cuts, c -> equal >= c)", "cuts"))
+        levels = written(counted.join(cuts, "first", "left").select("set_id", "first", level.alias("level"), top.alias("top")), "levels")
+        done.append(levels.where("level = top").select("set_id", "first"))
+        below = levels.where("level < top").select("set_id", F.col("first").alias("old"), "level")
+        heads = written(below.groupBy("old", "level").agg(F.min("set_id").alias("first")), "heads")
+        left = written(below.join(heads, ["old", "level"]).select("set_id", "first").distinct(), "tied")
+    return reduce(DataFrame.unionByName, done, left)
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b: pruned pairs of small buckets, and ties of the members of large ones to their first."""
     placed = classes.select("set_id", F.explode("keys").alias("key"))
@@ -204,7 +247,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     values = classes.select("set_id", "values")
     valued = pairs.join(values.select(F.col("set_id").alias("a"), F.col("values").alias("left")), "a").join(values.select(F.col("set_id").alias("b"), F.col("values").alias("right")), "b")
     # A class is tied to the least of the first members of its large buckets, and that one to the others.
-    heads = shared.where(F.col("size") > SMALL).groupBy("set_id").agg(F.collect_set("first").alias("firsts")).withColumn("b", F.array_min("firsts"))
+    heads = parted(shared.where(F.col("size") > SMALL).select("set_id", "first"), classes).groupBy("set_id").agg(F.collect_set("first").alias("firsts")).withColumn("b", F.array_min("firsts"))
     own = heads.select(F.col("set_id").alias("a"), "b")
     among = heads.select(F.explode("firsts").alias("a"), "b").distinct()
     return pruned(valued).unionByName(own).unionByName(among.where("a <> b"))

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,6 +198,59 @@ def test_large_groups_keep_every_link(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in ngram_jaccard.joined(docs).collect()} == want
 
 
+def two_families(n: int) -> list[str]:
+    """Two families of n near copies, unlike each other, whose first texts share a bucket by the passage that both hold."""
+    for seed in range(400):
+        draw = random.Random(seed)
+        passage = [f"p{seed}.{k}" for k in range(34)]
+        bases = [[*passage, *(f"{f}{seed}.{k}" for k in range(80))] for f in "ab"]
+        keys = [set(ngram_jaccard.band_keys(ngram_jaccard.min_hashes(ngram_jaccard.shingle_set(" ".join(b))))) for b in bases]
+        if keys[0] & keys[1]:
+            return [" ".join(b[:at] + [f"v{f}.{k}"] + b[at + 1 :]) for f, b in enumerate(bases) for k, at in enumerate(draw.choices(range(40, 110), k=n))]
+    raise AssertionError("no two families share a bucket")
+
+
+def test_families_that_share_a_passage_are_groups_of_their_own(spark, monkeypatch):
+    n = 500
+    texts = two_families(n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    classes = ngram_jaccard.written(ngram_jaccard.sketches(docs).dropDuplicates(["set_id"]), "classes")
+    lone = classes.count()
+
+    def groups() -> list[int]:
+        found = components.components(ngram_jaccard.candidate_edges(classes))
+        return sorted(r["count"] for r in found.groupBy("component").count().collect())
+
+    assert groups() == sorted(classes.groupBy(F.col("doc_id") < n).count().toPandas()["count"])
+    monkeypatch.setattr(ngram_jaccard, "PARTINGS", 0)
+    assert groups() == [lone]  # without parting all of them would be compared with all
+    monkeypatch.undo()
+    sets = [brute.shingles(t) for t in texts]
+    want = {k: sum(j != k and 5 * len(sets[j] & sets[k]) >= 4 * len(sets[j] | sets[k]) for j in range(2 * n)) for k in range(2 * n)}
+    assert {r.doc_id: r.n_links for r in ngram_jaccard.joined(docs).collect()} == want
+
+
+def test_parting_keeps_every_candidate_together(spark):
+    """A member with all its steps in between has no gap; without them it has, and only pairs that pruning drops are parted."""
+    draw = np.random.default_rng(1)
+    first = draw.integers(0, 1 << 16, ngram_jaccard.HASHES, dtype=np.uint16)
+    rows = []
+    for chain, steps in ((b"a", range(0, 90, 5)), (b"b", (0, 5, 10, 80, 85)), (b"c", (0,)), (b"d", ())):
+        for k, at in enumerate(steps):
+            mine = first.copy()
+            mine[:at] = draw.integers(0, 1 << 16, at, dtype=np.uint16)
+            rows.append((chain + bytes([k]), chain + bytes([0]), bytearray(mine.astype("<u2").tobytes())))
+    frame = spark.createDataFrame(rows, "set_id binary, first binary, values binary")
+    got = {bytes(r.set_id): bytes(r.first) for r in ngram_jaccard.parted(frame.select("set_id", "first"), frame.select("set_id", "values")).collect()}
+    assert {v for k, v in got.items() if k[:1] == b"a"} == {b"a\0"} and got[b"c\0"] == b"c\0"
+    assert [got[b"b" + bytes([k])] for k in range(3)] == [b"b\0"] * 3 and b"b\0" not in (got[b"b\3"], got[b"b\4"])
+    values = {bytes(s): np.frombuffer(bytes(v), "<u2").reshape(1, -1) for s, _, v in rows}
+    for x in values:
+        for y in values:
+            if x[:1] == y[:1] and got[x] != got[y]:
+                assert not len(ngram_jaccard.plausible(values[x], values[y]))
+
+
 def test_only_wanted_texts_are_fetched(spark, monkeypatch):
     docs = spark.createDataFrame([(k if k % 50 else None, f"text {k} with five words and more") for k in range(3000)], "doc_id long, text string")
     keyed = docs.withColumn("text_key", F.xxhash64("text")).withColumn("doc_key", F.coalesce("doc_id", "text_key"))
