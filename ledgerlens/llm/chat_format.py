@@ -1,10 +1,11 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON of any layout. Its fingerprint is a hash of its nested field paths, without
-types, order or values. A registry says which paths a layout needs and which declarative mapping
-(a SQL expression over the parsed value) makes an array of canonical turns (role, text) of it.
-A fingerprint selects the layout of which it has all paths, whatever other fields there are; of
-several the one that needs most, then the first. The template marks turns with control
+A record is JSON of any layout. A registry says which paths a layout needs and which declarative
+mapping (a SQL expression over the parsed value) makes an array of canonical turns (role, text) of it.
+The fingerprint of a record is a hash of those of its nested field paths that some layout needs,
+without types, order or values, so that there are boundedly many and other fields change nothing.
+A table of fingerprints, joined to the records, selects the layout all of whose paths are there; of
+several the one that needs most, then the first. A hash of all field paths is reported beside it. The template marks turns with control
 strings and escapes those that stand inside texts, reversibly; the loss mask holds the
 stretches of assistant texts.
 
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -61,39 +64,60 @@ def field_paths(value: object) -> set[str]:
     return found
 
 
+#: The paths that some layout needs. A fingerprint is over those of them that a record has.
+KNOWN = sorted({path for needed, _ in LAYOUTS.values() for path in needed})
+
+
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def layout_of(paths: set[str]) -> str | None:
-    """The layout all of whose paths are there. A path into an empty list counts as there."""
-    empty = tuple(p.removesuffix("!") for p in paths if p.endswith("[]!"))
-    fits = [name for name, (needed, _) in LAYOUTS.items() if all(n in paths or (empty and n.startswith(empty)) for n in needed)]
+    """The layout all of whose paths are there; of several the one that needs most, then the first."""
+    fits = [name for name, (needed, _) in LAYOUTS.items() if paths.issuperset(needed)]
     return max(fits, key=lambda name: len(LAYOUTS[name][0])) if fits else None
 
 
+def mappings(spark: SparkSession) -> DataFrame:
+    """fingerprint, layout: every fingerprint that selects a layout, by rule from KNOWN.
+
+    There is a row for each set of known paths that some layout fits, fewer than 2 ** len(KNOWN) = 2,048
+    whatever the records are, so that the table is safe to broadcast.
+    """
+    sets = (set(c) for n in range(len(KNOWN) + 1) for c in combinations(KNOWN, n))
+    rows = [(fingerprint(paths), layout) for paths in sets if (layout := layout_of(paths))]
+    return spark.createDataFrame(rows, "known string, chosen string")
+
+
 @lru_cache(maxsize=100_000)
-def fingerprinted(paths: frozenset[str]) -> tuple[str, str | None]:
-    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest(), layout_of(set(paths))
+def hashed(paths: frozenset[str]) -> tuple[str, str]:
+    """The hash of all paths and the fingerprint, that of the known ones. A known path into an empty list counts as there."""
+    empty = tuple(p.removesuffix("!") for p in paths if p.endswith("[]!"))
+    return fingerprint(paths), fingerprint(p for p in KNOWN if p in paths or (empty and p.startswith(empty)))
 
 
-@F.pandas_udf(StructType([StructField("fingerprint", StringType()), StructField("layout", StringType())]))
+@F.pandas_udf(StructType([StructField("fields", StringType()), StructField("fingerprint", StringType())]))
 def fingerprints(records: pd.Series) -> pd.DataFrame:
-    """The fingerprint of each JSON record and the layout that it selects."""
+    """The hash of all field paths of each JSON record, and its fingerprint."""
     out = []
     for r in records:
         try:
-            out.append(fingerprinted(frozenset(field_paths(json.loads(r)))))
+            out.append(hashed(frozenset(field_paths(json.loads(r)))))
         except (TypeError, ValueError, RecursionError):
             out.append((None, None))
-    return pd.DataFrame(out, columns=["fingerprint", "layout"])
+    return pd.DataFrame(out, columns=["fields", "fingerprint"])
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """own (the columns of records), fingerprint, layout and turns, null where no layout fits."""
-    parsed = records.select(F.struct("*").alias("own"), F.try_parse_json(record).alias("v"), fingerprints(record).alias("f"))
+    """own (the columns of records), fields (a hash of all field paths), fingerprint, layout and turns, null where no layout fits."""
+    marked = records.select(F.struct("*").alias("own"), F.try_parse_json(record).alias("v"), fingerprints(record).alias("f"))
+    parsed = marked.join(F.broadcast(mappings(records.sparkSession)), F.col("f.fingerprint") == F.col("known"), "left")
     # The expressions cast what they get, so each is only evaluated for records of its layout.
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, (_, expression) in LAYOUTS.items():
-        turns = F.when(F.col("v").isNotNull() & (F.col("f.layout") == name), F.expr(expression.replace("variant_get", "try_variant_get"))).otherwise(turns)
+        turns = F.when(F.col("v").isNotNull() & (F.col("chosen") == name), F.expr(expression.replace("variant_get", "try_variant_get"))).otherwise(turns)
     filled = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return parsed.select("own", "f.fingerprint", F.when(filled.isNotNull(), F.col("f.layout")).alias("layout"), filled.alias("turns"))
+    return parsed.select("own", "f.fields", "f.fingerprint", F.when(filled.isNotNull(), F.col("chosen")).alias("layout"), filled.alias("turns"))
 
 
 def escaped(text: str) -> str:

@@ -91,10 +91,20 @@ def test_layouts_have_their_own_mappings(spark):
     pair = [("user", "q"), ("assistant", "a")]
     assert got[:9] == [[("user", "q"), ("assistant", "")], pair, pair, pair, [("user", "q\n\ni"), ("assistant", "a")], [("system", "s"), *pair], None, None, None]
     assert got[9:] == [pair, pair, [], [("user", "q")], None, pair, None, None, None]
-    assert len({r.fingerprint for r in rows[:7]}) == 7 and all(r.own.turns == r.own.v == r.own.fingerprint == "own" for r in rows)
+    assert len({r.fingerprint for r in rows[:7]}) == 7 and rows[9].fingerprint == rows[0].fingerprint and rows[9].fields != rows[0].fields
+    assert all(r.own.turns == r.own.v == r.own.fingerprint == "own" for r in rows)
     assert [r.layout is None for r in rows] == [g is None for g in got]
 
 
+def test_fingerprints_select_by_a_bounded_table(spark):
+    known = {r.known: r.chosen for r in chat_format.mappings(spark).collect()}
+    assert len(known) < 2 ** len(chat_format.KNOWN) and set(known.values()) == set(chat_format.LAYOUTS)
+    for name, (needed, _) in chat_format.LAYOUTS.items():
+        assert known[chat_format.fingerprint(needed)] == name
+    assert known[chat_format.fingerprint(["prompt", "response", "output", "instruction"])] == "prompt, response"
+    assert chat_format.fingerprint(["prompt"]) not in known and chat_format.fingerprint([]) not in known
+
+
 # op2
 
 
