@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranking import before, ordered
 from ledgerlens.sources.shared import Buckets, checkpointed, setting
 
 
 #: How often the labels of condensed are passed on both ways.
 PASSES = 6
+#: How many nodes and calls preorder walks in one task, and how often it splits what has more.
+WALK_MOST, SPLITS = 500_000, 8
 
 
 def spread(edges: Buckets, seeds: DataFrame, on: list[str], extra: list[str], merged: Callable[[str], Column], fresh: Callable[[Column, Column], Column], passed: Callable[[Column], Column] = lambda v: v, rounds: int | None = None) -> Buckets:
@@ -166,47 +169,101 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
             return labels
 
 
-def preorder(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+def preorder(nodes: DataFrame, entries: DataFrame, edges: DataFrame, most: int = WALK_MOST) -> DataFrame:
     """repo, entry_ord, step, depth, node: calls in the order in which they are first met, each node once over all entries of a repo.
 
-    What a walk meets depends on all that was visited before, but only within a connected part of
-    the graph: such a part is walked in one task, apart from all others. Calls of what is no node
-    are passed over, and so are entries without a node.
+    A walk from one start and then the next leaves to each start just the nodes that it is the least
+    to reach, and the same holds for the calls of a start among the nodes left to it. So a group with
+    more than most nodes and calls is split by these labels: its start is a step of its own,
+    and each call that meets something new starts a group. Groups that are small enough are walked in
+    a task each, and steps are numbered over all of them by sums. After SPLITS rounds what is left is
+    walked as it is: the order within a knot of calls that all lead to each other is sequential.
+
+    Calls of what is no node are passed over, and so are entries without a node; calls of equal ord go by name.
     """
-    own = nodes.select("repo", F.col("id").alias("src")).distinct()
-    inner = edges.join(own.withColumnRenamed("src", "dst"), ["repo", "dst"], "left_semi").join(own, ["repo", "src"], "left_semi")
-    part = components(inner, ["repo"]).withColumnRenamed("node", "src")
-    calls = inner.groupBy("repo", "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("calls"))
-    starts = entries.select("repo", F.concat_ws("#", "pkg", "symbol").alias("src"), F.col("ord").alias("entry_ord"))
-    rows = own.join(part, ["repo", "src"], "left").withColumn("component", F.coalesce("component", "src")).join(calls, ["repo", "src"], "left").join(starts, ["repo", "src"], "left")
+    own = nodes.select("repo", F.col("id").alias("node")).distinct()
+    inner = edges.join(own.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi").join(own.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
+    calls = checkpointed(inner.where("src <> dst").groupBy("repo", "src", "dst").agg(F.min("ord").cast("long").alias("ord")))
+    place = lambda name: F.struct(F.col("ord").cast("long").alias("ord"), F.col(name).alias("id"))
+    firsts = entries.select("repo", F.concat_ws("#", "pkg", "symbol").alias("node"), "ord").join(own, ["repo", "node"], "left_semi").groupBy("repo", "node").agg(F.min("ord").alias("ord"))
+    # Paths are the starts that led to a group, the last one being its own; they sort as the walk goes.
+    members = own.withColumn("gid", F.lit(""))
+    starts = firsts.select("repo", F.lit("").alias("gid"), "node", F.array(place("node")).alias("path"))
+    walked, peeled = [], []
+    for split in range(SPLITS + 1):
+        at = lambda c: members.select("repo", "gid", F.col("node").alias(c))
+        within = checkpointed(calls.join(at("src"), ["repo", "src"]).join(at("dst"), ["repo", "gid", "dst"]).select("repo", "gid", "src", "dst", "ord"))
+        sizes = members.groupBy("repo", "gid").count().unionByName(within.groupBy("repo", "gid").count())
+        big = checkpointed(sizes.groupBy("repo", "gid").agg(F.sum("count").alias("n")).where(F.col("n") > most).select("repo", "gid"))
+        done = split == SPLITS or big.isEmpty()
+        walked.append([t if done else t.join(big, ["repo", "gid"], "left_anti") for t in (members, within, starts)])
+        if done:
+            break
+        members, within, starts = (t.join(big, ["repo", "gid"], "left_semi") for t in (members, within, starts))
+        seeds = starts.withColumnRenamed("path", "value")
+        if split:
+            peeled.append(starts.select("repo", "path", "node"))
+            roots = starts.select("repo", "gid", F.col("node").alias("src"), "path")
+            within = within.join(roots.select("repo", "gid", F.col("src").alias("dst")), ["repo", "gid", "dst"], "left_anti")
+            seeds = within.join(roots, ["repo", "gid", "src"]).select("repo", "gid", F.col("dst").alias("node"), F.concat("path", F.array(place("dst"))).alias("value"))
+            within = within.join(roots, ["repo", "gid", "src"], "left_anti")
+        laid = Buckets(within.select("repo", "gid", "src", "dst"), ["repo", "gid", "src"])
+        found = spread(laid, seeds, ["repo", "gid"], [], F.min, _less).read().groupBy("repo", "gid", "node").agg(F.min("value").alias("path"))
+        labelled = checkpointed(found.select("repo", F.md5(F.to_json("path")).alias("gid"), "node", "path"))
+        members = labelled.select("repo", "gid", "node")
+        starts = labelled.where(F.element_at("path", -1)["id"] == F.col("node"))
+    members, within, starts = (reduce(DataFrame.unionByName, t) for t in zip(*walked, strict=True))
+    targets = within.groupBy("repo", "gid", F.col("src").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("calls"))
+    begins = starts.select("repo", "gid", "node", F.element_at("path", -1)["ord"].alias("start_ord"), F.to_json("path").alias("path"))
+    rows = members.join(targets, ["repo", "gid", "node"], "left").join(begins, ["repo", "gid", "node"], "left")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        targets = {r.src: list(r.calls) if r.calls is not None else [] for r in group.itertuples()}
-        firsts = group.dropna(subset=["entry_ord"]).sort_values("entry_ord")
+        of = {r.node: r.calls for r in group.itertuples()}
         seen: set[str] = set()
         out = []
-        for start in firsts.itertuples():
-            stack, step = [(start.src, 0)], 0
+        for start in group.dropna(subset=["path"]).sort_values(["start_ord", "node"]).itertuples():
+            stack, step = [(start.node, 0)], 0
             while stack:
-                node, depth = stack.pop()
+                node, below = stack.pop()
                 if node in seen:
                     continue
                 seen.add(node)
-                out.append((start.repo, int(start.entry_ord), step, depth, node))
+                out.append((start.repo, start.path, step, below, node))
                 step += 1
-                stack += [(x, depth + 1) for x in reversed(targets[node])]
-        return pd.DataFrame(out, columns=["repo", "entry_ord", "step", "depth", "node"])
+                stack += [(x, below + 1) for x in reversed(of[node] if of[node] is not None else [])]
+        return pd.DataFrame(out, columns=["repo", "path", "step", "below", "node"])
 
-    return rows.groupBy("repo", "component").applyInPandas(walk, "repo string, entry_ord int, step int, depth int, node string")
+    schema = "repo string, path string, step int, below int, node string"
+    steps = rows.groupBy("repo", "gid").applyInPandas(walk, schema)
+    if peeled:
+        alone = reduce(DataFrame.unionByName, peeled)
+        steps = checkpointed(steps.unionByName(alone.select("repo", F.to_json("path").alias("path"), F.lit(0).alias("step"), F.lit(0).alias("below"), "node")))
+    read = steps.withColumn("at", F.from_json("path", "array<struct<ord:bigint,id:string>>"))
+    if peeled:
+        counts = read.groupBy("repo", "path", "at").agg(F.count(F.lit(1)).alias("n")).withColumn("entry", F.col("at")[0])
+        offsets = before(ordered(counts, ["repo", "entry"], ["at"]), ["repo", "entry"], {"offset": F.col("n")}).select("repo", "path", "offset")
+        read = read.join(offsets, ["repo", "path"]).withColumn("step", (F.col("step") + F.col("offset")).cast("int"))
+    return read.select("repo", F.col("at")[0]["ord"].cast("int").alias("entry_ord"), "step", (F.col("below") + F.size("at") - 1).alias("depth"), "node")
 
 
-def _lines(df: DataFrame, head: str, text: str) -> DataFrame:
-    """One text for each repo of the sorted distinct lines below a head."""
-    return df.groupBy("repo").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_set(text)), "\n")).alias("diagram"))
+def _joined(lines: DataFrame) -> DataFrame:
+    """One text for each repo of its lines in order."""
+    return lines.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("diagram"))
 
 
-def flowchart(nodes: DataFrame, edges: DataFrame, seams: DataFrame) -> DataFrame:
-    """A chart for each repo: its nodes, the calls among them, and the seams that cannot be replaced, each once."""
+def _lines(df: DataFrame, head: str) -> DataFrame:
+    """repo, line, text: a head as line 0 and below it the sorted distinct texts, numbered by sums over parts, so that no task holds a repo."""
+    own = ordered(df.select("repo", "text").distinct(), ["repo"], ["text"])
+    numbered = before(own, ["repo"], {"line": F.lit(1)}).select("repo", (F.col("line") + 1).cast("long").alias("line"), "text")
+    heads = own.select("repo").distinct().select("repo", F.lit(0).cast("long").alias("line"), F.lit(head).alias("text"))
+    return numbered.unionByName(heads)
+
+
+def flowchart_lines(nodes: DataFrame, edges: DataFrame, seams: DataFrame) -> DataFrame:
+    """repo, line, text of a chart for each repo: its nodes, the calls among them, and the seams that cannot be replaced, each once.
+
+    sources.files.write_lines makes texts of them.
+    """
     from ledgerlens.functions.text import diagram_id, html_escape
 
     box = nodes.select("repo", F.concat(F.lit("  "), diagram_id(F.col("id")), F.lit('["'), html_escape(F.col("symbol")), F.lit('"]')).alias("text"))
@@ -214,11 +271,21 @@ def flowchart(nodes: DataFrame, edges: DataFrame, seams: DataFrame) -> DataFrame
     inner = edges.join(own, ["repo", "dst"], "left_semi").join(own.withColumnRenamed("dst", "src"), ["repo", "src"], "left_semi")
     calls = inner.select("repo", F.concat(F.lit("  "), diagram_id(F.col("src")), F.lit(" --> "), diagram_id(F.col("dst"))).alias("text"))
     outer = seams.where("not injectable").select("repo", F.concat(F.lit("  "), diagram_id(F.col("in_id")), F.lit(" -.-> "), diagram_id(F.col("target"))).alias("text"))
-    return _lines(box.unionByName(calls).unionByName(outer), "flowchart TD\n", "text")
+    return _lines(box.unionByName(calls).unionByName(outer), "flowchart TD")
 
 
-def state_diagram(writes: DataFrame) -> DataFrame:
-    """A diagram for each repo of its state writes, dynamic ones left out, one for each state and function."""
+def flowchart(nodes: DataFrame, edges: DataFrame, seams: DataFrame) -> DataFrame:
+    """The lines of flowchart_lines as one text for each repo, for repos whose chart fits a row."""
+    return _joined(flowchart_lines(nodes, edges, seams))
+
+
+def state_lines(writes: DataFrame) -> DataFrame:
+    """repo, line, text of a diagram for each repo of its state writes, dynamic ones left out, one for each state and function."""
     fixed = writes.where("to <> '<dynamic>'").dropDuplicates(["repo", "type", "to", "in_id"])
     text = F.concat(F.lit("  [*] --> "), F.regexp_replace("to", "[^A-Za-z0-9]", "_"), F.lit(": "), F.substring_index("in_id", "#", -1))
-    return _lines(fixed.select("repo", text.alias("text")), "stateDiagram-v2\n", "text")
+    return _lines(fixed.select(F.col("repo"), text.alias("text")), "stateDiagram-v2")
+
+
+def state_diagram(writes: DataFrame) -> DataFrame:
+    """The lines of state_lines as one text for each repo."""
+    return _joined(state_lines(writes))

@@ -126,27 +126,50 @@ def fields_asked(spark: SparkSession, sf: str) -> DataFrame:
     return asks.join(F.broadcast(rollups.fields_of(dims.answer_fields(spark))), "kind", "left").select("kind", "asks", "fields", "live")
 
 
-@query("""
+CHART_SQL = """
     with l as (select distinct s_nationkey as n, l_suppkey as s, l_partkey as p from lineitem join supplier on s_suppkey = l_suppkey),
     t as (select n, '  s_' || s || '["' || s || '"]' as t from l union select n, '  p_' || p || '["' || p || '"]' from l union select n, '  s_' || s || ' --> p_' || p from l union select n, '  p_' || p || ' --> s_' || s from l
-        union select s_nationkey, '  s_' || s_suppkey || ' -.-> ' || replace(s_name, '#', '_') from supplier where s_acctbal <= 0)
-    select 'n' || n as repo, 'flowchart TD' || chr(10) || string_agg(t, chr(10) order by t) as diagram from t group by 1""")
-def flowcharts(spark: SparkSession, sf: str) -> DataFrame:
-    """A chart of each nation's suppliers and parts; suppliers in debt have a boundary that cannot be replaced."""
+        union select s_nationkey, '  s_' || s_suppkey || ' -.-> ' || replace(s_name, '#', '_') from supplier where s_acctbal <= 0)"""
+STATE_SQL = """
+    with w as (select distinct c_nationkey as repo, o_orderpriority as type, o_orderstatus as s, c_custkey % 5 as f from orders join customer on c_custkey = o_custkey where o_orderstatus <> 'P'), t as (select distinct repo, '  [*] --> S_' || s || ': fn' || f as t from w)"""
+
+
+def supplier_chart(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and seams of each nation's suppliers and parts; suppliers in debt have a boundary that cannot be replaced."""
     nodes, _, edges = supplier_graph(spark, sf)
     seams = read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("repo"), F.concat(F.lit("s#"), "s_suppkey").alias("in_id"), F.col("s_name").alias("target"), (F.col("s_acctbal") > 0).alias("injectable"))
-    return graph.flowchart(nodes.withColumn("symbol", F.substring_index("id", "#", -1)), edges, seams)
+    return nodes.withColumn("symbol", F.substring_index("id", "#", -1)), edges, seams
 
 
-@query("""
-    with w as (select distinct c_nationkey as repo, o_orderpriority as type, o_orderstatus as s, c_custkey % 5 as f from orders join customer on c_custkey = o_custkey where o_orderstatus <> 'P'), t as (select distinct repo, '  [*] --> S_' || s || ': fn' || f as t from w)
-    select repo, 'stateDiagram-v2' || chr(10) || string_agg(t, chr(10) order by t) as diagram from t group by 1""")
-def state_diagrams(spark: SparkSession, sf: str) -> DataFrame:
-    """A diagram of the statuses that the orders of a nation are written with; partial ones are dynamic."""
+@query(f"{CHART_SQL} select 'n' || n as repo, 'flowchart TD' || chr(10) || string_agg(t, chr(10) order by t) as diagram from t group by 1")
+def flowcharts(spark: SparkSession, sf: str) -> DataFrame:
+    """A chart of each nation's suppliers and parts in one text."""
+    return graph.flowchart(*supplier_chart(spark, sf))
+
+
+@query(f"{CHART_SQL} select 'n' || n as repo, row_number() over (partition by n order by t) as line, t as text from t union all select distinct 'n' || n, 0, 'flowchart TD' from t")
+def flowchart_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same charts as numbered lines, in which no row or task holds a nation's graph."""
+    return graph.flowchart_lines(*supplier_chart(spark, sf))
+
+
+def order_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """The statuses that the orders of a nation are written with; partial ones are dynamic."""
     c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("o_custkey"))
     to = F.when(F.col("o_orderstatus") == "P", "<dynamic>").otherwise(F.concat(F.lit("S."), "o_orderstatus"))
-    writes = read(spark, sf, "orders").join(c, "o_custkey").select("repo", F.col("o_orderpriority").alias("type"), to.alias("to"), F.concat(F.lit("pkg#fn"), F.col("o_custkey") % 5).alias("in_id"))
-    return graph.state_diagram(writes)
+    return read(spark, sf, "orders").join(c, "o_custkey").select("repo", F.col("o_orderpriority").alias("type"), to.alias("to"), F.concat(F.lit("pkg#fn"), F.col("o_custkey") % 5).alias("in_id"))
+
+
+@query(f"{STATE_SQL} select repo, 'stateDiagram-v2' || chr(10) || string_agg(t, chr(10) order by t) as diagram from t group by 1")
+def state_diagrams(spark: SparkSession, sf: str) -> DataFrame:
+    """A diagram of the statuses of each nation's orders in one text."""
+    return graph.state_diagram(order_writes(spark, sf))
+
+
+@query(f"{STATE_SQL} select repo, row_number() over (partition by repo order by t) as line, t as text from t union all select distinct repo, 0, 'stateDiagram-v2' from t")
+def state_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same diagrams as numbered lines."""
+    return graph.state_lines(order_writes(spark, sf))
 
 
 KINDS = list(dict.fromkeys((k, s) for _, k, s in dims.rows(dims.KIND_SCENARIOS)))

@@ -89,6 +89,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.repartition("repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").json(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines (repo, line, text) of each repo as text files in a folder of its own; a large repo's files follow each other by name."""
+    dealt = lines.repartitionByRange("repo", "line").sortWithinPartitions("repo", "line").select("repo", "text")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").text(path)
+
+
 PACK = "repo string, round int, ord int, kind string, batch string, title string, subject string, questions array<string>, prompt string"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import graph, joins, rollups
 from ledgerlens.plans import payments
+from ledgerlens.sources import files
 from ledgerlens.sources.shared import Buckets
 
 EDGES, NODES, ENTRIES = "repo string, src string, dst string", "repo string, id string", "repo string, ord int, pkg string, symbol string"
@@ -166,3 +168,55 @@ def test_demand_follows_requirements(spark):
     assert got == {"r": (True, False, 2, 1), "k": (True, True, 1, 0), "n": (False, False, 2, 0)}
     machines = spark.createDataFrame([("r", "M", ["A", "B"]), ("r", "N", ["A"]), ("k", "M", ["A", "B"])], "repo string, type string, states array<string>")
     assert [(r.repo, r.machine, r.scenarios) for r in rollups.states_demanded(cases, machines).collect()] == [("r", "M", ["B"])]
+
+
+def plain_preorder(calls, entries, nodes):
+    """(entry_ord, step, depth, node) of a recursive walk; calls: (src, ord, dst)."""
+    of, seen, out = {}, set(), []
+    for s, o, d in calls:
+        of.setdefault(s, []).append((o, d))
+
+    def visit(entry, node, depth, steps):
+        seen.add(node)
+        out.append((entry, next(steps), depth, node))
+        for _, d in sorted(of.get(node, [])):
+            if d in nodes and d not in seen:
+                visit(entry, d, depth + 1, steps)
+
+    for entry, node in sorted(entries):
+        if node in nodes and node not in seen:
+            visit(entry, node, 0, itertools.count())
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 6, 10**6])
+def test_split_preorder_is_that_of_a_plain_walk(spark, most):
+    """Trees with cross calls, cycles, ties, repeated calls, loops and absent callees, split at every size."""
+    draw = random.Random(8)
+    calls = {("r", f"p#{draw.randint(0, k)}", draw.randint(0, 3), f"p#{k + 1}") for k in range(24)} | {("r", f"p#{draw.randint(0, 30)}", draw.randint(0, 3), f"p#{draw.randint(0, 30)}") for _ in range(14)} | {("r", "p#2", 1, "gone"), ("r", "p#3", 1, "p#3")}
+    calls |= {("t", "p#0", 0, "p#1"), ("t", "p#1", 0, "p#0"), ("t", "p#1", 5, "p#2")}
+    entries = [("r", 3, "9"), ("r", 5, "0"), ("r", 5, "20"), ("r", 7, "26"), ("r", 8, "none"), ("t", 1, "1"), ("t", 2, "0")]
+    nodes = {"r": {f"p#{k}" for k in range(31)}, "t": {f"p#{k}" for k in range(4)}}
+    frames = spark.createDataFrame([(r, n) for r, ns in nodes.items() for n in ns], NODES), spark.createDataFrame([(r, o, "p", s) for r, o, s in entries], ENTRIES)
+    edges = spark.createDataFrame([(r, s, d, o) for r, s, o, d in calls] * 2, "repo string, src string, dst string, ord int")
+    got = sorted((r.repo, r.entry_ord, r.step, r.depth, r.node) for r in graph.preorder(*frames, edges, most).collect())
+    want = [(r, *row) for r in nodes for row in plain_preorder({c[1:] for c in calls if c[0] == r}, [(o, f"p#{s}") for q, o, s in entries if q == r], nodes[r])]
+    assert got == sorted(want) and len(got) > 25
+
+
+def test_preorder_without_rows(spark, tangle):
+    _, edges, nodes, entries, _ = tangle
+    edges = edges.withColumn("ord", F.lit(0))
+    assert graph.preorder(nodes, entries.where("false"), edges, 0).isEmpty() and graph.preorder(nodes.where("false"), entries, edges, 0).isEmpty()
+
+
+def test_lines_are_written_in_order(spark, tmp_path):
+    nodes = spark.createDataFrame([("r", f"p#{k:03}", f"f{k}") for k in range(300)] + [("s", "p#0", "g")], "repo string, id string, symbol string")
+    edges = spark.createDataFrame([("r", "p#000", "p#001")], EDGES)
+    seams = spark.createDataFrame([], "repo string, in_id string, target string, injectable boolean")
+    lines = graph.flowchart_lines(nodes, edges, seams)
+    assert [r.line for r in lines.where("repo = 'r'").orderBy("line").collect()] == list(range(302))
+    files.write_lines(lines, str(tmp_path / "charts"))
+    read = lambda repo: "".join(f.read_text() for f in sorted((tmp_path / "charts" / f"repo={repo}").glob("*.txt")))
+    charts = {r.repo: r.diagram for r in graph.flowchart(nodes, edges, seams).collect()}
+    assert {repo: read(repo).rstrip("\n") for repo in ("r", "s")} == charts and charts["r"].count("\n") == 301
