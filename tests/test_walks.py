@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import graph, joins, rollups
+from ledgerlens.operators import graph, joins, ranking, rollups
 from ledgerlens.plans import payments
 from ledgerlens.sources import files
 from ledgerlens.sources.shared import Buckets
@@ -220,3 +220,42 @@ def test_lines_are_written_in_order(spark, tmp_path):
     read = lambda repo: "".join(f.read_text() for f in sorted((tmp_path / "charts" / f"repo={repo}").glob("*.txt")))
     charts = {r.repo: r.diagram for r in graph.flowchart(nodes, edges, seams).collect()}
     assert {repo: read(repo).rstrip("\n") for repo in ("r", "s")} == charts and charts["r"].count("\n") == 301
+
+
+def test_keys_travel_together_as_bits(spark, monkeypatch):
+    """A node has a row for 64 entries that reach it at once, not one for each; marks of a part are unpacked before its nodes are met."""
+    tables = []
+    whole = graph.spread
+    monkeypatch.setattr(graph, "spread", lambda *args, **more: tables.append(whole(*args, **more)) or tables[-1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    seeds = spark.createDataFrame([(k, "a") for k in range(100)] + [(7, "c")], "entry int, node string")
+    got = {tuple(r) for r in graph.reachable(edges, seeds, ["entry"]).collect()}
+    assert got == {(k, n, d) for k in range(100) for d, n in enumerate("abc")} - {(7, "c", 2)} | {(7, "c", 0)}
+    assert tables[0].read().count() <= 7
+
+
+def test_labels_of_parts_are_numbers(spark, tangle, monkeypatch):
+    """Labels that no hash aggregate can hold are sorted in each round."""
+    seen = []
+    whole = graph.spread
+    monkeypatch.setattr(graph, "spread", lambda laid, seeds, *args, **more: seen.append(dict(seeds.dtypes)["value"]) or whole(laid, seeds, *args, **more))
+    _, edges, nodes, entries, _ = tangle
+    graph.condensed(edges)
+    graph.preorder(nodes, entries, edges.withColumn("ord", F.lit(0)), 6)
+    assert seen and set(seen) == {"bigint"}
+
+
+def test_equal_hashes_of_nodes_get_another_salt(spark, tangle, monkeypatch):
+    whole = graph.node_id
+    monkeypatch.setattr(graph, "node_id", lambda name, salt: whole(name, salt) if salt else F.pmod(whole(name, salt), F.lit(5)))
+    test_reach_sets_are_those_of_plain_walks(tangle)
+    test_parts_are_the_strongly_connected_ones(tangle)
+
+
+def test_lines_are_numbered_without_another_shuffle(spark):
+    rows = spark.range(500).select(F.lit("r").alias("repo"), (F.col("id") % 400).cast("string").alias("text"))
+    laid = ranking.ordered(rows, ["repo"], ["text"], distinct=True)
+    numbered = ranking.counted(laid, ["repo"], "line")
+    assert [r.text for r in numbered.orderBy("line").collect()] == sorted(map(str, range(400)))
+    assert sorted(r.line for r in numbered.collect()) == list(range(400))
+    assert "Exchange hashpartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
