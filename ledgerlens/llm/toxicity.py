@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the hashes of its words (runs of letters and digits in lower case), of
-pairs of neighbours and of pairs with one word between, each counted once. FTRL-proximal keeps for
+pairs of neighbours, of pairs with one word between, and of the beginnings of its words (STEMS bytes of UTF-8),
+by which inflected and compounded forms that were not learned are known, each counted once. FTRL-proximal keeps for
 each coordinate the sum z of its adjusted gradients and the sum n of their squares: n gives the
 coordinate a learning rate of its own, and a weight is exactly 0 while abs(z) <= L1. As labels are noisy
 the threshold grows with the noise of z: it is SPARSE standard deviations of the gradient sum of a feature
@@ -37,6 +38,8 @@ from ledgerlens.llm.common import bounded_sample, map_batches, table, text_or_em
 ALPHA, BETA, L2, SPARSE = 0.6, 1.0, 0.0, 2.0
 SHARDS, SHARD_ROWS, TRAIN_CHARS, ROUNDS, SENT = 8, 3000, 1 << 20, 3, 5
 CUT, PRIOR = 0.3, 0.05
+#: How many bytes of a longer word are a feature of their own.
+STEMS = (4, 5, 6)
 #: Features have 31 bits; the bias has a coordinate of its own.
 BITS, BIAS = 31, -1
 #: Bytes that stand between words, and those in them.
@@ -46,7 +49,7 @@ STATE = "index int, z double, n double"
 
 
 def features(text: str) -> np.ndarray:
-    """The hashes of the words, pairs and skip-pairs of a text, with repeats."""
+    """The hashes of the words, pairs and skip-pairs of a text, with repeats, and of the beginnings of its different words."""
     low = text.lower()
     data = low if low.isascii() else NO_WORD.sub(" ", low)
     words = data.encode("utf-8", "surrogatepass").translate(BETWEEN).split()
@@ -54,6 +57,10 @@ def features(text: str) -> np.ndarray:
     grams = [h]
     for gap in (1, 2):
         grams.append(h[:-gap] * np.uint64(0x9E3779B97F4A7C15) + (h[gap:] ^ np.uint64(gap)) * np.uint64(0xA24BAED4963EE407))
+    different = set(words)
+    for k in STEMS:
+        begun = {w[:k] for w in different if len(w) > k}
+        grams.append(np.fromiter((xxhash.xxh3_64_intdigest(w, k) for w in begun), np.uint64, len(begun)))
     every = np.concatenate(grams)
     every = (every ^ (every >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (every >> np.uint64(64 - BITS)).astype(np.int32)

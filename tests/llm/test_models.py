@@ -254,3 +254,11 @@ def test_large_counts(spark):
     n, total, v = 9_000_000_000_000, 9_000_000_000_123, 4_000
     row = spark.range(1).select(divergence.whole_share(F.lit(n), F.lit(total), F.lit(v)).alias("p"), divergence.distance(F.lit(1_000_000_001).cast("long"), F.lit(3).cast("long")).alias("d")).first()
     assert row.p == 1 + 1_000_000_000 * (n + 2) // (total + 2 * v) and row.d == (1_000_000_001 - 3) ** 2 // 1_000_000_004
+
+
+def test_forms_of_a_word_share_a_feature():
+    """A form that was not learned is known by how it begins."""
+    from ledgerlens.llm import toxicity
+
+    one, other = (set(toxicity.features(w).tolist()) for w in ("loweischaft", "loweient"))
+    assert one & other and not one & set(toxicity.features("garten").tolist())
