@@ -3,8 +3,9 @@
 Generators of high recall propose overlapping spans: the base patterns (email, ip, card,
 phone), addresses spelled with at and dot in brackets of any kind or as words, ip numbers with their points set apart,
 grouped telephone numbers, and any chain of 7 to 19 digits with the separators of phone and
-card numbers, slashes among them. Gradient-boosted trees, trained here on at most SAMPLE candidates of each
-label, score every candidate from its format and the words before it.
+card numbers, slashes among them. Gradient-boosted trees, trained here on all labelled candidates, score
+every candidate from its format and the words before it. Labelled ones with equal features are counted and become
+one weighted row, so what the trees pass over grows with the forms that occur and not with the corpus.
 
 No span outside the base patterns has a label, so labels are made from what can be checked:
 
@@ -14,9 +15,9 @@ No span outside the base patterns has a label, so labels are made from what can
   plus with too few or too many digits), bare digits without a contact word in the three words before them, numbers
   after words like order or invoice, dates; and rewritten spans that were made to fail a check.
 
-Other candidates have no label: they are never taken for invalid ones. For each kind the
-cutoff is set where, on the held-out fifth of the labelled ones, at least PRECISION of the
-candidates at or above it are valid. Candidates at or above it that touch no base span are
+Other candidates have no label: they are never taken for invalid ones. Both labels weigh the same in
+all. For each kind the cutoff is set where, on the held-out fifth of the labelled ones, all of them counted, at least
+PRECISION of the candidates at or above it are valid. Candidates at or above it that touch no base span are
 added, those within another one left out; base spans always stay.
 
 Cases: null text counts as empty; texts of any length are searched whole, in time that grows
@@ -27,20 +28,23 @@ columns are not read. Offsets are in code points, end exclusive.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import bounded_sample, table, text_or_empty, written
+from ledgerlens.llm.common import table, text_or_empty, written
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE, PRECISION, LEAST, SEED = 4000, 0.995, 20, 7
+PRECISION, LEAST, SEED = 0.995, 20, 7
 TREES, DEPTH = 12, 4
+#: Bins of a feature at most: MLlib then finds the splits on all weighted rows, up to the square of it. Lengths count up to LONG.
+BINS, LONG = 1024, 63
+#: Scores are counted in so many cells of equal width.
+CELLS = 10_000
 
 LOCAL, HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: A run of letters is tried at its start only, or where the last match ended: later starts fail alike.
@@ -219,9 +223,9 @@ def features(spans: DataFrame) -> tuple[DataFrame, list[str]]:
     count = lambda letters: F.length(hit) - F.length(F.translate(hit, letters, ""))
     runs = F.transform(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0)), F.length)
     named = {
-        "f_family": F.col("family"), "f_digits": n, "f_length": F.length(hit), "f_spaces": count(" "), "f_hyphens": count("-"), "f_dots": count("."), "f_brackets": count("()[]"),
-        "f_letters": F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), "f_bare": bare(hit).cast("int"), "f_groups": F.size(runs), "f_longest": F.coalesce(F.array_max(runs), F.lit(0)),
-        "f_luhn": ((n >= 12) & luhn(hit)).cast("int"), "f_top_part": top_part(hit), "f_sentence": hit.rlike(r"[.] ?[A-Z0-9]").cast("int"), "f_end": F.length(F.regexp_extract(hit, "([A-Za-z]*)$", 1)),
+        "f_family": F.col("family"), "f_digits": n, "f_length": F.least(F.length(hit), F.lit(LONG)), "f_spaces": count(" "), "f_hyphens": count("-"), "f_dots": count("."), "f_brackets": count("()[]"),
+        "f_letters": F.least(F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), F.lit(LONG)), "f_bare": bare(hit).cast("int"), "f_groups": F.size(runs), "f_longest": F.coalesce(F.array_max(runs), F.lit(0)),
+        "f_luhn": ((n >= 12) & luhn(hit)).cast("int"), "f_over": (top_part(hit) > 255).cast("int"), "f_sentence": hit.rlike(r"[.] ?[A-Z0-9]").cast("int"), "f_end": F.least(F.length(F.regexp_extract(hit, "([A-Za-z]*)$", 1)), F.lit(LONG)),
         "f_slashes": count("/"), "f_date": hit.rlike(DATE).cast("int"), "f_host_end": F.lower(hit).rlike(rf"[^a-z](?:{ENDS})$").cast("int"), "f_worded": (kind == "worded").cast("int"),
         "f_joined": before.rlike(r"[\p{L}0-9._]$").cast("int"), "f_generator": F.when(kind == "phone", 1).otherwise(0),
     } | {f"f_{k}": said(before, k).cast("int") for k in WORDS}
@@ -236,39 +240,46 @@ def labelled(found: DataFrame) -> DataFrame:
     return made.unionByName(failed).select("s", F.col("s.label").alias("label"), F.xxhash64(F.lit(SEED), "row", "start", "s.kind", "s.hit").alias("draw"))
 
 
-def lowest(scored: list[tuple[float, float]]) -> float | None:
-    """The cutoff from which on at least PRECISION of (score, label) are valid; None without enough of both labels.
+def lowest(cells: list[Row]) -> float | None:
+    """The cutoff from which on at least PRECISION of the weight is valid; None without LEAST spans of both labels.
 
-    It lies halfway between the lowest score that passes and the next below it.
+    cells: for each cell of scores the numbers n_valid and n_invalid, their weights valid and invalid, and the least and
+    greatest score. The cutoff lies halfway between the lowest score of the last cell that passes and the next below it.
     """
-    if min(sum(label == k for _, label in scored) for k in (0.0, 1.0)) < LEAST:
+    if min(sum(c.n_valid for c in cells), sum(c.n_invalid for c in cells)) < LEAST:
         return None
-    cutoff, good = None, 0.0
-    ranked = sorted(scored, reverse=True)
-    for k, (score, label) in enumerate(ranked):
-        good += label
-        after = ranked[k + 1][0] if k + 1 < len(ranked) else score
-        if (k + 1 == len(ranked) or after < score) and good >= PRECISION * (k + 1) and k + 1 >= LEAST:
-            cutoff = (score + after) / 2
+    cutoff, good, every, n = None, 0.0, 0.0, 0
+    ranked = sorted(cells, key=lambda c: -c.cell)
+    for k, c in enumerate(ranked):
+        good, every, n = good + c.valid, every + c.valid + c.invalid, n + c.n_valid + c.n_invalid
+        if good >= PRECISION * every and n >= LEAST:
+            cutoff = (c.least + (ranked[k + 1].greatest if k + 1 < len(ranked) else c.least)) / 2
     return cutoff
 
 
+def weighted(spans: DataFrame, names: list[str]) -> DataFrame:
+    """label, names, n_fit, n_held: all spans, counted by label and features; a fifth of them is held out."""
+    held = (F.pmod("draw", F.lit(5)) == 0).cast("long")
+    return spans.groupBy("label", *names).agg(F.sum(1 - held).alias("n_fit"), F.sum(held).alias("n_held"))
+
+
 def trained(spans: DataFrame, names: list[str]) -> tuple[GBTClassificationModel, dict[int, float]] | None:
-    """The model and the cutoff of each kind, from at most SAMPLE spans of each label; None if one is absent."""
-    own = spans.select("label", "draw", *names)
-    labels = {r.label: r["count"] for r in own.groupBy("label").count().collect()}
+    """The model and the cutoff of each kind, from all spans; None if a label is absent."""
+    counted = written(weighted(spans, names), "pii-spans")
+    labels = {r.label: r.n for r in counted.groupBy("label").agg(F.sum(F.col("n_fit") + F.col("n_held")).alias("n")).collect()}
     if min(labels.get(0.0, 0), labels.get(1.0, 0)) < LEAST:
         return None
-    drawn = [bounded_sample(own.where(F.col("label") == k), "draw", SAMPLE, n) for k, n in sorted(labels.items())]
-    sample = written(drawn[0].unionByName(drawn[1]), "pii-sample")
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
-    held = F.pmod("draw", F.lit(5)) == 0
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(ready.where(~held))
-    scored = model.transform(ready.where(held)).select("f_family", vector_to_array("probability")[1].alias("p"), "label").collect()  # at most 2 * SAMPLE rows
-    by_kind = defaultdict(list)
-    for r in scored:
-        by_kind[int(r.f_family)].append((r.p, r.label))
-    found = {k: lowest(rows) for k, rows in by_kind.items()}
+    share = F.when(F.col("label") == 1, sum(labels.values()) / (2 * labels[1.0])).otherwise(sum(labels.values()) / (2 * labels[0.0]))
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(counted.withColumn("share", share).withColumn("weight", F.col("n_fit") * F.col("share")))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=SEED, weightCol="weight").fit(ready.where("n_fit > 0"))
+    p, n, is_valid = vector_to_array("probability")[1], F.col("n_held"), F.col("label") == 1
+    scored = model.transform(ready.where("n_held > 0")).select(F.col("f_family").cast("int").alias("kind"), p.alias("p"), n, "share", is_valid.alias("valid"))
+    of = lambda c, v: F.coalesce(F.sum(F.when(F.col("valid") == v, c)), F.lit(0))
+    cells = scored.groupBy("kind", F.floor(F.col("p") * CELLS).alias("cell")).agg(
+        of(n, True).alias("n_valid"), of(n, False).alias("n_invalid"), of(n * F.col("share"), True).alias("valid"), of(n * F.col("share"), False).alias("invalid"), F.min("p").alias("least"), F.max("p").alias("greatest")
+    )
+    rows = cells.collect()  # at most CELLS + 1 for each kind
+    found = {k: lowest([r for r in rows if r.kind == k]) for k in {r.kind for r in rows}}
     return model, {k: c for k, c in found.items() if c is not None}
 
 

@@ -368,6 +368,17 @@ def test_forms_that_were_not_trained_are_found_whole(spark):
     assert min(whole.values()) >= 0.9 * 150 and sum(false.values()) <= 0.01 * 150 * len(none), (whole, false)
 
 
+def test_a_kind_that_is_rare_among_the_labels_is_learnt(spark):
+    """150 spans of each label among 20,000: all are counted, so enough of them are held out for a cutoff."""
+    k = F.col("id")
+    label = ((k >= 20_000) & (k < 40_000) | (k >= 40_150)).cast("double")
+    spans = spark.range(40_300).select(label.alias("label"), F.xxhash64("id").alias("draw"), (k >= 40_000).cast("double").alias("f_family"), label.alias("f_form"))
+    counted = pii.weighted(spans, ["f_family", "f_form"]).collect()
+    assert sorted((r.f_family, r.label, r.n_fit + r.n_held) for r in counted) == [(0.0, 0.0, 20_000), (0.0, 1.0, 20_000), (1.0, 0.0, 150), (1.0, 1.0, 150)]
+    _, cutoffs = pii.trained(spans, ["f_family", "f_form"])
+    assert set(cutoffs) == {0, 1}
+
+
 def test_long_texts_with_many_matches(spark):
     text = " ".join(str(10**7 + k) + ("\n" if k % 3 else " 10.0.0.%d" % (k % 300)) for k in range(60_000))
     row = pii.written(pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")), "long").select(F.size("base").alias("n"), F.expr("base[size(base) - 1]").alias("last")).first()
