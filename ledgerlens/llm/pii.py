@@ -28,15 +28,13 @@ columns are not read. Offsets are in code points, end exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table, text_or_empty, written
+from ledgerlens.llm.common import once, table, text_or_empty, written
 
 KINDS = ["email", "ip", "card", "phone"]
 PRECISION, LEAST, SEED = 0.995, 20, 7
@@ -77,11 +75,6 @@ DATE = r"^\(?[0-9]{1,2}/[0-9]{1,2}/(?:19|20)?[0-9]{2}\b|^\(?(?:19|20)[0-9]{2}/[0
 WORDS = {"call": "tel|telephone|phone|call|fax|mobile|mobil|cell|dial|ruf|whatsapp|sms", "card": "card|visa|master|mastercard|amex|pay|konto|carte|tarjeta", "mail": "mail|contact|write|email|e-mail", "net": "ip|host|server|address|addr|login", "order": "order|invoice|no|nr|number|id|ref|item|ticket|case|serial|version|page|year|isbn|sku|part"}
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use of value, which is evaluated once though use names it several times."""
-    return F.transform(F.array(value), use)[0]
-
-
 def running_sums(lengths: Column) -> Column:
     """The running sums of an array of numbers, chunk by chunk, so that no long array is copied for each of them."""
     none = F.array().cast("array<int>")

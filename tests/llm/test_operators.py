@@ -593,6 +593,19 @@ def test_license_wordings_that_were_not_trained(spark):
     assert len(missed) <= 0.1 * len(HELD_OUT) and len(wrong) <= 0.04 * len(HELD_OUT) and not false, (missed, wrong, false)
 
 
+def test_licenses_without_words_like_license(spark):
+    """Short names, and lines of licenses, that hold no anchor; other uses of the same names and words."""
+    named = [("apache-2.0", "Terms: Apache-2.0."), ("gpl", "Terms: GPLv3"), ("gpl", "(GPL-2.0-or-later)"), ("lgpl", "LGPL-2.1"), ("agpl", "the server is AGPL-3.0-only"), ("bsd", "terms = BSD-3-Clause"), ("mpl-2.0", "MPL-2.0"), ("epl-2.0", "EPL-2.0"), ("bsl-1.0", "BSL-1.0")]
+    lines = [("mit", "whether in an action of contract, tort or otherwise, arising from,\nout of or in connection with the software or the use or other dealings in the software."), ("mit", "documentation files (the \"Software\"), to deal in the Software without restriction,")]
+    none = ["She watched the EPL on Sunday.", "The Apache pilots flew 2 hours.", "It is in the use of the other that they are.", "To be or not to be, that is the question.", "The MPL was raised by a third.", "In the event of rain the fair is held in the hall."]
+    want = [*named, *lines]
+    assert not any(re.search(license_scan.ANCHORS, t) for _, t in want)
+    docs = [(k, t) for k, (_, t) in enumerate(want)] + [(1000 + k, t) for k, t in enumerate(none)]
+    got = {r.doc_id: (r.license, r.n_anchored) for r in license_scan.scanned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in range(len(want))} == {k: (f, 0) for k, (f, _) in enumerate(want)}
+    assert all(got[1000 + k] == ("none", 0) for k in range(len(none))), [got[1000 + k] for k in range(len(none))]
+
+
 def test_many_anchored_paragraphs_in_one_text(spark):
     text = "\n".join(["Licensed under the Apache License, Version 2.0.", "The warranty is void."] * 4000)
     row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
