@@ -15,7 +15,7 @@ from ledgerlens.functions.cost import density, input_tokens, output_tokens, shor
 from ledgerlens.functions.text import any_of, any_within, directory, snake, target_file, test_name
 from ledgerlens.operators import graph, joins
 from ledgerlens.operators.predicates import exists_per, first_allowed, first_reason, runnable
-from ledgerlens.operators.ranking import best, case_order, first_fit, lifecycle_score
+from ledgerlens.operators.ranking import best, case_order, first_fit_split, lifecycle_score
 from ledgerlens.operators.rollups import margin, scores
 from ledgerlens.plans import dims
 from ledgerlens.sources.shared import checkpointed
@@ -263,12 +263,13 @@ def planned(choices: DataFrame, budgets: DataFrame) -> DataFrame:
     """The choices of decided with place, within the budget (repo, budget) of their repo; 0 or none is no limit.
 
     Chosen asks come first, by worth for their weight, then as they stand. First-fit takes them in
-    that order; one that overflows stays as skipped, keeping its price, and later ones may still fit.
+    that order; one that overflows stays as skipped, keeping its price, and later ones may still fit. The asks of
+    one repo are spread over tasks.
     """
     ranked = choices.join(budgets.select("repo", F.coalesce("budget", F.lit(0)).cast("long").alias("budget")), "repo", "left")
     keyed = ranked.withColumn("_after", (~F.col("chosen")).cast("int")).withColumn("_worth", -F.col("rank"))
     counted = F.when(F.col("chosen"), F.col("weighted")).otherwise(0)
-    fit = first_fit(keyed.withColumn("_weight", counted), ["repo"], ["_after", "_worth", "ord"], "_weight", F.coalesce("budget", F.lit(0)))
+    fit = first_fit_split(keyed.withColumn("_weight", counted), ["repo"], ["_after", "_worth", "ord"], "_weight", F.coalesce("budget", F.lit(0)))
     over = F.col("chosen") & ~F.col("taken")
     why = F.concat(F.lit("over the budget of "), short(F.col("budget")), F.lit(", of which "), short(F.col("spent")), F.lit(" is spent"))
     out = fit.withColumn("why", F.when(over, why).otherwise(F.col("why"))).withColumn("method", F.when(over, "skip").otherwise(F.col("method"))).withColumn("chosen", F.col("chosen") & F.col("taken"))

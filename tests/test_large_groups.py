@@ -131,3 +131,15 @@ def test_a_refused_round_is_reported_and_stopped(spark):
     assert Counter((r.repo, r.n_cases, r.refused) for r in state.gate_report(cases, closed).collect()) == Counter([("a", 2, True), ("b", 1, False)])
     with pytest.raises(Exception, match="round one is open for a"):
         state.gated(cases, closed).collect()
+
+
+def test_asks_of_one_repo_are_planned_in_several_tasks(spark):
+    k = F.col("id")
+    choices = spark.range(400).select(F.lit("r").alias("repo"), k.alias("ord"), (k % 3 > 0).alias("chosen"), (k % 7).cast("double").alias("rank"), (10 + k % 5).alias("weighted"), F.lit("w").alias("why"), F.lit("open").alias("method"))
+    plan = payments.planned(choices, spark.createDataFrame([("r", 100)], "repo string, budget long"))
+    assert "MapInArrow" not in plan._jdf.queryExecution().toString()
+    spent = 0
+    for r in sorted(plan.collect(), key=lambda r: r.place):
+        asked = r.ord % 3 > 0
+        assert r.chosen == (asked and spent + r.weighted <= 100)
+        spent += r.weighted if r.chosen else 0
