@@ -2,7 +2,7 @@
 
 Texts are cut into paragraphs (lines, and sentences of longer lines). All are looked at, with or without
 words like license: only one that a template can confirm can be a license's, and of these none
-is passed over (hopeful). They are classified by a multinomial logistic regression over hashed word
+is passed over (hit). They are classified by a multinomial logistic regression over hashed word
 one- and two-grams, trained here on phrases of each family, on variants of them with words
 left out, and, for the unknown class, on other uses of the same words and on at most
 UNKNOWN paragraphs each of the documents' anchored ones that hold no template, of those that have most words in
@@ -43,6 +43,8 @@ ANCHORS = r"(?i)licen[sc]|copyright|©|warrant|permission|redistribut|rights res
 NEEDLES = ["licen", "copyright", "©", "warrant", "permission", "redistribut", "rights reserved", "public domain", "gnu", "spdx", "creative commons", "cc by", "cc-by", "cc0", "proprietary", "ed copying", "free to copy"]
 #: What it must hold, where no anchor does, for MARKS to name a license.
 SHORT_NEEDLES = ["gpl", "apache", "bsd-", "mpl", "epl", "bsl-1", "attribution"]
+#: The same, more closely: not the "mpl" of an example.
+SHORT_NAMES = r"\b(?:[al]?gpl|apache\b|bsd-[234]|mpl|epl|bsl-1)|attribution[ -]"
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 #: Short phrases by which licenses are commonly named.
@@ -174,39 +176,50 @@ def vectors(paragraphs: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row, hits, line: (number, paragraph, anchored) of the paragraphs of each text that hold an anchor or may hold a template, and its first line."""
+    """doc_id, row, hits, line, plain: the hit of each paragraph of each text that has one, its first line, and whether that as a whole is none."""
     held = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
     parts = F.split("text", r"\n|(?<=[.!?])[ \t]+(?=\p{Lu})", -1)
-    low = held.withColumn("low", F.lower("text"))
+    low = held.withColumn("low", F.lower("text")).withColumn("line", F.substring_index("text", "\n", 1))
     # The gates are of the whole text, so they are not to be evaluated for each paragraph.
     gates = F.struct(any_within(F.col("low"), NEEDLES).alias("some"), any_within(F.col("low"), SHORT_NEEDLES).alias("short"))
-    numbered = lambda g: F.transform(parts, lambda x, k: F.struct(k.alias("number"), x.alias("paragraph"), (g["some"] & x.rlike(ANCHORS)).alias("anchored")))
-    hits = once(gates, lambda g: F.filter(numbered(g), lambda x: x["anchored"] | hopeful(x["paragraph"], g["short"])))
-    return low.select("doc_id", "row", hits.alias("hits"), F.substring_index("text", "\n", 1).alias("line"))
+    hits = lambda g: F.filter(F.transform(parts, lambda x, k: hit(x, k, g)), lambda h: h.isNotNull())
+    seen = once(gates, lambda g: F.struct(hits(g).alias("hits"), hit(F.col("line"), F.lit(0), g).isNull().alias("plain")))
+    return low.select("doc_id", "row", "line", seen.alias("seen")).select("doc_id", "row", "seen.hits", "line", "seen.plain")
 
 
-def hopeful(paragraph: Column, short: Column) -> Column:
-    """Whether a template may confirm a paragraph without an anchor; short: whether it may hold a short name.
+def hit(paragraph: Column, number: Column, gates: Column) -> Column:
+    """number, paragraph, anchored, named, bodies of a paragraph with an anchor, or that a template may confirm; else null.
 
-    Every body that confirms one has BACK of its words, LINE of a line's, so all bodies together have as many.
+    named and bodies are the families that it names and those that have such a body, looked for here alone, as this is
+    most of the work. A paragraph names none without an anchor or a short name. Every body that confirms one has BACK of
+    its words, LINE of a line's, so all bodies together have as many, and LEAST_KNOWN at least.
     """
-    known = sorted({w for texts in BODIES.values() for p in texts for w in template_words(p)})
-    mostly = once(F.array_distinct(words(paragraph)), lambda own: (F.size(own) > 0) & (F.size(F.filter(own, lambda w: w.isin(known))) >= BACK * F.size(own)))
-    return (short & reduce(Column.__or__, by_name(paragraph).values())) | mostly
+    isin = lambda own: F.filter(own, lambda w: w.isin(KNOWN))
+    none = F.array().cast("array<string>")
+
+    def judged(w: Column) -> Column:
+        mostly = (w["n"] > 0) & (F.size(w["known"]) >= BACK * w["n"])
+        bodies = F.when(mostly & (F.size(w["known"]) >= LEAST_KNOWN), by_body(w["known"], w["n"])).otherwise(none)
+        kept = lambda named: F.struct(number.alias("number"), paragraph.alias("paragraph"), w["anchored"].alias("anchored"), named.alias("named"), bodies.alias("bodies"))
+        return once(F.when(w["anchored"] | w["short"], by_name(paragraph)).otherwise(none), lambda named: F.when(w["anchored"] | (F.size(named) > 0) | mostly, kept(named)))
+
+    # The needles first: a pattern costs several times as much.
+    anchored = gates["some"] & any_within(F.lower(paragraph), NEEDLES) & paragraph.rlike(ANCHORS)
+    short = gates["short"] & any_within(F.lower(paragraph), SHORT_NEEDLES) & F.lower(paragraph).rlike(SHORT_NAMES)
+    counted = lambda own: F.struct(anchored.alias("anchored"), short.alias("short"), F.size(own).alias("n"), isin(own).alias("known"))
+    return once(F.array_distinct(words(paragraph)), lambda own: once(counted(own), judged))
 
 
 def any_within(text: Column, needles: list[str]) -> Column:
-    return reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in needles])
+    return once(text, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in needles]))
 
 
 def unknown(found: DataFrame, n: int) -> DataFrame:
     """At most n anchored paragraphs that no family's template confirms, n others of most of their words, and n further first lines, drawn by a hash of their words."""
     draw = F.xxhash64(F.lit(SEED), "paragraph").alias("draw")
-    hits = found.select(F.explode("hits").alias("h")).select("h.paragraph", "h.anchored")
-    alike = hits.select("paragraph", "anchored", draw, F.array_distinct(words("paragraph")).alias("own")).where(~templated(F.col("paragraph"), F.col("own"))).select("paragraph", "anchored", "draw")
-    alike = written(alike, "license-alike")
-    first = F.col("line")
-    lines = found.where(~first.rlike(ANCHORS) & ~hopeful(first, F.lit(True))).select(first.alias("paragraph")).select("paragraph", draw)
+    hits = found.select(F.explode("hits").alias("h")).select("h.*")
+    alike = hits.where((F.size("named") == 0) & (F.size("bodies") == 0)).select("paragraph", "anchored", draw)
+    lines = found.where("plain").select(F.col("line").alias("paragraph")).select("paragraph", draw)
     sorts = {"anchored": alike.where("anchored"), "alike": alike.where("not anchored"), "other": lines}
     return reduce(DataFrame.unionByName, [bounded_sample(x.select("paragraph", "draw"), "draw", n, x.count()).withColumn("sort", F.lit(k)) for k, x in sorts.items()])
 
@@ -232,38 +245,37 @@ def template_words(phrase: str) -> list[str]:
     return sorted(set(re.findall(r"\w+(?:[.-]\w+)*", phrase.lower())))
 
 
-def by_name(paragraph: Column) -> dict[str, Column]:
-    """For each family whether the paragraph holds what names it and no other."""
-    low = F.lower(paragraph)
-    sure = lambda name: paragraph.rlike(ANCHORS) | low.rlike(VERSIONED[name]) if name in VERSIONED else F.lit(True)
-    return {name: low.rlike(mark) & sure(name) for name, mark in MARKS.items()}
+#: All words of bodies, and the least number of them with which a body can confirm a paragraph: half of the shortest body's, or a line's share.
+KNOWN = sorted({w for texts in BODIES.values() for p in texts for w in template_words(p)})
+LEAST_KNOWN = min([LINE * LINE_WORDS, *[COVER * len(template_words(p)) for texts in BODIES.values() for p in texts]])
 
 
-def by_body(own: Column) -> Column:
-    """The families of which a body covers the words and is covered by them, or has nearly all of a line's."""
-    bodies = F.array(*[F.struct(F.lit(name).alias("family"), F.array(*[F.lit(w) for w in template_words(p)]).alias("words")) for name, texts in BODIES.items() for p in texts])
-    shared = lambda t: F.size(F.array_intersect(own, t["words"]))
-    both = lambda t: (shared(t) >= COVER * F.size(t["words"])) & (shared(t) >= BACK * F.size(own))
-    line = lambda t: (F.size(own) >= LINE_WORDS) & (shared(t) >= LINE * F.size(own))
-    return F.array_distinct(F.transform(F.filter(bodies, lambda t: both(t) | line(t)), lambda t: t["family"]))
+def by_name(paragraph: Column) -> Column:
+    """The families of which the paragraph holds what names this one and no other."""
+    sure = lambda name, low: paragraph.rlike(ANCHORS) | low.rlike(VERSIONED[name]) if name in VERSIONED else F.lit(True)
+    each = lambda low: F.array(*[F.when(low.rlike(mark) & sure(name, low), F.lit(name)) for name, mark in MARKS.items()])
+    return F.filter(once(F.lower(paragraph), each), lambda x: x.isNotNull())
 
 
-def templated(paragraph: Column, own: Column) -> Column:
-    """Whether a template of any family confirms a paragraph (own: its distinct words)."""
-    return reduce(Column.__or__, by_name(paragraph).values()) | (F.size(by_body(own)) > 0)
+def by_body(known: Column, n: Column) -> Column:
+    """The families of which a body covers the words and is covered by them, or has nearly all of a line's; known: those of the n distinct words that are in KNOWN."""
+    bodies = F.array(*[F.struct(F.lit(name).alias("family"), F.array(*[F.lit(w) for w in template_words(p)]).alias("words")) for name, texts in BODIES.items() for p in texts])
+    shared = F.transform(bodies, lambda t: F.struct(t["family"].alias("family"), F.size(t["words"]).alias("size"), F.size(F.array_intersect(known, t["words"])).alias("shared")))
+    both = lambda t: (t["shared"] >= COVER * t["size"]) & (t["shared"] >= BACK * n)
+    line = lambda t: (n >= LINE_WORDS) & (t["shared"] >= LINE * n)
+    return F.array_distinct(F.transform(F.filter(shared, lambda t: both(t) | line(t)), lambda t: t["family"]))
 
 
 def classified(hits: DataFrame, model: LogisticRegressionModel, cutoff: float) -> DataFrame:
-    """hits (row, number, paragraph) that a template confirms, with family, probability, and alone: whether no other family has the same template.
+    """hits (row, number, paragraph, named, bodies) that a template confirms, with family, probability, and alone: whether no other family has the same template.
 
     A paragraph is a license's if the chance of all families together reaches the cutoff, or a half where it
     names one. It is of the
     likeliest family that a template confirms, which must have a probability of LEAST: of those that it
     names if it names any, else of those with such a body; unknown if there is none.
     """
-    named = F.filter(F.array(*[F.when(found, F.lit(name)) for name, found in by_name(F.col("paragraph")).items()]), lambda x: x.isNotNull())
     # Whatever the model says, only what a template confirms is a license's.
-    fits = hits.withColumn("named", named).withColumn("bodies", by_body(F.array_distinct(words("paragraph")))).where((F.size("named") > 0) | (F.size("bodies") > 0))
+    fits = hits.where((F.size("named") > 0) | (F.size("bodies") > 0))
     scored = model.transform(vectors(fits)).withColumn("p", vector_to_array("probability"))
     best = F.array_max(F.slice("p", 1, len(FAMILIES)))
     fitting = scored.withColumn("fit", F.when(F.size("named") > 0, F.col("named")).otherwise(F.col("bodies")))
@@ -278,7 +290,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_anchored, n_paragraphs, families and license of every document."""
     found = written(paragraphs(docs), "license-paragraphs")
     model, cutoff = trained(found)
-    hits = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.number", "h.paragraph")
+    hits = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*")
     sure = classified(hits, model, cutoff).where("family <> 'unknown'")
     per_row = sure.groupBy(F.col("row").alias("hit_row")).agg(
         F.count(F.lit(1)).alias("n_paragraphs"),

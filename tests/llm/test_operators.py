@@ -606,6 +606,49 @@ def test_licenses_without_words_like_license(spark):
     assert all(got[1000 + k] == ("none", 0) for k in range(len(none))), [got[1000 + k] for k in range(len(none))]
 
 
+def test_license_templates_are_looked_for_once(spark, monkeypatch):
+    """Names and bodies are most of the work: training and classifying take them from the scan."""
+    docs = spark.createDataFrame([(1, "It is so.\nThe end of the use.\nA fishing license."), (2, "Terms: GPLv3"), (3, "See the GNU General Public License for more details.")], "doc_id long, text string")
+    found = license_scan.written(license_scan.paragraphs(docs), "once")
+
+    def again(*_):
+        raise AssertionError("looked for again")
+
+    for name in ("by_name", "by_body"):
+        monkeypatch.setattr(license_scan, name, again)
+    model, cutoff = license_scan.trained(found)
+    hits = found.select("row", F.explode("hits").alias("h")).select("row", "h.*")
+    assert [r.family for r in license_scan.classified(hits, model, cutoff).orderBy("row", "number").collect()] == ["gpl", "gpl"]
+
+
+def test_license_gates_pass_over_no_template(spark):
+    """The families by name and by body of every paragraph, and which are hits, against plain Python without gates."""
+    draw = random.Random(31)
+    bodies = {name: [set(license_scan.template_words(p)) for p in texts] for name, texts in license_scan.BODIES.items()}
+    known = set().union(*[t for texts in bodies.values() for t in texts])
+    texts = [v.replace("\n", " ") for phrases in license_scan.FAMILIES.values() for p in phrases for v in license_scan.variants(p, draw, 3)] + [t for _, x in HELD_OUT for t in x.split("\n")] + [*license_scan.OTHERS, *NO_LICENSE]
+    texts += [w for p in sum(license_scan.BODIES.values(), []) for w in license_scan.pieces(p, draw, 4)]
+    texts += [" ".join(draw.sample(sorted(t), min(k, len(t))) + ["qqq"] * (k % 3 == 0)) for own in bodies.values() for t in own for k in range(1, 15)]
+    texts += ["An example of a simple reply.", "apache-2.0", "Attribution-ShareAlike", "attribution share", "xgpl", "lgpl", "bsd-4-clause", "a simple MPL 2", "the the the the of", ""]
+
+    def brute(text):
+        low = text.lower()
+        anchored = bool(re.search(license_scan.ANCHORS, text))
+        named = [f for f, m in license_scan.MARKS.items() if re.search(m, low) and (f not in license_scan.VERSIONED or anchored or re.search(license_scan.VERSIONED[f], low))]
+        own = set(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", low))
+        fits = lambda t: (len(own & t) >= license_scan.COVER * len(t) and len(own & t) >= license_scan.BACK * len(own)) or (len(own) >= license_scan.LINE_WORDS and len(own & t) >= license_scan.LINE * len(own))
+        found = [f for f, ts in bodies.items() if any(fits(t) for t in ts)]
+        mostly = bool(own) and len(own & known) >= license_scan.BACK * len(own)
+        assert mostly or not found
+        return (anchored, named, found) if anchored or named or mostly else None
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("gates", F.struct(*[license_scan.any_within(F.lower("text"), n).alias(k) for k, n in (("some", license_scan.NEEDLES), ("short", license_scan.SHORT_NEEDLES))]))
+    got = {r.doc_id: r.h and (r.h.anchored, r.h.named, r.h.bodies) for r in docs.select("doc_id", license_scan.hit(F.col("text"), F.lit(0), F.col("gates")).alias("h")).collect()}
+    want = {k: brute(t) for k, t in enumerate(texts)}
+    assert [(texts[k], got[k], want[k]) for k in want if got[k] != want[k]] == []
+    assert sum(w is None for w in want.values()) > 10 and sum(bool(w and w[2]) for w in want.values()) > 100
+
+
 def test_many_anchored_paragraphs_in_one_text(spark):
     text = "\n".join(["Licensed under the Apache License, Version 2.0.", "The warranty is void."] * 4000)
     row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
