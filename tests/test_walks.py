@@ -259,3 +259,38 @@ def test_lines_are_numbered_without_another_shuffle(spark):
     assert [r.text for r in numbered.orderBy("line").collect()] == sorted(map(str, range(400)))
     assert sorted(r.line for r in numbered.collect()) == list(range(400))
     assert "Exchange hashpartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_are_the_connected_nodes(spark):
+    """Hubs, chains of growing degree, rings and pairs of equal degree, taken in over several rounds."""
+    draw = random.Random(5)
+    pairs = {(draw.randint(0, 400), draw.randint(0, 400)) for _ in range(260)} | {(1000, 1001 + k) for k in range(40)} | {(2000 + k, 2001 + k) for k in range(70)} | {(2070, 2000)} | {(3000 + 20 * k, 3000 + 20 * k + j) for k in range(12) for j in range(1, k + 1)} | {(3000 + 20 * k, 3020 + 20 * k) for k in range(11)} | {(-5, 4000), (4001, 4002)}
+    pairs = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    both = [(a, b) for p in pairs for a, b in (p, p[::-1])]
+    got = [(r.node, r.part) for r in graph.clustered(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()]
+    part = dict(got)
+    assert len(part) == len(got) and set(part) == {n for p in pairs for n in p}
+    groups: dict = {}
+    for n, p in got:
+        groups.setdefault(p, set()).add(n)
+    assert all(p in group and group == walk(both, p) for p, group in groups.items())
+    assert graph.clustered(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_calls_of_both_ways_need_no_labels(spark, monkeypatch):
+    """What they tie together is one part without a walk; labels go over the rest only."""
+    seen = []
+    whole = graph.spread
+    monkeypatch.setattr(graph, "spread", lambda laid, *args, **more: seen.append(laid.read().count()) or whole(laid, *args, **more))
+    rows = [("r", f"s#{k}", f"p#{j}") for k in range(6) for j in range(30) if j % 6 in (k, k // 2)]
+    tied = [*rows, *[(r, d, s) for r, s, d in rows]]
+    members, between = graph.condensed(spark.createDataFrame(tied, EDGES))
+    parts = {r.node: r.part for r in members.collect()}
+    assert not seen and between.isEmpty() and len(parts) == 36
+    assert all((parts[a] == parts[b]) == (b in walk([e[1:] for e in tied], a)) for a in parts for b in parts)
+    ring = [("r", "p#0", "x#0"), ("r", "x#0", "x#1"), ("r", "x#1", "s#0"), ("r", "x#1", "x#9")]
+    members, between = graph.condensed(spark.createDataFrame([*tied, *ring], EDGES))
+    more = {r.node: r.part for r in members.collect()}
+    assert seen and max(seen) <= 3
+    assert {n for n in more if more[n] == more["x#0"]} == walk([e[1:] for e in tied], "p#0") | {"x#0", "x#1"}
+    assert [tuple(r) for r in between.collect()] == [("r", more["x#0"], "x#9")]
