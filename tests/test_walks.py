@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import graph, joins, ranking, rollups
@@ -317,3 +320,26 @@ def test_what_is_not_connected_is_walked_apart(spark, monkeypatch):
 def test_a_knot_is_not_split_on_and_on(spark, monkeypatch):
     calls = [(f"p#{a:02}", (a * b) % 7, f"p#{b:02}") for a in range(30) for b in range(30) if a != b]
     assert _walked_by(spark, monkeypatch, calls, [(1, "05"), (2, "03")], 100) == 2
+
+
+def test_a_text_is_put_together_from_runs(spark):
+    """Lines in any order and number, nulls among them; no list of a repo's lines is gathered."""
+    rows = [(f"r{k % 3}" if k % 4 else None, k, None if k % 11 == 0 else f"ü{k}\n" if k % 13 == 0 else f"t{k}") for k in range(200)]
+    lines = spark.createDataFrame(random.Random(1).sample(rows[:100], 100) + rows[100:], "repo string, line long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        texts = graph._joined(lines)
+        got = [tuple(r) for r in texts.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 4 and dict(got) == {repo: "\n".join(t for r, _, t in rows if r == repo and t is not None) for repo in ("r0", "r1", "r2", None)}
+    assert "collect_list" not in texts._jdf.queryExecution().executedPlan().toString()
+    assert graph._joined(lines.where("false")).isEmpty()
+    numbered = spark.createDataFrame([(7, 0, "a"), (8, 0, "b"), (7, 1, "c")], "repo int, line long, text string")
+    assert sorted(tuple(r) for r in graph._joined(numbered).collect()) == [(7, "a\nc"), (8, "b")]
+
+
+def test_tasks_need_no_package(tmp_path):
+    """Functions of the walks and texts are loaded where this package is not."""
+    for made in (graph._walker, graph._runner, graph._texter):
+        subprocess.run([sys.executable, "-c", "import sys, pickle; assert callable(pickle.loads(sys.stdin.buffer.read()))"], input=cloudpickle.dumps(made()), cwd=tmp_path, check=True)
